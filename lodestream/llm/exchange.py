@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .textops import U64, mix, powers, row_key
 
-__all__ = ["PACKED", "Packer", "buckets", "by_owner", "inverse_powers_of", "lists", "meet", "packed_batch", "powers_of", "row_key", "unpack"]
+__all__ = ["PACKED", "Packer", "buckets", "by_owner", "inverse_powers_of", "lists", "meet", "packed_batch", "powers_of", "row_key", "told", "unpack"]
 PACKED = "bucket int, n long, keys binary, owners binary, extra binary"
 FLUSH = 1_500_000
 _SALT = U64(0xA24BAED4963EE407)
@@ -26,14 +26,17 @@ def buckets(spark: SparkSession) -> int:
 
 
 class Packer:
-    """Collects (key, owner, extra) and yields a packed row for each bucket when FLUSH keys have come."""
+    """Collects (key, owner, extra) and packs a row for each bucket, which the key decides (by_owner: the owner), when FLUSH of them have come.
 
-    def __init__(self, n_buckets: int):
-        self.n, self.parts, self.size = n_buckets, [], 0
+    keys or extra may be None throughout, if what is packed has none.
+    """
 
-    def add(self, keys, owners, extra):
+    def __init__(self, n_buckets: int, by_owner: bool = False):
+        self.n, self.by_owner, self.parts, self.size = n_buckets, by_owner, [], 0
+
+    def add(self, keys, owners, extra=None):
         self.parts.append((keys, owners, extra))
-        self.size += len(keys)
+        self.size += len(owners)
 
     def full(self) -> bool:
         return self.size >= FLUSH
@@ -42,18 +45,14 @@ class Packer:
         """A list of packed rows; empties the packer."""
         if not self.size:
             return []
-        keys, owners, extra = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        keys, owners, extra = (None if x[0] is None else np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        bucket = (mix(keys ^ _SALT) % U64(self.n)).astype(np.int32)
+        bucket = (mix((owners.astype(U64) if self.by_owner else keys) ^ _SALT) % U64(self.n)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        keys, owners, extra, bucket = keys[order], owners[order], extra[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(self.n + 1))
-        out = []
-        for b in range(self.n):
-            i, j = cut[b], cut[b + 1]
-            if j > i:
-                out.append((b, int(j - i), keys[i:j].tobytes(), owners[i:j].tobytes(), extra[i:j].tobytes()))
-        return out
+        keys, owners, extra = (None if x is None else x[order] for x in (keys, owners, extra))
+        cut = np.searchsorted(bucket[order], np.arange(self.n + 1))
+        bytes_of = lambda x, i, j: b"" if x is None else x[i:j].tobytes()
+        return [(b, int(j - i), bytes_of(keys, i, j), bytes_of(owners, i, j), bytes_of(extra, i, j)) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
 
 
 def packed_batch(rows):
@@ -97,10 +96,10 @@ def by_owner(owners, values):
 
 
 def lists(column, dtype=np.uint64):
-    """Values and their rows of a column of lists of binaries; null is an empty list."""
+    """Values and their rows of a column of binaries; null has none."""
     values, rows = [], []
-    for r, some in enumerate(column.to_pylist()):
-        for x in some or ():
+    for r, x in enumerate(column.to_pylist()):
+        if x:
             v = np.frombuffer(x, dtype)
             values.append(v)
             rows.append(np.full(len(v), r))
@@ -124,3 +123,13 @@ def inverse_powers_of(n: int):
         p[0] = 1
         _inverse = np.multiply.accumulate(p)
     return _inverse[:n]
+
+
+def told(packed: DataFrame, n_buckets: int, extra=None) -> DataFrame:
+    """(uid, hits): what rows packed by owner have for each owner, the keys or, with its type, the extra; one row an owner."""
+
+    def group(batches):
+        keys, owners, extras = unpack(batches, extra=extra or np.int32)
+        yield from by_owner(owners, extras if extra else keys)
+
+    return meet(packed, n_buckets).mapInArrow(group, "uid long, hits binary")

@@ -116,8 +116,9 @@ def anchors(batches, n_buckets: int, window: int, rounds: str):
     yield X.packed_batch(pack.rows())
 
 
-def repeated_anchors(batches):
-    """(uid, names): the document's anchors that occur twice or more in the corpus."""
+def repeated_anchors(batches, n_buckets: int):
+    """Packed by document: its anchors that occur twice or more in the corpus."""
+    pack = X.Packer(n_buckets, by_owner=True)
     keys, owners, twice = X.unpack(batches)
     if len(keys):
         order = np.argsort(keys, kind="stable")
@@ -126,7 +127,8 @@ def repeated_anchors(batches):
         group = np.cumsum(first) - 1
         many = (np.bincount(group) + np.bincount(group, weights=twice)) >= 2
         ok = many[group]
-        yield from X.by_owner(owners[ok], keys[ok])
+        pack.add(keys[ok], owners[ok])
+    yield X.packed_batch(pack.rows())
 
 
 def repeat_candidates(batches, n_buckets: int, window: int, rounds: str):
@@ -148,15 +150,17 @@ def repeat_candidates(batches, n_buckets: int, window: int, rounds: str):
     yield X.packed_batch(pack.rows())
 
 
-def repeated_windows(batches):
-    """(uid, positions): where windows start whose word sequence starts elsewhere too."""
+def repeated_windows(batches, n_buckets: int):
+    """Packed by document: where windows start whose word sequence starts elsewhere too."""
+    pack = X.Packer(n_buckets, by_owner=True)
     keys, owners, places = X.unpack(batches)
     if len(keys):
         order = np.argsort(keys, kind="stable")
         keys, owners, places = keys[order], owners[order], places[order]
         differs = keys[1:] != keys[:-1]
         ok = ~(np.concatenate(([True], differs)) & np.concatenate((differs, [True])))
-        yield from X.by_owner(owners[ok], places[ok])
+        pack.add(None, owners[ok], places[ok])
+    yield X.packed_batch(pack.rows())
 
 
 def _strip(batches, window: int):
@@ -187,9 +191,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, keep: list[str], window
     n = X.buckets(spark)
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
     named = X.meet(base.mapInArrow(lambda it: anchors(it, n, window, rounds), X.PACKED), n)
-    hits = named.mapInArrow(repeated_anchors, "uid long, hits binary").groupBy("uid").agg(F.collect_list("hits").alias("hits"))
+    hits = X.told(named.mapInArrow(lambda it: repeated_anchors(it, n), X.PACKED), n)
     cand = X.meet(base.join(hits, "uid").select("uid", "kept_columns", "text", "hits").mapInArrow(lambda it: repeat_candidates(it, n, window, rounds), X.PACKED), n)
-    places = cand.mapInArrow(repeated_windows, "uid long, hits binary").groupBy("uid").agg(F.collect_list("hits").alias("hits"))
+    places = X.told(cand.mapInArrow(lambda it: repeated_windows(it, n), X.PACKED), n, np.int32)
     last = "kept_sha256 string" if digest else "kept_text string"
     columns = base.schema["kept_columns"].dataType
 
