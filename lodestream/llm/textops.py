@@ -113,8 +113,19 @@ class Words:
         begin = np.concatenate(([0], np.cumsum(size)[:-1]))
         rel = np.arange(len(at)) - np.repeat(begin, size)
         terms = _LETTERS[d[at]] * powers(int(size.max()))[rel]
+        self._terms, self._begin = terms, begin
         return mix(np.add.reduceat(terms, begin) + size.astype(U64) * _K1)
 
+    def prefix(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of k bytes or more and hashes of their first k bytes, which differ from the hashes of words."""
+        if not len(self):
+            return np.zeros(0, np.int64), np.zeros(0, U64)
+        if not hasattr(self, "_sums"):
+            self._sums = np.concatenate((np.zeros(1, U64), np.cumsum(self._terms)))
+        at = np.flatnonzero(self.ends - self.starts >= k)
+        b = self._begin[at]
+        return at, mix(self._sums[b + k] - self._sums[b] + U64(k * int(_K3) % (1 << 64)))
+
     def __len__(self):
         return len(self.starts)
 

@@ -1,9 +1,12 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens score their log-odds between toxic and clean training documents under an
-informative Dirichlet prior (the pooled distribution, ``PRIOR`` documents strong).
-Tokens whose log-odds is ``Z`` standard errors above 0 are evidence; all others
-share one small negative score, the log-odds of "no evidence".  One linear scan
+Tokens (words, and beginnings of words of ``PREFIXES`` bytes for languages that
+compound) score their log-odds between toxic and clean training documents under an
+informative Dirichlet prior (the pooled distribution, ``PRIOR`` documents strong,
+and half a document).  Tokens that lie in toxic documents more often than chance
+allows (a likelihood ratio G2 of ``G2`` or more) are evidence; a word scores as
+itself or else by its longest evident beginning.  All others share one small
+negative score.  One linear scan
 (Ruzzo-Tompa) finds all maximal segments of a text.  As scores are log-odds, the
 Karlin-Altschul scale is 1 and a segment's normalised score is S - ln(K n); a
 segment is a toxic passage if its expected number of chance occurrences is below
@@ -28,26 +31,34 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .folds import chance, fold
 from .textops import LOWER, NOT_ALNUM, U64, Words, row_key, slices
 
-FIT_DOCS, PRIOR, Z, K, E_VALUE = 6000, 4.0, 3.0, 0.1, 0.01
+FIT_DOCS, PRIOR, G2, K, E_VALUE = 6000, 4.0, 24.0, 0.1, 0.01
+PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 
 
 def token_documents(batches):
-    """(token, toxic, n): documents of the task with the token."""
+    """(token, toxic, n): documents of a slice with the token."""
     for rows, data, off in slices(batches):
         w = Words(data, off, NOT_ALNUM, LOWER)
         toxic = rows.column("toxic").to_numpy().astype(np.int64)
-        _, one = np.unique(row_key(w.row, w.hash), return_index=True)
-        token, label = w.hash[one], toxic[w.row[one]]
-        for y in (0, 1):
-            t, n = np.unique(token[label == y], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(np.full(len(t), y, np.int32)), pa.array(n)], names=["token", "toxic", "n"])
+        for at, token in [(slice(None), w.hash), *(w.prefix(k) for k in PREFIXES)]:
+            row = w.row[at]
+            _, one = np.unique(row_key(row, token), return_index=True)
+            mine, label = token[one], toxic[row[one]]
+            for y in (0, 1):
+                t, n = np.unique(mine[label == y], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(np.full(len(t), y, np.int32)), pa.array(n)], names=["token", "toxic", "n"])
 
 
 def log_odds(n1, n0, total1, total0, prior=PRIOR):
-    """Log-odds and their standard errors under a Dirichlet prior of the pooled shares."""
-    alpha = prior * (n1 + n0) / max(total1 + total0, 1)
-    a, b = n1 + alpha, n0 + alpha
-    return np.log(a / (total1 + prior)) - np.log(b / (total0 + prior)), np.sqrt(1 / a + 1 / b)
+    """Log-odds under a Dirichlet prior of the pooled shares."""
+    alpha = 0.5 + prior * (n1 + n0) / max(total1 + total0, 1)
+    return np.log((n1 + alpha) / (total1 + prior)) - np.log((n0 + alpha) / (total0 + prior))
+
+
+def likelihood_ratio(n1, n0, total1, total0):
+    """G2 of n1 and n0 against the classes' shares."""
+    n, p = n1 + n0, total1 / (total1 + total0)
+    return 2 * (n1 * np.log(np.maximum(n1, 1) / (n * p)) + n0 * np.log(np.maximum(n0, 1) / (n * (1 - p))))
 
 
 def segments(at: np.ndarray, gain: np.ndarray, rest: float):
@@ -80,13 +91,17 @@ def statistics(data, off, model):
     tokens, gains = model["tokens"], model["gains"]
     if not len(tokens) or not len(w):
         return total, passages
-    place = np.minimum(np.searchsorted(tokens, w.hash), len(tokens) - 1)
-    hit = np.flatnonzero(tokens[place] == w.hash)
+    gain = np.full(len(w), np.nan)
+    for at, token in [*(w.prefix(k) for k in PREFIXES), (np.arange(len(w)), w.hash)]:
+        place = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
+        known = tokens[place] == token
+        gain[at[known]] = gains[place[known]]
+    hit = np.flatnonzero(~np.isnan(gain))
     cut = np.searchsorted(w.row[hit], np.arange(rows + 1))
     for r in np.flatnonzero(cut[1:] > cut[:-1]):
         h = hit[cut[r] : cut[r + 1]]
         n = w.counts[r]
-        for i, j, s in segments(h, gains[place[h]], model["rest"]):
+        for i, j, s in segments(h, gain[h], model["rest"]):
             normal = s - np.log(K * n + 1)
             if np.exp(-normal) < E_VALUE:
                 total[r] += normal
@@ -127,16 +142,14 @@ def fit(labelled: DataFrame, n_docs: int = FIT_DOCS) -> dict:
     if not t1 or not t0:
         return model
     tokens = sample.mapInArrow(token_documents, "token long, toxic int, n long").groupBy("token").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (1, 0)])
-    likely = (F.col("n1") >= 3) & (F.col("n1") * t0 > F.col("n0") * t1 * 3)  # others can't be Z standard errors above 0 with a use for it
+    likely = (F.col("n1") >= 3) & (F.col("n1") * t0 > F.col("n0") * t1 * 3)
     found = np.array([(r["token"], r["n1"], r["n0"]) for r in tokens.filter(likely).collect()], dtype=np.int64).reshape(-1, 3)
-    delta, error = log_odds(found[:, 1], found[:, 2], t1, t0)
-    ok = delta > Z * error
+    delta = log_odds(found[:, 1], found[:, 2], t1, t0)
+    ok = likelihood_ratio(found[:, 1], found[:, 2], t1, t0) >= G2
     found, delta = found[ok], delta[ok]
     order = np.argsort(found[:, 0].view(U64))
     model["tokens"], model["gains"] = found[order, 0].view(U64), delta[order]
-    words = max(50.0, 1.0)
-    p1, p0 = found[:, 1].sum() / t1 / words, found[:, 2].sum() / t0 / words
-    model["rest"] = float(min(-1e-4, np.log(max(1e-3, 1 - p1)) - np.log(max(1e-3, 1 - p0)))) * 0.1
+    model["rest"] = -float(min(0.05, max(1e-3, found[:, 1].sum() / t1 / 1000)))
 
     def measured(batches):
         for r, data, off in slices(batches):
