@@ -11,12 +11,13 @@ blocks they held: Spark recomputes them from the deterministic map side.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .textops import U64, mix, powers, row_key
 
-__all__ = ["PACKED", "Packer", "buckets", "by_owner", "inverse_powers_of", "lists", "meet", "packed_batch", "powers_of", "row_key", "told", "unpack"]
-PACKED = "bucket int, n long, keys binary, owners binary, extra binary"
+__all__ = ["PACKED", "Laters", "Packer", "Repeats", "buckets", "by_owner", "inverse_powers_of", "lists", "meet", "packed_batch", "powers_of", "row_key", "told", "unpack"]
+PACKED = "bucket int, told boolean, n long, keys binary, owners binary, extra binary"
 FLUSH = 1_500_000
 _SALT = U64(0xA24BAED4963EE407)
 
@@ -52,19 +53,131 @@ class Packer:
         keys, owners, extra = (None if x is None else x[order] for x in (keys, owners, extra))
         cut = np.searchsorted(bucket[order], np.arange(self.n + 1))
         bytes_of = lambda x, i, j: b"" if x is None else x[i:j].tobytes()
-        return [(b, int(j - i), bytes_of(keys, i, j), bytes_of(owners, i, j), bytes_of(extra, i, j)) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+        return [(b, self.by_owner, int(j - i), bytes_of(keys, i, j), bytes_of(owners, i, j), bytes_of(extra, i, j)) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
 
 
 def packed_batch(rows):
     import pyarrow as pa
 
-    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
     return pa.RecordBatch.from_arrays(
-        [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])],
-        names=["bucket", "n", "keys", "owners", "extra"],
+        [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[3:])],
+        names=["bucket", "told", "n", "keys", "owners", "extra"],
     )
 
 
+def _groups(keys, *by):
+    """An order by key (and, inside a key, by the last of by first), first flags and group numbers in it."""
+    order = np.lexsort((*by, keys)) if by else np.argsort(keys, kind="stable")
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[order][1:] != keys[order][:-1]
+    return order, first, np.cumsum(first) - 1
+
+
+class Repeats:
+    """Keys that occur twice or more, told to the owners of their occurrences (the key, or the extra where ``payload`` says so).
+
+    What one flush of a task already shows to be repeated is told from there, and
+    one occurrence goes on for the rest of the corpus: a key that a third of all
+    documents have reaches its bucket once for each flush, not for each document.
+    """
+
+    def __init__(self, n_buckets: int, payload: str = "key"):
+        self.by_key, self.by_owner, self.payload, self.parts, self.size = Packer(n_buckets), Packer(n_buckets, by_owner=True), payload, [], 0
+
+    def add(self, keys, owners, extra=None, twice=None):
+        """twice: 1 where the key occurs more than once for this owner."""
+        self.parts.append((keys, owners, extra, np.zeros(len(keys), np.int64) if twice is None else twice))
+        self.size += len(keys)
+
+    def full(self) -> bool:
+        return self.size >= FLUSH
+
+    def _tell(self, keys, owners, extra):
+        self.by_owner.add(*((keys, owners, None) if self.payload == "key" else (None, owners, extra)))
+
+    def rows(self):
+        if not self.size:
+            return []
+        keys, owners, extra, twice = (None if x[0] is None else np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order, first, group = _groups(keys)
+        keys, owners, twice = keys[order], owners[order], twice[order]
+        extra = None if extra is None else extra[order]
+        many = (np.bincount(group) + np.bincount(group, weights=twice)) >= 2
+        here = many[group] & ~first
+        self._tell(keys[here], owners[here], None if extra is None else extra[here])
+        self.by_key.add(keys[first], owners[first] * 2 + many, None if extra is None else extra[first])
+        return self.by_key.rows() + self.by_owner.rows()
+
+    @staticmethod
+    def answer(batches, n_buckets: int, payload: str = "key"):
+        """In a bucket: packed by owner, what the bucket's keys and the tasks have to tell."""
+        own = []
+        for b in batches:
+            told_rows = b.filter(b.column("told"))
+            if told_rows.num_rows:
+                yield told_rows
+            own.append(b.filter(pc.invert(b.column("told"))))
+        keys, owners, extra = unpack(own)
+        if len(keys):
+            order, _, group = _groups(keys)
+            keys, owners = keys[order], owners[order]
+            many = (np.bincount(group) + np.bincount(group, weights=owners & 1)) >= 2
+            ok = many[group]
+            pack = Packer(n_buckets, by_owner=True)
+            pack.add(*((keys[ok], owners[ok] >> 1) if payload == "key" else (None, owners[ok] >> 1, extra[order][ok])))
+            yield packed_batch(pack.rows())
+
+
+PLACE = np.dtype([("order", "<i8"), ("place", "<i4")])
+
+
+class Laters:
+    """Occurrences of a key after its first in the order (order, owner, place), told to their owners as places.
+
+    A flush tells all but its own first occurrence, which goes on to the bucket.
+    """
+
+    def __init__(self, n_buckets: int):
+        self.by_key, self.by_owner, self.parts, self.size = Packer(n_buckets), Packer(n_buckets, by_owner=True), [], 0
+
+    def add(self, keys, owners, order, place):
+        at = np.empty(len(keys), PLACE)
+        at["order"], at["place"] = order, place
+        self.parts.append((keys, owners, at))
+        self.size += len(keys)
+
+    def full(self) -> bool:
+        return self.size >= FLUSH
+
+    def rows(self):
+        if not self.size:
+            return []
+        keys, owners, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order, first, _ = _groups(keys, at["place"], owners, at["order"])
+        keys, owners, at = keys[order], owners[order], at[order]
+        self.by_owner.add(None, owners[~first], np.ascontiguousarray(at["place"][~first]))
+        self.by_key.add(keys[first], owners[first], at[first])
+        return self.by_key.rows() + self.by_owner.rows()
+
+    @staticmethod
+    def answer(batches, n_buckets: int):
+        own = []
+        for b in batches:
+            told_rows = b.filter(b.column("told"))
+            if told_rows.num_rows:
+                yield told_rows
+            own.append(b.filter(pc.invert(b.column("told"))))
+        keys, owners, at = unpack(own, extra=PLACE)
+        if len(keys):
+            order, first, _ = _groups(keys, at["place"], owners, at["order"])
+            pack = Packer(n_buckets, by_owner=True)
+            pack.add(None, owners[order][~first], np.ascontiguousarray(at["place"][order][~first]))
+            yield packed_batch(pack.rows())
+
+
 def meet(packed: DataFrame, n_buckets: int) -> DataFrame:
     """Deals packed rows out by bucket."""
     return packed.repartitionById(n_buckets, F.col("bucket"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP3_SQL, op3_ahocorasick_decontamination
 from .language_id import op1_centroid_language
+from .line_dedup import OP5_SQL, op5_winnowing_lines
 from .quality import op8_divergence_quality
 from .resharding import op7_flow_resharding
 from .substring_dedup import op10_recompression_dedup
@@ -13,10 +14,12 @@ QUERIES = {
     "op1_centroid_language": op1_centroid_language,
     "op2_segment_toxicity": op2_segment_toxicity,
     "op3_ahocorasick_decontamination": op3_ahocorasick_decontamination,
+    "op5_winnowing_lines": op5_winnowing_lines,
     "op7_flow_resharding": op7_flow_resharding,
     "op8_divergence_quality": op8_divergence_quality,
     "op10_recompression_dedup": op10_recompression_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_ahocorasick_decontamination": OP3_SQL,
+    "op5_winnowing_lines": OP5_SQL,
 }

@@ -16,9 +16,9 @@ that still has one is the window's anchor, a function of the window's content.
 3. Words covered by a repeated window are removed.
 
 Nothing is sampled or capped.  A bucket of the exchange holds 64-bit keys only;
-one task first merges what it has itself, so a passage shared by a third of all
-rows reaches a bucket as one row for each task (plus one for each document that
-has to be told, spread by document).
+a task first merges what it has itself, so a passage shared by a third of all
+rows reaches its bucket once for each flush of a task, and what documents have to
+be told is spread by document.
 
 Null or empty text: no words, nothing removed, the hash of the empty string.
 Rows are identified by their place in the input, so repeated rows and repeated
@@ -96,8 +96,8 @@ def _sequence_hash(names: np.ndarray, start: np.ndarray, window: int) -> np.ndar
 
 
 def anchors(batches, n_buckets: int, window: int, rounds: str):
-    """Packed (anchor name, document); one row for each place of an anchor, no more than two for a name and document."""
-    pack = X.Packer(n_buckets)
+    """Packed (anchor name, document), and whether the document has the anchor at two places."""
+    pack = X.Repeats(n_buckets)
     for rows, data, off in slices(batches):
         w, start, name, place = _windows(data, off, window, rounds)
         if not len(start):
@@ -110,30 +110,15 @@ def anchors(batches, n_buckets: int, window: int, rounds: str):
         same = np.zeros(len(name), bool)
         same[1:] = (name[1:] == name[:-1]) & (row[1:] == row[:-1])
         twice = np.append(same[1:], False)  # its own repeat makes it known here
-        pack.add(name[~same], uid[row[~same]], twice[~same].astype(np.int32))
+        pack.add(name[~same], uid[row[~same]], None, twice[~same].astype(np.int64))
         if pack.full():
             yield X.packed_batch(pack.rows())
     yield X.packed_batch(pack.rows())
 
 
-def repeated_anchors(batches, n_buckets: int):
-    """Packed by document: its anchors that occur twice or more in the corpus."""
-    pack = X.Packer(n_buckets, by_owner=True)
-    keys, owners, twice = X.unpack(batches)
-    if len(keys):
-        order = np.argsort(keys, kind="stable")
-        keys, owners, twice = keys[order], owners[order], twice[order]
-        first = np.concatenate(([True], keys[1:] != keys[:-1]))
-        group = np.cumsum(first) - 1
-        many = (np.bincount(group) + np.bincount(group, weights=twice)) >= 2
-        ok = many[group]
-        pack.add(keys[ok], owners[ok])
-    yield X.packed_batch(pack.rows())
-
-
 def repeat_candidates(batches, n_buckets: int, window: int, rounds: str):
     """Packed (window hash, document, word) of the windows whose anchor is among the document's repeated names."""
-    pack = X.Packer(n_buckets)
+    pack = X.Repeats(n_buckets, "extra")
     for rows, data, off in slices(batches):
         w, start, name, _ = _windows(data, off, window, rounds)
         if not len(start):
@@ -150,19 +135,6 @@ def repeat_candidates(batches, n_buckets: int, window: int, rounds: str):
     yield X.packed_batch(pack.rows())
 
 
-def repeated_windows(batches, n_buckets: int):
-    """Packed by document: where windows start whose word sequence starts elsewhere too."""
-    pack = X.Packer(n_buckets, by_owner=True)
-    keys, owners, places = X.unpack(batches)
-    if len(keys):
-        order = np.argsort(keys, kind="stable")
-        keys, owners, places = keys[order], owners[order], places[order]
-        differs = keys[1:] != keys[:-1]
-        ok = ~(np.concatenate(([True], differs)) & np.concatenate((differs, [True])))
-        pack.add(None, owners[ok], places[ok])
-    yield X.packed_batch(pack.rows())
-
-
 def _strip(batches, window: int):
     for rows, data, off in slices(batches):
         w = Words(data, off, hashed=False)
@@ -191,9 +163,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, keep: list[str], window
     n = X.buckets(spark)
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
     named = X.meet(base.mapInArrow(lambda it: anchors(it, n, window, rounds), X.PACKED), n)
-    hits = X.told(named.mapInArrow(lambda it: repeated_anchors(it, n), X.PACKED), n)
+    hits = X.told(named.mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
     cand = X.meet(base.join(hits, "uid").select("uid", "kept_columns", "text", "hits").mapInArrow(lambda it: repeat_candidates(it, n, window, rounds), X.PACKED), n)
-    places = X.told(cand.mapInArrow(lambda it: repeated_windows(it, n), X.PACKED), n, np.int32)
+    places = X.told(cand.mapInArrow(lambda it: X.Repeats.answer(it, n, "extra"), X.PACKED), n, np.int32)
     last = "kept_sha256 string" if digest else "kept_text string"
     columns = base.schema["kept_columns"].dataType
 
