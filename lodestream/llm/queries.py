@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP3_SQL, op3_ahocorasick_decontamination
 from .language_id import op1_centroid_language
 from .line_dedup import OP5_SQL, op5_winnowing_lines
+from .lm_scoring import op9_lattice_lm
 from .quality import op8_divergence_quality
 from .resharding import op7_flow_resharding
 from .substring_dedup import op10_recompression_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_winnowing_lines": op5_winnowing_lines,
     "op7_flow_resharding": op7_flow_resharding,
     "op8_divergence_quality": op8_divergence_quality,
+    "op9_lattice_lm": op9_lattice_lm,
     "op10_recompression_dedup": op10_recompression_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
