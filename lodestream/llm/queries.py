@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .decontamination import OP3_SQL, op3_ahocorasick_decontamination
+from .jaccard_join import op4_multiorder_jaccard
 from .language_id import op1_centroid_language
 from .line_dedup import OP5_SQL, op5_winnowing_lines
 from .lm_scoring import op9_lattice_lm
+from .packing import op6_bucket_packing
 from .quality import op8_divergence_quality
 from .resharding import op7_flow_resharding
 from .substring_dedup import op10_recompression_dedup
@@ -15,7 +17,9 @@ QUERIES = {
     "op1_centroid_language": op1_centroid_language,
     "op2_segment_toxicity": op2_segment_toxicity,
     "op3_ahocorasick_decontamination": op3_ahocorasick_decontamination,
+    "op4_multiorder_jaccard": op4_multiorder_jaccard,
     "op5_winnowing_lines": op5_winnowing_lines,
+    "op6_bucket_packing": op6_bucket_packing,
     "op7_flow_resharding": op7_flow_resharding,
     "op8_divergence_quality": op8_divergence_quality,
     "op9_lattice_lm": op9_lattice_lm,
