@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .folds import chance, fold
+from .storage import table
 from .textops import LOWER, NOT_ALNUM, U64, Words, row_key, slices
 
 FIT_DOCS, PRIOR, G2, K, E_VALUE = 6000, 4.0, 24.0, 0.1, 0.01
@@ -128,15 +129,16 @@ def probability(y: np.ndarray, model: dict) -> np.ndarray:
     return np.interp(np.clip(y, 0, 200), grid, p)
 
 
-def fit(labelled: DataFrame, n_docs: int = FIT_DOCS) -> dict:
-    """Model from labelled (doc_id, text, toxic)."""
-    rows = labelled.filter("text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, n_docs: int = FIT_DOCS) -> dict:
+    """Model from docs (doc_id, text) with labels (doc_id, toxic)."""
+    labels = labels.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     model = {"tokens": np.zeros(0, U64), "gains": np.zeros(0), "rest": -1e-6, "share": 1e-9, "clean": (0.0, 1.0), "toxic": (20.0, 5.0)}
     if len(counts) < 2:
         return model
     share = F.when(F.col("toxic") == 1, min(1.0, n_docs / counts[1])).otherwise(min(1.0, n_docs / counts[0]))
-    sample = rows.filter(chance("doc_id", "toxicity") < share)
+    chosen = F.broadcast(labels.filter(chance("doc_id", "toxicity") < share))  # 2 * n_docs ids
+    sample = table(docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic"))
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     t1, t0 = size.get(1, 0), size.get(0, 0)
     if not t1 or not t0:
@@ -179,4 +181,4 @@ def op2_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted, passages of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", fold("doc_id", 5) == 0)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold("doc_id", 5) != 0).select("doc_id", "toxic")
-    return score(docs, fit(docs.filter(~F.col("held_out")).join(labels, "doc_id")), ["doc_id", "held_out"])
+    return score(docs, fit(docs.filter(~F.col("held_out")), labels), ["doc_id", "held_out"])
