@@ -2,6 +2,30 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "theme_volume_daily"
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "theme_ranking"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of (spark, sf_dir), and the SQL that has the same result."""
+
+    def add(f):
+        key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"two queries are named {key}")
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+for _module in ("theme_queries",):
+    import_module(f"lodestream.plans.{_module}")
