@@ -2,17 +2,20 @@
 
 A document is the set of its ``k``-word shingles.  Sets A and B with
 100 |A n B| >= percent |A u B| share a token of their prefixes (n - ceil(percent n / 100) + 1
-tokens) under every total order of all tokens.  Two orders are used: both put
-tokens of rarer sketch classes first, and break ties by different hashes.
+tokens) under every total order of all tokens.  Two orders are used, which break
+ties by different hashes.
 
 1. One pass sums a sketch of document frequencies over all documents (2^20
-   counters, a fixed size).  It only orders tokens: any order keeps the join exact.
-2. Prefix tokens meet by hash.  Instead of pairs, each token links its documents to
-   the least of them, one link a document, and a task first merges what it has.
-3. Components of these links are candidate classes under one order; linked
-   documents lie together under both, so the classes are intersected.
-4. Only documents of intersected classes with another member are read again.  Equal
-   sets are represented by one.  Classes of up to ``BLOCK`` sets are verified as a
+   counters, a fixed size), and set sizes.
+2. A fixed quarter of all tokens, by hash, comes first in every order; among them
+   those that only one document has (found by an exact exchange) are foremost.  A
+   document whose prefix holds nothing else has no link and is done.
+3. The other documents' prefix tokens meet by hash.  Instead of pairs, each token
+   links its documents, sorted by size, in chains of compatible sizes, one link a
+   document; a task first merges what it has.  Components of these links are
+   candidate classes under one order; linked documents lie together under both, so
+   the classes are intersected.
+4. Equal sets are represented by one.  Classes of up to ``BLOCK`` sets are verified as a
    whole by one sparse product; larger ones first against one block, and then what
    is not yet in the class's largest component against all blocks, so that the
    work grows with what is still undecided, and no task gets more than two blocks.
@@ -35,7 +38,7 @@ from .storage import table
 from .textops import LOWER, SPACE, U64, Words, mix, row_key, shingles, slices
 
 K, PERCENT = 3, 90
-SKETCH_BITS, PARTS, BLOCK = 20, 64, 128
+SKETCH_BITS, PARTS, BLOCK, FOREMOST = 20, 64, 128, 4
 ORDERS = (0x1F123BB5, 0x5A17E9C3)
 
 
@@ -77,6 +80,7 @@ def measure(batches, k: int):
             uids, sizes = [uids[0]], [sizes[0]]
     out = [{"uids": np.concatenate(uids).tobytes(), "sizes": np.concatenate(sizes).tobytes()}]
     width = len(sketch) // PARTS
+    sketch = np.minimum(sketch, 65535).astype(np.uint16)
     out += [{"part": p, "sketch": sketch[p * width : (p + 1) * width].tobytes()} for p in range(PARTS)]
     yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in schema.names} for r in out], schema=schema)
 
@@ -85,7 +89,7 @@ def _add_sketches(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for p, x in zip(b.column("part").to_pylist(), b.column("sketch").to_pylist(), strict=True):
-            v = np.frombuffer(x, np.int32).astype(np.int64)
+            v = np.frombuffer(x, np.uint16).astype(np.int64)
             total[p] = total[p] + v if p in total else v
     for p, v in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["part", "sketch"])
@@ -102,60 +106,107 @@ def rarity_classes(measured: DataFrame) -> np.ndarray:
     return np.minimum(15, np.log2(1 + sketch / (mean + 4 * np.sqrt(mean) + 1)).astype(np.uint8))
 
 
-class Stars:
-    """Links of each key's owners to the least of them; a task sends one owner of a key on."""
+class Chains:
+    """Links of each key's owners whose sizes chain up compatibly, to the least owner of the chain; a task sends one owner of a key and size on."""
 
-    def __init__(self, n_buckets: int):
-        self.by_key, self.parts, self.size, self.links = X.Packer(n_buckets), [], 0, []
+    def __init__(self, n_buckets: int, percent: int):
+        self.by_key, self.percent, self.parts, self.size = X.Packer(n_buckets), percent, [], 0
 
-    def add(self, keys, owners):
-        self.parts.append((keys, owners))
+    def add(self, keys, owners, sizes):
+        self.parts.append((keys, owners, sizes))
         self.size += len(keys)
 
     @staticmethod
-    def star(keys, owners):
-        """Links (a, b), b the least owner of the key, and the keys with it."""
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
+    def links(keys, owners, sizes, percent: int):
+        """Links (a, b), and what the order by key, size, owner is."""
+        order = np.lexsort((owners, sizes, keys))
+        keys, owners, sizes = keys[order], owners[order], sizes[order].astype(np.int64)
         first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        least = owners[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else owners
+        first[1:] = (keys[1:] != keys[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])
+        at = np.flatnonzero(first)
+        least = np.minimum.reduceat(owners, at)[np.cumsum(first) - 1] if len(keys) else owners
         other = owners != least
-        links = np.unique(np.stack([owners[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-        return links, keys[first], owners[first]
+        found = np.unique(np.stack([owners[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+        return found, order
 
     def rows(self):
         if not self.size:
             return []
-        links, keys, owners = self.star(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        keys, owners, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        self.by_key.add(keys, owners)
-        told = [(i % self.by_key.n, True, len(some), b"", some[:, 0].tobytes(), some[:, 1].tobytes()) for i, some in enumerate(links[at : at + 50_000] for at in range(0, len(links), 50_000))]
+        found, order = self.links(keys, owners, sizes, self.percent)
+        keys, owners, sizes = keys[order], owners[order], sizes[order]
+        on = np.ones(len(keys), bool)
+        on[1:] = (keys[1:] != keys[:-1]) | (sizes[1:] != sizes[:-1])
+        self.by_key.add(keys[on], owners[on], sizes[on].astype(np.int32))
+        told = [(i % self.by_key.n, True, len(some), b"", some[:, 0].tobytes(), some[:, 1].tobytes()) for i, some in enumerate(found[at : at + 50_000] for at in range(0, len(found), 50_000))]
         return self.by_key.rows() + told
 
 
-def prefixes(batches, classes, n_buckets: int, k: int, percent: int):
-    """Packed (prefix token, 2 * document + order), for both orders."""
-    pack = Stars(n_buckets)
+def _foremost(value):
+    return mix(value + U64(77)) % U64(FOREMOST) == 0
+
+
+def foremost_tokens(batches, n_buckets: int, k: int):
+    """Packed (token, document) of the quarter of tokens that comes first."""
+    pack = X.Repeats(n_buckets)
+    for rows, data, off in slices(batches):
+        row, value, _ = shingle_sets(data, off, k)
+        ok = _foremost(value)
+        pack.add(value[ok], rows.column("uid").to_numpy()[row[ok]])
+        if pack.full():
+            yield X.packed_batch(pack.rows())
+    yield X.packed_batch(pack.rows())
+
+
+PREFIXED = f"{X.PACKED}, uid long, s1 long, s2 long, size long, tokens binary"
+
+
+def prefixed(batches, classes, n_buckets: int, k: int, percent: int):
+    """Packed (prefix token, 2 * document + order, size) for both orders, and the sets, of documents that may have a link."""
+    pack = Chains(n_buckets, percent)
+
+    def batch(packed, docs):
+        part = X.packed_batch(packed)
+        n, m = part.num_rows, len(docs[0])
+        joined = [pa.concat_arrays([part.column(c), pa.nulls(m, part.column(c).type)]) for c in range(6)]
+        joined += [pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)]) for x, t in zip(docs, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays(joined, names=[x.split()[0] for x in PREFIXED.split(", ")])
+
     for rows, data, off in slices(batches):
         row, value, n = shingle_sets(data, off, k)
         uid = rows.column("uid").to_numpy()
-        rare = classes.value[(value >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64)
+        repeated, of = X.lists(rows.column("hits"))
+        known = np.isin(X.row_key(row, value), X.row_key(of, repeated)) if len(repeated) else np.zeros(len(value), bool)
+        head = _foremost(value)
+        alone = head & ~known
         length = n - (-(-percent * n // 100)) + 1
-        first = np.cumsum(n) - n
-        head = (row.astype(U64) << U64(52)) | (rare << U64(48))
+        n_alone = np.bincount(row[alone], minlength=len(n))
+        open_ = (n > 0) & (n_alone < length)
+        take = open_[row]
+        row, value, alone, head = row[take], value[take], alone[take], head[take]
+        m = np.where(open_, n, 0)
+        first = np.cumsum(m) - m
+        rare = classes.value[(value >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64)
+        group = np.where(alone, 0, np.where(head, 1, 2)).astype(U64)
+        front = (row.astype(U64) << U64(52)) | (group << U64(50)) | (np.minimum(rare, U64(15)) << U64(46))
         for o, salt in enumerate(ORDERS):
             hashed = mix(value ^ U64(salt))
-            order = np.argsort(head | (hashed >> U64(16)))
-            of = row[order]  # rows stay in order: the row is the sort key's head
-            chosen = order[np.arange(len(of)) - first[of] < length[of]]
-            pack.add(mix(hashed[chosen] + U64(o)), uid[row[chosen]] * 2 + o)
-        if pack.size >= X.FLUSH:
-            yield X.packed_batch(pack.rows())
-    yield X.packed_batch(pack.rows())
-
-
-def links(batches):
+            order = np.argsort(front | (hashed >> U64(18)))
+            at = row[order]  # rows stay in order: the row is the sort key's front
+            chosen = order[np.arange(len(at)) - first[at] < length[at]]
+            chosen = chosen[~alone[chosen]]
+            pack.add(mix(hashed[chosen] + U64(o)), uid[row[chosen]] * 2 + o, n[row[chosen]])
+        some = np.flatnonzero(open_)
+        cut = np.concatenate(([0], np.cumsum(m)))
+        s1 = np.add.reduceat(np.append(mix(value), U64(0)), cut[:-1])[some] if len(some) else np.zeros(0, U64)
+        s2 = np.add.reduceat(np.append(mix(value ^ U64(ORDERS[0])), U64(0)), cut[:-1])[some] if len(some) else np.zeros(0, U64)
+        docs = uid[some], s1.view(np.int64), s2.view(np.int64), n[some], [np.sort(value[cut[r] : cut[r + 1]]).tobytes() for r in some]
+        yield batch(pack.rows() if pack.size >= X.FLUSH else [], docs)
+    yield batch(pack.rows(), ([], [], [], [], []))
+
+
+def linked(batches, percent: int):
     """Links (a, b) of a bucket's keys and those that tasks found."""
     own = []
     for b in batches:
@@ -163,25 +214,12 @@ def links(batches):
         for a, c in zip(told.column("owners").to_pylist(), told.column("extra").to_pylist(), strict=True):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["a", "b"])
         own.append(b.filter(X.pc.invert(b.column("told"))))
-    keys, owners, _ = X.unpack(own)
-    found = Stars.star(keys, owners)[0]
+    keys, owners, sizes = X.unpack(own)
+    found, _ = Chains.links(keys, owners, sizes, percent)
     for at in range(0, len(found), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[at : at + 100_000, c])) for c in (0, 1)], names=["a", "b"])
 
 
-def _sets(batches, k: int):
-    """(uid, class, s1, s2, n, tokens): the whole set, and 128 bits that stand for it."""
-    for rows, data, off in slices(batches):
-        _, value, n = shingle_sets(data, off, k)
-        cut = np.concatenate(([0], np.cumsum(n)))
-        s1 = np.add.reduceat(np.append(mix(value), U64(0)), cut[:-1]) * (n > 0)
-        s2 = np.add.reduceat(np.append(mix(value ^ U64(ORDERS[0])), U64(0)), cut[:-1]) * (n > 0)
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("uid"), rows.column("class"), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n, pa.int64()), pa.array([np.sort(value[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-            names=["uid", "class", "s1", "s2", "n", "tokens"],
-        )
-
-
 def verified(uids, sets, percent: int):
     """Links (a, b) that span the components of the given sets."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -245,8 +283,10 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
     measured = table(base.mapInArrow(lambda it: measure(it, k), MEASURED))
     classes = spark.sparkContext.broadcast(rarity_classes(measured))
 
-    packed = X.meet(base.mapInArrow(lambda it: prefixes(it, classes, n, k, percent), X.PACKED), n)
-    by_order = components(packed.mapInArrow(links, "a long, b long"))
+    known = X.told(X.meet(base.mapInArrow(lambda it: foremost_tokens(it, n, k), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
+    found = table(base.join(known, "uid", "left").mapInArrow(lambda it: prefixed(it, classes, n, k, percent), PREFIXED))
+    packed = X.meet(found.filter("bucket is not null").select("bucket", "told", "n", "keys", "owners", "extra"), n)
+    by_order = components(packed.mapInArrow(lambda it: linked(it, percent), "a long, b long"))
     members = by_order.union(by_order.select(F.col("b").alias("a"), "b").distinct())
     one = members.filter("a % 2 = 0").select(F.shiftright("a", 1).alias("uid"), F.col("b").alias("c0"))
     two = members.filter("a % 2 = 1").select(F.shiftright("a", 1).alias("uid"), F.col("b").alias("c1"))
@@ -254,16 +294,18 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
     more = classed.groupBy("class").count().filter("count > 1").select("class")
     cand = classed.join(more, "class")
 
-    sets = table(base.join(cand, "uid").select("uid", "class", "text").mapInArrow(lambda it: _sets(it, k), "uid long, class long, s1 long, s2 long, n long, tokens binary"))
-    equal = sets.groupBy("class", "s1", "s2", "n").agg(F.min("uid").alias("rep"))
-    same = sets.select("uid", "class", "s1", "s2", "n").join(equal, ["class", "s1", "s2", "n"]).filter("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
+    whole_sets = found.filter("uid is not null").select("uid", "s1", "s2", F.col("size").alias("n"), "tokens")
+    keyed = table(whole_sets.drop("tokens").join(cand, "uid"))
+    equal = keyed.groupBy("class", "s1", "s2", "n").agg(F.min("uid").alias("rep"))
+    same = keyed.join(equal, ["class", "s1", "s2", "n"]).filter("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
     blocks = equal.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"), F.count("*").alias("m")).filter("m > 1")
-    reps = sets.join(equal.select(F.col("rep").alias("uid")), "uid", "left_semi").join(blocks, "class").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
+    reps = table(equal.join(blocks, "class").select("class", F.col("rep").alias("uid"), "nb").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int")))
+    with_sets = lambda rows: rows.join(whole_sets.select("uid", "tokens"), "uid")
     against = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("block"))
-    first = verify(reps.select(F.col("class").alias("g1"), F.lit(0).alias("g2"), F.explode(against).alias("g3"), "uid", "tokens"), n, percent)
+    first = verify(with_sets(reps.select(F.col("class").alias("g1"), F.lit(0).alias("g2"), F.explode(against).alias("g3"), "uid")), n, percent)
     found = table(first.union(same))
 
-    if blocks.filter("nb > 1").limit(1).count():
+    if reps.filter("nb > 1").limit(1).count():
         large = reps.filter("nb > 1")
         so_far = components(found)
         placed = large.select("uid", "class").join(so_far.select(F.col("a").alias("uid"), F.col("b").alias("c")), "uid", "left").withColumn("c", F.coalesce("c", "uid"))
@@ -273,9 +315,9 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
         rest = table(rest)
         rest_blocks = rest.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("rb"))
         undecided = large.join(rest_blocks, "class")
-        old = undecided.select(F.col("class").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("g2"), F.col("block").alias("g3"), "uid", "tokens")
-        new = undecided.join(rest.select("uid"), "uid", "left_semi").select(F.col("class").alias("g1"), F.pmod(F.xxhash64("uid", F.lit(1)), F.col("rb")).cast("int").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("g3"), "uid", "tokens")
-        found = table(found.union(verify(old.union(new), n, percent)))
+        old = undecided.select(F.col("class").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("g2"), F.col("block").alias("g3"), "uid")
+        new = undecided.join(rest.select("uid"), "uid", "left_semi").select(F.col("class").alias("g1"), F.pmod(F.xxhash64("uid", F.lit(1)), F.col("rb")).cast("int").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("g3"), "uid")
+        found = table(found.union(verify(with_sets(old.union(new)), n, percent)))
 
     final = components(found)
 
