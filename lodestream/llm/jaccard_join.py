@@ -7,7 +7,7 @@ ties by different hashes.
 
 1. One pass sums a sketch of document frequencies over all documents (2^20
    counters, a fixed size), and set sizes.
-2. A fixed quarter of all tokens, by hash, comes first in every order; among them
+2. A fixed share of all tokens, by hash, comes first in every order; among them
    those that only one document has (found by an exact exchange) are foremost.  A
    document whose prefix holds nothing else has no link and is done.
 3. The other documents' prefix tokens meet by hash.  Instead of pairs, each token
@@ -38,7 +38,7 @@ from .storage import table
 from .textops import LOWER, SPACE, U64, Words, mix, row_key, shingles, slices
 
 K, PERCENT = 3, 90
-SKETCH_BITS, PARTS, BLOCK, FOREMOST = 20, 64, 128, 4
+SKETCH_BITS, PARTS, BLOCK = 20, 64, 128
 ORDERS = (0x1F123BB5, 0x5A17E9C3)
 
 
@@ -143,16 +143,17 @@ class Chains:
         return self.by_key.rows() + told
 
 
-def _foremost(value):
-    return mix(value + U64(77)) % U64(FOREMOST) == 0
+def _foremost(value, percent: int):
+    """The share of all tokens that comes first: 2.5 times the prefixes' share of a set, a fourth at 90 percent."""
+    return mix(value + U64(77)) % U64(max(1, 40 // (100 - percent) if percent < 100 else 40)) == 0
 
 
-def foremost_tokens(batches, n_buckets: int, k: int):
-    """Packed (token, document) of the quarter of tokens that comes first."""
+def foremost_tokens(batches, n_buckets: int, k: int, percent: int):
+    """Packed (token, document) of the tokens that come first."""
     pack = X.Repeats(n_buckets)
     for rows, data, off in slices(batches):
         row, value, _ = shingle_sets(data, off, k)
-        ok = _foremost(value)
+        ok = _foremost(value, percent)
         pack.add(value[ok], rows.column("uid").to_numpy()[row[ok]])
         if pack.full():
             yield X.packed_batch(pack.rows())
@@ -178,7 +179,7 @@ def prefixed(batches, classes, n_buckets: int, k: int, percent: int):
         uid = rows.column("uid").to_numpy()
         repeated, of = X.lists(rows.column("hits"))
         known = np.isin(X.row_key(row, value), X.row_key(of, repeated)) if len(repeated) else np.zeros(len(value), bool)
-        head = _foremost(value)
+        head = _foremost(value, percent)
         alone = head & ~known
         length = n - (-(-percent * n // 100)) + 1
         n_alone = np.bincount(row[alone], minlength=len(n))
@@ -283,7 +284,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
     measured = table(base.mapInArrow(lambda it: measure(it, k), MEASURED))
     classes = spark.sparkContext.broadcast(rarity_classes(measured))
 
-    known = X.told(X.meet(base.mapInArrow(lambda it: foremost_tokens(it, n, k), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
+    known = X.told(X.meet(base.mapInArrow(lambda it: foremost_tokens(it, n, k, percent), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
     found = table(base.join(known, "uid", "left").mapInArrow(lambda it: prefixed(it, classes, n, k, percent), PREFIXED))
     packed = X.meet(found.filter("bucket is not null").select("bucket", "told", "n", "keys", "owners", "extra"), n)
     by_order = components(packed.mapInArrow(lambda it: linked(it, percent), "a long, b long"))
