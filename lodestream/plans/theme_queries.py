@@ -116,10 +116,10 @@ _W = f"exp(-0.3 * greatest({_DAYS}, 0)) * (1 + 0.3 * coalesce(authority, 0)) * (
 m AS (SELECT theme_id, sum(CASE WHEN label = 'positive' THEN w ELSE 0 END) / sum(w) AS b, sum(CASE WHEN label = 'negative' THEN w ELSE 0 END) / sum(w) AS n, sum(CASE WHEN label = 'neutral' THEN w ELSE 0 END) / sum(w) AS u, sum(w * confidence) / sum(w) AS c, avg(authority) AS a, count(*) AS k FROM r GROUP BY 1),
 y AS (SELECT theme_id, date_diff('day', DATE '2000-01-01', day) AS x, avg(CASE WHEN label = 'positive' THEN 1.0 ELSE 0.0 END) AS y FROM r GROUP BY 1, 2),
 s AS (SELECT theme_id, CASE WHEN count(*) >= 2 THEN regr_slope(y, x) END AS v FROM y GROUP BY 1)
-SELECT theme_id, round(b, 4) AS bullish_ratio, round(n, 4) AS bearish_ratio, round(u, 4) AS neutral_ratio, round(c, 4) AS avg_confidence, round(a, 4) AS avg_authority, k AS document_count, round(v, 4) AS sentiment_velocity, CASE WHEN b >= 0.85 THEN 'extreme_bullish' WHEN b <= 0.15 THEN 'extreme_bearish' END AS extreme FROM m JOIN s USING (theme_id)""")
+SELECT theme_id, round(b, 4) AS bullish_ratio, round(n, 4) AS bearish_ratio, round(u, 4) AS neutral_ratio, round(c, 4) AS avg_confidence, round(a, 8) AS avg_authority, k AS document_count, round(v, 4) AS sentiment_velocity, CASE WHEN b >= 0.85 THEN 'extreme_bullish' WHEN b <= 0.15 THEN 'extreme_bearish' END AS extreme FROM m JOIN s USING (theme_id)""")
 def theme_sentiment(spark, d):
     out = E.theme_sentiment(signals(spark, d), F.lit(AT).cast("timestamp_ntz"))
-    return out.select("theme_id", *[F.round(c, 4).alias(c) for c in ("bullish_ratio", "bearish_ratio", "neutral_ratio", "avg_confidence", "avg_authority")], "document_count", F.round("sentiment_velocity", 4).alias("sentiment_velocity"), "extreme")
+    return out.select("theme_id", *[F.round(c, 4).alias(c) for c in ("bullish_ratio", "bearish_ratio", "neutral_ratio", "avg_confidence")], F.round("avg_authority", 8).alias("avg_authority"), "document_count", F.round("sentiment_velocity", 4).alias("sentiment_velocity"), "extreme")
 
 
 @query(f"""WITH {SIGNALS}, r AS (SELECT *, {_W} AS w FROM signals), s AS (SELECT theme_id, doc_id, CASE label WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0 ELSE 0.0 END * w / sum(w) OVER (PARTITION BY theme_id) AS share FROM r)
@@ -194,7 +194,7 @@ _CLAMP = "least(1.0, greatest(0.0, {}))"
 @query(f"""WITH {_COMPONENTS}, c AS (SELECT entity, {_CLAMP.format('0.5 * least(1.0, docs / greatest(span, 1.0) / 60.0) + 0.3 * 0.0 + 0.2 * least(1.0, docs / 50.0)')} AS attention,
  {_CLAMP.format('0.5 * least(1.0, platforms / 5.0) + 0.3 * least(1.0, platforms / 4.0) + 0.2 * greatest(0.0, 1.0 - span / 48.0)')} AS corroboration,
  {_CLAMP.format('0.4 * abs(sentiment) + 0.4 * coalesce(authority, 0) + 0.2 * high_share')} AS confirmation, {_CLAMP.format('0.5 * exp(-0.02 * greatest(quiet, 0)) + 0.5 * least(1.0, ln(1 + span) / ln(1 + 48.0))')} AS novelty FROM r)
-SELECT entity, round(attention, 4) AS attention, round(corroboration, 4) AS corroboration, round(confirmation, 4) AS confirmation, round(novelty, 4) AS novelty_persistence, round(100 * (0.30 * attention + 0.25 * corroboration + 0.25 * confirmation + 0.20 * novelty), 3) AS composite FROM c""")
+SELECT entity, round(attention, 8) AS attention, round(corroboration, 8) AS corroboration, round(confirmation, 8) AS confirmation, round(novelty, 8) AS novelty_persistence, round(100 * (0.30 * attention + 0.25 * corroboration + 0.25 * confirmation + 0.20 * novelty), 6) AS composite FROM c""")
 def narrative_components(spark, d):
     at = F.lit(AT).cast("timestamp_ntz")
     hours = lambda a, b: T.days_between(a, b) * 24
@@ -208,4 +208,4 @@ def narrative_components(spark, d):
             "novelty_persistence": S.novelty_persistence(F.col("quiet"), F.col("span")),
         }
     )
-    return out.select("entity", *[F.round(c, 4).alias(c) for c in ("attention", "corroboration", "confirmation", "novelty_persistence")], F.round(S.narrative_composite(*[F.col(c) for c in ("attention", "corroboration", "confirmation", "novelty_persistence")]), 3).alias("composite"))
+    return out.select("entity", *[F.round(c, 8).alias(c) for c in ("attention", "corroboration", "confirmation", "novelty_persistence")], F.round(S.narrative_composite(*[F.col(c) for c in ("attention", "corroboration", "confirmation", "novelty_persistence")]), 6).alias("composite"))
