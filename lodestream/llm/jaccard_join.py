@@ -7,9 +7,10 @@ ties by different hashes.
 
 1. One pass sums a sketch of document frequencies over all documents (2^20
    counters, a fixed size), and set sizes.
-2. A fixed share of all tokens, by hash, comes first in every order; among them
-   those that only one document has (found by an exact exchange) are foremost.  A
-   document whose prefix holds nothing else has no link and is done.
+2. Tokens that no other document has come first in every order: they are found by
+   exact exchanges, first for a fixed share of all tokens (by hash), then, among the
+   documents that this leaves, for the others.  A document whose prefix holds nothing
+   else has no link and is done, after either step.
 3. The other documents' prefix tokens meet by hash.  Instead of pairs, each token
    links its documents, sorted by size, in chains of compatible sizes, one link a
    document; a task first merges what it has.  Components of these links are
@@ -160,51 +161,92 @@ def foremost_tokens(batches, n_buckets: int, k: int, percent: int):
     yield X.packed_batch(pack.rows())
 
 
+def _flags(row, value, n, rows, known: str, percent: int):
+    """Which tokens the column known tells as repeated, prefix lengths, each row's first token."""
+    repeated, of = X.lists(rows.column(known))
+    told = np.isin(X.row_key(row, value), X.row_key(of, repeated)) if len(repeated) else np.zeros(len(value), bool)
+    return told, n - (-(-percent * n // 100)) + 1
+
+
+SETS = "uid long, s1 long, s2 long, size long, tokens binary, known binary"
+
+
+def survivors(batches, k: int, percent: int):
+    """Sets of documents whose prefix isn't all foremost tokens that no other document has; known: their repeated foremost tokens."""
+    for rows, data, off in slices(batches):
+        row, value, n = shingle_sets(data, off, k)
+        told, length = _flags(row, value, n, rows, "hits", percent)
+        n_alone = np.bincount(row[_foremost(value, percent) & ~told], minlength=len(n))
+        some = np.flatnonzero((n > 0) & (n_alone < length))
+        cut = np.concatenate(([0], np.cumsum(n)))
+        both = [np.add.reduceat(np.append(mix(v), U64(0)), cut[:-1])[some].view(np.int64) for v in (value, value ^ U64(ORDERS[0]))]
+        uid, hits = rows.column("uid"), rows.column("hits")
+        at = pa.array(some)
+        yield pa.RecordBatch.from_arrays([uid.take(at), *map(pa.array, both), pa.array(n[some], pa.int64()), pa.array([np.sort(value[cut[r] : cut[r + 1]]).tobytes() for r in some], pa.binary()), hits.take(at)], names=[x.split()[0] for x in SETS.split(", ")])
+
+
+def _set_slices(batches):
+    """(rows, row of each token, tokens, sizes) of bounded numbers of rows and tokens."""
+    for batch in batches:
+        size = np.array(batch.column("size").to_pylist(), np.int64)
+        total = np.concatenate(([0], np.cumsum(size)))
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(total, total[at] + 400_000, side="right")) - 1
+            to = min(max(to, at + 1), batch.num_rows, at + 4096)
+            some = batch.slice(at, to - at)
+            yield some, np.repeat(np.arange(to - at), size[at:to]), np.concatenate([np.frombuffer(x, U64) for x in some.column("tokens").to_pylist()]), size[at:to]
+            at = to
+
+
+def other_tokens(batches, n_buckets: int, percent: int):
+    """Packed (token, document) of the tokens that aren't foremost, of the documents that are left."""
+    pack = X.Repeats(n_buckets)
+    for rows, row, value, _ in _set_slices(batches):
+        ok = ~_foremost(value, percent)
+        pack.add(value[ok], rows.column("uid").to_numpy()[row[ok]])
+        if pack.full():
+            yield X.packed_batch(pack.rows())
+    yield X.packed_batch(pack.rows())
+
+
 PREFIXED = f"{X.PACKED}, uid long, s1 long, s2 long, size long, tokens binary"
 
 
-def prefixed(batches, classes, n_buckets: int, k: int, percent: int):
-    """Packed (prefix token, 2 * document + order, size) for both orders, and the sets, of documents that may have a link."""
+def prefixed(batches, classes, n_buckets: int, percent: int):
+    """Packed (prefix token, 2 * document + order, size) for both orders, and the sets, of documents whose prefix has a token of another."""
     pack = Chains(n_buckets, percent)
 
-    def batch(packed, docs):
+    def batch(packed, rows=None):
         part = X.packed_batch(packed)
-        n, m = part.num_rows, len(docs[0])
+        names = [x.split()[0] for x in PREFIXED.split(", ")]
+        n, m = part.num_rows, rows.num_rows if rows else 0
         joined = [pa.concat_arrays([part.column(c), pa.nulls(m, part.column(c).type)]) for c in range(6)]
-        joined += [pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)]) for x, t in zip(docs, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-        return pa.RecordBatch.from_arrays(joined, names=[x.split()[0] for x in PREFIXED.split(", ")])
+        joined += [pa.concat_arrays([pa.nulls(n, t), rows.column(c) if rows else pa.nulls(0, t)]) for c, t in zip(names[6:], (pa.int64(),) * 4 + (pa.binary(),), strict=True)]
+        return pa.RecordBatch.from_arrays(joined, names=names)
 
-    for rows, data, off in slices(batches):
-        row, value, n = shingle_sets(data, off, k)
+    for rows, row, value, n in _set_slices(batches):
         uid = rows.column("uid").to_numpy()
-        repeated, of = X.lists(rows.column("hits"))
-        known = np.isin(X.row_key(row, value), X.row_key(of, repeated)) if len(repeated) else np.zeros(len(value), bool)
+        told, length = _flags(row, value, n, rows, "known", percent)
+        more, _ = _flags(row, value, n, rows, "hits", percent)
         head = _foremost(value, percent)
-        alone = head & ~known
-        length = n - (-(-percent * n // 100)) + 1
-        n_alone = np.bincount(row[alone], minlength=len(n))
-        open_ = (n > 0) & (n_alone < length)
+        alone = np.where(head, ~told, ~more)
+        open_ = np.bincount(row[alone], minlength=len(n)) < length
         take = open_[row]
         row, value, alone, head = row[take], value[take], alone[take], head[take]
         m = np.where(open_, n, 0)
         first = np.cumsum(m) - m
         rare = classes.value[(value >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64)
-        group = np.where(alone, 0, np.where(head, 1, 2)).astype(U64)
-        front = (row.astype(U64) << U64(52)) | (group << U64(50)) | (np.minimum(rare, U64(15)) << U64(46))
+        front = (row.astype(U64) << U64(52)) | ((~alone).astype(U64) << U64(51)) | (np.minimum(rare, U64(15)) << U64(47))
         for o, salt in enumerate(ORDERS):
             hashed = mix(value ^ U64(salt))
-            order = np.argsort(front | (hashed >> U64(18)))
+            order = np.argsort(front | (hashed >> U64(17)))
             at = row[order]  # rows stay in order: the row is the sort key's front
             chosen = order[np.arange(len(at)) - first[at] < length[at]]
             chosen = chosen[~alone[chosen]]
             pack.add(mix(hashed[chosen] + U64(o)), uid[row[chosen]] * 2 + o, n[row[chosen]])
-        some = np.flatnonzero(open_)
-        cut = np.concatenate(([0], np.cumsum(m)))
-        s1 = np.add.reduceat(np.append(mix(value), U64(0)), cut[:-1])[some] if len(some) else np.zeros(0, U64)
-        s2 = np.add.reduceat(np.append(mix(value ^ U64(ORDERS[0])), U64(0)), cut[:-1])[some] if len(some) else np.zeros(0, U64)
-        docs = uid[some], s1.view(np.int64), s2.view(np.int64), n[some], [np.sort(value[cut[r] : cut[r + 1]]).tobytes() for r in some]
-        yield batch(pack.rows() if pack.size >= X.FLUSH else [], docs)
-    yield batch(pack.rows(), ([], [], [], [], []))
+        yield batch(pack.rows() if pack.size >= X.FLUSH else [], rows.take(pa.array(np.flatnonzero(open_))))
+    yield batch(pack.rows())
 
 
 def linked(batches, percent: int):
@@ -285,7 +327,9 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
     classes = spark.sparkContext.broadcast(rarity_classes(measured))
 
     known = X.told(X.meet(base.mapInArrow(lambda it: foremost_tokens(it, n, k, percent), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
-    found = table(base.join(known, "uid", "left").mapInArrow(lambda it: prefixed(it, classes, n, k, percent), PREFIXED))
+    left = table(base.join(known, "uid", "left").mapInArrow(lambda it: survivors(it, k, percent), SETS))
+    more = X.told(X.meet(left.mapInArrow(lambda it: other_tokens(it, n, percent), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
+    found = table(left.join(more, "uid", "left").mapInArrow(lambda it: prefixed(it, classes, n, percent), PREFIXED))
     packed = X.meet(found.filter("bucket is not null").select("bucket", "told", "n", "keys", "owners", "extra"), n)
     by_order = components(packed.mapInArrow(lambda it: linked(it, percent), "a long, b long"))
     members = by_order.union(by_order.select(F.col("b").alias("a"), "b").distinct())
@@ -300,10 +344,10 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
     equal = keyed.groupBy("class", "s1", "s2", "n").agg(F.min("uid").alias("rep"))
     same = keyed.join(equal, ["class", "s1", "s2", "n"]).filter("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
     blocks = equal.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"), F.count("*").alias("m")).filter("m > 1")
-    reps = table(equal.join(blocks, "class").select("class", F.col("rep").alias("uid"), "nb").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int")))
-    with_sets = lambda rows: rows.join(whole_sets.select("uid", "tokens"), "uid")
+    reps = equal.join(blocks, "class").select("class", F.col("rep").alias("uid"), "nb").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
+    reps = table(whole_sets.select("uid", "tokens").join(reps, "uid"))
     against = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("block"))
-    first = verify(with_sets(reps.select(F.col("class").alias("g1"), F.lit(0).alias("g2"), F.explode(against).alias("g3"), "uid")), n, percent)
+    first = verify(reps.select(F.col("class").alias("g1"), F.lit(0).alias("g2"), F.explode(against).alias("g3"), "uid", "tokens"), n, percent)
     found = table(first.union(same))
 
     if reps.filter("nb > 1").limit(1).count():
@@ -316,9 +360,9 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
         rest = table(rest)
         rest_blocks = rest.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("rb"))
         undecided = large.join(rest_blocks, "class")
-        old = undecided.select(F.col("class").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("g2"), F.col("block").alias("g3"), "uid")
-        new = undecided.join(rest.select("uid"), "uid", "left_semi").select(F.col("class").alias("g1"), F.pmod(F.xxhash64("uid", F.lit(1)), F.col("rb")).cast("int").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("g3"), "uid")
-        found = table(found.union(verify(with_sets(old.union(new)), n, percent)))
+        old = undecided.select(F.col("class").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("g2"), F.col("block").alias("g3"), "uid", "tokens")
+        new = undecided.join(rest.select("uid"), "uid", "left_semi").select(F.col("class").alias("g1"), F.pmod(F.xxhash64("uid", F.lit(1)), F.col("rb")).cast("int").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("g3"), "uid", "tokens")
+        found = table(found.union(verify(old.union(new), n, percent)))
 
     final = components(found)
 
