@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange as X
 from .components import components
-from .storage import table
+from .storage import pinned, table
 from .textops import LOWER, SPACE, U64, Words, mix, row_key, shingles, slices
 
 K, PERCENT = 3, 90
@@ -322,6 +322,7 @@ def verify(rows: DataFrame, n_parts: int, percent: int) -> DataFrame:
 def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id_col: str = "doc_id", k: int = K, percent: int = PERCENT) -> DataFrame:
     """The columns keep of docs, uid, n_shingles and component_uid: equal for documents that links connect (the least uid of them)."""
     n = X.buckets(spark)
+    docs = pinned(docs)
     base = docs.select(F.monotonically_increasing_id().alias("uid"), "text")
     measured = table(base.mapInArrow(lambda it: measure(it, k), MEASURED))
     classes = spark.sparkContext.broadcast(rarity_classes(measured))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange as X
+from .storage import pinned
 from .textops import NEWLINE, SPACE, U64, Words, shingles, slices
 
 WINDOW, GRAM = 2, 1
@@ -93,6 +94,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, keep: list[str],
     """The columns keep of docs (id_col and text among its own), the remaining text, n_lines and n_removed (lines with a word)."""
     n, t = X.buckets(spark), window + gram - 1
     keep = [c for c in keep if c not in ("text", "n_lines", "n_removed")]
+    docs = pinned(docs)
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     base = docs.select(F.monotonically_increasing_id().alias("uid"), rank.alias("rank"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
     hits = X.told(X.meet(base.mapInArrow(lambda it: fingerprints(it, n, window, gram), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)

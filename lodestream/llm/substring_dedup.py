@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange as X
+from .storage import pinned
 from .textops import _K2, U64, Words, mix, pair, shingles, slices
 
 WINDOW = 35
@@ -161,6 +162,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, keep: list[str], window
     docs needs ``text``; a word goes if a window of ``window`` words that covers it also starts elsewhere.
     """
     n = X.buckets(spark)
+    docs = pinned(docs)
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
     named = X.meet(base.mapInArrow(lambda it: anchors(it, n, window, rounds), X.PACKED), n)
     hits = X.told(named.mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
