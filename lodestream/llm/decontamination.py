@@ -94,10 +94,11 @@ def matches(w: Words, vocabulary, machine, least: int):
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, item_col: str = "item_id") -> DataFrame:
-    """The columns keep of docs, n_words, n_hit, items (sorted as strings) and spans (begin and end byte in the text of each hit stretch)."""
+    """The columns keep of docs (but for clashing names), n_words, n_hit, items (sorted as strings) and spans (begin and end byte in the text of each hit stretch)."""
     shared = [(hashlib.sha256(repr([(a, b.tobytes()) for a, b in x] + [window]).encode()).hexdigest(), x) for x in blocks(benchmark, item_col)]
     sent = docs.sparkSession.sparkContext.broadcast(shared)
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
+    keep = [c for c in keep if c not in ("n_words", "n_hit", "items", "spans")]
+    base = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def find(batches):
@@ -124,7 +125,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = W
             )
 
     found = base.mapInArrow(find, f"kept_columns {base.schema['kept_columns'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>")
-    return found.select("kept_columns.*", "n_words", "n_hit", "items", "spans")
+    return found.select(*[F.col(f"kept_columns.`{c}`") for c in keep], "n_words", "n_hit", "items", "spans")
 
 
 def op3_ahocorasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

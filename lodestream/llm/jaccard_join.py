@@ -320,9 +320,10 @@ def verify(rows: DataFrame, n_parts: int, percent: int) -> DataFrame:
 
 
 def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id_col: str = "doc_id", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The columns keep of docs, uid, n_shingles and component_uid: equal for documents that links connect (the least uid of them)."""
+    """The columns keep of docs (but for clashing names), uid, n_shingles and component_uid: equal for documents that links connect (the least uid of them)."""
     n = X.buckets(spark)
     docs = pinned(docs)
+    keep = [c for c in keep if c not in ("uid", "n_shingles", "component_uid")]
     base = docs.select(F.monotonically_increasing_id().alias("uid"), "text")
     measured = table(base.mapInArrow(lambda it: measure(it, k), MEASURED))
     classes = spark.sparkContext.broadcast(rarity_classes(measured))

@@ -123,8 +123,9 @@ def _no_letter(rows, data, off) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, lang_pred, score and rejected."""
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
+    """The columns keep of docs (but for clashing names), lang_pred, score and rejected."""
+    keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
+    base = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
     names = np.array([*model["langs"], "und"], dtype=object)
 
     def judge(batches):
@@ -142,7 +143,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             lang, score, rejected = np.where(und, len(names) - 1, lang), np.where(und, 0.0, score), rejected | und
             yield pa.RecordBatch.from_arrays([rows.column("kept_columns"), pa.array(names[lang].tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=["kept_columns", "lang_pred", "score", "rejected"])
 
-    return base.mapInArrow(judge, f"kept_columns {base.schema['kept_columns'].dataType.simpleString()}, lang_pred string, score double, rejected boolean").select("kept_columns.*", "lang_pred", "score", "rejected")
+    return base.mapInArrow(judge, f"kept_columns {base.schema['kept_columns'].dataType.simpleString()}, lang_pred string, score double, rejected boolean").select(*[F.col(f"kept_columns.`{c}`") for c in keep], "lang_pred", "score", "rejected")
 
 
 def op1_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:

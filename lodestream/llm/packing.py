@@ -89,11 +89,11 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
 
 
 def pack(docs: DataFrame, keep: list[str], id_col: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET, lengths=word_lengths) -> DataFrame:
-    """The columns keep of docs, n_tokens, bucket, padded_length, batch and slot (place in the batch).
+    """The columns keep of docs (but for clashing names), n_tokens, bucket, padded_length, batch and slot (place in the batch).
 
     Batches are numbered inside their bucket.
     """
-    keep = list(dict.fromkeys([*keep, id_col]))
+    keep = [c for c in dict.fromkeys([*keep, id_col]) if c not in ("n_tokens", "bucket", "padded_length", "batch", "slot")]
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
     sized = base.mapInArrow(lengths, f"kept_columns {base.schema['kept_columns'].dataType.simpleString()}, n_tokens long")
     sized = table(sized.withColumns({"uid": F.monotonically_increasing_id(), "cell": F.pmod(F.xxhash64(f"kept_columns.{id_col}"), F.lit(CELLS)).cast("int")}))

@@ -166,10 +166,11 @@ QUALITY = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def score(docs: DataFrame, keep: list[str], refs=None) -> DataFrame:
-    """The columns keep of docs and QUALITY's; docs has text and, to learn references where none are given, lang."""
+    """The columns keep of docs (but for clashing names) and QUALITY's; docs has text and, to learn references where none are given, lang."""
     refs = references(docs) if refs is None else refs
     names = np.array([r[0] for r in refs] + [None], dtype=object)
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
+    keep = [c for c in keep if c not in {x.split()[0] for x in QUALITY.split(", ")}]
+    base = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
 
     def judge(batches):
         for rows, data, off in slices(batches):
@@ -183,7 +184,7 @@ def score(docs: DataFrame, keep: list[str], refs=None) -> DataFrame:
                 names=["kept_columns", *(x.split()[0] for x in QUALITY.split(", "))],
             )
 
-    return base.mapInArrow(judge, f"kept_columns {base.schema['kept_columns'].dataType.simpleString()}, {QUALITY}").select("kept_columns.*", *(x.split()[0] for x in QUALITY.split(", ")))
+    return base.mapInArrow(judge, f"kept_columns {base.schema['kept_columns'].dataType.simpleString()}, {QUALITY}").select(*[F.col(f"kept_columns.`{c}`") for c in keep], *(x.split()[0] for x in QUALITY.split(", ")))
 
 
 def op8_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,13 +157,14 @@ def _strip(batches, window: int):
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, keep: list[str], window: int = WINDOW, rounds: str = ROUNDS, digest: bool = False) -> DataFrame:
-    """The columns ``keep`` of docs with n_words, n_removed and kept_text (digest: kept_sha256 in its place).
+    """The columns ``keep`` of docs (but for clashing names) with n_words, n_removed and kept_text (digest: kept_sha256 in its place).
 
     docs needs ``text``; a word goes if a window of ``window`` words that covers it also starts elsewhere.
     """
     n = X.buckets(spark)
     docs = pinned(docs)
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
+    keep = [c for c in keep if c not in ("n_words", "n_removed", "kept_text", "kept_sha256")]
+    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
     named = X.meet(base.mapInArrow(lambda it: anchors(it, n, window, rounds), X.PACKED), n)
     hits = X.told(named.mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
     cand = X.meet(base.join(hits, "uid").select("uid", "kept_columns", "text", "hits").mapInArrow(lambda it: repeat_candidates(it, n, window, rounds), X.PACKED), n)
@@ -177,7 +178,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, keep: list[str], window
             yield pa.RecordBatch.from_arrays([rows.column("kept_columns"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), out], names=["kept_columns", "n_words", "n_removed", last.split()[0]])
 
     found = base.join(places, "uid", "left").select("kept_columns", "text", "hits").mapInArrow(strip, f"kept_columns {columns.simpleString()}, n_words long, n_removed long, {last}")
-    return found.select("kept_columns.*", "n_words", "n_removed", last.split()[0])
+    return found.select(*[F.col(f"kept_columns.`{c}`") for c in keep], "n_words", "n_removed", last.split()[0])
 
 
 def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,8 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, n_docs: int = FIT_DOCS) -> dict:
 
 
 def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, score, predicted and passages (first byte, end byte, normalised score)."""
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
+    """The columns keep of docs (but for clashing names), score, predicted and passages (first byte, end byte, normalised score)."""
+    keep = [c for c in keep if c not in ("score", "predicted", "passages")]
+    base = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
     spans = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def judge(batches):
@@ -174,7 +175,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             spelled = [[{"begin": a, "end": b, "score": s} for a, b, s in x] for x in passages]
             yield pa.RecordBatch.from_arrays([rows.column("kept_columns"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(spelled, spans)], names=["kept_columns", "score", "predicted", "passages"])
 
-    return base.mapInArrow(judge, f"kept_columns {base.schema['kept_columns'].dataType.simpleString()}, score double, predicted int, passages array<struct<begin:long,end:long,score:double>>").select("kept_columns.*", "score", "predicted", "passages")
+    return base.mapInArrow(judge, f"kept_columns {base.schema['kept_columns'].dataType.simpleString()}, score double, predicted int, passages array<struct<begin:long,end:long,score:double>>").select(*[F.col(f"kept_columns.`{c}`") for c in keep], "score", "predicted", "passages")
 
 
 def op2_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

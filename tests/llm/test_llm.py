@@ -293,7 +293,7 @@ def test_every_operator_takes_odd_and_empty_tables(spark, odd, none, which):
     n = len(odd_rows()) if which == "odd" else 0
     labels = docs.select("doc_id", (F.col("uid") % 2).cast("int").alias("toxic"))
     items = docs.select(F.col("doc_id").alias("item_id"), "text")
-    keep = ["doc_id", "source"]
+    keep = ["doc_id", "source", "score", "n_words", "hits", "class", "uid"]
     results = [
         language_id.predict(docs, language_id.fit(docs), keep), toxicity.score(docs, toxicity.fit(docs, labels), keep), decontamination.scan(docs, items, keep), jaccard_join.similar_components(spark, docs, keep),
         line_dedup.remove_repeated_lines(spark, docs, keep), packing.pack(docs, keep), resharding.reshard(docs, F.lit(None).cast("int"), 8, 6), quality.score(docs, keep), lm_scoring.score(spark, docs, docs, keep), substring_dedup.remove_repeats(spark, docs, keep),
