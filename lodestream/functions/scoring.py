@@ -11,8 +11,8 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def capped(c: Column, cap: float) -> Column:
-    """c / cap, at most 1."""
-    return F.least(F.lit(1.0), c / cap)
+    """c / cap, at most 1; null stays null."""
+    return F.when(c.isNotNull(), F.least(F.lit(1.0), c / cap))
 
 
 # Narrative components; fixed values: caps 60 an hour, 30, 50 documents, 5 platforms, 4 sources, 48 hours, decay .02 an hour
@@ -62,3 +62,13 @@ def level(value: Column, warning: float, critical: float, higher_is_worse: bool
 
 def readiness(freshness: Column, quality: Column, quarantined: Column) -> Column:
     return F.when(quarantined, "blocked").when((freshness == "stale") | (quality == "critical"), "blocked").when((freshness == "aging") | (quality == "warning"), "degraded").otherwise("ready")
+
+
+def market_impact(conviction: Column, z: Column, acceleration: Column, platforms: Column, authority: Column, events: Column) -> Column:
+    """Six capped terms, at most 100."""
+    up = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0))
+    terms = [(up(conviction) * 0.55, 55.0), (up(z) * 12.0, 18.0), (up(acceleration) * 4.0, 12.0), (platforms * 3.0, 9.0), (up(authority) * 15.0, 12.0), (F.greatest(events, F.lit(0)) * 2.0, 8.0)]
+    total = F.lit(0.0)
+    for term, cap in terms:
+        total = total + F.least(term, F.lit(cap))
+    return F.least(total, F.lit(100.0))

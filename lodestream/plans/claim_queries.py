@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import claims as C, publish as P
+from ..functions import scoring as S, text as T
+from ..operators import claims as C, filings as L, publish as P
 from .bind import table
 from .registry import query
 
@@ -178,3 +179,45 @@ def coverage_drift(spark, d):
     lane = lambda c: F.concat(F.lit("lane"), F.col(c).cast("string")).alias("lane")
     counts = table(spark, d, "customer").filter("c_nationkey < 20").groupBy(lane("c_nationkey")).agg(F.count("*").alias("objects"))
     return P.coverage_drift(counts, table(spark, d, "nation").select(lane("n_nationkey")), 50)
+
+
+_SECTION = "CASE role WHEN 'user' THEN 'Risk Factors' WHEN 'assistant' THEN 'Item 7. Management''s Discussion and Analysis of x' ELSE 'Exhibits' END"
+_N = r"len(list_filter(string_split_regex(lower(text), '[ \t\r\n]+'), lambda x: x <> ''))"
+_M = "CAST((length(lower(text)) - length(replace(lower(text), 'onth', ''))) / 4 AS INTEGER)"
+ADOPTION = f"""s AS (SELECT conv_id % 25 AS issuer, conv_id AS period, CASE role WHEN 'user' THEN 0.9 WHEN 'assistant' THEN 1.0 ELSE 0.4 END AS w, {_N} AS n, {_M} AS m FROM conversations),
+o AS (SELECT *, n > 0 AND m > 0 AS sig, CASE WHEN n > 0 AND m > 0 THEN least(1.0, m * 1000.0 / n / 20.0) * w END AS depth FROM s),
+a AS (SELECT issuer, sum(CASE WHEN sig THEN w ELSE 0 END) / sum(w) AS coverage, coalesce(avg(depth), 0) AS depth, count(DISTINCT CASE WHEN sig THEN period END)::DOUBLE / count(DISTINCT period) AS temporal, count(DISTINCT period) AS periods FROM o GROUP BY 1),
+adopted AS (SELECT issuer, coverage, depth, temporal, periods, CASE WHEN issuer % 4 = 0 THEN 0.0 ELSE (issuer % 4) / 4.0 END AS fact_alignment, 0.35 * coverage + 0.25 * depth + 0.2 * CASE WHEN issuer % 4 = 0 THEN 0.0 ELSE (issuer % 4) / 4.0 END + 0.2 * temporal AS adoption FROM a)"""
+
+
+def _adoption(spark, d):
+    t = table(spark, d, "conversations")
+    name = F.when(F.col("role") == "user", "Risk Factors").when(F.col("role") == "assistant", "Item 7. Management's Discussion and Analysis of x").otherwise("Exhibits")
+    sections = t.select((F.col("conv_id") % 25).alias("issuer"), F.col("conv_id").alias("period"), name.alias("section"), F.size(T.words(F.col("text"))).alias("word_count"), T.mentions(F.col("text"), "onth").alias("mentions"))
+    facts = spark.range(25).filter("id % 4 <> 0").select(F.col("id").alias("issuer"), F.lit(4).alias("concepts"), (F.col("id") % 4).alias("matched"))
+    return L.adoption(sections, facts, ["issuer"])
+
+
+@query(f"WITH {ADOPTION} SELECT issuer, round(coverage, 8) AS coverage, round(depth, 6) AS depth, round(temporal, 8) AS temporal, round(adoption, 6) AS adoption FROM adopted")
+def filing_adoption(spark, d):
+    return _adoption(spark, d).select("issuer", F.round("coverage", 8).alias("coverage"), F.round("depth", 6).alias("depth"), F.round("temporal", 8).alias("temporal"), F.round("adoption", 6).alias("adoption"))
+
+
+@query(f"""WITH {ADOPTION}, x AS (SELECT *, (issuer * 37) % 100 AS narrative, adoption - 0.45 AS low FROM adopted), y AS (SELECT *, narrative >= 50 AND low < 0.2 AND temporal BETWEEN 0.3 AND 0.7 AND periods >= 2 AS lag FROM x)
+SELECT issuer, 'lagging_adoption' AS reason, 'info' AS severity FROM y WHERE lag UNION ALL SELECT issuer, 'narrative_without_filing', CASE WHEN narrative >= 70 AND low < 0.1 THEN 'critical' ELSE 'warning' END FROM y WHERE narrative >= 50 AND low < 0.2 AND NOT lag UNION ALL SELECT issuer, 'filing_without_narrative', 'info' FROM y WHERE narrative < 20 AND low >= 0.6""")
+def filing_divergence(spark, d):
+    rows = _adoption(spark, d).withColumn("narrative", (F.col("issuer") * 37) % 100).withColumn("adoption", F.col("adoption") - 0.45)
+    return L.divergence(rows, ["issuer"])
+
+
+@query("""SELECT c_custkey, round(least(100.0, least(greatest(c_acctbal / 100, 0) * 0.55, 55.0) + least(greatest((c_custkey % 5) - 2, 0) * 12.0, 18.0) + least(greatest((c_custkey % 7) - 3, 0) * 4.0, 12.0) + least((c_custkey % 6) * 3.0, 9.0) + least(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE (c_custkey % 10) / 10.0 END * 15.0, 12.0) + least((c_custkey % 8) * 2.0, 8.0)), 6) AS impact FROM customer""")
+def market_impact(spark, d):
+    k = F.col("c_custkey")
+    score = S.market_impact(F.col("c_acctbal") / 100, (k % 5 - 2).cast("double"), (k % 7 - 3).cast("double"), k % 6, F.when(k % 3 != 0, (k % 10) / 10.0), k % 8)
+    return table(spark, d, "customer").select("c_custkey", F.round(score, 6).alias("impact"))
+
+
+@query()
+def section_alignment(spark, d):
+    t = table(spark, d, "conversations").select((F.col("conv_id") % 25).alias("pair"), F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("name"), F.col("conv_id"))
+    return L.aligned(t.filter("conv_id % 2 = 0"), t.filter("conv_id % 2 = 1"), "pair")
