@@ -15,21 +15,25 @@ def capped(c: Column, cap: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.lit(1.0), c / cap))
 
 
-# Narrative components; fixed values: caps 60 an hour, 30, 50 documents, 5 platforms, 4 sources, 48 hours, decay .02 an hour
+# Narrative components; fixed values: caps 60 an hour, 30, 50 documents, 5 platforms, 4 sources, 6 hours, 48 hours, decay .02 an hour
 def attention(rate_per_hour: Column, acceleration: Column, docs: Column) -> Column:
-    return clamp(0.5 * capped(rate_per_hour, 60.0) + 0.3 * capped(F.greatest(acceleration, F.lit(0.0)), 30.0) + 0.2 * capped(docs, 50.0))
+    return 0.5 * clamp(rate_per_hour / 60.0) + 0.3 * clamp(acceleration / 30.0) + 0.2 * clamp(docs / 50.0)
 
 
 def corroboration(platforms: Column, source_types: Column, spread_hours: Column) -> Column:
-    return clamp(0.5 * capped(platforms, 5.0) + 0.3 * capped(source_types, 4.0) + 0.2 * F.greatest(F.lit(0.0), 1.0 - spread_hours / 48.0))
+    """A spread that is unknown or 0 gives no speed."""
+    speed = F.when(spread_hours > 0, clamp(1.0 - spread_hours / 6.0)).otherwise(0.0)
+    return 0.4 * clamp(platforms / 5.0) + 0.35 * clamp(source_types / 4.0) + 0.25 * speed
 
 
 def confirmation(sentiment: Column, authority: Column, high_share: Column) -> Column:
-    return clamp(0.4 * F.abs(sentiment) + 0.4 * F.coalesce(authority, F.lit(0.0)) + 0.2 * high_share)
+    return 0.45 * clamp(F.coalesce(authority, F.lit(0.0))) + 0.30 * clamp(F.abs(sentiment)) + 0.25 * clamp(high_share)
 
 
-def novelty_persistence(quiet_hours: Column, span_hours: Column) -> Column:
-    return clamp(0.5 * F.exp(-0.02 * F.greatest(quiet_hours, F.lit(0.0))) + 0.5 * F.least(F.lit(1.0), F.log1p(span_hours) / F.log1p(F.lit(48.0))))
+def novelty_persistence(quiet_hours: Column, age_hours: Column) -> Column:
+    recency = F.exp(-0.02 * F.greatest(quiet_hours, F.lit(0.0)))
+    lasting = clamp(F.log1p(F.greatest(age_hours, F.lit(0.0))) / F.log1p(F.lit(48.0)))
+    return clamp(0.5 * recency + 0.25 * lasting + 0.25 * clamp(recency * (1 - 0.3 * lasting)))
 
 
 def narrative_composite(a: Column, b: Column, c: Column, d: Column) -> Column:

@@ -80,5 +80,5 @@ def aligned(base: DataFrame, target: DataFrame, pair: str, least: float = 0.6) -
         out += [(key[0], x, None, None) for x in left if x not in used_a] + [(key[0], None, y, None) for y in right if y not in used_b]
         return pd.DataFrame(out, columns=["pair", "base", "target", "similarity"])
 
-    one = lambda rows: rows.select(F.col(pair).cast("string").alias("pair"), "name").distinct().groupBy("pair")
+    one = lambda rows: rows.select(F.col(pair).cast("string").alias("pair"), F.col("name").alias("name")).distinct().groupBy("pair")
     return one(base).cogroup(one(target)).applyInPandas(match, schema)

@@ -14,7 +14,7 @@ from ..functions import scoring as S
 from ..sources.scratch import table
 
 # Fixed values
-RELATION_WEIGHTS = {"supplies": 0.8, "depends_on": 0.6, "competes_with": -0.3, "drives": 0.5, "blocks": -0.4}
+RELATION_WEIGHTS = {"depends_on": 0.8, "supplies_to": 0.6, "competes_with": -0.3, "drives": 0.5, "blocks": -0.4}
 HOP_DECAY, IMPACT_MIN, MAX_DEPTH, PATH_MIN = 0.7, 0.01, 3, 0.01
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 # Fixed values
 BUCKET = "5 minutes"
 SURGE_DOCS, SURGE_RATE, SURGE_Z, SURGE_UPLIFT = 8, 6.0, 3.0, 2.5
-BREAKOUT_HOURS, AUTHORITY_GAP, SHIFT, SHIFT_CONFIDENCE, SHIFT_DOCS = 6.0, 0.45, 0.35, 0.70, 6
+BREAKOUT_HOURS, AUTHORITY_GAP, SHIFT, SHIFT_CONFIDENCE, SHIFT_DOCS, SIDE_DOCS = 6.0, 0.45, 0.35, 0.70, 6, 3
 
 
 def sign_of(label: Column) -> Column:
@@ -54,8 +54,9 @@ def authority_divergence(docs: DataFrame, key: str) -> DataFrame:
     high = F.coalesce(F.col("authority"), F.lit(0.0)) >= 0.5
     s, c = sign_of(F.col("label")), F.col("confidence")
     mean = lambda side: F.sum(F.when(side, s * c)) / F.sum(F.when(side, c))
-    rows = docs.groupBy(key).agg(mean(high).alias("high_sentiment"), mean(~high).alias("low_sentiment"))
-    return rows.withColumn("gap", F.abs(F.col("high_sentiment") - F.col("low_sentiment"))).withColumn("triggered", F.coalesce(F.col("gap") >= AUTHORITY_GAP, F.lit(False)))
+    rows = docs.groupBy(key).agg(mean(high).alias("high_sentiment"), mean(~high).alias("low_sentiment"), F.count(F.when(high, 1)).alias("high_docs"), F.count(F.when(~high, 1)).alias("low_docs"))
+    enough = (F.col("high_docs") >= SIDE_DOCS) & (F.col("low_docs") >= SIDE_DOCS)
+    return rows.withColumn("gap", F.abs(F.col("high_sentiment") - F.col("low_sentiment"))).withColumn("triggered", F.coalesce(enough & (F.col("gap") >= AUTHORITY_GAP), F.lit(False)))
 
 
 def regime_shifts(docs: DataFrame, at: Column, key: str, hours: float = 12.0) -> DataFrame:

@@ -5,6 +5,8 @@ Inputs are set-based: one row a document or one row a theme and day, all themes
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Fixed values
@@ -17,7 +19,7 @@ STAGE_FACTORS = {"emerging": 1.5, "accelerating": 1.2, "mature": 0.8, "fading":
 DEFAULT_COMPELLINGNESS, DEFAULT_STAGE_FACTOR, SCORE_MIN = 5.0, 0.8, 0.1
 TIER_1, TIER_2, TIER_1_Z = 0.05, 0.20, 2.0
 LIFECYCLE_ROWS, EMERGING_DOCS, ACCELERATING, FADING = 3, 50, 0.5, -0.3
-ALERTABLE = [("emerging", "accelerating"), ("accelerating", "fading"), ("mature", "fading")]
+ALERTABLE = [("accelerating", "fading"), ("accelerating", "mature"), ("emerging", "accelerating"), ("emerging", "fading"), ("mature", "fading")]
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
@@ -107,7 +109,7 @@ def lifecycle_transitions(staged: DataFrame) -> DataFrame:
     """Rows whose stage differs from the theme's row before, with from_stage and alertable."""
     before = F.lag("stage").over(W.partitionBy("theme_id").orderBy("day"))
     pairs = [(F.col("from_stage") == a) & (F.col("stage") == b) for a, b in ALERTABLE]
-    alert = pairs[0] | pairs[1] | pairs[2]
+    alert = reduce(lambda a, b: a | b, pairs)
     return staged.withColumn("from_stage", before).filter("from_stage is not null and from_stage <> stage").withColumn("alertable", alert)
 
 

@@ -10,7 +10,7 @@ from .registry import query
 
 EDGES = """e AS (SELECT s.s_nationkey AS source, c.c_nationkey AS target, count(*) AS n, count(*) FILTER (l.l_returnflag = 'R') AS returned, max(l.l_shipdate) AS last_ship, count(DISTINCT s.s_suppkey) AS suppliers FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, target) AS k FROM e),
-edges AS (SELECT source, target, ['supplies','depends_on','competes_with','drives','blocks'][(source + target) % 5 + 1] AS relation, 0.4 + 0.1 * ((source * 7 + target) % 6) AS confidence, CASE WHEN (source + target) % 5 IN (2, 4) THEN -1 ELSE 1 END AS sign, n, returned, suppliers, CAST(last_ship AS DATE) AS valid_from FROM r WHERE k <= 2)"""
+edges AS (SELECT source, target, ['supplies_to','depends_on','competes_with','drives','blocks'][(source + target) % 5 + 1] AS relation, 0.4 + 0.1 * ((source * 7 + target) % 6) AS confidence, CASE WHEN (source + target) % 5 IN (2, 4) THEN -1 ELSE 1 END AS sign, n, returned, suppliers, CAST(last_ship AS DATE) AS valid_from FROM r WHERE k <= 2)"""
 
 
 def edges(spark, d):
@@ -19,7 +19,7 @@ def edges(spark, d):
     lines = lines.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     e = lines.groupBy(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target")).agg(F.count("*").alias("n"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("returned"), F.max("l_shipdate").alias("last"), F.countDistinct("l_suppkey").alias("suppliers"))
     kind = (F.col("source") + F.col("target")) % 5
-    names = F.array(*[F.lit(x) for x in ("supplies", "depends_on", "competes_with", "drives", "blocks")])
+    names = F.array(*[F.lit(x) for x in ("supplies_to", "depends_on", "competes_with", "drives", "blocks")])
     top = e.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n"), "target"))).filter("k <= 2")
     return top.select("source", "target", F.get(names, kind).alias("relation"), (0.4 + 0.1 * ((F.col("source") * 7 + F.col("target")) % 6)).alias("confidence"), F.when(kind.isin(2, 4), -1).otherwise(1).alias("sign"), "n", "returned", "suppliers", F.to_date("last").alias("valid_from"))
 
@@ -56,7 +56,7 @@ def graph_subgraph(spark, d):
     return G.subgraph(edges(spark, d), _seeds(spark, 3), 2)
 
 
-_RW = "CASE relation WHEN 'supplies' THEN 0.8 WHEN 'depends_on' THEN 0.6 WHEN 'competes_with' THEN -0.3 WHEN 'drives' THEN 0.5 WHEN 'blocks' THEN -0.4 ELSE 0.0 END"
+_RW = "CASE relation WHEN 'depends_on' THEN 0.8 WHEN 'supplies_to' THEN 0.6 WHEN 'competes_with' THEN -0.3 WHEN 'drives' THEN 0.5 WHEN 'blocks' THEN -0.4 ELSE 0.0 END"
 
 
 def _level(k):

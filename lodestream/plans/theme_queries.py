@@ -63,7 +63,7 @@ def theme_lifecycle(spark, d):
     return T.lifecycle(_metrics(spark, d)).select("theme_id", _day(), "stage", F.round("stage_confidence", 4).alias("stage_confidence"))
 
 
-@query(f"WITH {STAGED} SELECT theme_id, CAST(day AS VARCHAR) AS day, from_stage, stage, (from_stage, stage) IN (('emerging','accelerating'),('accelerating','fading'),('mature','fading')) AS alertable FROM (SELECT *, lag(stage) OVER (PARTITION BY theme_id ORDER BY day) AS from_stage FROM staged) WHERE from_stage IS NOT NULL AND from_stage <> stage")
+@query(f"WITH {STAGED} SELECT theme_id, CAST(day AS VARCHAR) AS day, from_stage, stage, (from_stage, stage) IN (('accelerating','fading'),('accelerating','mature'),('emerging','accelerating'),('emerging','fading'),('mature','fading')) AS alertable FROM (SELECT *, lag(stage) OVER (PARTITION BY theme_id ORDER BY day) AS from_stage FROM staged) WHERE from_stage IS NOT NULL AND from_stage <> stage")
 def theme_transitions(spark, d):
     return T.lifecycle_transitions(T.lifecycle(_metrics(spark, d))).select("theme_id", _day(), "from_stage", "stage", "alertable")
 
@@ -164,8 +164,8 @@ def cross_platform_breakout(spark, d):
 _S = "CASE label WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0 ELSE 0.0 END"
 
 
-@query(f"""WITH {SIGNALS}, m AS (SELECT theme_id, sum({_S} * confidence) FILTER (coalesce(authority, 0) >= 0.5) / sum(confidence) FILTER (coalesce(authority, 0) >= 0.5) AS h, sum({_S} * confidence) FILTER (coalesce(authority, 0) < 0.5) / sum(confidence) FILTER (coalesce(authority, 0) < 0.5) AS l FROM signals GROUP BY 1)
-SELECT theme_id, round(h, 4) AS high_sentiment, round(l, 4) AS low_sentiment, round(abs(h - l), 4) AS gap, coalesce(abs(h - l) >= 0.45, FALSE) AS triggered FROM m""")
+@query(f"""WITH {SIGNALS}, m AS (SELECT theme_id, sum({_S} * confidence) FILTER (coalesce(authority, 0) >= 0.5) / sum(confidence) FILTER (coalesce(authority, 0) >= 0.5) AS h, sum({_S} * confidence) FILTER (coalesce(authority, 0) < 0.5) / sum(confidence) FILTER (coalesce(authority, 0) < 0.5) AS l, count(*) FILTER (coalesce(authority, 0) >= 0.5) AS hd, count(*) FILTER (coalesce(authority, 0) < 0.5) AS ld FROM signals GROUP BY 1)
+SELECT theme_id, round(h, 4) AS high_sentiment, round(l, 4) AS low_sentiment, round(abs(h - l), 4) AS gap, coalesce(hd >= 3 AND ld >= 3 AND abs(h - l) >= 0.45, FALSE) AS triggered FROM m""")
 def authority_divergence(spark, d):
     return N.authority_divergence(signals(spark, d), "theme_id").select("theme_id", *[F.round(c, 4).alias(c) for c in ("high_sentiment", "low_sentiment", "gap")], "triggered")
 
@@ -187,25 +187,26 @@ def session_runs(spark, d):
     return N.sessions(signals(spark, d), "entity", 24.0)
 
 
-_COMPONENTS = f"""{SIGNALS}, r AS (SELECT entity, count(*) AS docs, count(DISTINCT platform) AS platforms, avg({_S}) AS sentiment, avg(authority) AS authority, avg(CASE WHEN coalesce(authority, 0) >= 0.5 THEN 1.0 ELSE 0.0 END) AS high_share, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0 AS span, (epoch_us(TIMESTAMP '{AT}') - epoch_us(max(ts))) / 3600000000.0 AS quiet FROM signals WHERE ts <= TIMESTAMP '{AT}' GROUP BY 1)"""
+_COMPONENTS = f"""{SIGNALS}, r AS (SELECT entity, count(*) AS docs, count(DISTINCT platform) AS platforms, avg({_S}) AS sentiment, avg(authority) AS authority, avg(CASE WHEN coalesce(authority, 0) >= 0.5 THEN 1.0 ELSE 0.0 END) AS high_share, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0 AS span, (epoch_us(TIMESTAMP '{AT}') - epoch_us(max(ts))) / 3600000000.0 AS quiet, (epoch_us(TIMESTAMP '{AT}') - epoch_us(min(ts))) / 3600000000.0 AS age FROM signals WHERE ts <= TIMESTAMP '{AT}' GROUP BY 1)"""
 _CLAMP = "least(1.0, greatest(0.0, {}))"
 
 
-@query(f"""WITH {_COMPONENTS}, c AS (SELECT entity, {_CLAMP.format('0.5 * least(1.0, docs / greatest(span, 1.0) / 60.0) + 0.3 * 0.0 + 0.2 * least(1.0, docs / 50.0)')} AS attention,
- {_CLAMP.format('0.5 * least(1.0, platforms / 5.0) + 0.3 * least(1.0, platforms / 4.0) + 0.2 * greatest(0.0, 1.0 - span / 48.0)')} AS corroboration,
- {_CLAMP.format('0.4 * abs(sentiment) + 0.4 * coalesce(authority, 0) + 0.2 * high_share')} AS confirmation, {_CLAMP.format('0.5 * exp(-0.02 * greatest(quiet, 0)) + 0.5 * least(1.0, ln(1 + span) / ln(1 + 48.0))')} AS novelty FROM r)
+@query(f"""WITH {_COMPONENTS}, c AS (SELECT entity, 0.5 * {_CLAMP.format('docs / greatest(span, 1.0) / 60.0')} + 0.2 * {_CLAMP.format('docs / 50.0')} AS attention,
+ 0.4 * {_CLAMP.format('platforms / 5.0')} + 0.35 * {_CLAMP.format('platforms / 4.0')} + 0.25 * CASE WHEN span > 0 THEN {_CLAMP.format('1.0 - span / 6.0')} ELSE 0.0 END AS corroboration,
+ 0.45 * {_CLAMP.format('coalesce(authority, 0)')} + 0.3 * {_CLAMP.format('abs(sentiment)')} + 0.25 * {_CLAMP.format('high_share')} AS confirmation,
+ {_CLAMP.format('0.5 * exp(-0.02 * greatest(quiet, 0)) + 0.25 * least(1.0, ln(1 + age) / ln(49.0)) + 0.25 * least(1.0, exp(-0.02 * greatest(quiet, 0)) * (1 - 0.3 * least(1.0, ln(1 + age) / ln(49.0))))')} AS novelty FROM r)
 SELECT entity, round(attention, 8) AS attention, round(corroboration, 8) AS corroboration, round(confirmation, 8) AS confirmation, round(novelty, 8) AS novelty_persistence, round(100 * (0.30 * attention + 0.25 * corroboration + 0.25 * confirmation + 0.20 * novelty), 6) AS composite FROM c""")
 def narrative_components(spark, d):
     at = F.lit(AT).cast("timestamp_ntz")
     hours = lambda a, b: T.days_between(a, b) * 24
     runs = signals(spark, d).filter(F.col("ts") <= at).groupBy("entity").agg(F.count("*").alias("docs"), F.countDistinct("platform").alias("platforms"), F.avg(N.sign_of(F.col("label"))).alias("sentiment"), F.avg("authority").alias("authority"), F.avg(F.when(F.coalesce(F.col("authority"), F.lit(0.0)) >= 0.5, 1.0).otherwise(0.0)).alias("high_share"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    runs = runs.withColumns({"span": hours(F.col("last"), F.col("first")), "quiet": hours(at, F.col("last"))})
+    runs = runs.withColumns({"span": hours(F.col("last"), F.col("first")), "quiet": hours(at, F.col("last")), "age": hours(at, F.col("first"))})
     out = runs.withColumns(
         {
             "attention": S.attention(F.col("docs") / F.greatest(F.col("span"), F.lit(1.0)), F.lit(0.0), F.col("docs")),
             "corroboration": S.corroboration(F.col("platforms"), F.col("platforms"), F.col("span")),
             "confirmation": S.confirmation(F.col("sentiment"), F.col("authority"), F.col("high_share")),
-            "novelty_persistence": S.novelty_persistence(F.col("quiet"), F.col("span")),
+            "novelty_persistence": S.novelty_persistence(F.col("quiet"), F.col("age")),
         }
     )
     return out.select("entity", *[F.round(c, 8).alias(c) for c in ("attention", "corroboration", "confirmation", "novelty_persistence")], F.round(S.narrative_composite(*[F.col(c) for c in ("attention", "corroboration", "confirmation", "novelty_persistence")]), 6).alias("composite"))

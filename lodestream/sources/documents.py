@@ -12,9 +12,22 @@ POST = "id string, text string, created_at string, author_id string, author stru
 THREAD = "id string, title string, selftext string, created_utc double, author string, score long, num_comments long, upvote_ratio double, stickied boolean, removed boolean, permalink string"
 ITEM = "guid string, title string, link string, pubDate string, description string, author string"
 # Fixed values
-ABBREVIATIONS = {"btw": "by the way", "imo": "in my opinion", "tbh": "to be honest", "fyi": "for your information", "eod": "end of day", "eow": "end of week", "ath": "all time high", "atl": "all time low", "dd": "due diligence", "er": "earnings report", "pt": "price target", "yolo": "risky trade"}
+ABBREVIATIONS = {
+    "LFG": "lets go",
+    "HODL": "hold",
+    "FOMO": "fear of missing out",
+    "FUD": "fear uncertainty doubt",
+    "DD": "due diligence",
+    "IMO": "in my opinion",
+    "IMHO": "in my humble opinion",
+    "TLDR": "too long didnt read",
+    "ATH": "all time high",
+    "ATL": "all time low",
+    "YOLO": "you only live once",
+    "DCA": "dollar cost averaging",
+}
 TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss.SSSX", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
-SOURCE_WEIGHTS = [("reuters.com", 3), ("bloomberg.com", 3), ("wsj.com", 3), ("ft.com", 3), ("cnbc.com", 2), ("marketwatch.com", 2)]
+SOURCE_WEIGHTS = [("wsj.com", 3), ("bloomberg.com", 3), ("reuters.com", 3), ("ft.com", 3), ("barrons.com", 3), ("cnbc.com", 2), ("yahoo.com", 2), ("seekingalpha.com", 2), ("marketwatch.com", 2), ("investors.com", 2)]
 COLUMNS = ["id", "platform", "url", "timestamp", "author_id", "author_name", "author_followers", "author_verified", "content", "content_type", "title", "engagement", "urls_mentioned"]
 
 

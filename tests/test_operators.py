@@ -95,7 +95,7 @@ def test_assertion_without_supports_is_retracted(spark):
 
 
 def test_propagation_takes_the_first_arrival(spark):
-    e = spark.createDataFrame([("a", "b", "supplies", 1.0), ("a", "c", "competes_with", 1.0), ("b", "d", "drives", 1.0), ("c", "d", "supplies", 1.0), ("d", "a", "supplies", 1.0)], "source string, target string, relation string, confidence double")
+    e = spark.createDataFrame([("a", "b", "depends_on", 1.0), ("a", "c", "competes_with", 1.0), ("b", "d", "drives", 1.0), ("c", "d", "depends_on", 1.0), ("d", "a", "depends_on", 1.0)], "source string, target string, relation string, confidence double")
     got = {r["node"]: (r["depth"], round(r["impact"], 6)) for r in G.propagated(e, spark.createDataFrame([("a", 1.0)], "seed string, delta double")).collect()}
     assert got == {"b": (1, 0.56), "c": (1, -0.21), "d": (2, 0.196)}
 
