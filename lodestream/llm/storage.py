@@ -1,32 +1,14 @@
-"""Intermediate tables in the shared folder, which survive the loss of any executor."""
+"""Intermediate tables in the shared folder, and inputs that can be read several times."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_own: list[str] = []
+from ..sources.scratch import clean, shared_dir, table
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder spark.checkpoint.dir names; a local one only where the setting is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="lodestream-"))
-        found = f"file://{_own[0]}"
-    return f"{found.rstrip('/')}/lodestream-{spark.sparkContext.applicationId}"
-
-
-def table(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: computed once, lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["clean", "pinned", "shared_dir", "table"]
 
 
 def pinned(docs: DataFrame) -> DataFrame:
@@ -38,10 +20,3 @@ def pinned(docs: DataFrame) -> DataFrame:
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+\-]*([A-Za-z]+)", line))}
     return docs if nodes <= {"Project", "Filter", "Relation"} else table(docs)
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes this application's intermediate tables."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
