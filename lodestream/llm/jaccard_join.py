@@ -249,16 +249,24 @@ def prefixed(batches, classes, n_buckets: int, percent: int):
     yield batch(pack.rows())
 
 
-def linked(batches, percent: int):
-    """Links (a, b) of a bucket's keys and those that tasks found."""
-    own = []
+def linked(batches, n_buckets: int, percent: int):
+    """Packed links (b as key, a as owner) of a bucket's keys and those that tasks found."""
+    own, pack = [], X.Packer(n_buckets, by_owner=True)
     for b in batches:
         told = b.filter(b.column("told"))
         for a, c in zip(told.column("owners").to_pylist(), told.column("extra").to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["a", "b"])
+            pack.add(np.frombuffer(c, U64), np.frombuffer(a, np.int64))
         own.append(b.filter(X.pc.invert(b.column("told"))))
     keys, owners, sizes = X.unpack(own)
     found, _ = Chains.links(keys, owners, sizes, percent)
+    pack.add(found[:, 1].astype(U64), np.ascontiguousarray(found[:, 0]))
+    yield X.packed_batch(pack.rows())
+
+
+def distinct_links(batches):
+    """(a, b), each once: all links of a meet in one bucket."""
+    b, a, _ = X.unpack(batches)
+    found = np.unique(np.stack([a, b.astype(np.int64)], axis=1), axis=0)
     for at in range(0, len(found), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[at : at + 100_000, c])) for c in (0, 1)], names=["a", "b"])
 
@@ -333,7 +341,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
     more = X.told(X.meet(left.mapInArrow(lambda it: other_tokens(it, n, percent), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
     found = table(left.join(more, "uid", "left").mapInArrow(lambda it: prefixed(it, classes, n, percent), PREFIXED))
     packed = X.meet(found.filter("bucket is not null").select("bucket", "told", "n", "keys", "owners", "extra"), n)
-    by_order = components(packed.mapInArrow(lambda it: linked(it, percent), "a long, b long"))
+    by_order = components(X.meet(packed.mapInArrow(lambda it: linked(it, n, percent), X.PACKED), n).mapInArrow(distinct_links, "a long, b long"))
     members = by_order.union(by_order.select(F.col("b").alias("a"), "b").distinct())
     one = members.filter("a % 2 = 0").select(F.shiftright("a", 1).alias("uid"), F.col("b").alias("c0"))
     two = members.filter("a % 2 = 1").select(F.shiftright("a", 1).alias("uid"), F.col("b").alias("c1"))
