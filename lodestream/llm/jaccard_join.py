@@ -397,3 +397,16 @@ def op4_multiorder_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     found = similar_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     return with_least_id(found).select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT u, s FROM (SELECT u, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT u, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT u, count(*) AS n FROM sh GROUP BY u),
+p AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.u < b.u GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.u = a JOIN n y ON y.u = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT u AS a, u AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT r.a AS u, min(d.doc_id) AS component_id FROM r JOIN d ON d.u = r.b GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (u) JOIN c USING (u)
+"""

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from .decontamination import OP3_SQL, op3_ahocorasick_decontamination
-from .jaccard_join import op4_multiorder_jaccard
+from .jaccard_join import OP4_SQL, op4_multiorder_jaccard
 from .language_id import op1_centroid_language
 from .line_dedup import OP5_SQL, op5_winnowing_lines
 from .lm_scoring import op9_lattice_lm
 from .packing import op6_bucket_packing
 from .quality import op8_divergence_quality
 from .resharding import op7_flow_resharding
-from .substring_dedup import op10_recompression_dedup
+from .substring_dedup import OP10_SQL, op10_recompression_dedup
 from .toxicity import op2_segment_toxicity
 
 QUERIES = {
@@ -27,5 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_ahocorasick_decontamination": OP3_SQL,
+    "op4_multiorder_jaccard": OP4_SQL,
     "op5_winnowing_lines": OP5_SQL,
+    "op10_recompression_dedup": OP10_SQL,
 }

@@ -184,3 +184,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, keep: list[str], window
 def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     return remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], digest=True)
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT u, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM (SELECT u, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+cov AS (SELECT DISTINCT u, unnest(range(i, i + 35)) AS p FROM win JOIN rep USING (h)),
+x AS (SELECT u, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT x.u, count(cov.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (cov.p IS NULL) AS kept FROM x LEFT JOIN cov ON x.u = cov.u AND x.p = cov.p GROUP BY x.u)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (u)
+"""
