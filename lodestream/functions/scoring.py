@@ -64,6 +64,11 @@ def level(value: Column, warning: float, critical: float, higher_is_worse: bool
     return F.when(value < critical, "critical").when(value < warning, "warning").otherwise("ok")
 
 
+def error_level(value: Column, warning: Column, critical: Column) -> Column:
+    """ok, warning or critical of an error share: a threshold itself is still the better level."""
+    return F.when(value > critical, "critical").when(value > warning, "warning").otherwise("ok")
+
+
 def readiness(freshness: Column, quality: Column, quarantined: Column) -> Column:
     return F.when(quarantined, "blocked").when((freshness == "stale") | (quality == "critical"), "blocked").when((freshness == "aging") | (quality == "warning"), "degraded").otherwise("ready")
 

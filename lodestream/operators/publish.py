@@ -62,9 +62,9 @@ def lane_health(runs: DataFrame, at: Column, fresh_hours: float, aging_hours: fl
 
 
 def rate_check(rows: DataFrame, key: str, failed: Column, warning: float, critical: float) -> DataFrame:
-    """Share of failed rows by key, and its level."""
+    """Share of failed rows by key, and its level; a threshold itself is still the better level."""
     out = rows.groupBy(key).agg(F.avg(F.when(failed, 1.0).otherwise(0.0)).alias("rate"), F.count("*").alias("n"))
-    return out.withColumn("level", S.level(F.col("rate"), warning, critical))
+    return out.withColumn("level", S.error_level(F.col("rate"), F.lit(warning), F.lit(critical)))
 
 
 def coverage_drift(counts: DataFrame, expected: DataFrame, least: int) -> DataFrame:

@@ -169,7 +169,7 @@ def lane_health(spark, d):
     return P.lane_health(runs, F.lit("2001-08-10").cast("timestamp_ntz"), 400.0, 2000.0, 0.67, 0.5, 10)
 
 
-@query("SELECT o_orderpriority AS lane, round(avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0 END), 6) AS rate, count(*) AS n, CASE WHEN avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0 END) >= 0.5 THEN 'critical' WHEN avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0 END) >= 0.33 THEN 'warning' ELSE 'ok' END AS level FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority AS lane, round(avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0 END), 6) AS rate, count(*) AS n, CASE WHEN avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0 END) > 0.5 THEN 'critical' WHEN avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0 END) > 0.33 THEN 'warning' ELSE 'ok' END AS level FROM orders GROUP BY 1")
 def lane_failure_rate(spark, d):
     return P.rate_check(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "lane"), "lane", F.col("o_orderstatus") == "P", 0.33, 0.5).select("lane", F.round("rate", 6).alias("rate"), "n", "level")
 
