@@ -86,7 +86,7 @@ def patent_families(spark, d):
 
 
 @query(r"""WITH p AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS record_id, CASE WHEN l_linenumber % 2 = 0 THEN 'openalex' ELSE 'arxiv' END AS source, CASE WHEN l_orderkey % 3 = 0 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'https://doi.org/10.1/X' ELSE '10.1/x' END || CAST(l_partkey AS VARCHAR) END AS doi, CASE WHEN l_orderkey % 3 = 1 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'a' END || CAST(l_suppkey AS VARCHAR) END AS arxiv_id, CAST(l_quantity AS BIGINT) % 4 AS n_institutions FROM lineitem),
-r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN doi <> '' THEN 'doi:' || regexp_replace(lower(trim(doi)), '^(https?://(dx\.)?doi\.org/|doi:)', '') WHEN arxiv_id <> '' THEN 'arxiv:' || lower(arxiv_id) ELSE source || ':' || record_id END ORDER BY source = 'openalex' DESC, n_institutions DESC, record_id DESC) AS n FROM p)
+r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN doi <> '' THEN 'doi:' || regexp_replace(lower(trim(doi)), '^https://doi\.org/', '') WHEN arxiv_id <> '' THEN 'arxiv:' || lower(arxiv_id) ELSE source || ':' || record_id END ORDER BY source = 'openalex' DESC, n_institutions DESC, record_id DESC) AS n FROM p)
 SELECT record_id, source, n_institutions FROM r WHERE n = 1""")
 def research_records(spark, d):
     even = F.col("l_linenumber") % 2 == 0
