@@ -30,16 +30,19 @@ def buckets(docs: DataFrame, key: str, time: str = "ts") -> DataFrame:
 
 
 def surges(bucketed: DataFrame, at: Column, key: str) -> DataFrame:
-    """Rate of the last 30 minutes against the buckets of the 6 hours before; empty buckets don't count."""
+    """Rate of the last 30 minutes against the buckets of the 6 hours before; empty buckets don't count.
+
+    A surge needs ``SURGE_DOCS`` documents in all buckets of the key, not only in the recent ones.
+    """
     age = (F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("bucket_start").cast("timestamp"))) / F.lit(60_000_000.0)
     recent, past = (age >= 0) & (age <= 30), (age > 30) & (age <= 360)
     rate = F.col("doc_count") * 12.0
-    rows = bucketed.groupBy(key).agg(F.sum(F.when(recent, F.col("doc_count")).otherwise(0)).alias("recent_docs"), F.avg(F.when(past, rate)).alias("base_rate"), F.stddev_pop(F.when(past, rate)).alias("base_spread"), F.count(F.when(past, 1)).alias("base_buckets"))
+    rows = bucketed.groupBy(key).agg(F.sum("doc_count").alias("total_docs"), F.sum(F.when(recent, F.col("doc_count")).otherwise(0)).alias("recent_docs"), F.coalesce(F.avg(F.when(past, rate)), F.lit(0.0)).alias("base_rate"), F.stddev_pop(F.when(past, rate)).alias("base_spread"), F.count(F.when(past, 1)).alias("base_buckets"))
     rows = rows.withColumn("rate_per_hour", F.col("recent_docs") * 2.0)
     z = F.when((F.col("base_buckets") > 1) & (F.col("base_spread") > 1e-9), (F.col("rate_per_hour") - F.col("base_rate")) / F.col("base_spread")).otherwise(0.0)
     uplift = F.when(F.col("base_rate") > 0, F.col("rate_per_hour") / F.col("base_rate")).otherwise(0.0)
     rows = rows.withColumns({"z": z, "uplift": uplift})
-    return rows.withColumn("triggered", (F.col("recent_docs") >= SURGE_DOCS) & (F.col("rate_per_hour") >= SURGE_RATE) & ((F.col("z") >= SURGE_Z) | (F.col("uplift") >= SURGE_UPLIFT)))
+    return rows.withColumn("triggered", (F.col("total_docs") >= SURGE_DOCS) & (F.col("rate_per_hour") >= SURGE_RATE) & ((F.col("z") >= SURGE_Z) | (F.col("uplift") >= SURGE_UPLIFT)))
 
 
 def breakouts(docs: DataFrame, key: str) -> DataFrame:

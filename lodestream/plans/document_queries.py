@@ -28,7 +28,7 @@ def dedupe_exact(spark, d):
 
 @query(rf"""WITH w AS (SELECT doc_id, text, source, list_sort({_WORDS.format('text')}) AS ws FROM documents),
 s AS (SELECT doc_id, text, source, len(ws) AS n, coalesce((SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(ws) AS x) GROUP BY x)), 0) AS best FROM w)
-SELECT doc_id, round(least(1.0, CASE WHEN length(text) < 20 THEN 0.2 ELSE 0 END + CASE WHEN upper(text) = text AND lower(text) <> text AND length(text) > 20 THEN 0.15 ELSE 0 END + CASE WHEN best::DOUBLE / n > 0.3 AND n > 10 THEN 0.2 ELSE 0 END), 4) AS spam_score FROM s""")
+SELECT doc_id, CAST(round(least(1.0, CASE WHEN length(text) < 20 THEN 0.2 ELSE 0 END + CASE WHEN upper(text) = text AND lower(text) <> text AND length(text) > 20 THEN 0.15 ELSE 0 END + CASE WHEN best::DOUBLE / n > 0.3 AND n > 10 THEN 0.2 ELSE 0 END), 4) AS DOUBLE) AS spam_score FROM s""")
 def spam_score(spark, d):
     t = table(spark, d, "documents")
     return t.select("doc_id", F.round(X.spam_score(F.col("text"), F.lit(0), F.col("source"), F.lit(None).cast("int"), F.lit(0), F.lit(False)), 4).alias("spam_score"))

@@ -147,9 +147,9 @@ _MIN = f"(epoch_us(TIMESTAMP '{AT}') - epoch_us(bucket_start)) / 60000000.0"
 
 
 @query(f"""WITH {BUCKETS}, a AS (SELECT *, {_MIN} AS age FROM buckets),
-r AS (SELECT theme_id, coalesce(sum(doc_count) FILTER (age BETWEEN 0 AND 30), 0) AS recent_docs, avg(doc_count * 12.0) FILTER (age > 30 AND age <= 360) AS base_rate, stddev_pop(doc_count * 12.0) FILTER (age > 30 AND age <= 360) AS spread, count(*) FILTER (age > 30 AND age <= 360) AS n FROM a GROUP BY 1),
+r AS (SELECT theme_id, sum(doc_count) AS total_docs, coalesce(sum(doc_count) FILTER (age BETWEEN 0 AND 30), 0) AS recent_docs, coalesce(avg(doc_count * 12.0) FILTER (age > 30 AND age <= 360), 0.0) AS base_rate, stddev_pop(doc_count * 12.0) FILTER (age > 30 AND age <= 360) AS spread, count(*) FILTER (age > 30 AND age <= 360) AS n FROM a GROUP BY 1),
 z AS (SELECT *, recent_docs * 2.0 AS rate, CASE WHEN n > 1 AND spread > 1e-9 THEN (recent_docs * 2.0 - base_rate) / spread ELSE 0.0 END AS z, CASE WHEN base_rate > 0 THEN recent_docs * 2.0 / base_rate ELSE 0.0 END AS uplift FROM r)
-SELECT theme_id, CAST(recent_docs AS BIGINT) AS recent_docs, rate AS rate_per_hour, round(base_rate, 4) AS base_rate, round(z, 4) AS z, round(uplift, 4) AS uplift, recent_docs >= 8 AND rate >= 6 AND (z >= 3 OR uplift >= 2.5) AS triggered FROM z""")
+SELECT theme_id, CAST(recent_docs AS BIGINT) AS recent_docs, CAST(rate AS DOUBLE) AS rate_per_hour, round(base_rate, 4) AS base_rate, round(z, 4) AS z, round(uplift, 4) AS uplift, total_docs >= 8 AND rate >= 6 AND (z >= 3 OR uplift >= 2.5) AS triggered FROM z""")
 def narrative_surge(spark, d):
     out = N.surges(N.buckets(signals(spark, d), "theme_id"), F.lit(AT).cast("timestamp_ntz"), "theme_id")
     return out.select("theme_id", "recent_docs", "rate_per_hour", *[F.round(c, 4).alias(c) for c in ("base_rate", "z", "uplift")], "triggered")
