@@ -15,6 +15,10 @@ A null text has size 1 and crc32 0.  Equal rows are interchangeable.  A row with
 a null place of origin belongs to old shard 0.  An empty table gives no rows.
 Documents with equal texts may lie in different shards: a group of copies may be
 larger than a shard.
+
+Rows are told apart by ``row_id``, a column of docs or else their place in it, so
+null and repeated ids are rows like others.  Whoever rewrites an input that isn't
+files numbers it first (``numbered``).
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from .storage import table
 SHARDS, OLD_SHARDS = 8, 6
 #: Hash cells of a size class; rows of all bytes that the second flow places.
 CELLS, RESERVE = 64, 0.05
+ROW = "row_id"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[float]]) -> list[list[int]]:
@@ -88,10 +93,19 @@ def _placed(at: Column, cuts: list[tuple[int, int, int, int]]) -> Column:
     return found
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    return docs if ROW in docs.columns else docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with row_id, written once: the same rows have the same row_id each time it is read."""
+    return table(_with_row(docs))
+
+
 def reshard(docs: DataFrame, old_shard: Column, n_new: int, n_old: int, id_col: str = "doc_id", capacity: list[int] | None = None, cost: list[list[float]] | None = None) -> DataFrame:
-    """id_col, size, text_crc32, old_shard, shard, slot for each row of docs (id_col, text)."""
+    """id_col, row_id, size, text_crc32, old_shard, shard, slot for each row of docs (id_col, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"))
+    sized = _with_row(docs).select(ROW, F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"))
     celled = sized.withColumns({"size_class": F.floor(F.log2("size") * 4).cast("int"), "cell": F.pmod(F.xxhash64("id", "text_crc32"), F.lit(CELLS)).cast("int")})
     inside = W.partitionBy("old_shard", "size_class", "cell").orderBy(F.desc("size"), "id", "text_crc32")
     ranked = table(celled.withColumns({"rn": F.row_number().over(inside), "bytes_before": F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1))}).fillna({"bytes_before": 0}))
@@ -130,19 +144,36 @@ def reshard(docs: DataFrame, old_shard: Column, n_new: int, n_old: int, id_col:
         room[j] += max(0, lack) // n_new + (j < max(0, lack) % n_new)
     second = min_cost_flow(small, room, cost)
     shard = F.when(small_col, _placed(F.col("at"), _cuts(second))).otherwise(_placed(F.col("at"), _cuts(first)))
-    placed = lined.select("id", "size", "text_crc32", "old_shard", "size_class", "cell", "rn", shard.alias("shard"))
+    placed = lined.select(ROW, "id", "size", "text_crc32", "old_shard", "size_class", "cell", "rn", shard.alias("shard"))
     starts = placed.groupBy("shard", "old_shard", "size_class", "cell").agg(F.count("*").alias("n"), F.min("rn").alias("rn0"))
     before = W.partitionBy("shard").orderBy("old_shard", F.desc("size_class"), "cell").rowsBetween(W.unboundedPreceding, -1)
     starts = starts.select("shard", "old_shard", "size_class", "cell", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("rn0")).alias("slot0"))
-    return placed.join(F.broadcast(starts), ["shard", "old_shard", "size_class", "cell"]).select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", (F.col("slot0") + F.col("rn")).cast("long").alias("slot"))
+    return placed.join(F.broadcast(starts), ["shard", "old_shard", "size_class", "cell"]).select(F.col("id").alias(id_col), ROW, "size", "text_crc32", "old_shard", "shard", (F.col("slot0") + F.col("rn")).cast("long").alias("slot"))
 
 
 def rewrite_affected(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes anew, under path, the new shards that gain or lose rows; a shard whose rows all stay is left as it is."""
+    """Writes anew, under path, the new shards that gain or lose rows, and deletes those that end with none; a shard whose rows all stay is left as it is.
+
+    docs gives the rows that reshard had, by row_id; a row that differs from its
+    assignment stops the job before anything is replaced.
+    """
+    spark = docs.sparkSession
     moved = assigned.filter("shard <> old_shard")
-    touched = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    rows = assigned.join(F.broadcast(touched), "shard", "left_semi").select(id_col, "shard", "slot")
-    docs.join(rows, id_col).repartition("shard", F.pmod("slot", F.lit(64))).sortWithinPartitions("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    touched = {r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()}
+    if not touched:
+        return
+    rows = assigned.filter(F.col("shard").isin(*touched)).select(ROW, "shard", "slot", F.col(id_col).alias("_id"), "size", "text_crc32").withColumnsRenamed({"size": "_size", "text_crc32": "_crc32"})
+    filled = {r[0] for r in rows.select("shard").distinct().collect()}
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    same = F.col("_found") & F.col("_id").eqNullSafe(F.col(id_col)) & (F.col("_size") == F.octet_length(text) + 1) & (F.col("_crc32") == F.crc32(text.cast("binary")))
+    slot = F.when(F.coalesce(same, F.lit(False)), F.col("slot")).otherwise(F.raise_error("the rows of docs aren't those that were assigned: number them first").cast("long"))
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    whole = rows.join(_with_row(docs).select(*[f"`{c}`" for c in dict.fromkeys([*names, ROW])], F.lit(True).alias("_found")), ROW, "left").withColumn("slot", slot)
+    whole.select(*[f"`{c}`" for c in names], "shard", "slot").repartition("shard", F.pmod("slot", F.lit(64))).sortWithinPartitions("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for k in touched - filled:  # a dynamic overwrite replaces partitions that get rows only
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={k}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def op7_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:

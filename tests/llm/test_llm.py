@@ -198,6 +198,25 @@ def test_rewrite_of_affected_shards(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/shards").count() == 40
 
 
+def test_rewrite_keeps_every_row_and_empties_old_shards(spark, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    rows = [(None if k % 7 == 0 else k // 3, None if k == 14 else f"text {k} " * (k % 5 + 1), k % 4) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(path)
+    docs = resharding.numbered(spark.read.parquet(path))
+    resharding.rewrite_affected(docs.drop("shard"), resharding.reshard(docs, F.col("shard"), 2, 4), path)
+    out = spark.read.parquet(path)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, (r[:2] for r in rows)))
+    assert {r["shard"] for r in out.select("shard").collect()} == {0, 1} and out.select("shard", "slot").distinct().count() == 60
+
+
+def test_rewrite_stops_where_rows_are_others(spark, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(20)], "doc_id long, text string").coalesce(1)
+    placed = resharding.reshard(docs, F.lit(0), 2, 1)
+    with pytest.raises(Exception, match="number them first"):
+        resharding.rewrite_affected(docs.orderBy(F.desc("doc_id")).coalesce(1), placed, path)
+
+
 def test_quality_counts(spark, odd):
     got = {r["uid"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_repeat_words"]) for r in quality.score(odd, ["uid"]).collect()}
     for row in odd_rows():
