@@ -10,8 +10,11 @@ fail before any comparison.
 References are sums over all documents with a language that pass the base rules,
 gathered in one pass: 9 character classes and 2^13 hashed word buckets per
 language, of which the ``COMMON`` fullest are the common words.  What a task
-holds and what the driver gets depends on the number of languages only; languages
-with fewer than ``MIN_DOCS`` documents give no reference.
+holds and what the driver gets depends on the number of languages only.  Every
+language with a document gives a reference, however few there are.  A reference of
+d documents and m items is itself a sample: against their own language's, documents
+are granted ``GUARD * (bins - 1) / m`` more and limits wider by 1 / d.  Documents of
+other languages are not, so a small reference lets nothing foreign pass.
 
 Null text: no words, base_failed.  Null lang: not in a reference, judged like
 others.  Without any reference (an empty table, no languages) the base rules
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .textops import LOWER, NEWLINE, SPACE, U64, Words, mix, row_key, shingles, slices, sums
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-BUCKETS, COMMON, MIN_DOCS = 1 << 13, 32, 20
+BUCKETS, COMMON = 1 << 13, 32
 CHAR_LIMIT, WORD_LIMIT, GUARD = 0.06, 0.20, 0.5
 SYMBOLS = b"#*$%&|<>"
 
@@ -116,12 +119,12 @@ def reference_sums(batches):
 
 
 def references(docs: DataFrame):
-    """[(lang, class shares, common buckets, their shares and at last the rest's)], by lang."""
+    """[(lang, class shares, common buckets, their shares and at last the rest's, (documents, characters, words))], by lang."""
     found = docs.select("lang", "text").mapInArrow(reference_sums, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     lang = W.partitionBy("lang")
     found = found.withColumns({"docs": F.max(F.when(F.col("feature") == -100, F.col("n"))).over(lang), "words": F.sum(F.when(F.col("feature") >= 0, F.col("n"))).over(lang)})
     top = F.row_number().over(lang.orderBy(F.col("feature") < 0, F.desc("n"), "feature"))
-    rows = found.withColumn("place", top).filter((F.col("docs") >= MIN_DOCS) & ((F.col("place") <= COMMON) | F.col("feature").between(-N_CLASSES, -1))).collect()
+    rows = found.withColumn("place", top).filter(((F.col("place") <= COMMON) & (F.col("feature") >= 0)) | F.col("feature").between(-N_CLASSES, -1)).collect()
     out = []
     for name in sorted({r.lang for r in rows}):
         classes = np.zeros(N_CLASSES)
@@ -130,7 +133,8 @@ def references(docs: DataFrame):
                 classes[-1 - r.feature] = r.n
         common = sorted((r.feature, r.n / r.words) for r in rows if r.lang == name and r.feature >= 0)
         shares = np.array([x for _, x in common])
-        out.append((name, classes / classes.sum(), np.array([b for b, _ in common]), np.append(shares, max(0.0, 1 - shares.sum()))))
+        size = next((r.docs, int(classes.sum()), r.words) for r in rows if r.lang == name)
+        out.append((name, classes / classes.sum(), np.array([b for b, _ in common]), np.append(shares, max(0.0, 1 - shares.sum())), size))
     return out
 
 
@@ -143,19 +147,21 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.clip((a + b) / 2, 0, 1)
 
 
-def divergences(refs, words, bucket, classes, rows):
+def divergences(refs, words, bucket, classes, rows, langs):
     """By row: least of the languages' worst excess over its limit, that language, its two divergences."""
     n_chars = np.maximum(classes.sum(axis=1), 1)
     n_words = np.maximum(words.counts, 1)
     best, which = np.full(rows, np.inf), np.full(rows, -1)
     char_js, word_js = np.full(rows, np.nan), np.full(rows, np.nan)
-    for k, (_, ref_classes, common, shares) in enumerate(refs):
+    for k, (name, ref_classes, common, shares, (ref_docs, ref_chars, ref_words)) in enumerate(refs):
+        own = (langs == name).astype(float)
         place = np.full(BUCKETS, len(common))
         place[common] = np.arange(len(common))
         hist = np.bincount(words.row * (len(common) + 1) + place[bucket], minlength=rows * (len(common) + 1)).reshape(rows, -1)
         c = jensen_shannon(classes / n_chars[:, None], ref_classes)
         w = jensen_shannon(hist / n_words[:, None], shares)
-        over = np.maximum((c - GUARD * (N_CLASSES - 1) / n_chars) / CHAR_LIMIT, (w - GUARD * len(common) / n_words) / WORD_LIMIT)
+        wider = 1 + own / ref_docs
+        over = np.maximum((c - GUARD * (N_CLASSES - 1) * (1 / n_chars + own / ref_chars)) / (CHAR_LIMIT * wider), (w - GUARD * len(common) * (1 / n_words + own / ref_words)) / (WORD_LIMIT * wider))
         better = over < best
         best, which = np.where(better, over, best), np.where(better, k, which)
         char_js, word_js = np.where(better, c, char_js), np.where(better, w, word_js)
@@ -166,18 +172,18 @@ QUALITY = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def score(docs: DataFrame, keep: list[str], refs=None) -> DataFrame:
-    """The columns keep of docs (but for clashing names) and QUALITY's; docs has text and, to learn references where none are given, lang."""
+    """The columns keep of docs (but for clashing names) and QUALITY's; docs has text and, to learn references where none are given and to know a document's own, lang."""
     refs = references(docs) if refs is None else refs
     names = np.array([r[0] for r in refs] + [None], dtype=object)
     keep = [c for c in keep if c not in {x.split()[0] for x in QUALITY.split(", ")}]
-    base = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
+    base = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text", (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"))
 
     def judge(batches):
         for rows, data, off in slices(batches):
             words, word_chars, n_symbols, n_dup, n_repeat, classes = base_counts(data, off)
             failed = _failed(words.counts, n_repeat)
             folded, bucket = _buckets(data, off)
-            best, which, c, w = divergences(refs, folded, bucket, classes, rows.num_rows)
+            best, which, c, w = divergences(refs, folded, bucket, classes, rows.num_rows, np.array(rows.column("lang").to_pylist(), dtype=object))
             kept = ~failed & ((best <= 1) | (not refs))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("kept_columns"), *(pa.array(x, pa.int64()) for x in (words.counts, word_chars, n_symbols, n_dup, n_repeat)), pa.array(failed), pa.array(kept), pa.array(names[which].tolist(), pa.string()), pa.array(c), pa.array(w)],

@@ -233,6 +233,18 @@ def test_quality_verdicts(spark):
     assert rate[1] >= 0.995 and rate[0] <= 0.4
 
 
+def test_quality_of_a_rare_language(spark):
+    rng = random.Random(8)
+
+    def text(prefix, n=400):
+        return " ".join(f"{prefix}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in rng.choices(range(300), [1 / (k + 5) for k in range(300)], k=n))
+
+    for often in (5, 40):  # no switch by size
+        rows = [(k, text("e"), "en") for k in range(often)] + [(100 + k, text("x"), "xx") for k in range(3)] + [(200, text("q"), "en" if often == 40 else None), (300, text("y"), "yy"), (400, " ".join("abcdefghijklmnopqrst"[rng.randrange(20)] for _ in range(60)), "zz")]
+        kept = {r["doc_id"] for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"]).filter("kept").collect()}
+        assert kept == {r[0] for r in rows} - {200}
+
+
 def test_lattice_sums_all_segmentations():
     spelled, logp = lm_scoring.pieces(lm_scoring.VOCABULARY)
     lattice = lm_scoring.Lattice(spelled, logp)
