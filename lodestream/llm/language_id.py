@@ -5,7 +5,12 @@ A text becomes a vector of hashed 1- to 3-byte grams of its lower-cased letters
 language has several centroids (spherical k-means over its training vectors); the
 nearest by cosine names the language.  A text is rejected (``rejected``) when its
 distance 1 - cosine exceeds what its language's training texts of that length
-class show, with slack.
+class show, with slack.  Where a class has fewer than ``LEAST`` of them, the limit is
+pooled: over the language's neighbouring classes, or else over all languages, cosines
+taken as shares of what is usual at their length (but a text that is shorter than the
+class and of the same language at its own distance).  Texts of a language with few
+in all are compared with centroids of its other texts, as centroids of few texts fit
+those too well, and its limit is wider by how far they then lie off.
 
 The fit is on a bounded sample of labelled rows: about ``FIT_DOCS`` documents in
 all, equal shares for each language, chosen by a hash of the id; only the sample's
@@ -26,7 +31,7 @@ from .textops import LOWER, slices
 
 DIMS, CLUSTERS, FIT_DOCS, ROUNDS = 4096, 4, 3200, 8
 #: Rejected beyond SLACK times the distance that 99.5 of 100 training texts of the language and length class keep.
-SLACK = 1.12
+SLACK, TAIL, LEAST = 1.12, 0.995, 30
 LENGTHS = np.array([40, 160, 640, 2560])
 
 _FOLD = LOWER.copy()
@@ -82,6 +87,74 @@ def clustered(v: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def usual_distances(far: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """By length class, the median distance over all languages.
+
+    Where texts are few, a longer text lies no farther off than a shorter one, and the
+    cosine falls with the root of the length at most (classes are of fourfold length).
+    """
+    usual = np.full(len(LENGTHS) + 1, np.nan)
+    for c in range(len(usual)):
+        if (length == c).sum() >= LEAST:
+            usual[c] = np.median(far[length == c])
+    if np.isnan(usual).all():
+        usual[np.bincount(length).argmax()] = np.median(far)
+    for c in range(1, len(usual)):
+        if np.isnan(usual[c]):
+            usual[c] = usual[c - 1]
+    for c in range(len(usual) - 2, -1, -1):
+        if np.isnan(usual[c]):
+            usual[c] = 1 - (1 - usual[c + 1]) / 2
+    return usual
+
+
+def _unseen(v: np.ndarray) -> np.ndarray:
+    """Distances of a language's texts from centroids of its other texts."""
+    folds = np.arange(len(v)) % min(5, len(v))
+    out = np.empty(len(v))
+    for f in range(folds.max() + 1):
+        out[folds == f] = 1 - (v[folds == f] @ clustered(v[folds != f], CLUSTERS).T).max(axis=1)
+    return out
+
+
+def distance_limits(v: np.ndarray, of: np.ndarray, length: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    """Limits by language and length class from the sample's vectors, languages and classes; 1 where no distance is known."""
+    limits, far = np.ones((len(groups), len(LENGTHS) + 1)), np.full(len(v), np.nan)
+    for k, g in enumerate(groups):
+        mine = v[of == k]
+        if len(mine) > 1:
+            far[of == k] = 1 - (mine @ g.T).max(axis=1) if len(mine) >= LEAST else _unseen(mine)
+    known = ~np.isnan(far)
+    if not known.any():
+        return limits
+    usual = usual_distances(far[known], length[known])
+    share = (1 - far) / np.maximum(1 - usual[length], 1e-6)
+    for k in range(len(groups)):
+        mine, beyond = of == k, 0.0
+        for c in range(len(usual) - 1, -1, -1):
+            here = mine & (length == c)
+            if here.sum() >= LEAST:  # a shorter text may lie as far off as a longer one
+                limits[k, c] = beyond = max(beyond, min(1.0, np.quantile(far[here], TAIL) * SLACK))
+                continue
+            near = next((n for w in range(1, len(usual)) if (n := mine & (abs(length - c) <= w)).sum() >= LEAST), None)
+            if near is None:
+                least = np.quantile(share[known], 1 - TAIL) * _closeness(v, of, length, usual, share, k)
+                pooled = 1 - (1 - usual[c]) * least
+            else:  # a shorter text's distance counts as it is, a longer one's is scaled
+                pooled = np.quantile(np.where(length[near] <= c, far[near], 1 - (1 - usual[c]) * share[near]), TAIL)
+            limits[k, c] = max(beyond, min(1.0, pooled * SLACK))
+    return limits
+
+
+def _closeness(v, of, length, usual, share, k: int) -> float:
+    """The share of the usual cosine that unseen texts of a language with few keep, 1 at most; for a single text, what other languages' texts keep to one of theirs."""
+    mine = np.flatnonzero(of == k)
+    if len(mine) > 1:
+        return min(1.0, float(np.median(share[mine])))
+    others = [x for j in range(of.max() + 1) if len(x := np.flatnonzero(of == j)) > 1]
+    return min(1.0, float(np.median(np.concatenate([v[x[1:]] @ v[x[0]] / np.maximum(1 - usual[length[x[1:]]], 1e-6) for x in others]))))
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", n_docs: int = FIT_DOCS) -> dict:
     """Model from the rows of labelled (id, text, lang) with a text and a language."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), "text").filter("lang is not null and text is not null")
@@ -102,14 +175,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", n_d
     names = sorted(set(langs))
     groups = [clustered(v[langs == x], CLUSTERS) for x in names]
     centroids, of = np.concatenate(groups), np.repeat(np.arange(len(names)), [len(g) for g in groups])
-    limits = np.ones((len(names), len(LENGTHS) + 1))
     length = np.searchsorted(LENGTHS, size)
-    for k, x in enumerate(names):
-        far = 1 - (v[langs == x] @ groups[k].T).max(axis=1)
-        for c in range(len(LENGTHS), -1, -1):
-            mine = far[length[langs == x] == c]
-            limits[k, c] = min(1.0, np.quantile(mine, 0.995) * SLACK) if len(mine) >= 30 else (1.0 if c < 2 or c == len(LENGTHS) else limits[k, c + 1])
-        limits[k] = np.maximum.accumulate(limits[k][::-1])[::-1]  # a shorter text may lie as far off as a longer one
+    limits = distance_limits(v, np.searchsorted(names, langs), length, groups)
     return model | {"langs": names, "centroids": centroids.astype(np.float32), "of": of, "idf": idf, "limits": limits}
 
 

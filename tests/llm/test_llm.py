@@ -161,6 +161,25 @@ def test_language_accuracy(spark):
     assert out.filter("lang = lang_pred").count() >= 0.95 * out.count()
 
 
+@pytest.mark.parametrize("n_long", [0, 1, 10])
+def test_rejection_where_long_texts_are_few(spark, n_long):
+    rng = random.Random(n_long)
+
+    def text(letters, n):
+        known = random.Random(letters)
+        vocabulary = ["".join(known.choice(letters) for _ in range(known.randrange(2, 9))) for _ in range(150)]
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    a, b = "abcdefghijklm", "nopqrstuvwxyz"
+    rows = [(k, text(a, rng.choice((60, 700))), "aa") for k in range(200)] + [(1000 + k, text(b, 60), "bb") for k in range(200)] + [(2000 + k, text(b, 700), "bb") for k in range(n_long)]
+    rows += [(3000 + k, text("aeimquy", 700), "cc") for k in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = [(k, text(b, 700)) for k in range(20)] + [(100 + k, " ".join("".join(rng.choice(b) for _ in range(6)) for _ in range(600))) for k in range(20)] + [(200 + k, text("aeimquy", 700)) for k in range(5)]
+    out = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(new, "doc_id long, text string"), model, ["doc_id"]).collect()}
+    assert {r["lang_pred"] for k, r in out.items() if k < 200} == {"bb"}
+    assert {k for k, r in out.items() if r["rejected"]} == set(range(100, 120))
+
+
 def test_toxicity_accuracy(spark):
     sf = SF.replace("0.001", "0.1")
     out = queries.QUERIES["op2_segment_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
