@@ -10,6 +10,10 @@ all but its first occurrence, in the order of (id, place in the input, line),
 are deleted.  Deleted runs that touch or overlap join to longer ones, so a later
 repeat of any length from t on goes as a whole.
 
+With ``lone`` words given, a line of that many words or more is a run of its own
+(t = 1), under a name that no other run has, and so is the whole of a document of
+fewer than t lines: every one is a fingerprint, whatever its neighbours are.
+
 Null or empty text: no lines, unchanged.  Lines without a word are no part of a
 run and stay.  A null id comes after all others.  Repeated rows are copies of
 each other: the first keeps its lines.  Other columns pass by ``keep``; columns
@@ -26,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange as X
 from .storage import pinned
-from .textops import NEWLINE, SPACE, U64, Words, shingles, slices
+from .textops import NEWLINE, SPACE, U64, Words, mix, shingles, slices
 
 WINDOW, GRAM = 2, 1
+#: Added to the place of a run of a single line; a document has fewer lines.
+SINGLE = 1 << 30
 
 
 def _lines(data, off):
@@ -56,13 +62,26 @@ def winnow(row, value, window: int, gram: int):
     return start, place, prints
 
 
-def fingerprints(batches, n_buckets: int, window: int, gram: int):
+def single(data, off, begin, end, row, value, first, t: int, lone: int | None):
+    """(lines that are runs of their own, their names)."""
+    if lone is None:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    filled, border = ~SPACE[data], np.zeros(len(data) + 1, bool)
+    border[off] = True  # a word doesn't cross rows
+    starts = np.concatenate(([0], np.cumsum(filled & (border[:-1] | ~np.concatenate(([False], filled[:-1]))))))
+    n_words = starts[end] - starts[begin]
+    at = np.flatnonzero((n_words >= lone) | (np.diff(first)[row] < t))
+    return at, mix(value[at] + U64(11))
+
+
+def fingerprints(batches, n_buckets: int, window: int, gram: int, lone: int | None):
     pack = X.Repeats(n_buckets)
     for rows, data, off in slices(batches):
-        _, _, row, value, _ = _lines(data, off)
+        begin, end, row, value, first = _lines(data, off)
         _, place, prints = winnow(row, value, window, gram)
         one = np.unique(place)
-        name, of = prints[one], row[one]
+        alone, alone_name = single(data, off, begin, end, row, value, first, window + gram - 1, lone)
+        name, of = np.concatenate((prints[one], alone_name)), np.concatenate((row[one], row[alone]))
         order = np.lexsort((name, of))
         name, of = name[order], of[order]
         same = np.zeros(len(name), bool)
@@ -74,31 +93,37 @@ def fingerprints(batches, n_buckets: int, window: int, gram: int):
     yield X.packed_batch(pack.rows())
 
 
-def runs(batches, n_buckets: int, window: int, gram: int):
-    """Packed runs of t lines around repeated fingerprints."""
+def runs(batches, n_buckets: int, window: int, gram: int, lone: int | None):
+    """Packed runs of t lines around repeated fingerprints, and repeated single lines."""
     pack = X.Laters(n_buckets)
     for rows, data, off in slices(batches):
-        _, _, row, value, first = _lines(data, off)
+        begin, end, row, value, first = _lines(data, off)
         start, place, prints = winnow(row, value, window, gram)
         known, of = X.lists(rows.column("hits"))
-        ok = np.isin(X.row_key(row[place], prints[place]), X.row_key(of, known))
+        told = X.row_key(of, known)
+        ok = np.isin(X.row_key(row[place], prints[place]), told)
         start = start[ok]
         r = row[start]
-        pack.add(shingles(value, window + gram - 1)[start], rows.column("uid").to_numpy()[r], rows.column("rank").to_numpy()[r], (start - first[r]).astype(np.int32))
+        name, at = shingles(value, window + gram - 1)[start], start - first[r]
+        alone, alone_name = single(data, off, begin, end, row, value, first, window + gram - 1, lone)
+        ok = np.isin(X.row_key(row[alone], alone_name), told)
+        alone = alone[ok]
+        name, at, r = np.concatenate((name, alone_name[ok])), np.concatenate((at, alone - first[row[alone]] + SINGLE)), np.concatenate((r, row[alone]))
+        pack.add(name, rows.column("uid").to_numpy()[r], rows.column("rank").to_numpy()[r], at.astype(np.int32))
         if pack.full():
             yield X.packed_batch(pack.rows())
     yield X.packed_batch(pack.rows())
 
 
-def remove_repeated_lines(spark: SparkSession, docs: DataFrame, keep: list[str], id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, keep: list[str], id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM, lone: int | None = None) -> DataFrame:
     """The columns keep of docs (id_col and text among its own), the remaining text, n_lines and n_removed (lines with a word)."""
     n, t = X.buckets(spark), window + gram - 1
     keep = [c for c in keep if c not in ("text", "n_lines", "n_removed")]
     docs = pinned(docs)
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     base = docs.select(F.monotonically_increasing_id().alias("uid"), rank.alias("rank"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
-    hits = X.told(X.meet(base.mapInArrow(lambda it: fingerprints(it, n, window, gram), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
-    found = X.meet(base.join(hits, "uid").mapInArrow(lambda it: runs(it, n, window, gram), X.PACKED), n)
+    hits = X.told(X.meet(base.mapInArrow(lambda it: fingerprints(it, n, window, gram, lone), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
+    found = X.meet(base.join(hits, "uid").mapInArrow(lambda it: runs(it, n, window, gram, lone), X.PACKED), n)
     places = X.told(found.mapInArrow(lambda it: X.Laters.answer(it, n), X.PACKED), n, np.int32)
 
     def strip(batches):
@@ -106,8 +131,10 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, keep: list[str],
             begin, end, row, _, first = _lines(data, off)
             place, of = X.lists(rows.column("hits"), np.int32)
             gone = np.zeros(len(row), bool)
+            alone = place >= SINGLE
+            gone[first[of[alone]] + place[alone] - SINGLE] = True
             for j in range(t):
-                gone[first[of] + place + j] = True
+                gone[first[of[~alone]] + place[~alone] + j] = True
             n_removed = np.bincount(row[gone], minlength=rows.num_rows) if len(row) else np.zeros(rows.num_rows, np.int64)
             texts = rows.column("text").to_pylist()
             raw = data.tobytes()

@@ -150,6 +150,38 @@ def test_lines_against_brute_force(spark, odd):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
+def test_single_lines_against_brute_force(spark):
+    rng = random.Random(6)
+    pool = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (1, 2, 7, 8, 9, 30, 60) for _ in range(4)] + [" " + " ".join(WORDS[:8]) + "  ", "ü " * 8]
+    rows = [(k if k % 9 else None, "\n".join(rng.choice([*pool, "", f"own {k} {j}", " ".join(f"n{k}.{j}.{i}" for i in range(9))]) for j in range(rng.choice((1, 1, 2, 5, 12))))) for k in range(120)]
+    rows += [(1000 + k, "a whole one-line text") for k in range(5)] + [(2000, "a whole one-line text\nand more"), (2001, "short"), (2002, None), (2003, "")]
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    got = line_dedup.remove_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), ["doc_id"], lone=8).collect()
+    seen, want = set(), []
+    for i, t in rows:
+        lines = [(k, ln) for k, ln in enumerate((t or "").split("\n")) if ln.strip(" \t\n\r\x0b\x0c")]
+        gone = set()
+        for a, b in itertools.pairwise(lines):
+            if (a[1], b[1]) in seen:
+                gone |= {a[0], b[0]}
+            seen.add((a[1], b[1]))
+        for k, ln in lines:
+            if len(ln.split()) >= 8 or len(lines) == 1:
+                if (ln,) in seen:
+                    gone.add(k)
+                seen.add((ln,))
+        want.append((i, len(lines), len(gone), None if t is None else "\n".join(ln for k, ln in enumerate(t.split("\n")) if k not in gone)))
+    assert sorted(map(str, ((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in got))) == sorted(map(str, want))
+
+
+def test_pipeline_drops_copies_of_one_line(spark):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(k, "one line", None, None, 8) for k in range(50)] + [(60, f"start\n{odd_rows()[0][1]}\nend", None, None, 1), (61, f"top\n{odd_rows()[0][1]}\nlast", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in P.fresh_lines(spark, docs, SF).collect()}
+    assert sorted(kept) == [0, 60, 61] and kept[61] == "top\nlast"
+
+
 def test_lines_keep_the_rest_of_the_text(spark):
     rows = [(1, "a a\nb b\nc c"), (2, "x\na a\nb b\n\ny"), (3, "a a\nb b"), (4, "a a\nq"), (5, None)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
