@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Spark's own setting: a finished query's shuffle files are deleted with it.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder spark.checkpoint.dir names; a local one only where the setting is unset (tests)."""
+    """The folder spark.checkpoint.dir names.  Where the setting is unset, local mode (tests) gets a folder of its own and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="lodestream-"))
         found = f"file://{_own[0]}"
@@ -21,15 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: computed once, lineage cut."""
+    """df, written as Parquet to the shared folder and read again: computed once, lineage cut.
+
+    What the computation shuffled is deleted with its end, as nothing reads it again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``table`` returned and nobody reads any more."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if f"/lodestream-{t.sparkSession.sparkContext.applicationId}/" in f"{folder}/":
+                _delete(t.sparkSession, folder)
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes this application's intermediate tables."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
