@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import table
+from .storage import discard, table
 
 
 def _mark(edges: DataFrame):
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        now = table(small)
+        last, now = now, table(small)
+        discard(last)
         before, mark = mark, _mark(now)
         if before == mark:
             break

@@ -2,9 +2,8 @@
 
 A task that knows many 64-bit keys packs them by target bucket into binary
 columns (eight bytes a key and little else), Spark shuffles the few wide rows by
-bucket, and the receiving task works on plain arrays.  ``buckets`` is taken from
-the session's shuffle partitions, so what one bucket holds stays near the
-session's partition size at any scale.  Lost executors cost only the shuffle
+bucket, and the receiving task works on plain arrays.  ``buckets`` grows with the
+input, so what one bucket holds stays the same at any scale.  Lost executors cost only the shuffle
 blocks they held: Spark recomputes them from the deterministic map side.
 """
 
@@ -14,16 +13,19 @@ import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .storage import input_bytes
 from .textops import U64, mix, powers, row_key
 
 __all__ = ["PACKED", "Laters", "Packer", "Repeats", "buckets", "by_owner", "inverse_powers_of", "lists", "meet", "packed_batch", "powers_of", "row_key", "told", "unpack"]
 PACKED = "bucket int, told boolean, n long, keys binary, owners binary, extra binary"
 FLUSH = 1_500_000
+BUCKET_BYTES = 16 << 20
 _SALT = U64(0xA24BAED4963EE407)
 
 
-def buckets(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(spark: SparkSession, docs: DataFrame) -> int:
+    """The session's shuffle partitions, and one at least for each BUCKET_BYTES of the input."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // BUCKET_BYTES))
 
 
 class Packer:

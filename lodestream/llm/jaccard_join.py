@@ -22,6 +22,9 @@ ties by different hashes.
    work grows with what is still undecided, and no task gets more than two blocks.
 5. Components of the verified links are the result.
 
+No set is ever stored: what documents hold is read from their texts again, which
+are a third as large.  A table is deleted when its last reader is done.
+
 Null or empty text: the empty set, linked with nothing.  Fewer than k words: one
 shingle of all words.  A null doc_id is greater than all others.  Repeated rows are
 linked documents.
@@ -35,11 +38,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange as X
 from .components import components
-from .storage import pinned, table
+from .storage import discard, numbered, table
 from .textops import LOWER, SPACE, U64, Words, mix, row_key, shingles, slices
 
 K, PERCENT = 3, 90
-SKETCH_BITS, PARTS, BLOCK = 20, 64, 128
+SKETCH_BITS, PARTS, BLOCK, SPREAD = 20, 64, 128, 32
 ORDERS = (0x1F123BB5, 0x5A17E9C3)
 
 
@@ -168,41 +171,24 @@ def _flags(row, value, n, rows, known: str, percent: int):
     return told, n - (-(-percent * n // 100)) + 1
 
 
-SETS = "uid long, s1 long, s2 long, size long, tokens binary, known binary"
+LEFT = "uid long, text string, known binary"
 
 
 def survivors(batches, k: int, percent: int):
-    """Sets of documents whose prefix isn't all foremost tokens that no other document has; known: their repeated foremost tokens."""
+    """Documents whose prefix isn't all foremost tokens that no other document has; known: their repeated foremost tokens."""
     for rows, data, off in slices(batches):
         row, value, n = shingle_sets(data, off, k)
         told, length = _flags(row, value, n, rows, "hits", percent)
         n_alone = np.bincount(row[_foremost(value, percent) & ~told], minlength=len(n))
-        some = np.flatnonzero((n > 0) & (n_alone < length))
-        cut = np.concatenate(([0], np.cumsum(n)))
-        both = [np.add.reduceat(np.append(mix(v), U64(0)), cut[:-1])[some].view(np.int64) for v in (value, value ^ U64(ORDERS[0]))]
-        uid, hits = rows.column("uid"), rows.column("hits")
-        at = pa.array(some)
-        yield pa.RecordBatch.from_arrays([uid.take(at), *map(pa.array, both), pa.array(n[some], pa.int64()), pa.array([np.sort(value[cut[r] : cut[r + 1]]).tobytes() for r in some], pa.binary()), hits.take(at)], names=[x.split()[0] for x in SETS.split(", ")])
-
-
-def _set_slices(batches):
-    """(rows, row of each token, tokens, sizes) of bounded numbers of rows and tokens."""
-    for batch in batches:
-        size = np.array(batch.column("size").to_pylist(), np.int64)
-        total = np.concatenate(([0], np.cumsum(size)))
-        at = 0
-        while at < batch.num_rows:
-            to = int(np.searchsorted(total, total[at] + 400_000, side="right")) - 1
-            to = min(max(to, at + 1), batch.num_rows, at + 4096)
-            some = batch.slice(at, to - at)
-            yield some, np.repeat(np.arange(to - at), size[at:to]), np.concatenate([np.frombuffer(x, U64) for x in some.column("tokens").to_pylist()]), size[at:to]
-            at = to
-
-
-def other_tokens(batches, n_buckets: int, percent: int):
+        some = rows.take(pa.array(np.flatnonzero((n > 0) & (n_alone < length))))
+        yield pa.RecordBatch.from_arrays([some.column(c) for c in ("uid", "text", "hits")], names=[x.split()[0] for x in LEFT.split(", ")])
+
+
+def other_tokens(batches, n_buckets: int, k: int, percent: int):
     """Packed (token, document) of the tokens that aren't foremost, of the documents that are left."""
     pack = X.Repeats(n_buckets)
-    for rows, row, value, _ in _set_slices(batches):
+    for rows, data, off in slices(batches):
+        row, value, _ = shingle_sets(data, off, k)
         ok = ~_foremost(value, percent)
         pack.add(value[ok], rows.column("uid").to_numpy()[row[ok]])
         if pack.full():
@@ -210,28 +196,31 @@ def other_tokens(batches, n_buckets: int, percent: int):
     yield X.packed_batch(pack.rows())
 
 
-PREFIXED = f"{X.PACKED}, uid long, s1 long, s2 long, size long, tokens binary"
+PREFIXED = f"{X.PACKED}, uid long, s1 long, s2 long, size long"
 
 
-def prefixed(batches, classes, n_buckets: int, percent: int):
-    """Packed (prefix token, 2 * document + order, size) for both orders, and the sets, of documents whose prefix has a token of another."""
+def prefixed(batches, classes, n_buckets: int, k: int, percent: int):
+    """Packed (prefix token, 2 * document + order, size) for both orders, and size and two sums of the set, of documents whose prefix has a token of another."""
     pack = Chains(n_buckets, percent)
+    names = [x.split()[0] for x in PREFIXED.split(", ")]
 
-    def batch(packed, rows=None):
+    def batch(packed, *kept):
         part = X.packed_batch(packed)
-        names = [x.split()[0] for x in PREFIXED.split(", ")]
-        n, m = part.num_rows, rows.num_rows if rows else 0
+        n, m = part.num_rows, len(kept[0]) if kept else 0
         joined = [pa.concat_arrays([part.column(c), pa.nulls(m, part.column(c).type)]) for c in range(6)]
-        joined += [pa.concat_arrays([pa.nulls(n, t), rows.column(c) if rows else pa.nulls(0, t)]) for c, t in zip(names[6:], (pa.int64(),) * 4 + (pa.binary(),), strict=True)]
+        joined += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (kept or [[]] * 4)]
         return pa.RecordBatch.from_arrays(joined, names=names)
 
-    for rows, row, value, n in _set_slices(batches):
+    for rows, data, off in slices(batches):
+        row, value, n = shingle_sets(data, off, k)
         uid = rows.column("uid").to_numpy()
         told, length = _flags(row, value, n, rows, "known", percent)
         more, _ = _flags(row, value, n, rows, "hits", percent)
         head = _foremost(value, percent)
         alone = np.where(head, ~told, ~more)
         open_ = np.bincount(row[alone], minlength=len(n)) < length
+        some, cut = np.flatnonzero(open_), np.concatenate(([0], np.cumsum(n)))
+        both = [np.add.reduceat(np.append(mix(v), U64(0)), cut[:-1])[some].view(np.int64) for v in (value, value ^ U64(ORDERS[0]))]
         take = open_[row]
         row, value, alone, head = row[take], value[take], alone[take], head[take]
         m = np.where(open_, n, 0)
@@ -245,7 +234,7 @@ def prefixed(batches, classes, n_buckets: int, percent: int):
             chosen = order[np.arange(len(at)) - first[at] < length[at]]
             chosen = chosen[~alone[chosen]]
             pack.add(mix(hashed[chosen] + U64(o)), uid[row[chosen]] * 2 + o, n[row[chosen]])
-        yield batch(pack.rows() if pack.size >= X.FLUSH else [], rows.take(pa.array(np.flatnonzero(open_))))
+        yield batch(pack.rows() if pack.size >= X.FLUSH else [], uid[some], *both, n[some])
     yield batch(pack.rows())
 
 
@@ -302,9 +291,9 @@ def verified(uids, sets, percent: int):
     return out
 
 
-def verify(rows: DataFrame, n_parts: int, percent: int) -> DataFrame:
-    """Links among the rows (g1, g2, g3, uid, tokens) of each group (g1, g2, g3), which is of bounded size."""
-    dealt = rows.repartition(n_parts, "g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3").select("g1", "g2", "g3", "uid", "tokens")
+def verify(rows: DataFrame, n_parts: int, k: int, percent: int) -> DataFrame:
+    """Links among the rows (g1, g2, g3, uid, text) of each group (g1, g2, g3), which is of bounded size."""
+    dealt = rows.repartition(n_parts, "g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3").select("g1", "g2", "g3", "uid", "text")
 
     def run(batches):
         group, uids, sets = None, [], []
@@ -313,68 +302,78 @@ def verify(rows: DataFrame, n_parts: int, percent: int) -> DataFrame:
             found = verified(uids, sets, percent) if len(uids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-        for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in ("g1", "g2", "g3")), strict=True))
-            for key, uid, x in zip(keys, b.column("uid").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+        for some, data, off in slices(batches):
+            _, value, n = shingle_sets(data, off, k)
+            cut = np.concatenate(([0], np.cumsum(n)))
+            keys = zip(*(some.column(c).to_pylist() for c in ("g1", "g2", "g3")), strict=True)
+            for i, (key, uid) in enumerate(zip(keys, some.column("uid").to_pylist(), strict=True)):
                 if key != group:
                     if len(uids) > 1:
                         yield done()
                     group, uids, sets = key, [], []
                 uids.append(uid)
-                sets.append(np.frombuffer(x, U64))
+                sets.append(value[cut[i] : cut[i + 1]])
         yield done()
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _joined(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with groups, one row each, whose largest may hold a third of all rows: every group is dealt to SPREAD places."""
+    return rows.withColumn("_at", F.pmod(F.xxhash64("uid"), F.lit(SPREAD)).cast("int")).join(groups.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), [*on, "_at"]).drop("_at")
+
+
 def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id_col: str = "doc_id", k: int = K, percent: int = PERCENT) -> DataFrame:
     """The columns keep of docs (but for clashing names), uid, n_shingles and component_uid: equal for documents that links connect (the least uid of them)."""
-    n = X.buckets(spark)
-    docs = pinned(docs)
-    keep = [c for c in keep if c not in ("uid", "n_shingles", "component_uid")]
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), "text")
+    n = X.buckets(spark, docs)
+    keep = list(dict.fromkeys(c for c in [*keep, id_col] if c not in ("uid", "n_shingles", "component_uid")))
+    whole = numbered(docs, [F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text"])
+    base = whole.select("uid", "text")
     measured = table(base.mapInArrow(lambda it: measure(it, k), MEASURED))
     classes = spark.sparkContext.broadcast(rarity_classes(measured))
 
-    known = X.told(X.meet(base.mapInArrow(lambda it: foremost_tokens(it, n, k, percent), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
-    left = table(base.join(known, "uid", "left").mapInArrow(lambda it: survivors(it, k, percent), SETS))
-    more = X.told(X.meet(left.mapInArrow(lambda it: other_tokens(it, n, percent), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
-    found = table(left.join(more, "uid", "left").mapInArrow(lambda it: prefixed(it, classes, n, percent), PREFIXED))
+    known = table(X.told(X.meet(base.mapInArrow(lambda it: foremost_tokens(it, n, k, percent), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n))
+    left = table(base.join(known, "uid", "left").mapInArrow(lambda it: survivors(it, k, percent), LEFT))
+    discard(known)
+    more = table(X.told(X.meet(left.mapInArrow(lambda it: other_tokens(it, n, k, percent), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n))
+    found = table(left.join(more, "uid", "left").mapInArrow(lambda it: prefixed(it, classes, n, k, percent), PREFIXED))
+    discard(more)
     packed = X.meet(found.filter("bucket is not null").select("bucket", "told", "n", "keys", "owners", "extra"), n)
     by_order = components(X.meet(packed.mapInArrow(lambda it: linked(it, n, percent), X.PACKED), n).mapInArrow(distinct_links, "a long, b long"))
     members = by_order.union(by_order.select(F.col("b").alias("a"), "b").distinct())
     one = members.filter("a % 2 = 0").select(F.shiftright("a", 1).alias("uid"), F.col("b").alias("c0"))
     two = members.filter("a % 2 = 1").select(F.shiftright("a", 1).alias("uid"), F.col("b").alias("c1"))
     classed = one.join(two, "uid").select("uid", F.xxhash64("c0", "c1").alias("class"))
-    more = classed.groupBy("class").count().filter("count > 1").select("class")
-    cand = classed.join(more, "class")
+    cand = _joined(classed, classed.groupBy("class").count().filter("count > 1").select("class"), ["class"])
 
-    whole_sets = found.filter("uid is not null").select("uid", "s1", "s2", F.col("size").alias("n"), "tokens")
-    keyed = table(whole_sets.drop("tokens").join(cand, "uid"))
+    keyed = table(found.filter("uid is not null").select("uid", "s1", "s2", F.col("size").alias("n")).join(cand, "uid"))
+    discard(found, by_order)
     equal = keyed.groupBy("class", "s1", "s2", "n").agg(F.min("uid").alias("rep"))
-    same = keyed.join(equal, ["class", "s1", "s2", "n"]).filter("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
+    same = _joined(keyed, equal, ["class", "s1", "s2", "n"]).filter("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
     blocks = equal.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"), F.count("*").alias("m")).filter("m > 1")
     reps = equal.join(blocks, "class").select("class", F.col("rep").alias("uid"), "nb").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
-    reps = table(whole_sets.select("uid", "tokens").join(reps, "uid"))
+    reps = table(left.select("uid", "text").join(reps, "uid"))
+    discard(left)
     against = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("block"))
-    first = verify(reps.select(F.col("class").alias("g1"), F.lit(0).alias("g2"), F.explode(against).alias("g3"), "uid", "tokens"), n, percent)
-    found = table(first.union(same))
+    first = verify(reps.select(F.col("class").alias("g1"), F.lit(0).alias("g2"), F.explode(against).alias("g3"), "uid", "text"), n, k, percent)
+    links = table(first.union(same))
 
     if reps.filter("nb > 1").limit(1).count():
         large = reps.filter("nb > 1")
-        so_far = components(found)
+        so_far = components(links)
         placed = large.select("uid", "class").join(so_far.select(F.col("a").alias("uid"), F.col("b").alias("c")), "uid", "left").withColumn("c", F.coalesce("c", "uid"))
         sizes = placed.groupBy("class", "c").count()
         main = sizes.groupBy("class").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-        rest = placed.join(main, "class").filter("c <> main").select("uid", "class")
-        rest = table(rest)
+        rest = table(placed.join(main, "class").filter("c <> main").select("uid", "class"))
         rest_blocks = rest.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("rb"))
         undecided = large.join(rest_blocks, "class")
-        old = undecided.select(F.col("class").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("g2"), F.col("block").alias("g3"), "uid", "tokens")
-        new = undecided.join(rest.select("uid"), "uid", "left_semi").select(F.col("class").alias("g1"), F.pmod(F.xxhash64("uid", F.lit(1)), F.col("rb")).cast("int").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("g3"), "uid", "tokens")
-        found = table(found.union(verify(old.union(new), n, percent)))
-
-    final = components(found)
+        old = undecided.select(F.col("class").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("g2"), F.col("block").alias("g3"), "uid", "text")
+        new = undecided.join(rest.select("uid"), "uid", "left_semi").select(F.col("class").alias("g1"), F.pmod(F.xxhash64("uid", F.lit(1)), F.col("rb")).cast("int").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("g3"), "uid", "text")
+        before, links = links, table(links.union(verify(old.union(new), n, k, percent)))
+        discard(before, so_far, rest)
+    discard(reps, keyed)
+    final = components(links)
+    discard(links)
 
     def unpacked(batches):
         for b in batches:
@@ -382,8 +381,8 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(u, np.int64)), pa.array(np.frombuffer(s, np.int32).astype(np.int64))], names=["uid", "n_shingles"])
 
     sizes = measured.filter("uids is not null").select("uids", "sizes").mapInArrow(unpacked, "uid long, n_shingles long")
-    whole = docs.select(F.monotonically_increasing_id().alias("uid"), *[F.col(f"`{c}`") for c in dict.fromkeys([*keep, id_col])])
-    return whole.join(sizes, "uid").join(final.select(F.col("a").alias("uid"), F.col("b").alias("component_uid")), "uid", "left").withColumn("component_uid", F.coalesce("component_uid", "uid"))
+    out = whole.select("uid", *[F.col(f"kept_columns.`{c}`") for c in keep]).join(sizes, "uid").join(final.select(F.col("a").alias("uid"), F.col("b").alias("component_uid")), "uid", "left")
+    return out.withColumn("component_uid", F.coalesce("component_uid", "uid"))
 
 
 def with_least_id(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

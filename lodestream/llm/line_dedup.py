@@ -17,7 +17,8 @@ fewer than t lines: every one is a fingerprint, whatever its neighbours are.
 Null or empty text: no lines, unchanged.  Lines without a word are no part of a
 run and stay.  A null id comes after all others.  Repeated rows are copies of
 each other: the first keeps its lines.  Other columns pass by ``keep``; columns
-whose names clash with the result's (n_lines, n_removed, text) are replaced.
+whose names clash with the result's (n_lines, n_removed, text) are replaced.  Where
+ids aren't whole numbers, rows come in the order of the input instead.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange as X
-from .storage import pinned
+from .storage import numbered
 from .textops import NEWLINE, SPACE, U64, Words, mix, shingles, slices
 
 WINDOW, GRAM = 2, 1
@@ -117,11 +118,11 @@ def runs(batches, n_buckets: int, window: int, gram: int, lone: int | None):
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, keep: list[str], id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM, lone: int | None = None) -> DataFrame:
     """The columns keep of docs (id_col and text among its own), the remaining text, n_lines and n_removed (lines with a word)."""
-    n, t = X.buckets(spark), window + gram - 1
+    n, t = X.buckets(spark, docs), window + gram - 1
     keep = [c for c in keep if c not in ("text", "n_lines", "n_removed")]
-    docs = pinned(docs)
-    rank = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), rank.alias("rank"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
+    whole_number = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    rank = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)) if whole_number else F.lit(0).cast("long")
+    base = numbered(docs, [rank.alias("rank"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text"])
     hits = X.told(X.meet(base.mapInArrow(lambda it: fingerprints(it, n, window, gram, lone), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
     found = X.meet(base.join(hits, "uid").mapInArrow(lambda it: runs(it, n, window, gram, lone), X.PACKED), n)
     places = X.told(found.mapInArrow(lambda it: X.Laters.answer(it, n), X.PACKED), n, np.int32)

@@ -1,22 +1,51 @@
-"""Intermediate tables in the shared folder, and inputs that can be read several times."""
+"""Intermediate tables in the shared folder, and rows that keep their number each time they are read."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.scratch import clean, shared_dir, table
+from ..sources.scratch import clean, discard, shared_dir, table
 
-__all__ = ["clean", "pinned", "shared_dir", "table"]
+__all__ = ["clean", "discard", "input_bytes", "numbered", "shared_dir", "table"]
+#: A row's number is its file's, shifted by so many bits, and its place in the file.
+ROW_BITS = 36
+#: A list of so many paths is small enough to broadcast (about 20 MB).
+FILES = 100_000
+#: Paths are listed with another number of slashes after the scheme than rows tell them.
+SLASHES = r"^([\w.+-]+):/+"
 
 
-def pinned(docs: DataFrame) -> DataFrame:
-    """docs as rows that come in the same order and partitions each time they are read.
+def _plain(node) -> bool:
+    """Whether a plan is one relation of files under projections and filters."""
+    children = node.children()
+    if not children.size():
+        return node.nodeName() == "LogicalRelation"
+    return node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") and children.size() == 1 and _plain(children.apply(0))
 
-    That holds for files with nothing but projections and filters above; anything
-    else (shuffles, local rows) is written to the shared folder first.
+
+def numbered(docs: DataFrame, columns: list[Column | str], name: str = "uid") -> DataFrame:
+    """The columns of docs and a number of each row, which is the same whenever and by however many executors it is read.
+
+    For Parquet files under projections and filters it is the place of the file in the
+    sorted list of files, and of the row in its file.  Anything else (shuffles, local
+    rows, other files, very many files) is written to the shared folder first, with a number.
     """
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+\-]*([A-Za-z]+)", line))}
-    return docs if nodes <= {"Project", "Filter", "Relation"} else table(docs)
+    if "_metadata" not in docs.columns and docs._jdf.queryExecution().optimizedPlan().deterministic() and _plain(docs._jdf.queryExecution().analyzed()):
+        files = sorted(re.sub(SLASHES, r"\1:/", f) for f in docs.inputFiles())
+        try:
+            placed = docs.select(*columns, F.regexp_replace("_metadata.file_path", SLASHES, "$1:/").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        except AnalysisException:  # not Parquet
+            placed = None
+        if placed is not None and len(files) <= FILES:
+            numbers = docs.sparkSession.createDataFrame([(f, k << ROW_BITS) for k, f in enumerate(files)], "_file string, _base long")
+            known = F.coalesce("_base", F.raise_error("a file that wasn't in the input's list").cast("long"))
+            return placed.join(F.broadcast(numbers), "_file", "left").withColumn(name, known + F.col("_row")).drop("_file", "_row", "_base")
+    return table(docs.select(*columns, F.monotonically_increasing_id().alias(name)))
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """Spark's estimate of the size of docs."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange as X
-from .storage import pinned
+from .storage import discard, numbered, table
 from .textops import _K2, U64, Words, mix, pair, shingles, slices
 
 WINDOW = 35
@@ -161,14 +161,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, keep: list[str], window
 
     docs needs ``text``; a word goes if a window of ``window`` words that covers it also starts elsewhere.
     """
-    n = X.buckets(spark)
-    docs = pinned(docs)
+    n = X.buckets(spark, docs)
     keep = [c for c in keep if c not in ("n_words", "n_removed", "kept_text", "kept_sha256")]
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text")
+    base = numbered(docs, [F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text"])
     named = X.meet(base.mapInArrow(lambda it: anchors(it, n, window, rounds), X.PACKED), n)
-    hits = X.told(named.mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n)
+    hits = table(X.told(named.mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n))
     cand = X.meet(base.join(hits, "uid").select("uid", "kept_columns", "text", "hits").mapInArrow(lambda it: repeat_candidates(it, n, window, rounds), X.PACKED), n)
-    places = X.told(cand.mapInArrow(lambda it: X.Repeats.answer(it, n, "extra"), X.PACKED), n, np.int32)
+    places = table(X.told(cand.mapInArrow(lambda it: X.Repeats.answer(it, n, "extra"), X.PACKED), n, np.int32))
+    discard(hits)
     last = "kept_sha256 string" if digest else "kept_text string"
     columns = base.schema["kept_columns"].dataType
 
