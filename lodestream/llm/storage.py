@@ -47,5 +47,6 @@ def numbered(docs: DataFrame, columns: list[Column | str], name: str = "uid") ->
 
 
 def input_bytes(docs: DataFrame) -> int:
-    """Spark's estimate of the size of docs."""
-    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of the files that docs reads; 0 where it isn't files under projections and filters, whose estimates mean little."""
+    plan = docs._jdf.queryExecution()
+    return int(str(plan.analyzed().stats().sizeInBytes())) if _plain(plan.analyzed()) else 0

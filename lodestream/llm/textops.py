@@ -45,6 +45,8 @@ def pair(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 _LETTERS = mix(np.arange(1, 257, dtype=U64) * _K1)
+#: Letters of a second name that is independent of the first.
+_OTHERS = mix(np.arange(1001, 1257, dtype=U64) * _K3)
 _powers = np.ones(1, dtype=U64)
 
 
@@ -105,16 +107,34 @@ class Words:
         if hashed:
             self.hash = self._hash(d, inside, n)
 
+    @classmethod
+    def of(cls, names: np.ndarray) -> Words:
+        """Words of one row of which only the hashes are known."""
+        self = cls.__new__(cls)
+        self.hash, self.starts, self.row = names, np.arange(len(names)), np.zeros(len(names), np.int64)
+        self.ends, self.first, self.counts = self.starts + 1, np.array([0, len(names)]), np.array([len(names)])
+        return self
+
     def _hash(self, d, inside, n):
-        if not len(self.starts):
+        self._size = self.ends - self.starts
+        self._begin = np.concatenate(([0], np.cumsum(self._size)[:-1]))
+        self._bytes = d[inside]
+        self._power = powers(int(self._size.max()) if len(self) else 1)[np.arange(len(self._bytes)) - np.repeat(self._begin, self._size)] if len(self) else np.zeros(0, U64)
+        self._terms = _LETTERS[self._bytes] * self._power
+        return self._named(self._terms)
+
+    def _named(self, terms: np.ndarray) -> np.ndarray:
+        if not len(self):
             return np.zeros(0, dtype=U64)
-        size = self.ends - self.starts
-        at = np.flatnonzero(inside)
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        rel = np.arange(len(at)) - np.repeat(begin, size)
-        terms = _LETTERS[d[at]] * powers(int(size.max()))[rel]
-        self._terms, self._begin = terms, begin
-        return mix(np.add.reduceat(terms, begin) + size.astype(U64) * _K1)
+        return mix(np.add.reduceat(terms, self._begin) + self._size.astype(U64) * _K1)
+
+    def folded(self, fold: np.ndarray = LOWER) -> np.ndarray:
+        """The hashes that the words have with their bytes folded (fold keeps separators and lengths)."""
+        return self._named(_LETTERS[fold[self._bytes]] * self._power)
+
+    def second(self) -> np.ndarray:
+        """Independent hashes of the words: with the first ones they make names of 128 bits."""
+        return self._named(_OTHERS[self._bytes] * self._power)
 
     def prefix(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The words of k bytes or more and hashes of their first k bytes, which differ from the hashes of words."""
