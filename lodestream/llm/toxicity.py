@@ -64,24 +64,22 @@ def likelihood_ratio(n1, n0, total1, total0):
 
 def segments(at: np.ndarray, gain: np.ndarray, rest: float):
     """All maximal-scoring segments (first hit, last hit, score): hits at words ``at`` score gain, words between them rest (< 0)."""
-    stack: list[list[float]] = []  # left sum, right sum, first hit, last hit
+    stack: list[tuple] = []  # left sum, right sum, first hit, last hit, the nearest earlier one whose left sum is smaller
     total, before = 0.0, None
-    for k in range(len(at)):
+    for k, (word, more) in enumerate(zip(at.tolist(), gain.tolist(), strict=True)):
         if before is not None:
-            total += rest * (at[k] - before - 1)
-        before = at[k]
-        left, total = total, total + gain[k]
-        new = [left, total, k, k]
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or stack[j][1] >= new[1]:
-                stack.append(new)
-                break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+            total += rest * (word - before - 1)
+        before = word
+        left, total = total, total + more
+        first, j = k, len(stack) - 1
+        while j >= 0 and stack[j][0] >= left:
+            j = stack[j][4]  # none in between is smaller: each link is followed once
+        while j >= 0 and stack[j][1] < total:
+            left, _, first, _, below = stack[j]
             del stack[j:]
-    return [(int(i), int(j), r - l) for l, r, i, j in stack]
+            j = below
+        stack.append((left, total, first, k, j))
+    return [(i, j, r - l) for l, r, i, j, _ in stack]
 
 
 def statistics(data, off, model):
