@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .storage import input_bytes
 from .textops import U64, mix, powers, row_key
 
-__all__ = ["PACKED", "Laters", "Packer", "Repeats", "buckets", "by_owner", "inverse_powers_of", "lists", "meet", "packed_batch", "powers_of", "row_key", "told", "unpack"]
+__all__ = ["NAMED", "PACKED", "Laters", "Packer", "Repeats", "buckets", "by_owner", "inverse_powers_of", "lists", "meet", "packed_batch", "powers_of", "row_key", "told", "unpack"]
 PACKED = "bucket int, told boolean, n long, keys binary, owners binary, extra binary"
 FLUSH = 1_500_000
 BUCKET_BYTES = 16 << 20
@@ -68,16 +68,23 @@ def packed_batch(rows):
     )
 
 
-def _groups(keys, *by):
-    """An order by key (and, inside a key, by the last of by first), first flags and group numbers in it."""
-    order = np.lexsort((*by, keys)) if by else np.argsort(keys, kind="stable")
+#: The other half of a key of 128 bits, and the place it has at its owner.
+NAMED = np.dtype([("second", "<u8"), ("place", "<i4")])
+
+
+def _groups(keys, *by, second=None):
+    """An order by key (and, inside a key, by the last of by first), first flags and group numbers in it; second: the keys' other half."""
+    both = (keys,) if second is None else (second, keys)
+    order = np.lexsort((*by, *both)) if by or second is not None else np.argsort(keys, kind="stable")
     first = np.ones(len(keys), bool)
     first[1:] = keys[order][1:] != keys[order][:-1]
+    if second is not None:
+        first[1:] |= second[order][1:] != second[order][:-1]
     return order, first, np.cumsum(first) - 1
 
 
 class Repeats:
-    """Keys that occur twice or more, told to the owners of their occurrences (the key, or the extra where ``payload`` says so).
+    """Keys that occur twice or more, told to the owners of their occurrences (payload: the "key", or the "place" of NAMED extras, whose second half belongs to the key).
 
     What one flush of a task already shows to be repeated is told from there, and
     one occurrence goes on for the rest of the corpus: a key that a third of all
@@ -95,20 +102,21 @@ class Repeats:
     def full(self) -> bool:
         return self.size >= FLUSH
 
-    def _tell(self, keys, owners, extra):
-        self.by_owner.add(*((keys, owners, None) if self.payload == "key" else (None, owners, extra)))
+    @staticmethod
+    def _tell(pack, keys, owners, extra):
+        pack.add(*((keys, owners, None) if extra is None else (None, owners, np.ascontiguousarray(extra["place"]))))
 
     def rows(self):
         if not self.size:
             return []
         keys, owners, extra, twice = (None if x[0] is None else np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        order, first, group = _groups(keys)
+        order, first, group = _groups(keys, second=None if extra is None else extra["second"])
         keys, owners, twice = keys[order], owners[order], twice[order]
         extra = None if extra is None else extra[order]
         many = (np.bincount(group) + np.bincount(group, weights=twice)) >= 2
         here = many[group] & ~first
-        self._tell(keys[here], owners[here], None if extra is None else extra[here])
+        self._tell(self.by_owner, keys[here], owners[here], None if extra is None else extra[here])
         self.by_key.add(keys[first], owners[first] * 2 + many, None if extra is None else extra[first])
         return self.by_key.rows() + self.by_owner.rows()
 
@@ -121,14 +129,14 @@ class Repeats:
             if told_rows.num_rows:
                 yield told_rows
             own.append(b.filter(pc.invert(b.column("told"))))
-        keys, owners, extra = unpack(own)
+        keys, owners, extra = unpack(own, extra=np.int32 if payload == "key" else NAMED)
         if len(keys):
-            order, _, group = _groups(keys)
+            order, _, group = _groups(keys, second=None if payload == "key" else extra["second"])
             keys, owners = keys[order], owners[order]
             many = (np.bincount(group) + np.bincount(group, weights=owners & 1)) >= 2
             ok = many[group]
             pack = Packer(n_buckets, by_owner=True)
-            pack.add(*((keys[ok], owners[ok] >> 1) if payload == "key" else (None, owners[ok] >> 1, extra[order][ok])))
+            Repeats._tell(pack, keys[ok], owners[ok] >> 1, None if payload == "key" else extra[order][ok])
             yield packed_batch(pack.rows())
 
 
