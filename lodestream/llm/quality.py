@@ -8,9 +8,11 @@ order of a short text's own sampling error, and texts below ``MIN_WORDS`` words
 fail before any comparison.
 
 References are sums over all documents with a language that pass the base rules,
-gathered in one pass: 9 character classes and 2^13 hashed word buckets per
-language, of which the ``COMMON`` fullest are the common words.  What a task
-holds and what the driver gets depends on the number of languages only.  Every
+gathered in two passes: 9 character classes and 2^13 hashed word buckets per
+language, and then the words of the fullest buckets, of which the ``COMMON`` most frequent are
+the common words.  A word can't be more frequent than its bucket, so once the least of them
+is as frequent as the fullest bucket that wasn't read they are exact; else more
+buckets are read.  What the driver gets depends on the number of languages only.  Every
 language with a document gives a reference, however few there are.  A reference of
 d documents and m items is itself a sample: against their own language's, documents
 are granted ``GUARD * (bins - 1) / m`` more and limits wider by 1 / d.  Documents of
@@ -27,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .textops import LOWER, NEWLINE, SPACE, U64, Words, mix, row_key, shingles, slices, sums
+from .textops import NEWLINE, SPACE, U64, Words, mix, row_key, shingles, slices, sums
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-BUCKETS, COMMON = 1 << 13, 32
+BUCKETS, COMMON, FULLEST = 1 << 13, 32, 128
 CHAR_LIMIT, WORD_LIMIT, GUARD = 0.06, 0.20, 0.5
 SYMBOLS = b"#*$%&|<>"
 
@@ -85,9 +87,8 @@ def _failed(n_words, n_repeat):
     return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEATED_PERCENT * n_words)
 
 
-def _buckets(data, off):
-    words = Words(data, off, SPACE, LOWER)
-    return words, (mix(words.hash + U64(7)) % U64(BUCKETS)).astype(np.int64)
+def _bucket(folded: np.ndarray) -> np.ndarray:
+    return (mix(folded + U64(7)) % U64(BUCKETS)).astype(np.int64)
 
 
 def reference_sums(batches):
@@ -102,8 +103,8 @@ def reference_sums(batches):
         held.clear()
 
     for rows, data, off in slices(batches):
-        _, _, _, _, n_repeat, classes = base_counts(data, off)
-        words, bucket = _buckets(data, off)
+        words, _, _, _, n_repeat, classes = base_counts(data, off)
+        bucket = _bucket(words.folded())
         ok = ~_failed(words.counts, n_repeat)
         langs = np.array(rows.column("lang").to_pylist(), dtype=object)
         for lang in {x for x in langs if x is not None}:
@@ -118,23 +119,63 @@ def reference_sums(batches):
     yield from flush()
 
 
+def word_counts(batches, wanted: dict[str, np.ndarray]):
+    """(lang, word, n): words (64-bit names) in the buckets that wanted flags for the language, of documents that pass the base rules."""
+    held: dict[str, list] = {}
+
+    def flush():
+        for lang, some in held.items():
+            words, n = (np.concatenate(x) for x in zip(*some, strict=True))
+            one, at = np.unique(words, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(one), pa.string()), pa.array(one.view(np.int64)), pa.array(np.bincount(at, n, len(one)).astype(np.int64))], names=["lang", "word", "n"])
+        held.clear()
+
+    size = 0
+    for rows, data, off in slices(batches):
+        words, _, _, _, n_repeat, _ = base_counts(data, off)
+        folded = words.folded()
+        bucket, ok = _bucket(folded), ~_failed(words.counts, n_repeat)
+        langs = np.array(rows.column("lang").to_pylist(), dtype=object)
+        for lang in {x for x in langs if x in wanted}:
+            mine = folded[((langs == lang) & ok)[words.row] & wanted[lang][bucket]]
+            held.setdefault(lang, []).append(np.unique(mine, return_counts=True))
+            size += len(held[lang][-1][0])
+        if size > 1_000_000:
+            yield from flush()
+            size = 0
+    yield from flush()
+
+
 def references(docs: DataFrame):
-    """[(lang, class shares, common buckets, their shares and at last the rest's, (documents, characters, words))], by lang."""
-    found = docs.select("lang", "text").mapInArrow(reference_sums, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    lang = W.partitionBy("lang")
-    found = found.withColumns({"docs": F.max(F.when(F.col("feature") == -100, F.col("n"))).over(lang), "words": F.sum(F.when(F.col("feature") >= 0, F.col("n"))).over(lang)})
-    top = F.row_number().over(lang.orderBy(F.col("feature") < 0, F.desc("n"), "feature"))
-    rows = found.withColumn("place", top).filter(((F.col("place") <= COMMON) & (F.col("feature") >= 0)) | F.col("feature").between(-N_CLASSES, -1)).collect()
+    """[(lang, class shares, common words, their shares and at last the rest's, (documents, characters, words))], by lang."""
+    docs = docs.select("lang", "text")
+    found = docs.mapInArrow(reference_sums, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()  # up to BUCKETS + 10 rows a language
+    sums_of: dict[str, np.ndarray] = {}
+    for r in found:
+        v = sums_of.setdefault(r.lang, np.zeros(BUCKETS + N_CLASSES + 1))
+        v[r.feature if r.feature >= 0 else -1 if r.feature == -100 else BUCKETS - 1 - r.feature] = r.n
+    common: dict[str, list] = {}
+    open_, fullest = dict(sums_of), FULLEST
+    while open_:
+        order = {x: np.argsort(-v[:BUCKETS], kind="stable") for x, v in open_.items()}
+        wanted = {x: np.isin(np.arange(BUCKETS), o[:fullest]) for x, o in order.items()}
+        counted = docs.mapInArrow(lambda it, wanted=wanted: word_counts(it, wanted), "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        first = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+        top: dict[str, list] = {x: [] for x in open_}
+        for r in counted.withColumn("place", first).filter(F.col("place") <= COMMON).collect():
+            top[r.lang].append((r.word, r.n))
+        for x, words in top.items():
+            beyond = open_[x][order[x][fullest]] if fullest < BUCKETS else 0
+            if not beyond or (len(words) == COMMON and min(n for _, n in words) >= beyond):
+                common[x] = words
+        open_, fullest = {x: v for x, v in open_.items() if x not in common}, fullest * 4
     out = []
-    for name in sorted({r.lang for r in rows}):
-        classes = np.zeros(N_CLASSES)
-        for r in rows:
-            if r.lang == name and r.feature < 0:
-                classes[-1 - r.feature] = r.n
-        common = sorted((r.feature, r.n / r.words) for r in rows if r.lang == name and r.feature >= 0)
-        shares = np.array([x for _, x in common])
-        size = next((r.docs, int(classes.sum()), r.words) for r in rows if r.lang == name)
-        out.append((name, classes / classes.sum(), np.array([b for b, _ in common]), np.append(shares, max(0.0, 1 - shares.sum())), size))
+    for name, v in sorted(sums_of.items()):
+        classes, n_words = v[BUCKETS:-1], v[:BUCKETS].sum()
+        words = np.array([w for w, _ in common[name]], np.int64).view(U64)
+        order = np.argsort(words)
+        shares = np.array([n for _, n in common[name]])[order] / n_words
+        out.append((name, classes / classes.sum(), words[order], np.append(shares, max(0.0, 1 - shares.sum())), (int(v[-1]), int(classes.sum()), int(n_words))))
     return out
 
 
@@ -147,17 +188,20 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.clip((a + b) / 2, 0, 1)
 
 
-def divergences(refs, words, bucket, classes, rows, langs):
+def divergences(refs, words, folded, classes, rows, langs):
     """By row: least of the languages' worst excess over its limit, that language, its two divergences."""
     n_chars = np.maximum(classes.sum(axis=1), 1)
     n_words = np.maximum(words.counts, 1)
     best, which = np.full(rows, np.inf), np.full(rows, -1)
     char_js, word_js = np.full(rows, np.nan), np.full(rows, np.nan)
+    known = np.unique(np.concatenate([r[2] for r in refs])) if refs else np.zeros(0, U64)
+    at = np.minimum(np.searchsorted(known, folded), max(len(known) - 1, 0))
+    at = np.where(known[at] == folded, at, len(known)) if len(known) else np.zeros(len(folded), np.int64)
     for k, (name, ref_classes, common, shares, (ref_docs, ref_chars, ref_words)) in enumerate(refs):
         own = (langs == name).astype(float)
-        place = np.full(BUCKETS, len(common))
-        place[common] = np.arange(len(common))
-        hist = np.bincount(words.row * (len(common) + 1) + place[bucket], minlength=rows * (len(common) + 1)).reshape(rows, -1)
+        place = np.full(len(known) + 1, len(common))
+        place[np.searchsorted(known, common)] = np.arange(len(common))
+        hist = np.bincount(words.row * (len(common) + 1) + place[at], minlength=rows * (len(common) + 1)).reshape(rows, -1)
         c = jensen_shannon(classes / n_chars[:, None], ref_classes)
         w = jensen_shannon(hist / n_words[:, None], shares)
         wider = 1 + own / ref_docs
@@ -182,8 +226,7 @@ def score(docs: DataFrame, keep: list[str], refs=None) -> DataFrame:
         for rows, data, off in slices(batches):
             words, word_chars, n_symbols, n_dup, n_repeat, classes = base_counts(data, off)
             failed = _failed(words.counts, n_repeat)
-            folded, bucket = _buckets(data, off)
-            best, which, c, w = divergences(refs, folded, bucket, classes, rows.num_rows, np.array(rows.column("lang").to_pylist(), dtype=object))
+            best, which, c, w = divergences(refs, words, words.folded(), classes, rows.num_rows, np.array(rows.column("lang").to_pylist(), dtype=object))
             kept = ~failed & ((best <= 1) | (not refs))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("kept_columns"), *(pa.array(x, pa.int64()) for x in (words.counts, word_chars, n_symbols, n_dup, n_repeat)), pa.array(failed), pa.array(kept), pa.array(names[which].tolist(), pa.string()), pa.array(c), pa.array(w)],
