@@ -34,6 +34,8 @@ from .storage import numbered
 from .textops import NEWLINE, SPACE, U64, Words, mix, shingles, slices
 
 WINDOW, GRAM = 2, 1
+#: In production a line of so many words is a run of its own.
+LONE_WORDS = 8
 #: Added to the place of a run of a single line; a document has fewer lines.
 SINGLE = 1 << 30
 
@@ -156,15 +158,16 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, keep: list[str],
 
 def op5_winnowing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the remaining text) of every document."""
-    out = remove_repeated_lines(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    out = remove_repeated_lines(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], lone=LONE_WORDS)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP5_SQL = r"""
-WITH l AS (SELECT doc_id, p, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS filled FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents)),
-f AS (SELECT doc_id, p, line, lead(line) OVER w AS next_line, lead(p) OVER w AS next_p FROM l WHERE filled WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+WITH l AS (SELECT doc_id, p, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n_words FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents)),
+f AS (SELECT doc_id, p, line, n_words, lead(line) OVER w AS next_line, lead(p) OVER w AS next_p, count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE n_words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
 g AS (SELECT doc_id, p, next_p, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, p) AS k FROM f WHERE next_p IS NOT NULL),
-x AS (SELECT doc_id, p FROM g WHERE k > 1 UNION SELECT doc_id, next_p FROM g WHERE k > 1),
-k AS (SELECT l.doc_id, count(*) FILTER (filled) AS n_lines, count(x.p) AS n_removed, string_agg(line, chr(10) ORDER BY l.p) FILTER (x.p IS NULL) AS kept FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.p = x.p GROUP BY l.doc_id)
+s AS (SELECT doc_id, p, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS k FROM f WHERE n_words >= 8 OR n = 1),
+x AS (SELECT doc_id, p FROM g WHERE k > 1 UNION SELECT doc_id, next_p FROM g WHERE k > 1 UNION SELECT doc_id, p FROM s WHERE k > 1),
+k AS (SELECT l.doc_id, count(*) FILTER (n_words > 0) AS n_lines, count(x.p) AS n_removed, string_agg(line, chr(10) ORDER BY l.p) FILTER (x.p IS NULL) AS kept FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.p = x.p GROUP BY l.doc_id)
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
 """
