@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import base_counts
 from .decontamination import OP3_SQL, op3_ahocorasick_decontamination
 from .jaccard_join import OP4_SQL, op4_multiorder_jaccard
 from .language_id import op1_centroid_language
@@ -24,10 +25,10 @@ QUERIES = {
     "op8_divergence_quality": op8_divergence_quality,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_recompression_dedup": op10_recompression_dedup,
-}
+} | base_counts.QUERIES
 ORACLE_SQL: dict[str, str] = {
     "op3_ahocorasick_decontamination": OP3_SQL,
     "op4_multiorder_jaccard": OP4_SQL,
     "op5_winnowing_lines": OP5_SQL,
     "op10_recompression_dedup": OP10_SQL,
-}
+} | base_counts.ORACLE_SQL
