@@ -16,8 +16,6 @@ from lodestream.llm.storage import table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Five words and a similarity of 0.8.
 NEAR_K, NEAR_PERCENT = 5, 80
-#: A repeated line of so many words goes whatever its neighbours are.
-LONE_WORDS = 8
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +26,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeats of earlier runs of lines and of earlier long lines; a document of nothing else goes."""
-    out = line_dedup.remove_repeated_lines(spark, docs, COLUMNS, lone=LONE_WORDS).filter("n_lines = 0 or n_removed < n_lines")
+    out = line_dedup.remove_repeated_lines(spark, docs, COLUMNS, lone=line_dedup.LONE_WORDS).filter("n_lines = 0 or n_removed < n_lines")
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
