@@ -69,8 +69,9 @@ def error_level(value: Column, warning: Column, critical: Column) -> Column:
     return F.when(value > critical, "critical").when(value > warning, "warning").otherwise("ok")
 
 
-def readiness(freshness: Column, quality: Column, quarantined: Column) -> Column:
-    return F.when(quarantined, "blocked").when((freshness == "stale") | (quality == "critical"), "blocked").when((freshness == "aging") | (quality == "warning"), "degraded").otherwise("ready")
+def readiness(freshness: Column, quality: Column, state: Column) -> Column:
+    """blocked, warn or ready; what is unknown doesn't count against a lane."""
+    return F.when((state == "quarantined") | (freshness == "stale") | (quality == "critical"), "blocked").when((freshness == "aging") | (quality == "degraded") | (state == "watch"), "warn").otherwise("ready")
 
 
 def market_impact(conviction: Column, z: Column, acceleration: Column, platforms: Column, authority: Column, events: Column) -> Column:
@@ -81,3 +82,45 @@ def market_impact(conviction: Column, z: Column, acceleration: Column, platforms
     for term, cap in terms:
         total = total + F.least(term, F.lit(cap))
     return F.least(total, F.lit(100.0))
+
+
+# Fixed values of catalysts, authors and SEC facts
+SIGNAL_BIAS = {"supply_increasing": "bullish", "product_momentum": "bullish", "supply_decreasing": "bearish", "product_risk": "bearish"}
+SIGNAL_LABELS = {"supply_increasing": "expanding supply", "supply_decreasing": "tightening supply", "product_momentum": "product momentum", "product_risk": "product risk"}
+RESEARCH_OUTLETS = ["semianalysis", "techinsights", "ic insights", "yole développement", "yole group", "trendforce", "counterpoint", "omdia", "gartner", "idc semiconductor"]
+
+
+def market_bias(sentiment: Column, signal: Column) -> Column:
+    """bullish, bearish or, where nothing speaks or both disagree, mixed."""
+    s = F.coalesce(sentiment, F.lit(0.0))
+    feel = F.when(s >= 0.08, "bullish").when(s <= -0.08, "bearish")
+    told = F.lit(None).cast("string")
+    for k, v in SIGNAL_BIAS.items():
+        told = F.when(signal == k, v).otherwise(told)
+    return F.when(told.isNotNull() & feel.isNotNull() & (told != feel), "mixed").otherwise(F.coalesce(told, feel, F.lit("mixed")))
+
+
+def propagation_delta(sentiment: Column, bias: Column) -> Column:
+    """The size of the sentiment between 0.15 and 0.35, signed by the bias, or else by itself."""
+    s = F.coalesce(sentiment, F.lit(0.0))
+    size = F.least(F.lit(0.35), F.greatest(F.lit(0.15), F.abs(s)))
+    return F.when(bias == "bullish", size).when(bias == "bearish", -size).otherwise(size * F.signum(s))
+
+
+def author_tier(name: Column, verified: Column, platform: Column) -> Column:
+    low, sure = F.lower(F.trim(F.coalesce(name, F.lit("")))), F.coalesce(verified, F.lit(False))
+    outlet = F.lit(False)
+    for x in RESEARCH_OUTLETS:
+        outlet = outlet | low.contains(x)
+    return F.when(outlet | (sure & platform.isin("substack", "news")), "research").when(sure, "verified").otherwise("anonymous")
+
+
+def document_authority(verified: Column, followers: Column, engaged: Column, spam: Column, bonus: float = 0.2, most: float = 0.3, followers_at: float = 1e6, engaged_at: float = 1e4) -> Column:
+    """Verified bonus, followers and engagement on log scales, and what spam leaves of the last fifth."""
+    part = lambda c, at: F.when(c > 0, F.least(F.lit(most), most * F.log(c + 1) / F.log(F.lit(at + 1)))).otherwise(0.0)
+    return clamp(F.when(verified, bonus).otherwise(0.0) + part(followers, followers_at) + part(engaged, engaged_at) + 0.2 * (1 - spam))
+
+
+def fact_evidence(event_type: Column, delta: Column) -> Column:
+    """Whether an official fact's change speaks for growth."""
+    return F.when(event_type.isin("margin_compression", "restatement"), "contradictory").when(delta > 0, "corroborating").when(delta < 0, "contradictory").otherwise("neutral")

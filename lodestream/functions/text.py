@@ -19,6 +19,8 @@ QUANTITY = r"(?i)^\s*(\$)?\s*(\d[\d,]*(?:\.\d+)?)\s*(billion|million|thousand|nm
 SCALES = {"billion": 1e9, "b": 1e9, "million": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3}
 UNITS = {"%": "%", "nm": "nm", "unit": "count", "units": "count", "week": "weeks", "weeks": "weeks", "month": "months", "months": "months", "day": "days", "days": "days"}
 MISSING = ["", ".", "-", "--", "na", "n/a", "none", "null", "nan"]
+FILINGS = ["10-K", "10-Q", "8-K", "DEF 14A", "S-1", "S-3", "20-F", "6-K", "SC 13D", "SC 13D/A", "SC 13G", "SC 13G/A", "4", "13F-HR"]
+FILING_ALIASES = {"10K": "10-K", "10Q": "10-Q", "8K": "8-K", "DEF14A": "DEF 14A", "SC13D": "SC 13D", "SC13G": "SC 13G", "13F": "13F-HR", "FORM 4": "4"}
 RUMOR = r"(?i)\b(?:reportedly|rumor(?:s|ed)?|sources?\s+say|speculat\w*|allegedly)\b"
 ESTIMATE = r"(?i)\b(?:analysts?|estimat\w*|consensus|projected\s+by)\b"
 GUIDED = r"(?i)\b(?:expect\w*|plan(?:s|ned|ning)?|will|forecast\w*|project\w*|target\w*|guidance|guide[sd]?|aim(?:s|ing)?|intends?|to\s+build)\b"
@@ -154,7 +156,9 @@ def mentions(text: Column, term: str) -> Column:
 
 
 def humanized(identifier: Column) -> Column:
-    return F.initcap(F.replace(identifier, F.lit("_"), F.lit(" ")))
+    """Underscored identifiers as titles, others as they are, nothing as Unknown."""
+    t = F.trim(F.coalesce(identifier, F.lit("")))
+    return F.when(t == "", "Unknown").when(t.contains("_"), F.initcap(F.trim(F.replace(t, F.lit("_"), F.lit(" "))))).otherwise(t)
 
 
 def factor_tag(value: Column) -> Column:
@@ -162,14 +166,38 @@ def factor_tag(value: Column) -> Column:
 
 
 def innovation_alias(value: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(value), r"[^a-z0-9 ]", " "), r" +", " "))
+    """Lower case without forms of incorporation, letters and digits only."""
+    t = F.regexp_replace(F.lower(F.trim(value)), r"\b(inc|incorporated|corp|corporation|co|company|ltd|llc)\b\.?", "")
+    return F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " "))
+
+
+def metric_of(event_type: Column, action: Column, unit: Column) -> Column:
+    """What a numeric fact of an event measures; null for other events."""
+    invested = (F.coalesce(unit, F.lit("")) == "USD") | F.coalesce(action.rlike("(?i)invest|spend|capex|capital"), F.lit(False))
+    return (
+        F.when(event_type == "price_change", "price").when(event_type == "guidance_change", "guidance").when(event_type.isin("product_launch", "product_delay"), "product_timing")
+        .when(event_type == "capacity_expansion", F.when(invested, "capex").otherwise("capacity")).when(event_type == "capacity_constraint", F.when(unit.isin("weeks", "months", "days"), "lead_time").otherwise("capacity"))
+    )
+
+
+def claim_sentence(subject: Column, predicate: Column, obj: Column, metric: Column, value: Column, unit: Column, period: Column, modality: Column) -> Column:
+    """A claim as a sentence: subject, predicate, object, and the numeric fact with what is known of it."""
+    some = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    whole = F.when(value == F.floor(value), F.floor(value).cast("long").cast("string")).otherwise(value.cast("string"))
+    fact = F.concat_ws(" ", metric, whole, some(unit), some(period), F.when(some(modality).isNotNull(), F.concat(F.lit("("), modality, F.lit(")"))))
+    return F.concat_ws(" ", some(subject), some(F.replace(predicate, F.lit("_"), F.lit(" "))), some(obj), F.when(some(metric).isNotNull() & value.isNotNull(), fact))
+
+
+def version_id(*settings: tuple[str, Column]) -> Column:
+    """mv_ and 12 hex digits over the settings as JSON with sorted keys."""
+    parts = [F.concat(F.lit(f'"{k}": '), F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)) for k, c in sorted(settings)]
+    return F.concat(F.lit("mv_"), F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256), 1, 12))
 
 
 def filing_type(raw: Column) -> Column:
-    """Upper-cased form without blanks; 10K, 10-K405 and the like to their family; /A kept."""
-    t = F.regexp_replace(F.upper(F.trim(raw)), r"\s+", "")
-    t = F.regexp_replace(t, r"^FORM", "")
-    return F.regexp_replace(F.regexp_replace(t, r"^(10|8|20|6|40)(K|Q|F)", "$1-$2"), r"^10-K(405|SB)", "10-K")
+    """Upper-cased form without /A; aliases to their form, unknown ones to 8-K."""
+    t = F.regexp_replace(F.upper(F.trim(raw)), "/A$", "")
+    return F.when(t.isin(*FILINGS), t).otherwise(lookup(t, FILING_ALIASES, "8-K"))
 
 
 def period_of(reference: Column, year: Column) -> Column:

@@ -38,13 +38,16 @@ def max_drawdown(daily: DataFrame, key: list[str], value: str = "r") -> DataFram
 
 
 def calibration(rows: DataFrame, score: str, outcome: str, n_buckets: int, order: list[str], key: list[str]) -> DataFrame:
-    """Equal-count buckets by score within key, boundaries rounded half to even: mean score and outcome of each."""
+    """Equal-count buckets by score within key, boundaries rounded half to even: mean score and outcome of each.
+
+    A key with fewer than n_buckets rows has none.
+    """
     by = W.partitionBy(*key)
     n = F.count("*").over(by)
     i = F.row_number().over(by.orderBy(score, *order)) - 1
     edge = lambda b: F.rint(F.lit(float(b)) * n / n_buckets)
     bucket = sum((F.when(i >= edge(b), 1).otherwise(0) for b in range(1, n_buckets)), F.lit(0))
-    return rows.withColumn("bucket", bucket).groupBy(*key, "bucket").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(outcome).alias("mean_outcome"))
+    return rows.withColumns({"bucket": bucket, "_all": n}).filter(F.col("_all") >= n_buckets).groupBy(*key, "bucket").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(outcome).alias("mean_outcome"))
 
 
 def trading_days(spark, first: str, last: str) -> DataFrame:
@@ -57,3 +60,29 @@ def as_of_rows(calendar: DataFrame, metrics: DataFrame, key: str, lookback_days:
     seen = rows.withColumn("date", F.explode(F.sequence("metric_date", F.date_add("metric_date", lookback_days), F.expr("interval 1 day"))))
     last = W.partitionBy(key, "date").orderBy(F.desc("metric_date"))
     return seen.join(F.broadcast(calendar), "date", "left_semi").withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+
+
+def strategy_days(ranked: DataFrame, returns: DataFrame, top: int, per_theme: int = 3, most: int = 20) -> DataFrame:
+    """(date, themes, tickers, r, direction_correct) of every day with ranked themes: all days at once.
+
+    ranked: date, theme_id, rank, tickers (best first).  The first ``per_theme`` tickers of
+    the first ``top`` themes count, each once, in that order up to ``most``; returns:
+    date, ticker, r (null where unknown).  r is their mean, null if none is known.
+    """
+    days = ranked.groupBy("date").agg(F.count("*").alias("themes"))
+    best = ranked.filter(F.col("rank") <= top).select("date", "rank", F.posexplode(F.slice("tickers", 1, per_theme)).alias("_at", "ticker"))
+    once = best.groupBy("date", "ticker").agg(F.min(F.struct("rank", "_at")).alias("_first"))
+    chosen = once.withColumn("_n", F.row_number().over(W.partitionBy("date").orderBy("_first"))).filter(F.col("_n") <= most)  # at most top * per_theme a day
+    held = chosen.join(returns, ["date", "ticker"], "left").groupBy("date").agg(F.count("*").alias("tickers"), F.avg("r").alias("r"))
+    out = days.join(held, "date", "left")
+    return out.select("date", "themes", F.coalesce("tickers", F.lit(0)).alias("tickers"), "r", F.when(F.col("r").isNotNull(), F.col("r") > 0).alias("direction_correct"))
+
+
+def directional_accuracy(days: DataFrame) -> DataFrame:
+    """Share of days whose direction was right among those where it is known; null if none is."""
+    return days.agg(F.avg(F.col("direction_correct").cast("double")).alias("hit_rate"))
+
+
+def enabled_layers(objects: DataFrame, layers: list[str]) -> DataFrame:
+    """Snapshot rows (kind) without the artifacts of layers that are off; filings are the only ones that a layer owns."""
+    return objects if "filing" in layers else objects.filter("kind <> 'filing'")

@@ -6,9 +6,22 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import text as T
 from .themes import days_between
 
 # Fixed values
+HIGH_IMPACT = ["supplies_to", "customer_of", "competes_with", "acquires", "subsidiary_of", "parent_of"]
+EVENT_PREDICATES = {
+    "capacity_expansion": "expands_capacity", "capacity_constraint": "constrains_capacity", "product_launch": "launches_product",
+    "product_delay": "delays_product", "price_change": "changes_pricing", "guidance_change": "revises_guidance",
+}
+VERBS = {
+    "supplies_to": r"(?i)\b(?:suppl(?:y|ies|ied|ying)|provid(?:e|es|ed|ing)|manufactur(?:e|es|ed|ing)|fabricat(?:e|es|ed|ing)|produc(?:e|es|ed|ing))\b",
+    "customer_of": r"(?i)\b(?:us(?:e|es|ed|ing)|adopt(?:s|ed|ing)?|purchas(?:e|es|ed|ing)|bu(?:y|ys|ying|ought)|order(?:s|ed|ing)?|sourc(?:e|es|ed|ing))\b",
+    "competes_with": r"(?i)\b(?:compet(?:e|es|ed|ing)|rival(?:s|ed|ing)?|challeng(?:e|es|ed|ing)|undercut(?:s|ting)?|displac(?:e|es|ed|ing))\b",
+    "depends_on": r"(?i)\b(?:partner(?:s|ed|ing)?|collaborat(?:e|es|ed|ing)|joint(?:ly)?|co-develop(?:s|ed|ing)?)\b",
+}
+NEAR, SURE_PAIR, UNCHANGED = 300, 0.45, 1e-6
 DECAY, DIVERSITY, DISPUTED, EDGE_MIN, EXPOSURE_MIN, TOLERANCE = 0.01, 3.0, 0.6, 0.3, 0.1, 0.05
 
 
@@ -132,3 +145,53 @@ def extraction_scores(truth: DataFrame, found: DataFrame, key: list[str], unit:
 
 def any_of(*rules: Column) -> Column:
     return reduce(lambda a, b: a | b, rules)
+
+
+def recomputed(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """Assertions of key (confidence, status) before and after: both states, what changed, and the edges they give.
+
+    A new assertion was active with confidence 0; one that is no longer there isn't recomputed.
+    """
+    kind = lambda df, n: derived_edges(df).select(*key, F.col("confidence").alias(f"{n}_confidence"), F.col("status").alias(f"{n}_status"), F.col("edge").alias(f"{n}_edge"))
+    j = kind(after, "new").join(kind(before, "previous"), key, "left").withColumns({"previous_confidence": F.coalesce("previous_confidence", F.lit(0.0)), "previous_status": F.coalesce("previous_status", F.lit("active"))})
+    return j.withColumns({"confidence_changed": F.abs(F.col("new_confidence") - F.col("previous_confidence")) > UNCHANGED, "status_changed": F.col("new_status") != F.col("previous_status")})
+
+
+def high_impact_reviews(claims: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Claims of predicates that do harm when wrong, below the threshold."""
+    return claims.filter(F.col("predicate").isin(*HIGH_IMPACT) & (F.col("confidence") < threshold))
+
+
+def event_claims(events: DataFrame, lane: str = "narrative") -> DataFrame:
+    """Claims of events (doc_id, event_type, actor, action, object, quantity, time_ref, confidence) with an actor and a known type."""
+    q = T.quantity(F.trim("quantity"))
+    rows = events.withColumns({"subject": F.trim("actor"), "object": F.nullif(F.trim("object"), F.lit("")), "predicate": T.lookup(F.col("event_type"), EVENT_PREDICATES)}).filter("subject <> '' and predicate is not null")
+    rows = rows.withColumns({"numeric_value": q["value"], "unit": q["unit"], "confidence": F.coalesce("confidence", F.lit(0.7)), "modality": T.modality(F.coalesce("action", F.lit(""))), "period": T.period_of(F.col("time_ref"), F.lit(None).cast("int"))})
+    rows = rows.withColumn("metric", T.metric_of(F.col("event_type"), F.col("action"), F.col("unit")))
+    key = [F.lit(lane), F.col("doc_id").cast("string"), F.col("subject"), F.col("predicate"), F.coalesce("object", F.lit(""))]
+    return rows.withColumn("claim_key", T.keyed_id("ck", *key)).select("doc_id", "claim_key", "subject", "predicate", "object", "confidence", "metric", "numeric_value", "unit", "period", "modality")
+
+
+def cooccurrence_claims(entities: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, subject, predicate, object, confidence): companies named within NEAR characters, with a verb in the stretch.
+
+    entities: doc_id, n (place in the document's list), text, type, start.  documents:
+    doc_id, content.  Pairs meet by stretches of NEAR characters, so a document's far
+    names never meet.  Each occurrence of a pair gives the first predicate of its
+    verbs that the pair hasn't had.
+    """
+    named = entities.filter(F.upper("type").isin("COMPANY", "TICKER", "ORG") & (F.trim("text") != "")).select("doc_id", "n", F.trim("text").alias("text"), F.coalesce("start", F.lit(0)).alias("start")).withColumn("cell", F.floor(F.col("start") / NEAR))
+    b = named.select("doc_id", F.col("n").alias("m"), F.col("text").alias("other"), F.col("start").alias("at"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    near = named.join(b, ["doc_id", "cell"]).filter((F.col("n") < F.col("m")) & (F.lower("text") != F.lower("other")) & (F.abs(F.col("start") - F.col("at")) <= NEAR))
+    stretch = F.substring(F.col("content"), F.least("start", "at") + 1, F.lit(NEAR))
+    told = F.array_compact(F.array(*[F.when(F.col("_s").rlike(p), F.lit(v)) for v, p in VERBS.items()]))
+    occurring = near.join(documents, "doc_id").withColumn("_s", stretch).withColumn("_v", told).filter(F.size("_v") > 0)
+    pair = [F.least(F.lower("text"), F.lower("other")).alias("_a"), F.greatest(F.lower("text"), F.lower("other")).alias("_b")]
+    grouped = occurring.groupBy("doc_id", *pair).agg(F.array_sort(F.collect_list(F.struct("n", "m", "text", "other", "_v"))).alias("_o"))
+    start = F.expr("cast(array() as array<struct<subject:string,predicate:string,object:string>>)")
+
+    def step(made, o):
+        new = F.try_element_at(F.filter(o["_v"], lambda v: ~F.exists(made, lambda x: x["predicate"] == v)), F.lit(1))
+        return F.when(new.isNull(), made).otherwise(F.concat(made, F.array(F.struct(o["text"].alias("subject"), new.alias("predicate"), o["other"].alias("object")))))
+
+    return grouped.select("doc_id", F.explode(F.aggregate("_o", start, step)).alias("c")).select("doc_id", "c.*", F.lit(SURE_PAIR).alias("confidence"))

@@ -108,3 +108,30 @@ def keyed_diff(current: DataFrame, shadow: DataFrame, key: list[str], value: str
 def gates(metrics: DataFrame, spec: DataFrame) -> DataFrame:
     """spec (metric, least) with the metric's value; a missing metric fails."""
     return spec.join(metrics, "metric", "left").withColumn("passed", F.coalesce(F.col("value") >= F.col("least"), F.lit(False)))
+
+
+# Event types with class, label, reason, family and usual severity
+PLUMBING = {
+    "form4_non_derivative_transaction": ("insider_ownership", "Insider ownership transaction", "sec_form4_insider_transaction", "sec_ownership", "info"),
+    "form4_derivative_transaction": ("insider_ownership", "Insider ownership transaction", "sec_form4_derivative_transaction", "sec_ownership", "info"),
+    "schedule_13d_ownership": ("activist_ownership", "Activist ownership disclosure", "sec_schedule_13d_ownership", "sec_ownership", "warning"),
+    "schedule_13g_ownership": ("institutional_holdings", "Institutional holdings update", "sec_schedule_13g_ownership", "sec_ownership", "info"),
+    "13f_position": ("institutional_holdings", "Institutional holdings update", "sec_13f_position_change", "sec_ownership", "info"),
+    "finra_short_volume": ("short_volume_anomaly", "Short-volume anomaly", "finra_short_volume_ratio", "market_structure", "warning"),
+    "sec_fail_to_deliver": ("fails_to_deliver_anomaly", "Fails-to-deliver anomaly", "sec_fails_to_deliver_notional", "market_structure", "warning"),
+}
+
+
+def plumbing_signals(events: DataFrame) -> DataFrame:
+    """Alerts and read-model payloads of ownership and market-structure events; market-structure events without an anomaly give none.
+
+    events: event_id, event_type, anomaly_level, ticker, issuer_cik.  Adds signal_class, reason_code,
+    severity, subject_id, title and payload (the event with its class, as JSON).
+    """
+    spec = F.create_map(*[x for k, v in PLUMBING.items() for x in (F.lit(k), F.struct(*[F.lit(p).alias(n) for n, p in zip(("signal_class", "signal_label", "reason_code", "source_family", "usual"), v, strict=True)]))])
+    rows = events.withColumn("_s", spec[F.col("event_type")]).filter("_s is not null").filter("_s.source_family <> 'market_structure' or anomaly_level <> 'none'")
+    market = F.col("_s.source_family") == "market_structure"
+    severity = F.when(market & (F.col("anomaly_level") == "extreme"), "critical").when(market & F.col("anomaly_level").isin("elevated", "watch"), "warning").otherwise(F.col("_s.usual"))
+    subject = F.coalesce("ticker", "issuer_cik", F.col("event_id").cast("string"))
+    payload = F.to_json(F.struct(F.lit("market_plumbing_signal").alias("object_type"), "event_id", F.col("_s.signal_class").alias("signal_class"), F.col("_s.reason_code").alias("reason_code"), F.col("_s.source_family").alias("source_family"), F.struct(*events.columns).alias("event")))
+    return rows.select(*events.columns, F.col("_s.signal_class").alias("signal_class"), F.col("_s.reason_code").alias("reason_code"), severity.alias("severity"), subject.alias("subject_id"), F.concat("_s.signal_label", F.lit(": "), subject).alias("title"), payload.alias("payload"))

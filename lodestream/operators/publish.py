@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scoring as S
@@ -39,26 +42,78 @@ def bundle_lines(objects: DataFrame, order: str) -> DataFrame:
     return objects.select("lane", order, F.to_json(F.struct(*[c for c in objects.columns if c != "lane"])).alias("line"))
 
 
-def chained_checksum(lines: DataFrame, order: str, chunk: int = 10_000) -> DataFrame:
-    """SHA-256 for each lane over the SHA-256s of chunks of ``chunk`` lines in order: no task holds a bundle."""
-    n = W.partitionBy("lane").orderBy(order)
-    rows = lines.withColumn("_c", F.floor((F.row_number().over(n) - 1) / chunk))
-    part = rows.groupBy("lane", "_c").agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("line")))).alias("_l"), F.count("*").alias("_n"))
-    hashed = part.select("lane", "_c", "_n", F.sha2(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), 256).alias("_h"))
-    return hashed.groupBy("lane").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_h"))), lambda x: x["_h"]), "\n"), 256).alias("checksum"), F.sum("_n").alias("lines"))
+def bundle_checksum(lines: DataFrame, order: str) -> DataFrame:
+    """(lane, checksum, lines): 'sha256:' and the SHA-256 of a lane's lines joined by line ends, as a consumer computes it from the file.
+
+    A lane's lines come sorted and are hashed as they come, so the task that hashes
+    a lane holds one batch of them.  (The digest of one text can't be computed in parts.)
+    """
+
+    def run(batches):
+        lane, digest, n = None, None, 0
+        for b in batches:
+            for key, line in zip(b.column("lane").to_pylist(), b.column("line").to_pylist(), strict=True):
+                if digest is None or key != lane:
+                    if digest is not None:
+                        yield pa.RecordBatch.from_pylist([{"lane": lane, "checksum": f"sha256:{digest.hexdigest()}", "lines": n}])
+                    lane, digest, n = key, hashlib.sha256(), 0
+                digest.update((b"\n" if n else b"") + line.encode())
+                n += 1
+        if digest is not None:
+            yield pa.RecordBatch.from_pylist([{"lane": lane, "checksum": f"sha256:{digest.hexdigest()}", "lines": n}])
+
+    return lines.repartition("lane").sortWithinPartitions("lane", order).select("lane", "line").mapInArrow(run, "lane string, checksum string, lines long")
+
+
+def parsed_bundle(lines: DataFrame, schema: str) -> DataFrame:
+    """Bundle lines (bundle, pos, line) as objects of schema; a bundle whose first line is no manifest header raises."""
+    head = F.get_json_object("line", "$._type") == "manifest_header"
+    fault = F.concat(F.lit("first line of bundle is no manifest header: "), F.col("bundle").cast("string"))
+    good = F.when(F.coalesce(head, F.lit(False)), True).otherwise(F.raise_error(fault).cast("boolean"))
+    return lines.filter((F.col("pos") > 0) | ~good).select("bundle", "pos", F.from_json("line", schema).alias("o")).select("bundle", "pos", "o.*")
+
+
+def composite_bundle(objects: DataFrame, rollups: DataFrame) -> DataFrame:
+    """(lane, checksum, lines) of the artifacts objects.jsonl, rollups.jsonl and manifest.json, which holds both checksums.
+
+    objects, rollups: (object_id, line).
+    """
+    parts = objects.select(F.lit("objects.jsonl").alias("lane"), "object_id", "line").unionByName(rollups.select(F.lit("rollups.jsonl").alias("lane"), "object_id", "line"))
+    done = bundle_checksum(parts, "object_id")
+    manifest = done.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lane", "checksum"))))).alias("line"))  # two artifacts
+    root = manifest.select(F.lit("manifest.json").alias("lane"), F.concat(F.lit("sha256:"), F.sha2("line", 256)).alias("checksum"), F.lit(1).cast("long").alias("lines"))
+    return done.unionByName(root)
+
+
+def bundle_integrity(stored: DataFrame, lines: DataFrame, order: str) -> DataFrame:
+    """(lane, intact): whether the stored checksum (lane, checksum) is that of the lines; artifacts without one on either side aren't intact."""
+    again = bundle_checksum(lines, order).select("lane", F.col("checksum").alias("_again"))
+    return stored.join(again, "lane", "full_outer").select("lane", F.coalesce(F.col("checksum") == F.col("_again"), F.lit(False)).alias("intact"))
 
 
 def composite_id(manifests: DataFrame) -> DataFrame:
-    return manifests.agg(F.concat(F.lit("cmp_"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set("manifest_id")), "\0"), 256), 1, 16)).alias("composite_id"))
+    return manifests.agg(F.concat(F.lit("composite_"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set("manifest_id")), "\0"), 256), 1, 16)).alias("composite_id"))
+
+
+def lane_health(runs: DataFrame, at: Column, fresh_hours: float, aging_hours: float, healthy: float, critical: float, sample: int) -> DataFrame:
+    """Freshness, quality and readiness of each lane from its runs (completed_at, passed, total, state).
+
+    A lane that never ran, or ran on too few objects, is unknown there, which doesn't
+    block.  state: clear, watch or quarantined; the worst counts.
+    """
+    rank = F.when(F.col("state") == "quarantined", 2).when(F.col("state") == "watch", 1).otherwise(0)
+    rows = runs.groupBy("lane").agg(F.max("completed_at").alias("last"), F.sum("passed").alias("passed"), F.sum("total").alias("total"), F.max(rank).alias("_q"))
+    hours = F.greatest(F.lit(0.0), (F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / F.lit(3_600_000_000.0))
+    fresh = F.when(F.col("last").isNull(), "unknown").when(hours <= fresh_hours, "fresh").when(hours <= aging_hours, "aging").otherwise("stale")
+    rate = F.col("passed") / F.col("total")
+    quality = F.when(F.col("total") < sample, "unknown").when(rate >= healthy, "healthy").when(rate >= critical, "degraded").otherwise("critical")
+    state = F.when(F.col("_q") == 2, "quarantined").when(F.col("_q") == 1, "watch").otherwise("clear")
+    return rows.withColumns({"freshness": fresh, "quality": quality, "state": state}).withColumn("readiness", S.readiness(F.col("freshness"), F.col("quality"), F.col("state"))).select("lane", "freshness", "quality", "state", "readiness")
 
 
-def lane_health(runs: DataFrame, at: Column, fresh_hours: float, aging_hours: float, warning: float, critical: float, sample: int) -> DataFrame:
-    """Freshness, quality and readiness of each lane from its runs (completed_at, passed, total, quarantined)."""
-    rows = runs.groupBy("lane").agg(F.max("completed_at").alias("last"), F.sum("passed").alias("passed"), F.sum("total").alias("total"), F.max(F.col("quarantined").cast("int")).alias("_q"))
-    hours = (F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / F.lit(3_600_000_000.0)
-    fresh = F.when(F.col("last").isNull(), "stale").when(hours <= fresh_hours, "fresh").when(hours <= aging_hours, "aging").otherwise("stale")
-    quality = F.when(F.col("total") < sample, "ok").otherwise(S.level(F.col("passed") / F.col("total"), warning, critical, higher_is_worse=False))
-    return rows.withColumns({"freshness": fresh, "quality": quality}).withColumn("readiness", S.readiness(F.col("freshness"), F.col("quality"), F.col("_q") == 1)).select("lane", "freshness", "quality", "readiness")
+def contract_supported(published: DataFrame, supported: list[str]) -> DataFrame:
+    """Adds level: ok for a version in the supported set, critical for another or none."""
+    return published.withColumn("level", F.when(F.coalesce(F.col("version").isin(*supported), F.lit(False)), "ok").otherwise("critical"))
 
 
 def rate_check(rows: DataFrame, key: str, failed: Column, warning: float, critical: float) -> DataFrame:

@@ -159,3 +159,17 @@ def suppressed_repeats(alerts: DataFrame, hours: float = 4.0) -> DataFrame:
     start = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
     kept = F.aggregate("t", start, lambda a, t: F.when(t - a["last"] >= gap, F.struct(t.alias("last"), F.concat(a["kept"], F.array(t)).alias("kept"))).otherwise(a))["kept"]
     return times.select("subject", "trigger", F.explode(kept).alias("at")).select("subject", "trigger", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"))
+
+
+def new_themes(now: DataFrame, before: DataFrame) -> DataFrame:
+    """An info alert (theme_id, severity, title, message) for each theme (theme_id, theme_name) that wasn't there before."""
+    rows = now.join(before.select("theme_id"), "theme_id", "left_anti")
+    return rows.select("theme_id", F.lit("info").alias("severity"), F.concat(F.lit("New theme: "), "theme_name").alias("title"), F.concat(F.lit("New theme '"), "theme_name", F.lit("' detected from unassigned documents")).alias("message"))
+
+
+def propagated_impacts(impacts: DataFrame, threshold: float) -> DataFrame:
+    """Alerts of impacts (source_theme, target, impact, depth) of the threshold or more; critical at twice."""
+    size, way = F.abs("impact"), F.when(F.col("impact") < 0, "negative").otherwise("positive")
+    rows = impacts.filter(size >= threshold).withColumns({"severity": F.when(size >= 2 * threshold, "critical").otherwise("warning"), "direction": way})
+    hops = F.concat(F.col("depth").cast("string"), F.when(F.col("depth") == 1, " hop away)").otherwise(" hops away)"))
+    return rows.withColumn("message", F.concat(F.lit("Sentiment change in '"), "source_theme", F.lit("' propagated "), "direction", F.lit(" impact of "), F.format_string("%+.3f", "impact"), F.lit(" to "), "target", F.lit(" ("), hops))

@@ -149,24 +149,60 @@ def object_transitions(spark, d):
     return P.transitioned(s).select("object_id", "allowed", "new_state")
 
 
-@query(f"""WITH {OBJECTS}, l AS (SELECT lane, object_id, '{{"object_id":' || CAST(object_id AS VARCHAR) || ',"state":"' || state || '"}}' AS line, (row_number() OVER (PARTITION BY lane ORDER BY object_id) - 1) // 500 AS c FROM objects),
-h AS (SELECT lane, c, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY object_id)) AS h FROM l GROUP BY 1, 2) SELECT lane, sha256(string_agg(h, chr(10) ORDER BY c)) AS checksum, sum(n)::BIGINT AS lines FROM h GROUP BY 1""")
+_LINE = """'{"object_id":' || CAST(object_id AS VARCHAR) || ',"state":"' || state || '"}'"""
+
+
+@query(f"WITH {OBJECTS} SELECT lane, 'sha256:' || sha256(string_agg({_LINE}, chr(10) ORDER BY object_id)) AS checksum, count(*) AS lines FROM objects GROUP BY 1")
 def bundle_checksum(spark, d):
-    return P.chained_checksum(P.bundle_lines(objects(spark, d).select("lane", "object_id", "state"), "object_id"), "object_id", 500)
+    return P.bundle_checksum(P.bundle_lines(objects(spark, d).select("lane", "object_id", "state"), "object_id"), "object_id")
+
+
+@query(f"""WITH {OBJECTS}, p AS (SELECT 'objects.jsonl' AS lane, object_id, {_LINE} AS line FROM objects UNION ALL SELECT 'rollups.jsonl', c_custkey, '{{"object_id":' || CAST(c_custkey AS VARCHAR) || '}}' FROM customer),
+a AS (SELECT lane, 'sha256:' || sha256(string_agg(line, chr(10) ORDER BY object_id)) AS checksum, count(*) AS lines FROM p GROUP BY 1)
+SELECT * FROM a UNION ALL SELECT 'manifest.json', 'sha256:' || sha256('{{' || string_agg('"' || lane || '":"' || checksum || '"', ',' ORDER BY lane) || '}}'), 1 FROM a""")
+def composite_bundle(spark, d):
+    lines = P.bundle_lines(objects(spark, d).select("lane", "object_id", "state"), "object_id")
+    rollups = table(spark, d, "customer").select(F.col("c_custkey").alias("object_id"), F.to_json(F.struct(F.col("c_custkey").alias("object_id"))).alias("line"))
+    return P.composite_bundle(lines, rollups)
+
+
+@query(f"WITH {OBJECTS} SELECT lane, lane <> 'F' AS intact FROM (SELECT DISTINCT lane FROM objects) UNION ALL SELECT 'none', false")
+def bundle_integrity(spark, d):
+    lines = P.bundle_lines(objects(spark, d).select("lane", "object_id", "state"), "object_id")
+    stored = P.bundle_checksum(lines, "object_id").withColumn("checksum", F.when(F.col("lane") == "F", "sha256:0").otherwise(F.col("checksum"))).select("lane", "checksum")
+    extra = spark.createDataFrame([("none", "sha256:1")], "lane string, checksum string")
+    return P.bundle_integrity(stored.unionByName(extra), lines, "object_id")
 
 
-@query(f"WITH {OBJECTS} SELECT 'cmp_' || substr(sha256(string_agg(manifest_id, chr(0) ORDER BY manifest_id)), 1, 16) AS composite_id FROM (SELECT DISTINCT manifest_id FROM objects)")
+@query("SELECT o_custkey AS bundle, o_orderkey AS object_id, o_orderstatus AS state FROM orders")
+def bundle_lines(spark, d):
+    o = table(spark, d, "orders")
+    head = o.select(F.col("o_custkey").alias("bundle"), F.lit(0).cast("long").alias("pos"), F.lit('{"_type":"manifest_header"}').alias("line")).distinct()
+    body = o.select(F.col("o_custkey").alias("bundle"), (F.col("o_orderkey") + 1).alias("pos"), F.to_json(F.struct(F.col("o_orderkey").alias("object_id"), F.col("o_orderstatus").alias("state"))).alias("line"))
+    return P.parsed_bundle(head.unionByName(body), "object_id long, state string").select("bundle", "object_id", "state")
+
+
+@query(f"WITH {OBJECTS} SELECT 'composite_' || substr(sha256(string_agg(manifest_id, chr(0) ORDER BY manifest_id)), 1, 16) AS composite_id FROM (SELECT DISTINCT manifest_id FROM objects)")
 def composite_manifest_id(spark, d):
     return P.composite_id(objects(spark, d))
 
 
-@query("""WITH r AS (SELECT 'lane' || CAST(o_custkey % 7 AS VARCHAR) AS lane, max(o_orderdate) FILTER (o_custkey % 7 <> 3 OR o_orderdate < TIMESTAMP '2001-01-01') AS last, count(*) FILTER (o_orderstatus <> 'P') AS passed, count(*) AS total, bool_or(o_totalprice > 499990) AS q FROM orders GROUP BY 1),
-h AS (SELECT *, CASE WHEN last IS NULL THEN 'stale' WHEN (epoch_us(TIMESTAMP '2001-08-10') - epoch_us(last)) / 3600000000.0 <= 400 THEN 'fresh' WHEN (epoch_us(TIMESTAMP '2001-08-10') - epoch_us(last)) / 3600000000.0 <= 2000 THEN 'aging' ELSE 'stale' END AS freshness, CASE WHEN total < 10 THEN 'ok' WHEN passed::DOUBLE / total < 0.5 THEN 'critical' WHEN passed::DOUBLE / total < 0.67 THEN 'warning' ELSE 'ok' END AS quality FROM r)
-SELECT lane, freshness, quality, CASE WHEN q THEN 'blocked' WHEN freshness = 'stale' OR quality = 'critical' THEN 'blocked' WHEN freshness = 'aging' OR quality = 'warning' THEN 'degraded' ELSE 'ready' END AS readiness FROM h""")
+@query("""WITH r AS (SELECT 'lane' || CAST(o_custkey % 7 AS VARCHAR) AS lane, max(o_orderdate) FILTER (o_custkey % 7 <> 3) AS last, count(*) FILTER (o_orderstatus <> 'P') AS passed, count(*) AS total, max(CASE WHEN o_totalprice > 499990 OR o_custkey % 7 = 5 THEN 2 WHEN o_custkey % 7 = 6 THEN 1 ELSE 0 END) AS q FROM orders GROUP BY 1
+ UNION ALL SELECT 'few', TIMESTAMP '2001-08-01', 1, 5, 0),
+h AS (SELECT *, CASE WHEN last IS NULL THEN 'unknown' WHEN (epoch_us(TIMESTAMP '2001-08-10') - epoch_us(last)) / 3600000000.0 <= 400 THEN 'fresh' WHEN (epoch_us(TIMESTAMP '2001-08-10') - epoch_us(last)) / 3600000000.0 <= 2000 THEN 'aging' ELSE 'stale' END AS freshness, CASE WHEN total < 10 THEN 'unknown' WHEN passed::DOUBLE / total >= 0.67 THEN 'healthy' WHEN passed::DOUBLE / total >= 0.5 THEN 'degraded' ELSE 'critical' END AS quality, CASE q WHEN 2 THEN 'quarantined' WHEN 1 THEN 'watch' ELSE 'clear' END AS state FROM r)
+SELECT lane, freshness, quality, state, CASE WHEN state = 'quarantined' OR freshness = 'stale' OR quality = 'critical' THEN 'blocked' WHEN freshness = 'aging' OR quality = 'degraded' OR state = 'watch' THEN 'warn' ELSE 'ready' END AS readiness FROM h""")
 def lane_health(spark, d):
-    o = table(spark, d, "orders")
-    runs = o.select(F.concat(F.lit("lane"), (F.col("o_custkey") % 7).cast("string")).alias("lane"), F.when((F.col("o_custkey") % 7 != 3) | (F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")), F.col("o_orderdate")).alias("completed_at"), F.when(F.col("o_orderstatus") != "P", 1).otherwise(0).alias("passed"), F.lit(1).alias("total"), (F.col("o_totalprice") > 499990).alias("quarantined"))
-    return P.lane_health(runs, F.lit("2001-08-10").cast("timestamp_ntz"), 400.0, 2000.0, 0.67, 0.5, 10)
+    o, k = table(spark, d, "orders"), F.col("o_custkey") % 7
+    state = F.when((F.col("o_totalprice") > 499990) | (k == 5), "quarantined").when(k == 6, "watch").otherwise("clear")
+    runs = o.select(F.concat(F.lit("lane"), k.cast("string")).alias("lane"), F.when(k != 3, F.col("o_orderdate")).alias("completed_at"), F.when(F.col("o_orderstatus") != "P", 1).otherwise(0).alias("passed"), F.lit(1).alias("total"), state.alias("state"))
+    few = spark.sql("select 'few' as lane, timestamp_ntz'2001-08-01' as completed_at, 1 as passed, 5 as total, 'clear' as state")
+    return P.lane_health(runs.unionByName(few), F.lit("2001-08-10").cast("timestamp_ntz"), 400.0, 2000.0, 0.67, 0.5, 10)
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey IN (1, 2) THEN 'ok' ELSE 'critical' END AS level FROM nation")
+def contract_versions(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_regionkey") != 0, F.concat(F.lit("v"), F.col("n_regionkey").cast("string"))).alias("version"))
+    return P.contract_supported(n, ["v1", "v2"]).select("n_nationkey", "level")
 
 
 @query("SELECT o_orderpriority AS lane, round(avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0 END), 6) AS rate, count(*) AS n, CASE WHEN avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0 END) > 0.5 THEN 'critical' WHEN avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0 END) > 0.33 THEN 'warning' ELSE 'ok' END AS level FROM orders GROUP BY 1")

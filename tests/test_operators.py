@@ -29,7 +29,7 @@ def test_numbers(spark):
 
 def test_periods_and_forms(spark):
     assert [one(spark, T.period_of(F.lit(x), F.lit(2025))) for x in ("Q3 2024", "second quarter", "H1 2026", "by 2027", "soon")] == ["2024-Q3", "2025-Q2", "2026-H1", "2027", None]
-    assert [one(spark, T.filing_type(F.lit(x))) for x in ("10-k", "Form 10K/A", "10-K405", "8-K")] == ["10-K", "10-K/A", "10-K", "8-K"]
+    assert [one(spark, T.filing_type(F.lit(x))) for x in ("10-k", " 10K/A", "form 4", "8-K", "10-K405", "SC 13D/A", "13F")] == ["10-K", "10-K", "4", "8-K", "8-K", "SC 13D", "13F-HR"]
 
 
 def test_cashtags_and_modality(spark):
@@ -142,7 +142,9 @@ def test_minhash_finds_near_copies(spark):
 
 def test_readiness_and_levels(spark):
     assert one(spark, S.level(F.lit(0.4), 0.3, 0.5)) == "warning"
-    assert one(spark, S.readiness(F.lit("aging"), F.lit("ok"), F.lit(False))) == "degraded"
+    assert one(spark, S.readiness(F.lit("aging"), F.lit("healthy"), F.lit("clear"))) == "warn"
+    assert one(spark, S.readiness(F.lit("unknown"), F.lit("unknown"), F.lit("clear"))) == "ready"
+    assert one(spark, S.readiness(F.lit("fresh"), F.lit("healthy"), F.lit("quarantined"))) == "blocked"
 
 
 def test_suppression_is_greedy(spark):
