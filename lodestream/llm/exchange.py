@@ -68,8 +68,8 @@ def packed_batch(rows):
     )
 
 
-#: The other half of a key of 128 bits, and the place it has at its owner.
-NAMED = np.dtype([("second", "<u8"), ("place", "<i4")])
+#: The rest of a key of 96 bits, and the place it has at its owner.
+NAMED = np.dtype([("second", "<u4"), ("place", "<i4")])
 
 
 def _groups(keys, *by, second=None):

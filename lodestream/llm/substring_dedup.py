@@ -2,14 +2,14 @@
 
 Every document is a string of words.  Rounds rename it: the first names runs
 of one token with their length, the others replace pairs (x, y) with x on the left side and y on
-the right side of an alphabet split by a new name.  A name is a 128-bit function
+the right side of an alphabet split by a new name.  A name is a function
 of what it replaces, so the names are the same in every task: each round names the
 whole corpus alike, and only what the rounds reveal has to be exchanged.  Which pairs are
 replaced depends on the two symbols alone, so equal substrings get equal symbols except
 near their ends.  For each window of ``window`` words ``certain`` follows which symbols are
 certain whatever stands around it.  A symbol at an end that isn't is popped, with its round;
 what is popped at both ends and the symbols left at the top spell the window: two windows
-have equal spellings if, and but for names that collide (at 10^13 names with a chance of 10^-13), only if their
+have equal spellings if, and but for 96 bits of them that collide (a chance of 1 in 1000 for 10^13 windows), only if their
 words are equal.  The leftmost certain symbol of the highest round that still has one is the
 window's anchor, a function of the window's content.
 
@@ -45,18 +45,19 @@ WINDOW = 35
 ROUNDS = "rpppppp"
 
 
-def certain(names: np.ndarray, others: np.ndarray, row_first: np.ndarray, rounds: str, start: np.ndarray, window: int):
-    """For windows that begin at the word indices start: (anchor name, anchor's place, spelling's two halves).
+def certain(names: np.ndarray, others: np.ndarray | None, row_first: np.ndarray, rounds: str, start: np.ndarray, window: int):
+    """For windows that begin at the word indices start: (anchor name, anchor's place) or, with others, their spelling's two halves.
 
     names, others: both halves of the words' names, rows back to back; row_first: first word of each row and the end.
     A window whose symbols are never certain (it lies in one or two runs) has its first word as anchor.
     """
+    spelled, halves = others is not None, (0, 1) if others is not None else (0,)
     sym, pos = [names, others], np.arange(len(names))
     border = np.zeros(len(names) + 1, bool)
     border[row_first] = True
     at, lo, hi = np.arange(len(start)), start, start + window
     anchor, place, level = names[start].copy(), start.copy(), np.zeros(len(start), np.int64)
-    left, mid, back = ([np.zeros(len(start), U64) for _ in range(2)] for _ in range(3))
+    left, mid, back = ([np.zeros(len(start) if spelled else 0, U64) for _ in range(2)] for _ in range(3))
 
     def spell(told, some, i, extra):
         for half in (0, 1):
@@ -68,7 +69,7 @@ def certain(names: np.ndarray, others: np.ndarray, row_first: np.ndarray, rounds
             break
         new, merged, step = np.ones(m, bool), np.zeros(m, bool), U64(r * int(_K2) % (1 << 64))
         if kind == "r":
-            new[1:] = (sym[0][1:] != sym[0][:-1]) | (sym[1][1:] != sym[1][:-1]) | border[1:m]
+            new[1:] = (sym[0][1:] != sym[0][:-1]) | border[1:m]
             merged[:-1] = ~new[1:]
         else:
             right = (mix(sym[0] + U64(r)) & U64(1)).astype(bool)
@@ -77,44 +78,48 @@ def certain(names: np.ndarray, others: np.ndarray, row_first: np.ndarray, rounds
         rank = np.concatenate((np.cumsum(new) - 1, [int(new.sum())]))
         begin = np.append(np.flatnonzero(new), m)
         if kind == "r":  # the runs at both ends may go on outside: what of them lies in the window is popped
-            end_of_first = np.minimum(begin[rank[lo] + 1], hi)
-            spell(left, at, lo, step + (end_of_first - lo).astype(U64))
-            more = np.flatnonzero(end_of_first < hi)
-            spell(back, at[more], hi[more] - 1, step + (hi[more] - np.maximum(begin[rank[hi[more] - 1]], lo[more])).astype(U64))
+            if spelled:
+                end_of_first = np.minimum(begin[rank[lo] + 1], hi)
+                spell(left, at, lo, step + (end_of_first - lo).astype(U64))
+                more = np.flatnonzero(end_of_first < hi)
+                spell(back, at[more], hi[more] - 1, step + (hi[more] - np.maximum(begin[rank[hi[more] - 1]], lo[more])).astype(U64))
             lo, hi = rank[lo] + 1, rank[hi - 1]
         else:  # a right symbol may be taken by what stands before the window, a left one by what stands behind it
-            first, last = np.flatnonzero(right[lo]), np.flatnonzero(~right[hi - 1])
-            spell(left, at[first], lo[first], step)
-            spell(back, at[last], hi[last] - 1, step)
+            if spelled:
+                first, last = np.flatnonzero(right[lo]), np.flatnonzero(~right[hi - 1])
+                spell(left, at[first], lo[first], step)
+                spell(back, at[last], hi[last] - 1, step)
             lo, hi = rank[lo + right[lo]], rank[hi - ~right[hi - 1]]
-        for half in (0, 1):
+        for half in halves:
             x = sym[half]
             named = pair(x[new], np.diff(begin).astype(U64), r + 32 * half) if kind == "r" else pair(x, np.concatenate((x[1:], x[:1])), r + 32 * half)[new]
             sym[half] = np.where(merged[new], named, x[new])
         pos, border = pos[new], np.append(border[:m][new], True)
         ok = lo < hi
         at, lo, hi = at[ok], lo[ok], hi[ok]
-        anchor[at], place[at], level[at] = sym[0][lo], pos[lo], r
+        if not spelled:
+            anchor[at], place[at], level[at] = sym[0][lo], pos[lo], r
+    if not spelled:
+        return mix(anchor + level.astype(U64)), place * (len(rounds) + 1) + level
     for j in range(int((hi - lo).max()) if len(at) else 0):
         some = np.flatnonzero(lo + j < hi)
         spell(mid, at[some], lo[some] + j, U64(0))
-    spelled = [pair(pair(left[h], mid[h], h + 3), back[h], h + 5) for h in (0, 1)]
-    return mix(anchor + level.astype(U64)), place * (len(rounds) + 1) + level, *spelled
+    return tuple(pair(pair(left[h], mid[h], h + 3), back[h], h + 5) for h in (0, 1))
 
 
 def _windows(data, offsets, window: int, rounds: str):
-    """Words of a slice, starts of its windows, names and places of their anchors, both halves of their spellings."""
+    """Words of a slice, starts of its windows, names and places of their anchors."""
     w = Words(data, offsets)
     ahead = w.first[w.row + 1] - np.arange(len(w)) if len(w) else np.zeros(0, np.int64)
     start = np.flatnonzero(ahead >= window)
-    return w, start, *certain(w.hash, w.second(), w.first, rounds, start, window)
+    return w, start, *certain(w.hash, None, w.first, rounds, start, window)
 
 
 def anchors(batches, n_buckets: int, window: int, rounds: str):
     """Packed (anchor name, document), and whether the document has the anchor at two places."""
     pack = X.Repeats(n_buckets)
     for rows, data, off in slices(batches):
-        w, start, name, place, *_ = _windows(data, off, window, rounds)
+        w, start, name, place = _windows(data, off, window, rounds)
         if not len(start):
             continue
         uid = rows.column("uid").to_numpy()
@@ -135,7 +140,7 @@ def repeat_candidates(batches, n_buckets: int, window: int, rounds: str):
     """Packed (spelling, document, word) of the windows whose anchor is among the document's repeated names."""
     pack = X.Repeats(n_buckets, "place")
     for rows, data, off in slices(batches):
-        w, start, name, _, one, two = _windows(data, off, window, rounds)
+        w, start, name, _ = _windows(data, off, window, rounds)
         if not len(start):
             continue
         uid = rows.column("uid").to_numpy()
@@ -144,9 +149,10 @@ def repeat_candidates(batches, n_buckets: int, window: int, rounds: str):
         ok = np.isin(X.row_key(row, name), X.row_key(of, known))
         start, row = start[ok], row[ok]
         if len(start):
+            one, two = certain(w.hash, w.second(), w.first, rounds, start, window)
             at = np.empty(len(start), X.NAMED)
-            at["second"], at["place"] = two[ok], start - w.first[row]
-            pack.add(one[ok], uid[row], at)
+            at["second"], at["place"] = two >> U64(32), start - w.first[row]
+            pack.add(one, uid[row], at)
         if pack.full():
             yield X.packed_batch(pack.rows())
     yield X.packed_batch(pack.rows())
@@ -182,9 +188,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, keep: list[str], window
     base = numbered(docs, [F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), "text"])
     named = X.meet(base.mapInArrow(lambda it: anchors(it, n, window, rounds), X.PACKED), n)
     hits = table(X.told(named.mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n))
-    cand = X.meet(base.join(hits, "uid").select("uid", "kept_columns", "text", "hits").mapInArrow(lambda it: repeat_candidates(it, n, window, rounds), X.PACKED), n)
-    places = table(X.told(cand.mapInArrow(lambda it: X.Repeats.answer(it, n, "place"), X.PACKED), n, np.int32))
+    some = table(base.select("uid", "text").join(hits, "uid"))
     discard(hits)
+    cand = X.meet(some.mapInArrow(lambda it: repeat_candidates(it, n, window, rounds), X.PACKED), n)
+    places = table(X.told(cand.mapInArrow(lambda it: X.Repeats.answer(it, n, "place"), X.PACKED), n, np.int32))
+    discard(some)
     last = "kept_sha256 string" if digest else "kept_text string"
     columns = base.schema["kept_columns"].dataType
 
