@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Fixed values
@@ -71,19 +74,16 @@ def urls(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(https?://[^ \t\r\n<>\"]+)"), 1))
 
 
-def top_word_share(text: Column) -> Column:
-    """Share of the most frequent word, 0 without words.
+def word_shape(text: Column) -> Column:
+    """struct(share of the most frequent word, 0 without words; number of words): counted in one pass of a batch, where the JVM would sort and fold arrays."""
 
-    Sorts the words once and reads off run lengths, so a long text costs n log n.
-    """
-    w = F.array_sort(words(text))
-    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+    @F.pandas_udf("struct<share double, n int>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            cut = [(x or "").lower().split() for x in texts]
+            yield pd.DataFrame({"share": [max(Counter(w).values()) / len(w) if w else 0.0 for w in cut], "n": pd.array([len(w) for w in cut], "int32")})
 
-    def step(a, x):
-        n = F.when(x == a["w"], a["n"] + 1).otherwise(1)
-        return F.struct(x.alias("w"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
-
-    return F.when(F.size(w) > 0, F.aggregate(w, start, step)["best"] / F.size(w)).otherwise(0.0)
+    return run(text)
 
 
 def spam_score(text: Column, n_urls: Column, author: Column, followers: Column, n_tickers: Column, is_twitter: Column) -> Column:
@@ -91,11 +91,11 @@ def spam_score(text: Column, n_urls: Column, author: Column, followers: Column,
     on = lambda rule, points: F.when(F.coalesce(rule, F.lit(False)), points).otherwise(0.0)
     shout = (F.upper(text) == text) & (F.lower(text) != text) & (F.length(text) > 20)
     promo = reduce(lambda a, b: a | b, [text.rlike(f"(?i){p}") for p in PROMOTIONS])
-    name = F.lower(author)
+    shape, name = word_shape(text), F.lower(author)
     guru = reduce(lambda a, b: a | b, [name.contains(x) for x in ("crypto_", "trading_", "forex_", "_signals")])
     rockets = F.length(text) - F.length(F.replace(text, F.lit("🚀"), F.lit("")))
     total = (
-        on(F.length(text) < 20, 0.2) + on(shout, 0.15) + on(promo, 0.4) + on(n_urls > 3, 0.2) + on((top_word_share(text) > 0.3) & (F.size(words(text)) > 10), 0.2)
+        on(F.length(text) < 20, 0.2) + on(shout, 0.15) + on(promo, 0.4) + on(n_urls > 3, 0.2) + on((shape["share"] > 0.3) & (shape["n"] > 10), 0.2)
         + on(name.rlike(r"^[a-z]+\d{6,}$"), 0.3) + on(guru, 0.2)
         + on(is_twitter & (followers < 10), 0.2) + on(is_twitter & (n_tickers > 5), 0.3) + on(is_twitter & (rockets > 3), 0.2)
     )

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from ..sources.scratch import table
 
 
 def _equals(term: str):
@@ -42,9 +43,12 @@ def term_search(docs: DataFrame, query_terms: list[str], limit: int, text: str =
 
 
 def bm25(docs: DataFrame, query_terms: list[str], k1: float = 1.2, b: float = 0.75, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, score of the documents with any of the terms; frequencies are summed before any shuffle."""
-    w = T.words(F.col(text))
-    rows = docs.select(id_col, F.size(w).alias("len"), *[F.size(F.filter(w, _equals(t))).alias(f"tf{i}") for i, t in enumerate(query_terms)])
+    """id, score of the documents with any of the terms.
+
+    Texts are read once: lengths and frequencies become a table of a few integers a document.
+    """
+    words = docs.select(id_col, T.words(F.col(text)).alias("_w"))  # cut once: everything else reads the column
+    rows = table(words.select(id_col, F.size("_w").alias("len"), *[F.size(F.filter("_w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(query_terms)]))
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(query_terms))])
     joined = rows.filter(" or ".join(f"tf{i} > 0" for i in range(len(query_terms)))).crossJoin(F.broadcast(stats))  # one row
     norm = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import scoring as S
-from ..sources.scratch import table
+from ..sources.scratch import discard, table
 
 # Fixed values
 RELATION_WEIGHTS = {"depends_on": 0.8, "supplies_to": 0.6, "competes_with": -0.3, "drives": 0.5, "blocks": -0.4}
@@ -110,3 +110,28 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def refreshed_edges(supports: DataFrame) -> DataFrame:
     """Active supports folded into one edge for each (source, target, relation)."""
     return supports.filter("active").groupBy("source", "target", "relation").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("origin")).alias("origins"), F.count("*").alias("supports"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b): b is the least node that undirected edges (a, b: long) connect with a; nodes that are least have no row.
+
+    Alternating large-star and small-star rounds.  Each round is joins and sums by key:
+    minima are combined before the shuffle and a hub's many edges may be split by adaptive
+    execution.  The number of rounds grows with the logarithm of the longest path.  Each
+    round's edges are a table in the shared folder, which the next one replaces.
+    """
+    mark = lambda e: tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+    now = table(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    at = mark(now)
+    while at[0]:
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
+        last, now = now, table(small)
+        discard(last)
+        before, at = at, mark(now)
+        if before == at:
+            break
+    return now

@@ -2,25 +2,87 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T, vectors as V
+from ..sources.scratch import table
+from .graph import components
 
 # Fixed values
 STRONG, WEAK, MERGE, LEARNING_RATE = 0.75, 0.30, 0.85, 0.01
-PERMUTATIONS, BANDS, SIMILAR = 128, 32, 0.85
-#: Centroids that may be broadcast; beyond it assignment goes through blocks of them.
-MOST_CENTROIDS = 20_000
+PERMUTATIONS, BANDS = 128, 32
+#: As for all near duplicates of word shingles here; 0.85 is another common choice.
+SIMILAR, BLOCK = 0.8, 256
+#: Centroids and queries that are broadcast at once; more are taken in blocks.
+MOST_CENTROIDS, MOST_QUERIES = 20_000, 1_000
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of vectors as rows; a null or shorter vector is filled up with zeros."""
+    size = max([0, *(x for x in pc.list_value_length(column).to_pylist() if x)])
+    if not column.null_count and len(column) and len(flat := column.flatten()) == size * len(column) and not flat.null_count:
+        return flat.to_numpy().astype(float).reshape(len(column), size)
+    out = np.zeros((len(column), size))
+    for r, x in enumerate(column.to_pylist()):
+        out[r, : len(x or ())] = [y or 0.0 for y in x or ()]
+    return out
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
 
+def _blocks(rows: DataFrame, key: str, vector: str, most: int):
+    """(keys, unit vectors) of at most about ``most`` rows each, by hash of the key: what is broadcast at once."""
+    n = max(1, -(-rows.count() // most))
+    for b in range(n):
+        part = sorted(((r[0], r[1]) for r in rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b).select(key, vector).collect()), key=lambda r: r[0])
+        if part:
+            yield [k for k, _ in part], unit(np.array([v for _, v in part], float))
 
-def search(rows: DataFrame, query: list[float], limit: int, threshold: float, vector: str = "embedding", id_col: str = "vec_id", exclude: list | None = None) -> DataFrame:
-    """The ``limit`` rows most similar to the query, at least threshold; ties by id."""
-    out = rows.withColumn("similarity", V.cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))).filter(F.col("similarity") >= threshold)
-    if exclude:
-        out = out.filter(~F.col(id_col).isin(exclude))
-    return out.orderBy(F.desc("similarity"), id_col).limit(limit)
+
+def search(rows: DataFrame, queries: DataFrame, limit: int, threshold: float, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """(query, id, similarity, rank): the ``limit`` rows most similar to each query (query, vector), at least threshold, itself left out.
+
+    Queries are taken in blocks of a bounded size against all rows: one matrix product a
+    batch, of which a task keeps the best of each query.  Similarities count to nine
+    decimals, ties by id.
+    """
+    out = None
+    for names, q in _blocks(queries, "query", vector, MOST_QUERIES):
+        sent = rows.sparkSession.sparkContext.broadcast((names, q))
+
+        def best(batches, sent=sent):
+            names, q = sent.value
+            held = [[] for _ in names]
+            for batch in batches:
+                ids, v = batch.column(id_col).to_pylist(), matrix(batch.column(vector))
+                if not ids or v.shape[1] != q.shape[1]:
+                    continue
+                c = np.round(q @ unit(v).T, 9)
+                for i, j in zip(*np.nonzero(c >= threshold), strict=True):
+                    if ids[j] != names[i]:
+                        held[i].append((-c[i, j], ids[j]))
+                for i, h in enumerate(held):
+                    if len(h) > 4 * limit:
+                        held[i] = heapq.nsmallest(limit, h)
+            for i, h in enumerate(held):
+                h = heapq.nsmallest(limit, h)
+                if h:
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(h)), pa.array([k for _, k in h]), pa.array([-s for s, _ in h], pa.float64())], names=["query", id_col, "similarity"])
+
+        part = rows.select(id_col, vector).mapInArrow(best, f"query {queries.schema['query'].dataType.simpleString()}, {id_col} {rows.schema[id_col].dataType.simpleString()}, similarity double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = rows.limit(0).select(F.lit(None).cast(queries.schema["query"].dataType).alias("query"), id_col, F.lit(0.0).alias("similarity"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), id_col))  # limit rows a task each
+    return out.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
 def centroids(rows: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -36,30 +98,22 @@ def assigned(rows: DataFrame, themes: DataFrame, key: str, vector: str = "embedd
     One matrix product a batch against the broadcast centroids, whose number is
     counted first; more of them are taken in blocks, keeping the best so far.
     """
-    spark = rows.sparkSession
-    total = themes.count()
-    blocks = max(1, -(-total // MOST_CENTROIDS))
     out = rows.select(id_col, vector, F.lit(None).cast(themes.schema[key].dataType).alias(key), F.lit(-2.0).alias("similarity"))
     kind = out.schema[key].dataType.simpleString()
     element = out.schema[vector].dataType.simpleString()
-    for b in range(blocks):
-        part = themes.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, "centroid").collect()
-        if not part:
-            continue
-        part.sort(key=lambda r: r[0])
-        m = np.array([r["centroid"] for r in part], float)
-        sent = spark.sparkContext.broadcast(([r[0] for r in part], m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
+    for names, units in _blocks(themes, key, "centroid", MOST_CENTROIDS):
+        sent = rows.sparkSession.sparkContext.broadcast((names, units))
 
         def best(batches, sent=sent):
-            names, unit = sent.value
+            names, units = sent.value
             for batch in batches:
-                v = np.array(batch.column(vector).to_pylist(), float).reshape(batch.num_rows, -1)
-                old, sim = batch.column(key).to_pylist(), np.array(batch.column("similarity").to_pylist())
-                if batch.num_rows:
-                    c = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ unit.T
+                v = matrix(batch.column(vector))
+                old, sim = batch.column(key).to_pylist(), batch.column("similarity").to_numpy()
+                if batch.num_rows and v.shape[1] == units.shape[1]:
+                    c = unit(v) @ units.T
                     k = c.argmax(axis=1)
                     s = c[np.arange(len(k)), k]
-                    old = [names[j] if x > y else o for j, x, y, o in zip(k, s, sim, old, strict=True)]
+                    old = [names[j] if x > y or (x == y and (o is None or names[j] < o)) else o for j, x, y, o in zip(k.tolist(), s.tolist(), sim.tolist(), old, strict=True)]
                     sim = np.maximum(s, sim)
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(vector), pa.array(old, batch.column(key).type), pa.array(sim, pa.float64())], names=[id_col, vector, key, "similarity"])
 
@@ -71,14 +125,25 @@ def assigned(rows: DataFrame, themes: DataFrame, key: str, vector: str = "embedd
 def merge_candidates(themes: DataFrame, key: str, threshold: float = MERGE) -> DataFrame:
     """Pairs of themes (a < b) whose centroids are as similar as threshold.
 
-    The themes are the stated query set against themselves: one side is broadcast
-    after its number has been checked.
+    The themes are the stated query set against themselves, in blocks of bounded size.
     """
-    if themes.count() > MOST_CENTROIDS:
-        raise ValueError(f"more than {MOST_CENTROIDS} themes: use assigned() in blocks")
-    a = themes.select(F.col(key).alias("a"), F.col("centroid").alias("va"))
-    b = themes.select(F.col(key).alias("b"), F.col("centroid").alias("vb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).withColumn("similarity", V.cosine(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    kind = themes.schema[key].dataType.simpleString()
+    out = None
+    for names, units in _blocks(themes, key, "centroid", MOST_CENTROIDS):
+        sent = themes.sparkSession.sparkContext.broadcast((names, units))
+
+        def near(batches, sent=sent):
+            names, units = sent.value
+            for batch in batches:
+                own, v = batch.column(key).to_pylist(), matrix(batch.column("centroid"))
+                if own and v.shape[1] == units.shape[1]:
+                    c = unit(v) @ units.T
+                    found = [(own[i], names[j], c[i, j]) for i, j in zip(*np.nonzero(c >= threshold), strict=True) if own[i] < names[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], batch.column(key).type), pa.array([f[1] for f in found], batch.column(key).type), pa.array([f[2] for f in found], pa.float64())], names=["a", "b", "similarity"])
+
+        part = themes.select(key, "centroid").mapInArrow(near, f"a {kind}, b {kind}, similarity double")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else themes.limit(0).select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("similarity"))
 
 
 def ema_centroids(rows: DataFrame, themes: DataFrame, key: str, order: str, rate: float = LEARNING_RATE, vector: str = "embedding") -> DataFrame:
@@ -153,20 +218,64 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", word
     return hashed.mapInArrow(sign, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, signature array<long>")
 
 
-def minhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, threshold: float = SIMILAR, bands: int = BANDS) -> DataFrame:
-    """id, duplicate_of, similarity: the least earlier document that shares a band and whose estimated similarity is threshold or more.
+def _linked(signed: list[tuple], threshold: float):
+    """Links (a, b) that span the components of signatures (id, signature) as similar as threshold."""
+    ids, m = [i for i, _ in signed], np.array([s for _, s in signed])
+    left, out = np.ones(len(ids), bool), []
+    for i in range(len(ids)):
+        if left[i]:
+            left[i] = False
+            front = [i]
+            while front:
+                a = front.pop()
+                rest = np.flatnonzero(left)
+                new = rest[(m[rest] == m[a]).mean(axis=1) >= threshold]
+                left[new] = False
+                out += [(ids[b], ids[a]) for b in new]
+                front += new.tolist()
+    return out
 
-    Each band's documents are compared with the least of them only, so a group of
-    copies costs its size, not its square.
-    """
-    from ..sources.scratch import table
 
-    signed = table(signatures(docs, id_col, text, words))
+def _verified(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) among the rows (g1, g2, g3, node, signature) of each group (g1, g2, g3), which is of bounded size."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = _linked(list(zip(frame["node"].tolist(), frame["signature"].tolist(), strict=True)), threshold)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("g1", "g2", "g3").applyInPandas(run, "a long, b long")
+
+
+def minhash_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, threshold: float = SIMILAR, bands: int = BANDS) -> DataFrame:
+    """id, class_id (the least id of the class) of every document with a word.
+
+    Two documents are linked where they share a band and their estimated similarity is
+    threshold or more; classes are what links connect.  Equal signatures are one node.
+    A band's nodes are verified in blocks of ``BLOCK``: all against the first block and their
+    own, and then those that aren't in the band's largest component yet against all
+    blocks.  No link is lost, and the work grows with what is undecided.
+    """
+    signed = table(signatures(docs, id_col, text, words).withColumn("hash", F.xxhash64("signature")))
+    nodes = table(signed.groupBy("hash", "signature").agg(F.min(id_col).alias("least")).withColumn("node", F.monotonically_increasing_id()))
     rows = PERMUTATIONS // bands
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, rows)))
-    buckets = signed.select(id_col, F.explode(band).alias("bucket"))
-    first = buckets.groupBy("bucket").agg(F.min(id_col).alias("duplicate_of"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = buckets.join(first, "bucket").filter(F.col(id_col) != F.col("duplicate_of")).select(id_col, "duplicate_of").distinct()
-    both = pairs.join(signed, id_col).join(signed.select(F.col(id_col).alias("duplicate_of"), F.col("signature").alias("_s")), "duplicate_of")
-    same = F.aggregate(F.zip_with("signature", "_s", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(PERMUTATIONS))
-    return both.withColumn("similarity", same).filter(F.col("similarity") >= threshold).groupBy(id_col).agg(F.min_by(F.struct("duplicate_of", "similarity"), "duplicate_of").alias("_m")).select(id_col, "_m.*")
+    buckets = nodes.select("node", F.explode(band).alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = table(buckets.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("nb")).cast("int")))
+    signature = nodes.select("node", "signature")
+    against = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("block"))
+    links = table(_verified(members.select(F.col("bucket").alias("g1"), F.lit(0).alias("g2"), F.explode(against).alias("g3"), "node").join(signature, "node"), threshold))
+    large = members.filter("nb > 1")
+    if large.limit(1).count():
+        part = components(links).select(F.col("a").alias("node"), F.col("b").alias("c"))
+        placed = large.join(part, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        main = placed.groupBy("bucket", "c").count().groupBy("bucket").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+        rest = table(placed.join(main, "bucket").filter("c <> main").select("bucket", "node"))
+        undecided = large.join(rest.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("rb")), "bucket")
+        old = undecided.select(F.col("bucket").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("g2"), F.col("block").alias("g3"), "node")
+        new = undecided.join(rest, ["bucket", "node"], "left_semi").select(F.col("bucket").alias("g1"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("rb")).cast("int").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("g3"), "node")
+        links = links.union(_verified(old.union(new).distinct().join(signature, "node"), threshold))
+    found = components(links).select(F.col("a").alias("node"), F.col("b").alias("c"))
+    least = nodes.select("node", "least").join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    classes = least.join(least.groupBy("c").agg(F.min("least").alias("class_id")), "c").select("node", "class_id")
+    return signed.join(nodes.select("hash", "signature", "node"), ["hash", "signature"]).select(id_col, "node").join(classes, "node").select(id_col, "class_id")

@@ -8,14 +8,14 @@ from ..operators import linking as L, market as K
 from .bind import table
 from .registry import query
 
-_ALIASES = """aliases AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS alias, 'c' || CAST(c_nationkey AS VARCHAR) AS concept_id, c_custkey % 4 = 0 AS is_primary, CAST(0.40013 + (c_custkey % 60) / 100.0 AS DOUBLE) AS confidence, CASE c_custkey % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'pending' ELSE 'accepted' END AS review_status FROM customer WHERE c_custkey <= 40 AND c_custkey % 7 <> 0)"""
+_ALIASES = """aliases AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS alias, 'c' || CAST(c_nationkey AS VARCHAR) AS concept_id, c_custkey % 4 = 0 AS is_primary, CAST(0.40013 + (c_custkey % 60) / 100.0 AS DOUBLE) AS confidence, CASE c_custkey % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'pending' ELSE 'accepted' END AS review_status FROM customer WHERE c_custkey % 7 <> 0)"""
 _CANDIDATES = """found AS (SELECT * FROM (SELECT n.name, a.*, row_number() OVER (PARTITION BY name ORDER BY is_primary DESC, alias = name DESC, review_status = 'accepted' DESC, confidence DESC, concept_id) AS place FROM names n JOIN aliases a ON lower(a.alias) = lower(n.name) WHERE review_status <> 'rejected') WHERE place <= 10)"""
 _SECURITIES = "securities AS (SELECT DISTINCT 'c' || CAST(c_nationkey AS VARCHAR) AS concept_id, 's' || CAST(c_nationkey % 6 AS VARCHAR) AS security_id FROM customer)"
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD")
 
 
 def _aliases(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey <= 40")
+    c = table(spark, d, "customer")
     k = F.col("c_custkey")
     status = F.when(k % 5 == 0, "rejected").when(k % 5 == 1, "pending").otherwise("accepted")
     return c.select(F.when(k % 3 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment")).alias("alias"), F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("concept_id"), (k % 4 == 0).alias("is_primary"), (0.40013 + (k % 60) / 100.0).alias("confidence"), status.alias("review_status"), (k % 7 != 0).alias("is_active"))

@@ -114,10 +114,10 @@ def filing_drift(spark, d):
     return M.drift_against_peers(c).select("issuer", "dimension", F.round("m", 6).alias("magnitude"), F.round("z", 4).alias("z"), "unusual")
 
 
-@query("""WITH e AS (SELECT l_orderkey, l_linenumber, 's' || CAST(l_suppkey * 2 AS VARCHAR) AS symbol FROM lineitem WHERE l_orderkey % 5 = 0), s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS symbol, s_suppkey AS security_id, s_name AS security_name FROM supplier)
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, 's' || CAST(l_suppkey * 2 AS VARCHAR) AS symbol FROM lineitem), s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS symbol, s_suppkey AS security_id, s_name AS security_name FROM supplier)
 SELECT l_orderkey, l_linenumber, symbol, coalesce(security_id, -1) AS security_id, coalesce(security_name, symbol) AS security_name, CASE WHEN security_id IS NULL THEN 'unresolved' ELSE 'resolved' END AS mapping_status FROM e LEFT JOIN s USING (symbol)""")
 def security_mapping_left(spark, d):
-    e = table(spark, d, "lineitem").filter("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber", F.concat(F.lit("s"), (F.col("l_suppkey") * 2).cast("string")).alias("symbol"))
+    e = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("s"), (F.col("l_suppkey") * 2).cast("string")).alias("symbol"))
     s = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("symbol"), F.col("s_suppkey").alias("security_id"), F.col("s_name").alias("security_name"))
     return M.with_security(e, s).select("l_orderkey", "l_linenumber", "symbol", F.coalesce("security_id", F.lit(-1)).alias("security_id"), "security_name", "mapping_status")
 

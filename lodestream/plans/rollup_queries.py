@@ -45,12 +45,12 @@ def issuer_summaries(spark, d):
     return out.select("issuer", "themes", *[F.round(c, 6).alias(c) for c in ("max_adoption", "min_adoption", "avg_adoption")], "alerts", "critical", "warning")
 
 
-@query("""WITH e AS (SELECT event_id, unnest(['t' || CAST(user_id % 40 AS VARCHAR), 't' || CAST(event_id % 60 AS VARCHAR)]) AS ticker FROM events), t AS (SELECT s_suppkey AS theme_id, unnest(['t' || CAST(s_suppkey % 50 AS VARCHAR), 't' || CAST(s_nationkey AS VARCHAR)]) AS ticker FROM supplier WHERE s_suppkey <= 20)
+@query("""WITH e AS (SELECT event_id, unnest(['t' || CAST(user_id % 40 AS VARCHAR), 't' || CAST(event_id % 60 AS VARCHAR)]) AS ticker FROM events), t AS (SELECT s_suppkey AS theme_id, unnest(['t' || CAST(s_suppkey % 50 AS VARCHAR), 't' || CAST(s_nationkey AS VARCHAR)]) AS ticker FROM supplier)
 SELECT DISTINCT event_id, theme_id FROM e JOIN t USING (ticker)""")
 def event_theme_links(spark, d):
     t = lambda c: F.concat(F.lit("t"), c.cast("string"))
     e = table(spark, d, "events").select("event_id", F.array(t(F.col("user_id") % 40), t(F.col("event_id") % 60)).alias("tickers"))
-    themes = table(spark, d, "supplier").filter("s_suppkey <= 20").select(F.col("s_suppkey").alias("theme_id"), F.array(t(F.col("s_suppkey") % 50), t(F.col("s_nationkey"))).alias("tickers"))
+    themes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("theme_id"), F.array(t(F.col("s_suppkey") % 50), t(F.col("s_nationkey"))).alias("tickers"))
     return R.linked_events(e, themes)
 
 

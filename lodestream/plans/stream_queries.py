@@ -38,7 +38,10 @@ def session_stream(spark, d):
     return out.select("entity", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "doc_count")
 
 
-@query()
+@query(f"""WITH RECURSIVE {bind.SIGNALS}, n AS (SELECT entity AS key, ts, coalesce(authority, 0.0)::DOUBLE AS score, label = 'positive' AS trig, row_number() OVER (PARTITION BY entity ORDER BY ts, coalesce(authority, 0.0)) AS k FROM signals),
+g AS (SELECT key, ts, score, k, trig AS published, CASE WHEN trig THEN ts END AS last_at, CASE WHEN trig THEN score ELSE 0.0 END AS last_score FROM n WHERE k = 1
+ UNION ALL SELECT n.key, n.ts, n.score, n.k, p, CASE WHEN p THEN n.ts ELSE g_at END, CASE WHEN p THEN n.score ELSE g_score END FROM (SELECT n.*, g.last_at AS g_at, g.last_score AS g_score, n.trig AND (g.last_at IS NULL OR n.ts - g.last_at >= INTERVAL 30 MINUTE OR n.score >= g.last_score + 0.25) AS p FROM n JOIN g ON n.key = g.key AND n.k = g.k + 1) n)
+SELECT key, epoch_us(ts) AS at, round(score, 6) AS score, published FROM g""")
 def signal_gate_stream(spark, d):
     rows = _events(spark, d).select(F.col("entity").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce("authority", F.lit(0.0)).alias("score"), (F.col("label") == "positive").alias("triggered"))
-    return P.finished(P.gated(rows))
+    return P.finished(P.gated(rows)).select("key", F.unix_micros("ts").alias("at"), F.round("score", 6).alias("score"), "published")

@@ -11,11 +11,11 @@ from .registry import query
 _CENTROIDS = "x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM x GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS centroid, max(n) AS members FROM m GROUP BY 1)"
 
 
-@query("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q) SELECT vec_id, round(s, 6) AS similarity FROM s WHERE s >= 0.05 AND vec_id <> 0 ORDER BY s DESC, vec_id LIMIT 20")
+@query("""WITH s AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS rank FROM s WHERE s >= 0.05)
+SELECT query, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 20""")
 def similarity_topk(spark, d):
     e = table(spark, d, "embeddings")
-    first = e.filter("vec_id = 0").first()
-    return V.search(e, list(first["embedding"]) if first else [0.0], 20, 0.05, exclude=[0]).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    return V.search(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding"), 20, 0.05).select("query", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(f"WITH {_CENTROIDS} SELECT label, members, round(list_sum(centroid), 5) AS total FROM c")
@@ -70,4 +70,4 @@ def text_chunks(spark, d):
 
 @query()
 def dedupe_minhash_lsh(spark, d):
-    return V.minhash_duplicates(table(spark, d, "documents"))
+    return V.minhash_classes(table(spark, d, "documents"))

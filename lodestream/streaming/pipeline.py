@@ -85,29 +85,30 @@ GATED = "key string, ts timestamp, score double, published boolean, reason strin
 
 
 def _gate(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:  # after a cooldown every signal is published, as without a state
+        state.remove()
+        return
     last_at, last_score = state.get if state.exists else (None, 0.0)
-    for frame in frames:
-        out = []
-        for row in frame.sort_values("ts").itertuples():
-            now = row.ts.timestamp()
-            if not row.triggered:
-                out.append((False, "not triggered"))
-                continue
-            quiet = last_at is None or now - last_at >= COOLDOWN_MINUTES * 60
-            raised = last_at is not None and row.score >= last_score + ESCALATION
-            if quiet or raised:
-                last_at, last_score = now, float(row.score)
-                out.append((True, "first" if not state.exists and quiet else "cooled" if quiet else "escalated"))
-                state.update((last_at, last_score))
-            else:
-                out.append((False, "cooling"))
-        f = frame.sort_values("ts")
-        yield pd.DataFrame({"key": key[0], "ts": f["ts"].values, "score": f["score"].values, "published": [x for x, _ in out], "reason": [x for _, x in out]})
-
-
-def gated(signals: DataFrame) -> DataFrame:
-    """Signals (key, ts, score, triggered) with whether each is published: at first, after a cooldown of 30 minutes, or when the score rose by .25.
-
-    The state of a key is one time and one score.
+    rows = pd.concat([*frames]).sort_values(["ts", "score"], kind="stable")  # a key's rows of one batch may come in several frames
+    told = []
+    for now, score, triggered in zip(rows["ts"].map(pd.Timestamp.timestamp).tolist(), rows["score"].tolist(), rows["triggered"].tolist(), strict=True):
+        quiet = last_at is None or now - last_at >= COOLDOWN_MINUTES * 60
+        if triggered and (quiet or score >= last_score + ESCALATION):
+            last_at, last_score = now, score
+            told.append("quiet" if quiet else "escalated")
+        else:
+            told.append("cooling" if triggered else "not triggered")
+    if last_at is not None:
+        state.update((last_at, last_score))
+        state.setTimeoutTimestamp(max(int((last_at + COOLDOWN_MINUTES * 60) * 1000), state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame({"key": key[0], "ts": rows["ts"].values, "score": rows["score"].values, "published": [x in ("quiet", "escalated") for x in told], "reason": told})
+
+
+def gated(signals: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Signals (key, ts, score, triggered) with whether each is published: when the last was published a cooldown of 30 minutes ago or never, or the score rose by .25.
+
+    The state of a key is one time and one score, and leaves with the cooldown; a task
+    holds what one batch has of a key, in the order of time and score.
     """
-    return signals.groupBy("key").applyInPandasWithState(_gate, GATED, "last_at double, last_score double", "append", GroupStateTimeout.NoTimeout)
+    rows = signals.withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(_gate, GATED, "last_at double, last_score double", "append", GroupStateTimeout.EventTimeTimeout)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import scoring as S, text as T
 from lodestream.operators import backtest as B, claims as C, documents as D, factors as A, graph as G, market as M, themes as H, vectors as V
 from lodestream.sources import documents as SD, files as SF
 
+from .conftest import SF as SMALL
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
@@ -136,8 +140,49 @@ def test_minhash_finds_near_copies(spark):
     base = [f"w{rng.randrange(5000)}" for _ in range(400)]
     near = base[:200] + ["changed"] + base[201:]
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, " ".join(f"v{rng.randrange(5000)}" for _ in range(400))), (5, None), (6, "")]
-    got = {r["doc_id"]: r["duplicate_of"] for r in V.minhash_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {2: 1, 3: 1}
+    got = {r["doc_id"]: r["class_id"] for r in V.minhash_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_minhash_classes_against_brute_force(spark, monkeypatch, block):
+    """Drifting families (A like B, B like C, A not like C) and a bucket of many documents: no link that the bands show is lost."""
+    monkeypatch.setattr(V, "BLOCK", block)
+    rng = random.Random(block)
+    word = lambda: f"w{rng.randrange(9000)}"
+    rows = []
+    for family in range(4):
+        text = [word() for _ in range(150)]
+        for _ in range(12):
+            rows.append((rng.randrange(10**6), " ".join(text)))
+            text[rng.randrange(150)] = word()
+    rows += [(10**7 + k, rows[0][1]) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = {r["doc_id"]: r["signature"] for r in V.signatures(docs).collect()}
+    of = {i: i for i in signed}
+
+    def top(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a, b in itertools.combinations(signed, 2):
+        x, y = signed[a], signed[b]
+        if any(x[k : k + 4] == y[k : k + 4] for k in range(0, 128, 4)) and sum(p == q for p, q in zip(x, y, strict=True)) >= V.SIMILAR * 128:
+            of[max(top(a), top(b))] = min(top(a), top(b))
+    assert {r["doc_id"]: r["class_id"] for r in V.minhash_classes(docs).collect()} == {i: top(i) for i in signed}
+
+
+def test_minhash_recall(spark):
+    """Of the document pairs that are similar by 0.85 or more, nine in ten at least are in one class."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("text is not null")
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = r["text"].lower().split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    of = {r["doc_id"]: r["class_id"] for r in V.minhash_classes(docs).collect()}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])]
+    assert len(pairs) > 5 and sum(of.get(a) == of.get(b) for a, b in pairs) >= 0.9 * len(pairs)
 
 
 def test_readiness_and_levels(spark):
