@@ -1,35 +1,7 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components, which other operators need too."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from ..operators.graph import components
 
-from .storage import discard, table
-
-
-def _mark(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b): b is the least node that undirected edges (a, b: long) connect with a; nodes that are least have no row.
-
-    Each round is joins and sums by key: minima are combined before the shuffle and
-    a hub's many edges may be split by adaptive execution.  The number of rounds
-    grows with the logarithm of the longest path.  Each round's edges are a table
-    in the shared folder.
-    """
-    now = table(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(now)
-    while mark[0]:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        last, now = now, table(small)
-        discard(last)
-        before, mark = mark, _mark(now)
-        if before == mark:
-            break
-    return now
+__all__ = ["components"]

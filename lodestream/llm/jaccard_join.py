@@ -42,7 +42,7 @@ from .storage import discard, numbered, table
 from .textops import LOWER, SPACE, U64, Words, mix, row_key, shingles, slices
 
 K, PERCENT = 3, 90
-SKETCH_BITS, PARTS, BLOCK, SPREAD = 20, 64, 128, 32
+SKETCH_BITS, PARTS, BLOCK, SPREAD = 20, 64, 128, 8
 ORDERS = (0x1F123BB5, 0x5A17E9C3)
 
 
@@ -318,9 +318,19 @@ def verify(rows: DataFrame, n_parts: int, k: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _joined(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined with groups, one row each, whose largest may hold a third of all rows: every group is dealt to SPREAD places."""
-    return rows.withColumn("_at", F.pmod(F.xxhash64("uid"), F.lit(SPREAD)).cast("int")).join(groups.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), [*on, "_at"]).drop("_at")
+def _in_several(rows: DataFrame, key: str) -> DataFrame:
+    """rows (uid, key) whose key another row has; the largest key may hold a third of all rows, so each is dealt to SPREAD places."""
+    several = rows.groupBy(key).count().filter("count > 1").select(key, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_at"))
+    return rows.withColumn("_at", F.pmod(F.xxhash64("uid"), F.lit(SPREAD)).cast("int")).join(several.hint("shuffle_merge"), [key, "_at"]).drop("_at")
+
+
+def _to_least(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Links (a, b) from each row (uid, key) to the least of its key, by way of the least of its place among SPREAD."""
+    placed = rows.select("uid", *key, F.pmod(F.xxhash64("uid"), F.lit(SPREAD)).cast("int").alias("_at"))
+    by_place = placed.groupBy(*key, "_at").agg(F.min("uid").alias("rep"))
+    least = by_place.groupBy(*key).agg(F.min("rep").alias("least"))
+    up = placed.join(by_place, [*key, "_at"]).select(F.col("uid").alias("a"), F.col("rep").alias("b"))
+    return up.union(by_place.join(least, key).select(F.col("rep").alias("a"), F.col("least").alias("b"))).filter("a <> b")
 
 
 def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id_col: str = "doc_id", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -344,12 +354,12 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
     one = members.filter("a % 2 = 0").select(F.shiftright("a", 1).alias("uid"), F.col("b").alias("c0"))
     two = members.filter("a % 2 = 1").select(F.shiftright("a", 1).alias("uid"), F.col("b").alias("c1"))
     classed = one.join(two, "uid").select("uid", F.xxhash64("c0", "c1").alias("class"))
-    cand = _joined(classed, classed.groupBy("class").count().filter("count > 1").select("class"), ["class"])
+    cand = _in_several(classed, "class")
 
     keyed = table(found.filter("uid is not null").select("uid", "s1", "s2", F.col("size").alias("n")).join(cand, "uid"))
     discard(found, by_order)
     equal = keyed.groupBy("class", "s1", "s2", "n").agg(F.min("uid").alias("rep"))
-    same = _joined(keyed, equal, ["class", "s1", "s2", "n"]).filter("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
+    same = _to_least(keyed, ["class", "s1", "s2", "n"])
     blocks = equal.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"), F.count("*").alias("m")).filter("m > 1")
     reps = equal.join(blocks, "class").select("class", F.col("rep").alias("uid"), "nb").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
     reps = table(left.select("uid", "text").join(reps, "uid"))
