@@ -41,8 +41,9 @@ def numbered(docs: DataFrame, columns: list[Column | str], name: str = "uid") ->
             placed = None
         if placed is not None and len(files) <= FILES:
             numbers = docs.sparkSession.createDataFrame([(f, k << ROW_BITS) for k, f in enumerate(files)], "_file string, _base long")
-            known = F.coalesce("_base", F.raise_error("a file that wasn't in the input's list").cast("long"))
-            return placed.join(F.broadcast(numbers), "_file", "left").withColumn(name, known + F.col("_row")).drop("_file", "_row", "_base")
+            # the last value is never taken: it tells Spark that no number is null, so that both readers of an exchange can share it
+            known = F.coalesce(F.col("_base") + F.col("_row"), F.raise_error("a file that wasn't in the input's list").cast("long"), F.lit(-1).cast("long"))
+            return placed.join(F.broadcast(numbers), "_file", "left").withColumn(name, known).drop("_file", "_row", "_base")
     return table(docs.select(*columns, F.monotonically_increasing_id().alias(name)))
 
 
