@@ -18,7 +18,7 @@ from .textops import U64, mix, powers, row_key
 
 __all__ = ["NAMED", "PACKED", "Laters", "Packer", "Repeats", "buckets", "by_owner", "inverse_powers_of", "lists", "meet", "packed_batch", "powers_of", "row_key", "told", "unpack"]
 PACKED = "bucket int, told boolean, n long, keys binary, owners binary, extra binary"
-FLUSH = 1_500_000
+FLUSH = 750_000
 BUCKET_BYTES = 16 << 20
 _SALT = U64(0xA24BAED4963EE407)
 
