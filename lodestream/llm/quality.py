@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .textops import NEWLINE, SPACE, U64, Words, mix, row_key, shingles, slices, sums
+from .textops import NEWLINE, PIECE, SPACE, U64, Words, mix, row_key, shingles, slices
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 BUCKETS, COMMON, FULLEST = 1 << 13, 32, 128
@@ -43,25 +43,30 @@ CLASSES[[0x20, 9, 11, 12]], CLASSES[[10, 13]] = 3, 4
 CLASSES[list(b".,;:'\"?!()-")], CLASSES[list(SYMBOLS)] = 5, 6
 CLASSES[0xC0:], CLASSES[0x80:0xC0] = 8, 9
 N_CLASSES = 9
-_IS_SYMBOL = np.zeros(256, dtype=np.int64)
-_IS_SYMBOL[list(SYMBOLS)] = 1
-_CODE_POINT = np.ones(256, dtype=np.int64)
-_CODE_POINT[0x80:0xC0] = 0
+_IS_SYMBOL = np.zeros(256, dtype=bool)
+_IS_SYMBOL[list(SYMBOLS)] = True
+#: First bytes of a word's code points.
+_IN_WORD = ~SPACE
+_IN_WORD[0x80:0xC0] = False
 
 
 def base_counts(data, off):
     """words, and by row: word_chars, n_symbols, n_dup_lines, n_repeat_words; and the classes by row."""
     words = Words(data, off, SPACE)
     rows = len(off) - 1
-    word_chars = sums(_CODE_POINT[data] * ~SPACE[data], off)
-    n_symbols = sums(_IS_SYMBOL[data], off)
-    of = np.repeat(np.arange(rows), np.diff(off))
-    classes = np.bincount(of * 10 + CLASSES[data], minlength=rows * 10).reshape(rows, 10)[:, :N_CLASSES]
+    word_chars, n_symbols, classes = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros((rows, 10), np.int64)
+    for at in range(0, len(data), PIECE):  # bounded memory, however long a text is
+        d = data[at : at + PIECE]
+        of = np.searchsorted(off, np.arange(at, at + len(d)), side="right") - 1
+        word_chars += np.bincount(of[_IN_WORD[d]], minlength=rows)
+        n_symbols += np.bincount(of[_IS_SYMBOL[d]], minlength=rows)
+        classes += np.bincount(of * 10 + CLASSES[d], minlength=rows * 10).reshape(rows, 10)
+    classes = classes[:, :N_CLASSES]
 
     lines = Words(data, off, NEWLINE)
     has_word = np.zeros(len(lines), bool)
     if len(lines):
-        filled = np.concatenate(([0], np.cumsum(~SPACE[data])))
+        filled = np.concatenate(([0], np.cumsum(~SPACE[data], dtype=np.int32 if len(data) < 1 << 31 else np.int64)))
         has_word = filled[lines.ends] > filled[lines.starts]
     key = row_key(lines.row, lines.hash)[has_word]
     line_rows = lines.row[has_word]

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, PIECE = 1 << 20, 1 << 18
 U64 = np.uint64
 _K1, _K2, _K3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _BASE = U64(0xD6E8FEB86659FD93)
@@ -104,8 +104,9 @@ class Words:
         self.row = np.searchsorted(offsets, self.starts, side="right") - 1
         self.first = np.searchsorted(self.row, np.arange(rows + 1), side="left")
         self.counts = np.diff(self.first)
+        self._data = d
         if hashed:
-            self.hash = self._hash(d, inside, n)
+            self.hash = self._hash(_LETTERS)
 
     @classmethod
     def of(cls, names: np.ndarray) -> Words:
@@ -115,36 +116,37 @@ class Words:
         self.ends, self.first, self.counts = self.starts + 1, np.array([0, len(names)]), np.array([len(names)])
         return self
 
-    def _hash(self, d, inside, n):
-        self._size = self.ends - self.starts
-        self._begin = np.concatenate(([0], np.cumsum(self._size)[:-1]))
-        self._bytes = d[inside]
-        self._power = powers(int(self._size.max()) if len(self) else 1)[np.arange(len(self._bytes)) - np.repeat(self._begin, self._size)] if len(self) else np.zeros(0, U64)
-        self._terms = _LETTERS[self._bytes] * self._power
-        return self._named(self._terms)
-
-    def _named(self, terms: np.ndarray) -> np.ndarray:
-        if not len(self):
-            return np.zeros(0, dtype=U64)
-        return mix(np.add.reduceat(terms, self._begin) + self._size.astype(U64) * _K1)
+    def _hash(self, letters: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+        """Names of the words by a table of letters, in pieces of PIECE bytes: a long text needs no more memory for it than a short one."""
+        out = np.empty(len(self), U64)
+        size = self.ends - self.starts
+        total = np.concatenate(([0], np.cumsum(size)))
+        at = 0
+        while at < len(self):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + PIECE, side="right")) - 1)
+            begin = total[at:to] - total[at]
+            inside = np.arange(total[to] - total[at]) - np.repeat(begin, size[at:to])
+            d = self._data[inside + np.repeat(self.starts[at:to], size[at:to])]
+            terms = letters[d if fold is None else fold[d]] * powers(int(size[at:to].max()))[inside]
+            out[at:to] = mix(np.add.reduceat(terms, begin) + size[at:to].astype(U64) * _K1)
+            at = to
+        return out
 
     def folded(self, fold: np.ndarray = LOWER) -> np.ndarray:
         """The hashes that the words have with their bytes folded (fold keeps separators and lengths)."""
-        return self._named(_LETTERS[fold[self._bytes]] * self._power)
+        return self._hash(_LETTERS, fold)
 
     def second(self) -> np.ndarray:
-        """Independent hashes of the words: with the first ones they make names of 128 bits."""
-        return self._named(_OTHERS[self._bytes] * self._power)
+        """Independent hashes of the words."""
+        return self._hash(_OTHERS)
 
     def prefix(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The words of k bytes or more and hashes of their first k bytes, which differ from the hashes of words."""
-        if not len(self):
-            return np.zeros(0, np.int64), np.zeros(0, U64)
-        if not hasattr(self, "_sums"):
-            self._sums = np.concatenate((np.zeros(1, U64), np.cumsum(self._terms)))
         at = np.flatnonzero(self.ends - self.starts >= k)
-        b = self._begin[at]
-        return at, mix(self._sums[b + k] - self._sums[b] + U64(k * int(_K3) % (1 << 64)))
+        total, p = np.zeros(len(at), U64), powers(k)
+        for j in range(k):
+            total += _LETTERS[self._data[self.starts[at] + j]] * p[j]
+        return at, mix(total + U64(k * int(_K3) % (1 << 64)))
 
     def __len__(self):
         return len(self.starts)
