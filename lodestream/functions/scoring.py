@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from . import thesis_words as N
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -124,3 +125,25 @@ def document_authority(verified: Column, followers: Column, engaged: Column, spa
 def fact_evidence(event_type: Column, delta: Column) -> Column:
     """Whether an official fact's change speaks for growth."""
     return F.when(event_type.isin("margin_compression", "restatement"), "contradictory").when(delta > 0, "corroborating").when(delta < 0, "contradictory").otherwise("neutral")
+
+
+def thesis(text: Column, shortest: int = 50) -> Column:
+    """struct(overall, authority, evidence, reasoning, risk, action, technical, flags) by the density of telling words; a text under ``shortest`` characters has no score."""
+    low = F.lower(text)
+    words = F.greatest(F.lit(1), F.regexp_count(low, F.lit(r"[\p{L}\p{N}_]+"))).cast("double")
+    density = lambda names: sum((low.contains(k).cast("int") for k in names), F.lit(0)) / words
+    d = {k: density(v) for k, v in (("authority", N.AUTHORITY), ("evidence", N.EVIDENCE), ("hype", N.HYPE), ("risk", N.RISK), ("action", N.ACTION), ("technical", N.TECHNICAL))}
+    ten = lambda c, scale=140.0: F.round(F.least(F.lit(10.0), c * scale), 2)
+    parts = {k: ten(d[k]) for k in ("authority", "evidence", "risk", "action", "technical")} | {"reasoning": ten(d["evidence"] + d["risk"], 70.0)}
+    mean = sum(parts.values(), F.lit(0.0)) / 6
+    overall = F.round(F.least(F.lit(10.0), F.greatest(F.lit(0.0), mean - F.least(F.lit(3.0), d["hype"] * 70.0))), 2)
+    flags = F.array_compact(F.array(F.when(d["hype"] > 0.01, "hype_language"), F.when(d["evidence"] < 0.005, "no_evidence")))
+    full = F.struct(overall.alias("overall"), *[c.alias(k) for k, c in parts.items()], flags.alias("flags"))
+    none = F.struct(F.lit(0.0).alias("overall"), *[F.lit(0.0).alias(k) for k in parts], F.array(F.lit("too_short")).alias("flags"))
+    return F.when(F.length(text) < shortest, none).otherwise(full)
+
+
+def thesis_text(description: Column, keywords: Column, tickers: Column, entities: Column, stage: Column, documents: Column) -> Column:
+    """A theme as lines: description, up to 20 keywords, 10 tickers and 15 entities, stage and size."""
+    line = lambda label, c, n: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(F.slice(c, 1, n), ", ")))
+    return F.concat_ws("\n", F.nullif(description, F.lit("")), line("Keywords: ", keywords, 20), line("Tickers: ", tickers, 10), line("Entities: ", entities, 15), F.concat(F.lit("Lifecycle: "), stage), F.concat(F.lit("Documents: "), documents.cast("string")))

@@ -82,3 +82,18 @@ def aligned(base: DataFrame, target: DataFrame, pair: str, least: float = 0.6) -
 
     one = lambda rows: rows.select(F.col(pair).cast("string").alias("pair"), F.col("name").alias("name")).distinct().groupBy("pair")
     return one(base).cogroup(one(target)).applyInPandas(match, schema)
+
+
+def section_diff(base: Column, target: Column) -> Column:
+    """struct(changed, added_lines, removed_lines, ratio) of two texts by their lines: what a line differ tells of matched blocks."""
+
+    @F.pandas_udf("struct<changed boolean, added_lines int, removed_lines int, ratio double>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(a.fillna(""), b.fillna(""), strict=True):
+            m = difflib.SequenceMatcher(None, x.splitlines(), y.splitlines())
+            moves = [o for o in m.get_opcodes() if o[0] != "equal"]
+            out.append((x != y, sum(j2 - j1 for *_, j1, j2 in moves), sum(i2 - i1 for _, i1, i2, *_ in moves), m.ratio()))
+        return pd.DataFrame(out, columns=["changed", "added_lines", "removed_lines", "ratio"])
+
+    return run(base, target)

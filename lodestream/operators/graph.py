@@ -15,6 +15,10 @@ from ..sources.scratch import discard, table
 
 # Fixed values
 RELATION_WEIGHTS = {"depends_on": 0.8, "supplies_to": 0.6, "competes_with": -0.3, "drives": 0.5, "blocks": -0.4}
+GRAPH_RELATIONS = {
+    "depends_on": "depends_on", "supplies_to": "supplies_to", "competes_with": "competes_with", "drives": "drives", "blocks": "blocks", "customer_of": "depends_on", "uses_technology": "depends_on", "develops_technology": "drives",
+    "produces": "supplies_to", "consumes": "depends_on", "component_of": "depends_on", "contains_component": "supplies_to", "subsidiary_of": "depends_on", "parent_of": "drives", "operates_facility": "drives", "located_at": "drives",
+}
 HOP_DECAY, IMPACT_MIN, MAX_DEPTH, PATH_MIN = 0.7, 0.01, 3, 0.01
 
 
@@ -135,3 +139,22 @@ def components(edges: DataFrame) -> DataFrame:
         if before == at:
             break
     return now
+
+
+def synced_supports(assertions: DataFrame, supports: DataFrame) -> DataFrame:
+    """Edge supports (source, target, relation, assertion_id, confidence) after the current assertions: strong active and disputed ones of a mapped predicate replace theirs, retracted ones lose theirs.
+
+    assertions: assertion_id, subject, predicate, object, confidence, status.
+    """
+    relation = F.lit(None).cast("string")
+    for k, v in GRAPH_RELATIONS.items():
+        relation = F.when(F.col("predicate") == k, v).otherwise(relation)
+    live = assertions.filter("object is not null and status in ('active', 'disputed') and confidence >= 0.3").withColumn("relation", relation).filter("relation is not null")
+    new = live.select(F.col("subject").alias("source"), F.col("object").alias("target"), "relation", "assertion_id", "confidence")
+    gone = assertions.filter("status = 'retracted'").select("assertion_id").union(new.select("assertion_id")).distinct()
+    return supports.select(new.columns).join(gone, "assertion_id", "left_anti").select(new.columns).unionByName(new)
+
+
+def path_explanations(paths: DataFrame) -> DataFrame:
+    """(source, target, payload): JSON of scored paths (source, middle, target, score, sign, hops)."""
+    return paths.select("source", "target", F.to_json(F.struct(F.col("source").alias("source_concept_id"), F.col("target").alias("target_concept_id"), "hops", F.col("score").alias("path_score"), F.col("sign").alias("path_sign"), F.col("middle").alias("intermediate_concept_id"))).alias("payload"))

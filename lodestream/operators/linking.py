@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import text as T
+
 # Fixed values
 ANTONYMS = {"expands_capacity": "constrains_capacity", "constrains_capacity": "expands_capacity", "launches_product": "delays_product", "delays_product": "launches_product"}
 GRANT, APPLICATION, PREFERRED_SOURCE, OTHER_SOURCE, REVIEW, ALIAS_MIN, CANDIDATES = 0.95, 0.85, 0.90, 0.80, 0.75, 0.50, 10
 INVESTIGATE, BLOCK = 0.05, 0.15
+GENERIC = ["research", "research lab", "research labs", "laboratory", "laboratories", "advanced research", "technology", "technologies", "semiconductor", "semiconductors", "systems", "microelectronics"]
+ACADEMIC, ACADEMIC_SHORT = ["university", "college", "school of", "institute of technology", "polytechnic"], ["mit", "cmu", "caltech", "ucsd", "ucla", "uiuc", "gatech", "eth", "ntu", "nus"]
+ALIAS_CONFIDENCE = {"name": 0.95, "former_name": 0.82, "subsidiary": 0.86, "acquired_entity": 0.78, "lab": 0.72, "research_institution": 0.64, "abbreviation": 0.70}
 
 
 def class_theme(classes: Column, themes: dict[str, str]) -> Column:
@@ -120,3 +125,17 @@ def rollout_advice(compared: DataFrame, total: DataFrame) -> DataFrame:
     rows = counts.join(total.select(F.lit(1).alias("_k"), "n"), "_k")  # one row each
     rate = F.when(F.col("n") > 0, F.col("material") / F.col("n")).otherwise(0.0)
     return rows.select("n", "material", rate.alias("rate"), F.when(rate >= BLOCK, "block").when(rate >= INVESTIGATE, "investigate").otherwise("proceed").alias("advice"))
+
+
+def guarded_aliases(aliases: DataFrame) -> DataFrame:
+    """Adds normalized, risks, confidence and review_status to aliases (alias, alias_type, and confidence or null): generic and academic names need a review and are less sure; unknown types raise."""
+    name = T.innovation_alias(F.col("alias"))
+    term = F.lit(False)
+    for t in ACADEMIC:
+        term = term | F.col("normalized").contains(t)
+    academic = (F.col("alias_type") == "research_institution") | F.col("normalized").isin(*ACADEMIC_SHORT) | term
+    generic = F.col("normalized").isin(*GENERIC)
+    usual = F.when(F.col("alias_type").isin(*ALIAS_CONFIDENCE), T.lookup(F.col("alias_type"), ALIAS_CONFIDENCE)).otherwise(F.raise_error(F.concat(F.lit("unknown alias type: "), "alias_type")).cast("double"))
+    rows = aliases.withColumn("normalized", name).withColumn("risks", F.array_compact(F.array(F.when(generic, "generic_alias"), F.when(academic, "academic_institution_collision"))))
+    sure = F.coalesce("confidence", usual)
+    return rows.withColumn("confidence", F.when(generic, F.least(sure, F.lit(0.35))).when(academic, F.least(sure, F.lit(0.5))).otherwise(sure)).withColumn("review_status", F.when(F.size("risks") > 0, "needs_review").otherwise("accepted"))

@@ -92,6 +92,11 @@ def centroids(rows: DataFrame, key: str, vector: str = "embedding") -> DataFrame
     return mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"), F.max("n").alias("members"))
 
 
+def mean_pooled(tokens: DataFrame, key: str, vector: str = "embedding", mask: str = "mask") -> DataFrame:
+    """key, pooled: the mean of a text's token vectors whose mask isn't 0; texts without any have no row."""
+    return centroids(tokens.filter(F.col(mask) != 0), key, vector).select(key, F.col("centroid").alias("pooled"))
+
+
 def assigned(rows: DataFrame, themes: DataFrame, key: str, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """id, nearest theme, similarity and strength (strong, weak, unassigned).
 
