@@ -7,13 +7,15 @@ import hashlib
 import itertools
 import math
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, packing, quality, queries, resharding, substring_dedup, toxicity
+from lodestream.llm import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, packing, quality, queries, resharding, storage, substring_dedup, textops, toxicity
 from lodestream.llm.components import components
 
 from ..conftest import SF, same_rows
@@ -397,3 +399,104 @@ def test_pipeline(spark):
     hits = decontamination.scan(docs, spark.read.parquet(f"{SF}/benchmark.parquet"), ["doc_id"]).filter("n_hit > 0").count()
     near = jaccard_join.similar_components(spark, docs, ["doc_id"], k=P.NEAR_K, percent=P.NEAR_PERCENT).filter("uid <> component_uid").count()
     assert hits == near == 0 and all(kept.values())
+
+
+def test_rows_keep_their_numbers(spark, tmp_path):
+    """The same rows have the same numbers by however many executors they are read, and equal results come of it."""
+    path = f"file://{tmp_path}/docs with blanks"
+    rows = [(k, f"text {k}", k % 3) for k in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, uid int").repartition(6).write.parquet(path)
+    found, results = [], []
+    before = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    for cores in (2, 12):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+        docs = spark.read.parquet(path).filter("uid < 2")
+        found.append({r["uid"]: r["text"] for r in storage.numbered(docs, ["text"]).collect()})
+        results.append(sorted(map(str, substring_dedup.remove_repeats(spark, docs, ["doc_id"], 2, "").collect())))
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if before is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)
+    assert len(found[0]) == 2000 and found[0] == found[1] and results[0] == results[1]
+
+
+def test_rows_of_other_inputs_are_written_once(spark):
+    docs = spark.createDataFrame([(k, "x") for k in range(50)], "doc_id long, text string").repartition(5)
+    numbers = storage.numbered(docs, ["doc_id"])
+    assert {(r["doc_id"], r["uid"]) for r in numbers.collect()} == {(r["doc_id"], r["uid"]) for r in numbers.collect()} and numbers.select("uid").distinct().count() == 50
+
+
+def maximal(score, lo, hi):
+    """All maximal segments by their definition: the best one, then those on both sides of it."""
+    best = max(((score[i:j].sum(), i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0, 0, 0))
+    return maximal(score, lo, best[1]) + [best] + maximal(score, best[2], hi) if best[0] > 1e-12 else []
+
+
+def test_all_segments_against_their_definition():
+    rng = np.random.default_rng(7)
+    for _ in range(100):
+        n = int(rng.integers(1, 14))
+        at, gain = np.sort(rng.choice(30, n, replace=False)), rng.uniform(0.02, 2, n)
+        score = np.full(30, -0.4)
+        score[at] = gain
+        got = [(int(at[i]), int(at[j]) + 1, round(s, 9)) for i, j, s in toxicity.segments(at, gain, -0.4)]
+        assert got == [(i, j, round(float(s), 9)) for s, i, j in maximal(score, 0, 30)]
+
+
+def test_segments_take_linear_time():
+    began = time.process_time()
+    assert len(toxicity.segments(np.arange(200_000) * 40, np.full(200_000, 1.0), -0.05)) == 200_000
+    assert time.process_time() - began < 2
+
+
+def test_flow_costs_the_least():
+    """Against every way to send whole units."""
+    rng = random.Random(12)
+    for _ in range(40):
+        supply, capacity = [rng.randrange(4) for _ in range(2)], [rng.randrange(2, 6) for _ in range(3)]
+        cost = [[rng.randrange(4) for _ in range(3)] for _ in range(2)]
+        if sum(capacity) < sum(supply):
+            continue
+        splits = [[x for x in itertools.product(range(s + 1), repeat=3) if sum(x) == s] for s in supply]
+        best = min(sum(c * x for row, xs in zip(cost, way, strict=True) for c, x in zip(row, xs, strict=True)) for way in itertools.product(*splits) if all(sum(xs[j] for xs in way) <= capacity[j] for j in range(3)))
+        flow = resharding.min_cost_flow(supply, capacity, cost)
+        assert [sum(x) for x in flow] == supply and all(sum(x[j] for x in flow) <= capacity[j] for j in range(3))
+        assert sum(c * x for row, xs in zip(cost, flow, strict=True) for c, x in zip(row, xs, strict=True)) == best
+
+
+def test_quality_against_plain_counts(spark):
+    """Symbols, repeated lines, failures and both divergences of written-out texts."""
+    rng = random.Random(9)
+    body = lambda n: " ".join(f"v{int(rng.paretovariate(1)) % 90}" for _ in range(n))
+    rows = [(k, body(120) + " $#" * (k % 3) + "\nsame line\nsame line" * (k % 2), "en") for k in range(30)] + [(100, "few words", "en"), (101, "a b c " * 40, "en"), (102, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality.references(docs)
+    good = [r for r in rows if r[1] and r[0] < 100]
+    count = collections.Counter(w for _, t, _ in good for w in t.split())
+    total = sum(count.values())
+    shares = sorted(c / total for c in count.values())[::-1][: quality.COMMON]
+    assert np.allclose(sorted(refs[0][3][:-1])[::-1], shares) and refs[0][4][0] == len(good)
+    out = {r["doc_id"]: r for r in quality.score(docs, ["doc_id"], refs).collect()}
+    for k, t, _ in rows:
+        r, w = out[k], (t or "").split()
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        assert (r["n_symbols"], r["n_dup_lines"]) == (sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)))
+        seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        repeated = len({i + j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in range(3)})
+        assert r["base_failed"] == (len(w) < 50 or 100 * repeated > 50 * len(w)) and (r["kept"] is False or not r["base_failed"])
+        if k < 100:
+            known = [x for x, _ in count.most_common() if count[x] / total >= shares[-1]]
+            if len(known) == quality.COMMON:
+                own = collections.Counter(x if x in known else None for x in w)
+                p, q = np.array([own[x] / len(w) for x in [*known, None]]), np.array([*(count[x] / total for x in known), 1 - sum(count[x] for x in known) / total])
+                assert math.isclose(r["word_js"], float(quality.jensen_shannon(p[None], q)[0]), abs_tol=1e-9)
+
+
+def test_long_texts_take_bounded_memory_to_hash():
+    """A text of 30 MB: names of words as in small pieces."""
+    text = (b"alpha beta Gamma \xc3\xa9t\xc3\xa9 " * 1_400_000)[:30_000_000]
+    data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    tracemalloc.start()
+    w = textops.Words(data, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    small = textops.Words(data[:4000], np.array([0, 4000]))
+    assert (w.hash[: len(small) - 1] == small.hash[:-1]).all() and (w.folded()[: len(small) - 1] == small.folded()[:-1]).all()
+    assert peak < 20 * len(text)
