@@ -71,15 +71,15 @@ def capped_z(value: Column, mean: Column, spread: Column) -> Column:
 def drift_against_peers(changes: DataFrame, issuer: str = "issuer", dimension: str = "dimension", value: str = "magnitude") -> DataFrame:
     """Each issuer's mean magnitude by dimension against all other issuers' (mean, sample deviation), capped z.
 
-    Sums over all issuers less the issuer's own give the peers without a join.
+    Sums over all issuers less the issuer's own give the peers.
     """
     own = changes.groupBy(issuer, dimension).agg(F.avg(value).alias("m"))
-    all_ = W.partitionBy(dimension)
-    n = F.count("*").over(all_) - 1
-    s, q = F.sum("m").over(all_) - F.col("m"), F.sum(F.col("m") * F.col("m")).over(all_) - F.col("m") * F.col("m")
+    sums = own.groupBy(dimension).agg(F.count("*").alias("_n"), F.sum("m").alias("_s"), F.sum(F.col("m") * F.col("m")).alias("_q"))  # summed before the shuffle
+    own = own.join(sums, dimension)
+    n, s, q = F.col("_n") - 1, F.col("_s") - F.col("m"), F.col("_q") - F.col("m") * F.col("m")
     mean = F.when(n > 0, s / n)
     var = F.when(n > 1, F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1))).otherwise(0.0)
-    out = own.withColumn("peer_mean", mean).withColumn("peer_spread", F.sqrt(var))
+    out = own.withColumn("peer_mean", mean).withColumn("peer_spread", F.sqrt(var)).drop("_n", "_s", "_q")
     return out.withColumn("z", capped_z(F.col("m"), F.col("peer_mean"), F.col("peer_spread"))).withColumn("unusual", F.abs("z") >= UNUSUAL)
 
 

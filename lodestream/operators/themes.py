@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Fixed values
@@ -17,6 +18,7 @@ SHORT_SPAN, LONG_SPAN = 3, 7
 STRATEGIES = {"swing": (0.6, 0.4), "position": (0.4, 0.6)}
 STAGE_FACTORS = {"emerging": 1.5, "accelerating": 1.2, "mature": 0.8, "fading": 0.3}
 DEFAULT_COMPELLINGNESS, DEFAULT_STAGE_FACTOR, SCORE_MIN = 5.0, 0.8, 0.1
+SPREAD = 32
 TIER_1, TIER_2, TIER_1_Z = 0.05, 0.20, 2.0
 LIFECYCLE_ROWS, EMERGING_DOCS, ACCELERATING, FADING = 3, 50, 0.5, -0.3
 ALERTABLE = [("accelerating", "fading"), ("accelerating", "mature"), ("emerging", "accelerating"), ("emerging", "fading"), ("mature", "fading")]
@@ -142,23 +144,39 @@ def metric_alerts(daily: DataFrame) -> DataFrame:
 
 
 def rate_limited(alerts: DataFrame, caps: dict[str, int], order: list[str]) -> DataFrame:
-    """The first alerts of each day and severity, up to the severity's cap; severities without a cap pass."""
-    number = F.row_number().over(W.partitionBy("day", "severity").orderBy(*order))
+    """The first alerts of each day and severity, up to the severity's cap; severities without a cap pass.
+
+    Each of SPREAD parts of a day first keeps its own first ones, so the last count sees SPREAD times the cap.
+    """
     cap = lookup(F.col("severity"), caps, None)
-    return alerts.withColumn("_n", number).filter(cap.isNull() | (F.col("_n") <= cap)).drop("_n")
+    capped = alerts.filter(cap.isNotNull()).withColumn("_at", F.pmod(F.xxhash64(*order), F.lit(SPREAD)))
+    for by in (["day", "severity", "_at"], ["day", "severity"]):
+        capped = capped.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= cap)
+    return capped.select(*alerts.columns).unionByName(alerts.filter(cap.isNull()))
 
 
 def suppressed_repeats(alerts: DataFrame, hours: float = 4.0) -> DataFrame:
     """Alerts (subject, trigger, ts) kept greedily: each kept one silences its (subject, trigger) for ``hours``.
 
-    The rule is sequential, but its state is one time stamp, so an ordered fold over
-    the times of a (subject, trigger, day pair) keeps it on the JVM.
+    The rule is sequential, but its state is one time stamp: a (subject, trigger)'s alerts
+    come sorted and pass one by one, and no task holds more than a batch of them.
     """
     gap = int(hours * 3_600_000_000)
-    times = alerts.groupBy("subject", "trigger").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("t"))
-    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-    kept = F.aggregate("t", start, lambda a, t: F.when(t - a["last"] >= gap, F.struct(t.alias("last"), F.concat(a["kept"], F.array(t)).alias("kept"))).otherwise(a))["kept"]
-    return times.select("subject", "trigger", F.explode(kept).alias("at")).select("subject", "trigger", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"))
+
+    def run(batches):
+        key, last = None, None
+        for b in batches:
+            keep = []
+            for s, t, at in zip(*(b.column(c).to_pylist() for c in ("subject", "trigger", "at")), strict=True):
+                if (s, t) != key:
+                    key, last = (s, t), None
+                keep.append(at is not None and (last is None or at - last >= gap))
+                last = at if keep[-1] else last
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    rows = alerts.select("subject", "trigger", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    kept = rows.repartition("subject", "trigger").sortWithinPartitions("subject", "trigger", "at").mapInArrow(run, rows.schema)
+    return kept.select("subject", "trigger", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"))
 
 
 def new_themes(now: DataFrame, before: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ def keywords(docs: DataFrame, key: str, limit: int, text: str = "text") -> DataF
     all_ = words.groupBy("word").agg(F.sum("tf").alias("f"))
     size = words.groupBy(key).agg(F.sum("tf").alias("n"))
     mean = size.agg(F.avg("n").alias("mean"))
-    scored = words.join(all_, "word").join(F.broadcast(size), key).crossJoin(F.broadcast(mean)).withColumn("score", F.col("tf") / F.col("n") * F.log(1 + F.col("mean") / F.col("f")))
+    scored = words.join(all_, "word").join(size, key).crossJoin(F.broadcast(mean)).withColumn("score", F.col("tf") / F.col("n") * F.log(1 + F.col("mean") / F.col("f")))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "word"))).filter(F.col("rank") <= limit).select(key, "word", "score", "rank")
 
 
