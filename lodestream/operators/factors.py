@@ -41,3 +41,10 @@ def theme_context(themes: DataFrame, series: DataFrame, observations: DataFrame,
     pairs = themes.select("theme_id", F.explode("tags").alias("tag")).join(series.select("factor_id", F.explode("tags").alias("tag")), "tag").groupBy("theme_id", "factor_id").agg(F.count("*").alias("shared_tags"))
     ranked = pairs.join(latest, "factor_id").withColumn("rank", F.row_number().over(W.partitionBy("theme_id").orderBy(F.desc("shared_tags"), "factor_id")))
     return ranked.filter(F.col("rank") <= most)
+
+
+def refreshed(stored: DataFrame, fetched: DataFrame, series: DataFrame) -> DataFrame:
+    """Observations (factor_id, observation_date, value, fetched_at) after a refresh: of a known series and with a date, the latest fetch of each day."""
+    valid = fetched.filter("observation_date is not null").join(series.select("factor_id").distinct(), "factor_id", "left_semi")
+    rows = stored.unionByName(valid.select(stored.columns))
+    return rows.groupBy("factor_id", "observation_date").agg(F.max_by(F.struct("value", "fetched_at"), F.struct("fetched_at", "value")).alias("_o")).select("factor_id", "observation_date", "_o.value", "_o.fetched_at")

@@ -86,3 +86,11 @@ def parity(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(side, rows): how many rows, with repeats, only one of the two has."""
     one = lambda a, b, name: a.exceptAll(b.select(*a.columns)).agg(F.lit(name).alias("side"), F.count("*").alias("rows"))
     return one(expected, actual, "missing").union(one(actual.select(*expected.columns), expected, "unexpected"))
+
+
+def feed_health(fetches: DataFrame) -> DataFrame:
+    """(feed, status, error, failures) from fetches (feed, at, status, error): the last fetch's, and how many have failed since the last that didn't."""
+    bad = F.col("status").isin("error", "parse_failure")
+    last = fetches.groupBy("feed").agg(F.max_by(F.struct("status", "error"), "at").alias("_l"), F.max(F.when(~bad, F.col("at"))).alias("_ok"))
+    failures = fetches.filter(bad).join(last.select("feed", "_ok"), "feed").filter("_ok is null or at > _ok").groupBy("feed").agg(F.count("*").alias("failures"))
+    return last.join(failures, "feed", "left").select("feed", "_l.status", "_l.error", F.coalesce("failures", F.lit(0)).alias("failures"))

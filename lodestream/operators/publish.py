@@ -125,3 +125,16 @@ def rate_check(rows: DataFrame, key: str, failed: Column, warning: float, critic
 def coverage_drift(counts: DataFrame, expected: DataFrame, least: int) -> DataFrame:
     """Expected lanes with their object counts, and whether they have enough."""
     return expected.join(counts, "lane", "left").select("lane", F.coalesce("objects", F.lit(0)).alias("objects"), (F.coalesce(F.col("objects"), F.lit(0)) >= least).alias("covered"))
+
+
+def lane_publication(lane: str, health: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """(lane, object_type, object_id, payload) of all parts (object_id and more, which become the JSON payload), none where the lane is blocked.
+
+    health: lane, readiness, one row a lane.
+    """
+    free = health.filter((F.col("lane") == lane) & (F.col("readiness") != "blocked")).select("lane").limit(1)
+    out = None
+    for kind, rows in parts.items():
+        one = rows.select(F.lit(kind).alias("object_type"), F.col("object_id").cast("string").alias("object_id"), F.to_json(F.struct(*[f"`{c}`" for c in rows.columns])).alias("payload"))
+        out = one if out is None else out.unionByName(one)
+    return out.crossJoin(F.broadcast(free)).select("lane", "object_type", "object_id", "payload")  # one row at most

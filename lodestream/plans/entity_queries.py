@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..operators import entities as E, filings as L, graph as G, linking as K, vectors as V
+from ..operators import entities as E, factors as A, filings as L, graph as G, linking as K, monitoring as M, publish as P, vectors as V
 from .bind import table
-from .claim_queries import assertions, ASSERTIONS
+from .claim_queries import ADOPTION, ASSERTIONS, _adoption, assertions
+from .graph_queries import EDGES, edges
 from .registry import query
 
 _TYPE = "CASE c_custkey % 3 WHEN 0 THEN 'TICKER' WHEN 1 THEN 'COMPANY' ELSE 'PRODUCT' END"
@@ -122,3 +123,44 @@ def graph_sync(spark, d):
 def mean_pooled(spark, d):
     tokens = table(spark, d, "embeddings").withColumn("mask", (F.col("vec_id") % 3 > 0).cast("int"))
     return V.mean_pooled(tokens, "label").select("label", F.round(F.aggregate("pooled", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("""WITH e AS (SELECT event_id % 40 AS feed, ts AS seen, event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'parse_failure' ELSE 'ok' END AS status FROM events), l AS (SELECT feed, arg_max(status, seen) AS status, max(seen) FILTER (status = 'ok') AS good FROM e GROUP BY 1)
+SELECT l.feed, l.status, CASE WHEN l.status <> 'ok' THEN 'fault' END AS error, count(e.feed) AS failures FROM l LEFT JOIN e ON e.feed = l.feed AND e.status <> 'ok' AND (good IS NULL OR e.seen > good) GROUP BY l.feed, l.status""")
+def feed_health(spark, d):
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "parse_failure").otherwise("ok")
+    e = table(spark, d, "events").select((F.col("event_id") % 40).alias("feed"), F.col("ts").alias("at"), status.alias("status")).withColumn("error", F.when(F.col("status") != "ok", "fault"))
+    return M.feed_health(e)
+
+
+@query("""WITH a AS (SELECT o_orderpriority AS f, o_orderdate::DATE AS d, o_totalprice AS v, o_orderkey AS seen FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderpriority, o_orderdate::DATE, o_totalprice + 1, o_orderkey FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 7 > 0 AND o_orderpriority <> '5-LOW')
+SELECT f AS factor_id, CAST(d AS VARCHAR) AS observation_date, round(arg_max(v, seen), 2) AS value, max(seen) AS fetched_at FROM a GROUP BY 1, 2""")
+def factor_refresh(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("factor_id"), F.to_date("o_orderdate").alias("observation_date"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("fetched_at"))
+    new = o.filter("fetched_at % 2 = 1").withColumns({"value": F.col("value") + 1, "observation_date": F.when(F.col("fetched_at") % 7 > 0, F.col("observation_date"))})
+    out = A.refreshed(o.filter("fetched_at % 2 = 0"), new, o.filter("factor_id <> '5-LOW'").select("factor_id"))
+    return out.select("factor_id", F.col("observation_date").cast("string").alias("observation_date"), F.round("value", 2).alias("value"), "fetched_at")
+
+
+def _health(spark):
+    return spark.createDataFrame([("filing", "ready"), ("structural", "warn"), ("narrative", "blocked")], "lane string, readiness string")
+
+
+@query(f"WITH {ADOPTION} SELECT 'filing' AS lane, 'adoption' AS object_type, CAST(issuer AS VARCHAR) AS object_id, round(adoption, 6) AS score FROM adopted UNION ALL SELECT 'filing', 'divergence', CAST(n_nationkey AS VARCHAR), NULL FROM nation")
+def filing_publication(spark, d):
+    parts = {"adoption": _adoption(spark, d).select(F.col("issuer").alias("object_id"), F.round("adoption", 6).alias("score")), "divergence": table(spark, d, "nation").select(F.col("n_nationkey").alias("object_id"), "n_name")}
+    return P.lane_publication("filing", _health(spark), parts).select("lane", "object_type", "object_id", F.get_json_object("payload", "$.score").cast("double").alias("score"))
+
+
+@query(f"WITH {EDGES} SELECT 'structural' AS lane, CAST(source AS VARCHAR) || '-' || CAST(target AS VARCHAR) AS object_id, round(confidence, 6)::DOUBLE AS score, source FROM edges WHERE source <> target")
+def structural_publication(spark, d):
+    paths = edges(spark, d).filter("source <> target").select("source", F.lit(None).cast("int").alias("middle"), "target", F.col("confidence").alias("score"), "sign", F.lit(1).alias("hops"))
+    told = G.path_explanations(paths).select(F.concat_ws("-", F.col("source").cast("string"), F.col("target").cast("string")).alias("object_id"), "payload")
+    out = P.lane_publication("structural", _health(spark), {"path": told})
+    inner = F.get_json_object("payload", "$.payload")
+    return out.select("lane", "object_id", F.round(F.get_json_object(inner, "$.path_score").cast("double"), 6).alias("score"), F.get_json_object(inner, "$.source_concept_id").cast("int").alias("source"))
+
+
+@query("SELECT o_orderkey AS object_id FROM orders WHERE false")
+def narrative_publication(spark, d):
+    return P.lane_publication("narrative", _health(spark), {"run": table(spark, d, "orders").select(F.col("o_orderkey").alias("object_id"))}).select(F.col("object_id").cast("long").alias("object_id"))
