@@ -252,12 +252,30 @@ def linked(batches, n_buckets: int, percent: int):
     yield X.packed_batch(pack.rows())
 
 
+def contracted(a: np.ndarray, b: np.ndarray):
+    """Links (node, least node that these links connect it with): as many as nodes that aren't least, and no paths longer than one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        low = np.minimum(least[x], least[y])
+        new = least.copy()
+        for end in (x, y, least[x], least[y]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    far = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[far], nodes[least[far]]
+
+
 def distinct_links(batches):
-    """(a, b), each once: all links of a meet in one bucket."""
+    """(a, b) of a bucket's links, contracted."""
     b, a, _ = X.unpack(batches)
-    found = np.unique(np.stack([a, b.astype(np.int64)], axis=1), axis=0)
-    for at in range(0, len(found), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[at : at + 100_000, c])) for c in (0, 1)], names=["a", "b"])
+    far, near = contracted(a, b.astype(np.int64))
+    for at in range(0, len(far), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(far[at : at + 100_000]), pa.array(near[at : at + 100_000])], names=["a", "b"])
 
 
 def verified(uids, sets, percent: int):
@@ -379,7 +397,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
         undecided = large.join(rest_blocks, "class")
         old = undecided.select(F.col("class").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("g2"), F.col("block").alias("g3"), "uid", "text")
         new = undecided.join(rest.select("uid"), "uid", "left_semi").select(F.col("class").alias("g1"), F.pmod(F.xxhash64("uid", F.lit(1)), F.col("rb")).cast("int").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("g3"), "uid", "text")
-        before, links = links, table(links.union(verify(old.union(new), n, k, percent)))
+        before, links = links, table(so_far.union(verify(old.union(new), n, k, percent)))  # what is connected already is a star by now
         discard(before, so_far, rest)
     discard(reps, keyed)
     final = components(links)
