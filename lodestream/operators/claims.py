@@ -97,18 +97,18 @@ def merged_links(opinions: DataFrame, key: list[str]) -> DataFrame:
 def overlapping(intervals: DataFrame, key: list[str], width_days: int = 365) -> DataFrame:
     """Pairs (a < b by id) of one key whose [from, to) overlap; null ends are open.
 
-    A bounded interval lies in the year buckets that it touches and pairs meet in one
-    bucket, the first that both touch; open ones meet every interval of the key.
+    A bounded interval lies in the year buckets that it touches, and two meet in the first
+    bucket that both touch.  Open ones, which overlap most of their key, meet its
+    intervals once and are in no bucket.  What ends before it begins overlaps nothing.
     """
-    far = F.lit("9999-12-31").cast("date")
-    rows = intervals.select("id", *key, F.coalesce("valid_from", F.lit("0001-01-01").cast("date")).alias("f"), F.coalesce("valid_to", far).alias("t"))
+    rows = intervals.select("id", *key, (F.col("valid_from").isNull() | F.col("valid_to").isNull()).alias("open"), F.coalesce("valid_from", F.lit("0001-01-01").cast("date")).alias("f"), F.coalesce("valid_to", F.lit("9999-12-31").cast("date")).alias("t")).filter("f <= t")
     day = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / width_days)
-    low, high = -8, 120
-    bucketed = rows.withColumn("b", F.explode(F.sequence(F.greatest(F.lit(low), F.least(F.lit(high), day("f"))), F.greatest(F.lit(low), F.least(F.lit(high), day("t"))))))
-    a = bucketed.select(*key, "b", F.col("id").alias("a"), F.col("f").alias("fa"), F.col("t").alias("ta"))
-    c = bucketed.select(*key, "b", F.col("id").alias("c"), F.col("f").alias("fc"), F.col("t").alias("tc"))
-    meet = F.greatest(F.greatest(F.lit(low), F.least(F.lit(high), day("fa"))), F.greatest(F.lit(low), F.least(F.lit(high), day("fc"))))
-    return a.join(c, [*key, "b"]).filter((F.col("a") < F.col("c")) & (F.col("fa") < F.col("tc")) & (F.col("fc") < F.col("ta")) & (F.col("b") == meet)).select(*key, F.col("a").alias("id_a"), F.col("c").alias("id_b"))
+    side = lambda df, n: df.select(*key, *[F.col(c).alias(f"{c}_{n}") for c in ("id", "f", "t")], *[c for c in ("b",) if c in df.columns])
+    bucketed = rows.filter("not open").withColumn("b", F.explode(F.sequence(day("f"), day("t"))))
+    shut = side(bucketed, "a").join(side(bucketed, "b"), [*key, "b"]).filter(F.col("b") == F.greatest(day("f_a"), day("f_b"))).drop("b")
+    one, rest = rows.filter("open"), rows.filter("not open")
+    ends = shut.unionByName(side(one, "a").join(side(rows, "b"), key)).unionByName(side(rest, "a").join(side(one, "b"), key))
+    return ends.filter("id_a < id_b and f_a < t_b and f_b < t_a").select(*key, "id_a", "id_b")
 
 
 def competing(claims: DataFrame, key: list[str]) -> DataFrame:

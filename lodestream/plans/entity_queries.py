@@ -88,7 +88,7 @@ def section_diffs(spark, d):
     return out.select("o_orderkey", "x.changed", "x.added_lines", "x.removed_lines", F.round("x.ratio", 6).alias("ratio"))
 
 
-@query("""WITH t AS (SELECT p_partkey, 'Revenue growth of ' || p_name || ' ' || repeat('word ', p_size) AS x FROM part), w AS (SELECT p_partkey, length(x) AS l, len(regexp_extract_all(x, '[\pL\pN_]+'))::DOUBLE AS n FROM t)
+@query(r"""WITH t AS (SELECT p_partkey, 'Revenue growth of ' || p_name || ' ' || repeat('word ', p_size) AS x FROM part), w AS (SELECT p_partkey, length(x) AS l, len(regexp_extract_all(x, '[\pL\pN_]+'))::DOUBLE AS n FROM t)
 SELECT p_partkey, CASE WHEN l < 50 THEN 'too_short' ELSE '' END AS flags, CASE WHEN l < 50 THEN 0 ELSE round(least(10, 2 / n * 140.0), 2) END::DOUBLE AS evidence, CASE WHEN l < 50 THEN 0 ELSE round(least(10, 2 / n * 70.0), 2) END::DOUBLE AS reasoning FROM w""")
 def thesis_scores(spark, d):
     x = F.concat(F.lit("Revenue growth of "), "p_name", F.lit(" "), F.expr("repeat('word ', p_size)"))
