@@ -1,8 +1,15 @@
 """The corpus pipeline: documents that stay after each stage, written and read again before the next.
 
 Every stage takes (spark, docs, sf_dir).  All but the last return the columns of
-documents; n_chars follows the text.  A null text has no letter and goes with the
-first stage.
+documents; n_chars follows the text, and further columns of docs, whatever their names,
+are left out.  What stages make of odd rows:
+
+- A null text, an empty one and one without a letter are rejected by the first stage.  Later
+  stages keep them: they have no lines, no set, no hits, and length 0.
+- A null doc_id is the last in order, a null lang or source changes nothing.
+- Of repeated rows and equal texts the first (line_dedup: by doc_id, then place; near_duplicates: by
+  place in the input) stays; the other stages judge each row by itself.
+- An empty table gives an empty table.
 """
 
 from __future__ import annotations
