@@ -500,3 +500,37 @@ def test_long_texts_take_bounded_memory_to_hash():
     small = textops.Words(data[:4000], np.array([0, 4000]))
     assert (w.hash[: len(small) - 1] == small.hash[:-1]).all() and (w.folded()[: len(small) - 1] == small.folded()[:-1]).all()
     assert peak < 20 * len(text)
+
+
+@pytest.mark.parametrize("which", ["odd", "none"])
+def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, none, which):
+    import corpus_pipeline as P
+
+    docs = odd if which == "odd" else none
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert len(rows) <= (len(odd_rows()) if which == "odd" else 0), name
+        if name != "packing":
+            assert out.columns == P.COLUMNS
+            kept = {(r["doc_id"], r["text"]) for r in rows}
+            if which == "odd" and name != "language_id":
+                assert (4, None) in kept or name == "near_duplicates" and any(t is None for _, t in kept)  # a null text has nothing to lose
+
+
+def test_ids_that_are_no_numbers(spark):
+    """Lines: the order of the input decides; languages and shards: any id."""
+    rows = [("b", "same line of text\nand another one"), ("a", "same line of text\nand another one"), (None, "a third text")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.remove_repeated_lines(spark, docs, ["doc_id"]).collect()}
+    assert got == {"b": 0, "a": 2, None: 0}
+    assert resharding.reshard(docs, F.lit(0), 2, 1).count() == 3 and packing.pack(docs, ["doc_id"]).count() == 3
+
+
+def test_ties_of_languages_and_shards(spark):
+    """Equal texts get one language and score; rows of equal size and text fill shards evenly."""
+    docs = spark.createDataFrame([(k, "the same words again and again", "en" if k % 2 else "de") for k in range(40)], "doc_id long, text string, lang string")
+    out = language_id.predict(docs, language_id.fit(docs), ["doc_id"])
+    assert out.select("lang_pred", "score", "rejected").distinct().count() == 1
+    shards = collections.Counter(r["shard"] for r in resharding.reshard(docs, F.lit(0), 4, 1).collect())
+    assert sorted(shards.values()) == [10] * 4
