@@ -47,6 +47,8 @@ def pair(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
 _LETTERS = mix(np.arange(1, 257, dtype=U64) * _K1)
 #: Letters of a second name that is independent of the first.
 _OTHERS = mix(np.arange(1001, 1257, dtype=U64) * _K3)
+#: Masks of the first k of eight bytes.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
 _powers = np.ones(1, dtype=U64)
 
 
@@ -148,6 +150,51 @@ class Words:
             total += _LETTERS[self._data[self.starts[at] + j]] * p[j]
         return at, mix(total + U64(k * int(_K3) % (1 << 64)))
 
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the words a and b have the same bytes, compared eight at a time."""
+        size = self.ends - self.starts
+        out = size[a] == size[b]
+        left, at = np.flatnonzero(out), 0
+        if len(left):
+            padded = np.concatenate((self._data, np.zeros(8, np.uint8)))
+            eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        while len(left):
+            x, y = a[left], b[left]
+            rest = np.minimum(size[x] - at, 8)
+            differ = (eights[self.starts[x] + at] ^ eights[self.starts[y] + at]) & _FIRST[rest] != 0
+            out[left[differ]] = False
+            left, at = left[~differ & (size[x] > at + 8)], at + 8
+        return out
+
+    def kinds(self, by_row: bool) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the words (of each row, or all) by hash, and whether each has other bytes than those before it in that order.
+
+        Words of one hash lie together.  Their bytes are compared, so a hash that two words
+        share makes two kinds of them.
+        """
+        order = np.argsort(self.hash, kind="stable")
+        if by_row and len(self.first) > 2:
+            row = self.row.astype(np.uint16) if len(self.first) <= 1 << 16 else self.row
+            order = order[np.argsort(row[order], kind="stable")]
+        new = np.ones(len(order), dtype=bool)
+        if len(order) > 1:
+            h, r = self.hash[order], self.row[order]
+            new[1:] = h[1:] != h[:-1]
+            if by_row:
+                new[1:] |= r[1:] != r[:-1]
+            again = np.flatnonzero(~new)
+            odd = again[~self.equal(order[again - 1], order[again])]
+            heads = np.append(np.flatnonzero(new), len(new))
+            for at in np.unique(np.searchsorted(heads, odd, side="right") - 1).tolist():  # a shared hash
+                begin, end = heads[at], heads[at + 1]
+                run = sorted(order[begin:end].tolist(), key=self.bytes_of)
+                order[begin:end] = run
+                new[begin + 1 : end] = [self.bytes_of(x) != self.bytes_of(y) for x, y in zip(run, run[1:], strict=False)]
+        return order, new
+
+    def bytes_of(self, word: int) -> bytes:
+        return self._data[self.starts[word] : self.ends[word]].tobytes()
+
     def __len__(self):
         return len(self.starts)
 
