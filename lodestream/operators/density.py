@@ -37,8 +37,8 @@ from .vectors import matrix, unit
 
 #: Usual values: neighbours in the graph, those of a core distance, vectors of a cluster.
 NEIGHBOURS, SAMPLES, LEAST, LEVELS, PROBES = 15, 5, 10, 40, 8
-#: Vectors that are compared with as many others at once.
-BLOCK = 1024
+#: Vectors of a cell, and those that are compared with as many others at once.
+PER_CELL, BLOCK = 256, 1024
 WIDEST = 2.0
 #: More than the levels there may be; a component's code is its root times so many, plus its level's place.
 CODES = 1 << 10
@@ -47,7 +47,7 @@ CODES = 1 << 10
 def neighbours(nodes: DataFrame, k: int, probes: int, cells: int | None = None) -> DataFrame:
     """node, n, other, other_n, d: the k nearest other nodes of each node (node, n, vector) among the cells it visits."""
     named = nodes.select(F.struct("node", "n").alias("id"), "vector")
-    centroids = fit(named, "id", "vector", cells)
+    centroids = fit(named, "id", "vector", cells, PER_CELL)
     schema = "node long, n long, other long, other_n long, d double"
     if not len(centroids):
         return nodes.sparkSession.createDataFrame([], schema)

@@ -26,8 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..sources.scratch import shared_dir
 from .vectors import MOST_CENTROIDS, MOST_QUERIES, matrix, unit
 
-#: Rows that centroids are fitted on, rounds of the fit, and rows that a cell should hold.
-SAMPLE, FIT_ROUNDS, PER_CELL = 20_000, 8, 256
+#: Rows that centroids are fitted on, rounds of the fit, rows that a cell should hold, and files its rows are spread over.
+SAMPLE, FIT_ROUNDS, PER_CELL, SPREAD = 20_000, 8, 4096, 4
 #: Rounding of angles, in radians.
 MARGIN = 1e-6
 
@@ -38,9 +38,9 @@ def usable(vector: str) -> Column:
     return F.coalesce((F.size(x) > 0) & ~odd & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def fit(rows: DataFrame, id_col: str, vector: str, cells: int | None = None) -> np.ndarray:
-    """Unit centroids of at most ``cells`` cells (one for each PER_CELL rows if not given, MOST_CENTROIDS at most) from the bounded sample."""
-    cells = cells or min(MOST_CENTROIDS, max(1, rows.count() // PER_CELL))
+def fit(rows: DataFrame, id_col: str, vector: str, cells: int | None = None, per_cell: int = PER_CELL) -> np.ndarray:
+    """Unit centroids of at most ``cells`` cells (one for each per_cell rows if not given, MOST_CENTROIDS at most) from the bounded sample."""
+    cells = cells or min(MOST_CENTROIDS, max(1, rows.count() // per_cell))
     seen = rows.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select(vector).collect()
     if not seen:
         return np.zeros((0, 0))
@@ -102,7 +102,7 @@ def build(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", ce
         spark.createDataFrame([], "cell int, centroid array<double>, angle double, n long").write.parquet(f"{index.path}/cells")
         return index
     placed = celled(good, centroids, id_col, vector)
-    placed.write.partitionBy("cell").parquet(f"{index.path}/rows")
+    placed.repartition(F.col("cell"), F.pmod(F.xxhash64(id_col), F.lit(SPREAD))).write.partitionBy("cell").parquet(f"{index.path}/rows")
     angles = index.rows(spark).groupBy("cell").agg(F.max("angle").alias("angle"), F.count("*").alias("n"))
     names = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centroids)], "cell int, centroid array<double>")
     angles.join(F.broadcast(names), "cell").write.parquet(f"{index.path}/cells")
