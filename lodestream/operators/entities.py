@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import event_patterns as E, posts as P, text as T
+from ..functions import event_grammar as E, posts as P, text as T
 
 # Fixed values
 FUZZY, EXACT_NAME, SHORTEST = 85, 0.95, 4
@@ -117,40 +117,43 @@ def fuzzy_resolved(mentions: DataFrame, names: DataFrame, least: float = TRIGRAM
     return best.select("mention", "_b.concept", F.when(F.col("_n") == 1, ONE_CANDIDATE).otherwise(MORE_CANDIDATES).alias("confidence"), "_b.similarity")
 
 
-EVENT = pa.schema([("doc_id", pa.int64()), ("event_type", pa.string()), ("actor", pa.string()), ("action", pa.string()), ("object", pa.string()), ("time_ref", pa.string()), ("quantity", pa.string()), ("tickers", pa.list_(pa.string())), ("confidence", pa.float64()), ("span_start", pa.int64()), ("span_end", pa.int64())])
+EVENT = [("id", None), ("_year", pa.int32()), ("event_type", pa.string()), ("actor", pa.string()), ("action", pa.string()), ("object", pa.string()), ("time_ref", pa.string()), ("quantity", pa.string()), ("tickers", pa.list_(pa.string())), ("confidence", pa.float64()), ("span_start", pa.int64()), ("span_end", pa.int64())]
 
 
-def pattern_events(docs: DataFrame, universe: set[str], names: dict[str, str], text: str = "text", id_col: str = "doc_id", patterns: dict[str, list[str]] = E.EVENTS, least: float = EVENT_LEAST, most: int = EVENT_MOST) -> DataFrame:
-    """Events of documents: type, captures, tickers close by, confidence and span.
+def pattern_events(docs: DataFrame, universe: set[str], names: dict[str, str], text: str = "text", id_col: str = "doc_id", tickers: str | None = None, year: Column | None = None, rules: tuple[E.Rule, ...] = E.RULES, least: float = EVENT_LEAST, most: int = EVENT_MOST) -> DataFrame:
+    """Events of documents: type, captures, time as a period, tickers, confidence and span.
 
-    Types and their patterns are tried in their order; a match that overlaps an earlier one
-    doesn't count, and a document gives ``most`` events at most (the feature's own limit).
-    Confidence: 0.7, and 0.1 for each of actor, ticker and quantity.
+    Rules are tried in their order; an event that overlaps an earlier one doesn't count, and a document
+    gives ``most`` events at most (the feature's own limit).  Tickers are those found close by and, of the
+    document's own (column tickers), those that the event's text has.  Confidence: 0.7, and 0.1 for each of
+    actor, ticker and quantity.  A time without a year belongs to ``year``.  Texts without any
+    trigger are left out before Python sees them; a null text has no events.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def clean(value):
-        return (value or "").strip().rstrip(",. ") or None
+    base = docs.filter(F.col(text).rlike(E.any_trigger(rules))).select(F.col(id_col), F.col(text).alias("_text"), (F.col(tickers) if tickers else F.array().cast("array<string>")).alias("_own"), (F.lit(None) if year is None else year).cast("int").alias("_year"))
+    schema = f"{id_col} {kind}, _year int, event_type string, actor string, action string, object string, time_ref string, quantity string, tickers array<string>, confidence double, span_start long, span_end long"
 
     def run(batches):
-        compiled = [(t, re.compile(p, re.IGNORECASE)) for t, ps in patterns.items() for p in ps]
         find = P.ticker_finder(universe, names)
         for batch in batches:
             rows = []
-            for key, x in zip(batch.column(id_col).to_pylist(), batch.column(text).to_pylist(), strict=True):
-                taken: list[tuple] = []
-                for t, p in compiled:
-                    for m in p.finditer(x or ""):
-                        if len(taken) >= most:
-                            break
-                        if any(m.start() < b and m.end() > a for a, b, _ in taken):
-                            continue
-                        g = {k: clean(v) for k, v in m.groupdict().items()}
-                        near = find(x[max(0, m.start() - EVENT_CONTEXT) : m.end() + EVENT_CONTEXT])
-                        sure = min(1.0, EVENT_BASE + 0.1 * (bool(g.get("actor")) + bool(near) + bool(g.get("quantity"))))
-                        if sure >= least:
-                            taken.append((m.start(), m.end(), {id_col: key, "event_type": t, "actor": g.get("actor"), "action": g.get("action") or m[0], "object": g.get("object"), "time_ref": g.get("time_ref"), "quantity": g.get("quantity"), "tickers": near, "confidence": sure, "span_start": m.start(), "span_end": m.end()}))
-                rows += [e for *_, e in sorted(taken, key=lambda e: e[:2])]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([pa.field(id_col, batch.schema.field(id_col).type), *list(EVENT)[1:]]))
-
-    return docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, event_type string, actor string, action string, object string, time_ref string, quantity string, tickers array<string>, confidence double, span_start long, span_end long")
+            for key, x, own, when in zip(*[batch.column(c).to_pylist() for c in (id_col, "_text", "_own", "_year")], strict=True):
+                taken: list[E.Event] = []
+                found = []
+                for e in E.events(x, rules):
+                    if len(taken) >= most:
+                        break
+                    if any(e.start < t.end and e.end > t.start for t in taken):
+                        continue
+                    told = x[e.start : e.end].upper()
+                    near = sorted({*find(x[max(0, e.start - EVENT_CONTEXT) : e.end + EVENT_CONTEXT]), *(t for t in own or () if t and t in told)})
+                    sure = min(1.0, EVENT_BASE + 0.1 * (bool(e.actor) + bool(near) + bool(e.quantity)))
+                    if sure >= least:
+                        taken.append(e)
+                        found.append((e.start, (key, when, e.kind, e.actor, e.action, e.object, e.time, e.quantity, near, sure, e.start, e.end)))
+                rows += [r for _, r in sorted(found, key=lambda f: f[0])]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(EVENT)
+            yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(id_col).type if n == "id" else t) for c, (n, t) in zip(columns, EVENT, strict=True)], names=[id_col if n == "id" else n for n, _ in EVENT])
+
+    found = base.mapInArrow(run, schema)
+    return found.withColumn("time_ref", T.period_of(F.col("time_ref"), F.col("_year"))).drop("_year")

@@ -66,17 +66,44 @@ def fuzzy_resolution(spark, d):
     return E.fuzzy_resolved(m, n).select("mention", F.round("similarity", 6).alias("similarity"), "confidence")
 
 
-#: Sentences and their events: type, actor, object, quantity.
-_SENTENCES = [
-    ("TSMC is expanding capacity in Q3 2025", "capacity_expansion|TSMC|capacity|", 0.8), ("Intel delayed the Ponte Vecchio", "product_delay|Intel|Po|", 0.8), ("NVDA raised guidance today", "guidance_change|NVDA|guidance|", 0.9), ("nothing happens here", "", 0.0),
-]
-
-
-@query("SELECT c_custkey AS doc_id, CASE c_custkey % 4 " + " ".join(f"WHEN {i} THEN '{e}'" for i, (_, e, _) in enumerate(_SENTENCES)) + " END AS event, CASE c_custkey % 4 " + " ".join(f"WHEN {i} THEN {c}::DOUBLE" for i, (_, _, c) in enumerate(_SENTENCES)) + " END AS confidence FROM customer WHERE c_custkey % 4 < 3")
+#: What is told of a part, by its number; A is the part's name with capitals, and every figure is its own.
+_TOLD = [
+    "A || ' raised wafer prices by ' || p_size || '% in Q' || (p_size % 4 + 1) || ' 2026'",
+    "A || ' invests $' || p_size || ' million in new ' || lower(p_type) || ' capacity during H' || (p_size % 2 + 1) || ' 2027'",
+    "A || ' has delayed the ' || p_name || ' to 20' || (p_size % 50 + 30)",
+    "A || ' expects revenue of $' || p_size || ' billion'",
+    "A || ' is launching the ' || p_name",
+    "'Lead times for the ' || p_name || ' aside, ' || p_name || ' supply shortage goes on'",
+    "A || ' held its annual board meeting in ' || p_type",
+]
+_TEXT = "CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(_TOLD)) + " END"
+_NAMED = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
+
+
+def _events_sql() -> str:
+    own = "upper(string_split(p_name, ' ')[2])"
+    # type, actor, action, object, time, quantity, the part's own ticker told, begin, end
+    rows = [
+        ("price_change", "a", "'raised'", "'wafer prices'", "'2026-Q' || (p_size % 4 + 1)", "p_size || '%'", "0", "length(x)"),
+        ("capacity_expansion", "a", "'invests'", "'new ' || lower(p_type) || ' capacity'", "'2027-H' || (p_size % 2 + 1)", "'$' || p_size || ' million'", "0", "length(x)"),
+        ("product_delay", "a", "'delayed'", "p_name", "'20' || (p_size % 50 + 30)", "NULL", "0", "length(x)"),
+        ("guidance_change", "a", "'expects'", "'revenue'", "NULL", "'$' || p_size || ' billion'", "0", "length(x)"),
+        ("product_launch", "a", "'launching'", "p_name", "NULL", "NULL", "0", "length(x)"),
+        ("capacity_constraint", "NULL", "'supply shortage'", "p_name", "NULL", "NULL", "length(x) - length(p_name || ' supply shortage goes on')", "length(x) - length(' goes on')"),
+    ]
+    parts = []
+    for k, (kind, actor, action, thing, time, amount, begin, end) in enumerate(rows):
+        sure = f"0.7 + CASE WHEN {actor} IS NULL THEN 0 ELSE 0.1 END + 0.1 + CASE WHEN {amount} IS NULL THEN 0 ELSE 0.1 END"
+        parts.append(f"SELECT p_partkey AS doc_id, '{kind}' AS event_type, {actor} AS actor, {action} AS action, {thing} AS object, {time} AS time_ref, {amount} AS quantity, {own} AS tickers, round({sure}, 4)::DOUBLE AS confidence, ({begin})::BIGINT AS span_start, ({end})::BIGINT AS span_end FROM t WHERE p_partkey % 7 = {k}")
+    text = _TEXT.replace("A ||", "a ||")
+    return f"WITH n AS (SELECT *, {_NAMED} AS a FROM part), t AS (SELECT *, {text} AS x FROM n) " + " UNION ALL ".join(parts)
+
+
+@query(_events_sql())
 def pattern_events(spark, d):
-    text = F.expr("CASE c_custkey % 4 " + " ".join(f"WHEN {i} THEN '{s}'" for i, (s, *_) in enumerate(_SENTENCES)) + " END")
-    out = E.pattern_events(table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")), {"NVDA"}, {})
-    return out.select("doc_id", F.concat_ws("|", "event_type", F.coalesce("actor", F.lit("")), F.coalesce("object", F.lit("")), F.coalesce("quantity", F.lit(""))).alias("event"), F.round("confidence", 4).alias("confidence"))
+    part = table(spark, d, "part").withColumn("A", F.initcap("p_name")).withColumn("text", F.expr(_TEXT)).withColumn("own", F.array(F.upper(F.split("p_name", " ")[1]), F.lit("ABSENT")))
+    out = E.pattern_events(part.select(F.col("p_partkey").alias("doc_id"), "text", "own"), {"NVDA"}, {}, tickers="own", year=F.lit(2026))
+    return out.withColumns({"tickers": F.array_join("tickers", ","), "confidence": F.round("confidence", 4)})
 
 
 @query("SELECT o_orderkey, o_orderkey % 4 > 0 AS changed, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS added_lines, CASE o_orderkey % 4 WHEN 1 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS removed_lines, round(CASE o_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 4.0 / 6 WHEN 2 THEN 6.0 / 8 ELSE 4.0 / 5 END, 6)::DOUBLE AS ratio FROM orders")
