@@ -201,10 +201,15 @@ def chunks(docs: DataFrame, size: int, overlap: int, text: str = "text", id_col:
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, permutations: int = PERMUTATIONS, seed: int = 7) -> DataFrame:
     """id and MinHash signature over word shingles (all words where there are fewer); no words give no row."""
-    rng = np.random.default_rng(seed)
-    a, b = rng.integers(1, 1 << 62, permutations, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, permutations, dtype=np.uint64)
     shingle = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (words - 1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
     hashed = docs.select(id_col, T.words(F.col(text)).alias("w")).filter("size(w) > 0").select(id_col, F.array_distinct(shingle).alias("h"))
+    return minhashed(hashed, id_col, permutations, seed)
+
+
+def minhashed(hashed: DataFrame, id_col: str, permutations: int = PERMUTATIONS, seed: int = 7) -> DataFrame:
+    """id and MinHash signature of sets of hashes (id, h)."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(1, 1 << 62, permutations, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, permutations, dtype=np.uint64)
 
     def sign(batches):
         for batch in batches:
@@ -220,7 +225,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", word
                 out[r] = least.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(list(out), pa.list_(pa.int64()))], names=[id_col, "signature"])
 
-    return hashed.mapInArrow(sign, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, signature array<long>")
+    return hashed.mapInArrow(sign, f"{id_col} {hashed.schema[id_col].dataType.simpleString()}, signature array<long>")
 
 
 def _linked(signed: list[tuple], threshold: float):

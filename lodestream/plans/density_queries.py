@@ -1,12 +1,14 @@
-"""Queries on density clusters, changes of themes, and the vector index."""
+"""Queries on density clusters, changes of themes, near duplicates across batches, and the vector index."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import density as D, theme_updates as U, vector_index as I, vectors as V
+from ..operators import density as D, signature_store as S, theme_updates as U, vector_index as I, vectors as V
 from ..operators.keywords import STOP
-from ..sources.scratch import table as table_of
+from ..sources.scratch import shared_dir, table as table_of
 from .bind import table
 from .registry import query
 
@@ -62,3 +64,16 @@ def new_themes(spark, d):
     outliers = e.filter("label >= 6").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
     found, members = U.new_themes(outliers, themes, "vec_id", least=6)
     return found.select("theme_id", "name", "members").join(members.groupBy("theme_id").agg(F.count("*").alias("documents"), F.min("vec_id").alias("least_id")), "theme_id")
+
+
+@query()
+def dedupe_batches(spark, d):
+    """The documents, one minute after another, in three batches of a signature store."""
+    docs = table(spark, d, "documents").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60))
+    store, out = S.SignatureStore(f"{shared_dir(spark)}/signatures-{uuid.uuid4().hex}"), None
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    for k in range(3):
+        batch = docs.filter((F.col("doc_id") * 3 >= k * (last + 1)) & (F.col("doc_id") * 3 < (k + 1) * (last + 1)))
+        part = S.add_batch(spark, store, batch, k, "at").withColumn("batch", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -188,6 +188,14 @@ def structural_publication(spark, d):
     return out.select("lane", "object_id", F.round(F.get_json_object(inner, "$.path_score").cast("double"), 6).alias("score"), F.get_json_object(inner, "$.source_concept_id").cast("int").alias("source"))
 
 
-@query("SELECT o_orderkey AS object_id FROM orders WHERE false")
+@query("""SELECT 'narrative' AS lane, 'run' AS object_type, CAST(o_orderkey AS VARCHAR) AS object_id, round(o_totalprice, 2) AS score FROM orders
+UNION ALL SELECT 'narrative', 'theme', CAST(o_custkey % 10 AS VARCHAR), round(sum(o_totalprice), 2) FROM orders GROUP BY o_custkey % 10""")
 def narrative_publication(spark, d):
-    return P.lane_publication("narrative", _health(spark), {"run": table(spark, d, "orders").select(F.col("o_orderkey").alias("object_id"))}).select(F.col("object_id").cast("long").alias("object_id"))
+    """Two lanes of the same runs and roll-ups by theme; what lane may publish, orders tell: one without open orders is blocked."""
+    o = table(spark, d, "orders")
+    lanes = spark.createDataFrame([("narrative", "F"), ("blocked", "none")], "lane string, o_orderstatus string")
+    health = lanes.join(o, "o_orderstatus", "left").groupBy("lane").agg(F.when(F.count("o_orderkey") > 0, "ready").otherwise("blocked").alias("readiness"))
+    themes = o.groupBy((F.col("o_custkey") % 10).alias("object_id")).agg(F.sum("o_totalprice").alias("score"))
+    parts = {"run": o.select(F.col("o_orderkey").alias("object_id"), F.col("o_totalprice").alias("score")), "theme": themes}
+    out = P.lane_publication("narrative", health, parts).unionByName(P.lane_publication("blocked", health, parts))
+    return out.select("lane", "object_type", "object_id", F.round(F.get_json_object("payload", "$.score").cast("double"), 2).alias("score"))
