@@ -85,15 +85,17 @@ def tfidf_keywords(docs: DataFrame, key: str, id_col: str, text: str = "text", t
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
     kept = F.filter(found, lambda w: ~w.isin(*sorted(stop))) if stop else found
     rows = docs.filter(F.col(key).isNotNull()).select(key, F.monotonically_increasing_id().alias("_doc"), kept.alias("w"))
-    rows = table(rows)
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
     terms = F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))
-    tf = table(rows.select(key, "_doc", F.explode(terms).alias("word")).groupBy(key, "_doc", "word").agg(F.count("*").alias("tf")))
-    totals = tf.groupBy(key, "word").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    long = rows.select(key, "_doc", F.explode(terms).alias("word"))
+    totals = long.groupBy(key, "word").agg(F.count("*").alias("total"))
     at = F.row_number().over(W.partitionBy(key).orderBy(F.desc("total"), "word"))
-    able = totals.withColumn("_at", at).filter(F.col("_at") <= features).join(n, key).select(key, "word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = tf.join(able, [key, "word"]).select(key, "_doc", "word", (F.col("tf") * F.col("idf")).alias("w"))
+    able = table(totals.withColumn("_at", at).filter(F.col("_at") <= features).select(key, "word"))
+    # of the others nothing is written: the second reading keeps the features' terms only
+    tf = table(long.join(able, [key, "word"]).groupBy(key, "_doc", "word").agg(F.count("*").alias("tf")))
+    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    idf = tf.groupBy(key, "word").agg(F.count("*").alias("df")).join(n, key).select(key, "word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighed = tf.join(idf, [key, "word"]).select(key, "_doc", "word", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighed.groupBy(key, "_doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     score = weighed.join(norms, [key, "_doc"]).groupBy(key, "word").agg(F.round(F.sum(F.col("w") / F.col("norm")), 9).alias("score"))
     return score.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "word"))).filter(F.col("rank") <= top)
