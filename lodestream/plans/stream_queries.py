@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..streaming import pipeline as P
+from ..sources.scratch import shared_dir
+from ..streaming import pipeline as P, runs as R
+from ..streaming.quarantine import Quarantine
 from . import bind
 from .registry import query
 from .theme_queries import NARRATIVE_BUCKETS_SQL, bucket_result
@@ -45,3 +49,32 @@ SELECT key, epoch_us(ts) AS at, round(score, 6) AS score, published FROM g""")
 def signal_gate_stream(spark, d):
     rows = _events(spark, d).select(F.col("entity").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce("authority", F.lit(0.0)).alias("score"), (F.col("label") == "positive").alias("triggered"))
     return P.finished(P.gated(rows)).select("key", F.unix_micros("ts").alias("at"), F.round("score", 6).alias("score"), "published")
+
+
+@query("SELECT event_id, CASE WHEN value < 5 THEN 'dead' ELSE 'good' END AS kind, CASE WHEN value < 5 THEN 3 WHEN value < 20 THEN 2 ELSE 1 END AS tries, CASE WHEN value < 5 THEN 'too small' END AS error FROM events")
+def quarantine_stream(spark, d):
+    """Events of a small value fail at every try, those of a middling one at the first."""
+
+    def judge(rows):
+        ok = (F.col("value") >= 20) | ((F.col("value") >= 5) & (F.col("tries") >= 1))
+        return rows.withColumn("error", F.when(~ok, "too small"))
+
+    at = f"{shared_dir(spark)}/quarantine-{uuid.uuid4().hex}"
+    sink = Quarantine(f"{at}/out", judge)
+    P.stream(spark, f"{d}/events.parquet").select("event_id", "value").writeStream.foreachBatch(sink.__call__).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    sink.drain(spark, 0)
+    good = sink.read(spark, "good").select("event_id", F.lit("good").alias("kind"), "tries", F.lit(None).cast("string").alias("error"))
+    return good.unionByName(sink.read(spark, "dead").select("event_id", F.lit("dead").alias("kind"), "tries", "error"))
+
+
+@query()
+def narrative_runs_stream(spark, d):
+    """Vectors as documents of their label's theme, one every ten minutes."""
+    rows = P.stream(spark, f"{d}/embeddings.parquet").select(F.col("label").cast("long").alias("theme_id"), F.col("vec_id").alias("doc_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id") * 600).alias("at"), "embedding")
+    name, store = R.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        return P.finished(R.narrative_runs(rows))
+    finally:
+        spark.conf.set(name, before)

@@ -1,4 +1,4 @@
-"""Structured Streaming: buckets, sessions, de-duplication, quarantine, and a stateful signal gate.
+"""Structured Streaming: buckets, sessions, de-duplication, and a stateful signal gate.
 
 Batch and stream share the operators; a stream only adds a watermark.  ``finished``
 runs a stream over what is there (availableNow) into Parquet and reads it back.
@@ -7,7 +7,7 @@ runs a stream over what is there (availableNow) into Parquet and reads it back.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -68,19 +68,6 @@ def first_seen(docs: DataFrame, keys: list[str], within: str = "1 hour") -> Data
     return docs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
 
 
-def split_sink(good: str, bad: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]]):
-    """For foreachBatch: parsed rows to one folder, quarantined ones to another; a replayed batch overwrites itself."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
-        ok, rejected = parse(batch)
-        ok.write.mode("overwrite").parquet(f"{good}/epoch={epoch}")
-        rejected.write.mode("overwrite").parquet(f"{bad}/epoch={epoch}")
-        batch.unpersist()
-
-    return write
-
-
 GATED = "key string, ts timestamp, score double, published boolean, reason string"
 
 
