@@ -20,6 +20,8 @@ GRAPH_RELATIONS = {
     "produces": "supplies_to", "consumes": "depends_on", "component_of": "depends_on", "contains_component": "supplies_to", "subsidiary_of": "depends_on", "parent_of": "drives", "operates_facility": "drives", "located_at": "drives",
 }
 HOP_DECAY, IMPACT_MIN, MAX_DEPTH, PATH_MIN = 0.7, 0.01, 3, 0.01
+#: Edges of a hub that are joined at once.
+PATH_CHUNK = 10_000
 
 
 def reached(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
@@ -77,15 +79,27 @@ def propagated(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, l
     return seen.filter("depth > 0")
 
 
-def scored_paths(edges: DataFrame, least: float = PATH_MIN) -> DataFrame:
+def scored_paths(edges: DataFrame, least: float = PATH_MIN, chunk: int = PATH_CHUNK) -> DataFrame:
     """1- and 2-hop paths: product of edge scores (rounded to 4) times 0.7 for each further hop, sign by product.
 
     edges: source, target, edge_score, sign.  Of 2-hop paths middle and target differ from the source, and from each other.
+    An edge that even the best one at the middle node can't lift to least is left out before the
+    join.  A middle node's arrivals are dealt into parts of about ``chunk`` by source, its departures by target, and
+    every part of the ones meets every part of the others in a group of its own, so a hub is no single task.
     """
+    edges = table(edges.select("source", "target", "edge_score", "sign"))
     one = edges.select("source", F.lit(None).cast(edges.schema["source"].dataType).alias("middle"), "target", F.round("edge_score", 4).alias("score"), "sign", F.lit(1).alias("hops"))
-    a = edges.select("source", F.col("target").alias("middle"), F.col("edge_score").alias("s1"), F.col("sign").alias("g1"))
-    b = edges.select(F.col("source").alias("middle"), "target", F.col("edge_score").alias("s2"), F.col("sign").alias("g2"))
-    two = a.filter("source <> middle").join(b, "middle").filter("target <> source and target <> middle").select("source", "middle", "target", F.round(F.col("s1") * F.col("s2") * HOP_DECAY, 4).alias("score"), (F.col("g1") * F.col("g2")).alias("sign"), F.lit(2).alias("hops"))
+    a = edges.select("source", F.col("target").alias("middle"), F.col("edge_score").alias("s1"), F.col("sign").alias("g1")).filter("source <> middle")
+    b = edges.select(F.col("source").alias("middle"), "target", F.col("edge_score").alias("s2"), F.col("sign").alias("g2")).filter("target <> middle")
+    parts = lambda n: F.ceil(F.col(n) / F.lit(chunk)).cast("int")
+    ins = a.groupBy("middle").agg(F.count("*").alias("n"), F.max("s1").alias("best1"))
+    outs = b.groupBy("middle").agg(F.count("*").alias("m"), F.max("s2").alias("best2"))
+    nodes = ins.join(outs, "middle").select("middle", parts("n").alias("ins"), parts("m").alias("outs"), "best1", "best2")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    enough = F.lit(least - 0.00005)  # scores are rounded to 4
+    a = a.join(nodes, "middle").filter(F.col("s1") * F.col("best2") * HOP_DECAY >= enough).select("source", "middle", "s1", "g1", F.pmod(F.xxhash64("source"), F.col("ins")).cast("int").alias("i"), every("outs").alias("j"))
+    b = b.join(nodes, "middle").filter(F.col("s2") * F.col("best1") * HOP_DECAY >= enough).select("middle", "target", "s2", "g2", F.pmod(F.xxhash64("target"), F.col("outs")).cast("int").alias("j"), every("ins").alias("i"))
+    two = a.join(b, ["middle", "i", "j"]).filter("target <> source").select("source", "middle", "target", F.round(F.col("s1") * F.col("s2") * HOP_DECAY, 4).alias("score"), (F.col("g1") * F.col("g2")).alias("sign"), F.lit(2).alias("hops"))
     return one.filter("source <> target").unionByName(two).filter(F.col("score") >= least)
 
 
