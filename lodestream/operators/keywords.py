@@ -32,8 +32,8 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+|[^\s\p{L}\p{N}]+)"), F.lit(1))
 
 
-def token_slices(batches: Iterator[pa.RecordBatch], column: str = "tokens") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
-    """(rows, the row of each token, its code, the words of the codes) of about TOKENS tokens each."""
+def token_slices(batches: Iterator[pa.RecordBatch], column: str = "tokens", size: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+    """(rows, the row of each token, its code, the words of the codes) of about ``size`` tokens each (TOKENS, if not given)."""
     for batch in batches:
         lists = batch.column(batch.schema.get_field_index(column))
         if lists.null_count:
@@ -41,7 +41,7 @@ def token_slices(batches: Iterator[pa.RecordBatch], column: str = "tokens") -> I
         off = lists.offsets.to_numpy().astype(np.int64)
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + TOKENS, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(off, off[at] + (size or TOKENS), side="right")) - 1)
             coded = lists.values.slice(off[at], off[to] - off[at]).dictionary_encode()
             yield batch.slice(at, to - at), np.repeat(np.arange(to - at), np.diff(off[at : to + 1])), coded.indices.to_numpy().astype(np.int64), coded.dictionary
             at = to

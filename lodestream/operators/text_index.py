@@ -27,8 +27,8 @@ from ..sources.scratch import FREED, shared_dir
 from .keywords import token_slices
 
 BUCKETS, SPREAD, WEIGHT = 64, 4, 0.1
-#: The partition of the rows' own records.
-ROWS = -1
+#: The partition of the rows' own records; words of a stretch, whose occurrences of a term are one list.
+ROWS, STRETCH = -1, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", buckets:
     names = ["term", "base", "rows", "places", id_col, "length"]
 
     def run(batches):
-        for rows, row, code, spelled in token_slices(batches):
+        for rows, row, code, spelled in token_slices(batches, size=STRETCH):
             number, ids = rows.column("row").to_numpy(), rows.column(id_col)
             order = np.lexsort((row, code))  # stable: places stay in order
             head = np.flatnonzero(np.diff(code[order], prepend=-1))
