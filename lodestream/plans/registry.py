@@ -27,5 +27,5 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-for _module in ("theme_queries", "document_queries", "graph_queries", "market_queries", "claim_queries", "vector_queries", "source_queries", "stream_queries", "rollup_queries", "linking_queries", "post_queries", "payload_queries", "catalyst_queries", "listing_queries", "entity_queries", "density_queries", "search_queries"):
+for _module in ("theme_queries", "document_queries", "graph_queries", "market_queries", "claim_queries", "vector_queries", "source_queries", "stream_queries", "rollup_queries", "linking_queries", "post_queries", "payload_queries", "catalyst_queries", "listing_queries", "entity_queries", "density_queries", "search_queries", "told_queries"):
     import_module(f"lodestream.plans.{_module}")
