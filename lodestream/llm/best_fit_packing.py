@@ -20,8 +20,8 @@ Documents longer than the capacity, and no others, are cut into pieces of it; th
 piece may be shorter.  A null text counts as an empty one, whose only token is the end.  Rows
 are packed one by one, whatever their ids; an empty table gives no rows.
 
-Tokens are those of the whole text: the tokenizer file named drops white space before its
-words are formed, so the distinct words of a slice are encoded once and put together
+Tokens are those of the whole text: the tokenizer file named drops white space, lower-cases, and treats runs of
+letters, digits and runs of marks alone, so the distinct ones of a slice are encoded once and put together
 again (``by_words``); other files take whole texts.  A single word of many megabytes is
 encoded by the library in one piece.
 """
@@ -30,24 +30,59 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .storage import table
-from .textops import Words, slices
+from .textops import LOWER, SPACE, Words, slices
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Words (and their tokens) that a task remembers before it starts anew.
-REMEMBERED, POOL = 200_000, 2_000_000
+#: Words (and their tokens) that a worker remembers before it starts anew; bytes whose distinct words are looked up at once.
+REMEMBERED, POOL, SLICE = 600_000, 6_000_000, 8 << 20
 #: A length's place above the bits of a number among its pieces.
 NUMBER_BITS = 48
 
 
+#: Bytes by what the tokenizer makes of them: 0 white space, 1 letters, 2 digits, 3 other marks.
+KINDS = np.full(256, 3, np.int8)
+KINDS[SPACE] = 0
+KINDS[0x41:0x5B] = KINDS[0x61:0x7B] = 1
+KINDS[0x30:0x3A] = 2
+#: Words with these bytes are left whole: beyond ASCII, control characters, apostrophes (short forms) and bars (special tokens).
+WHOLE = np.zeros(256, bool)
+WHOLE[0x80:] = WHOLE[:0x20] = WHOLE[[0x27, 0x7C, 0x7F]] = True
+WHOLE[SPACE] = False
+
+
+def word_parts(data: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray]:
+    """What the tokenizer treats alone, and which of it is a part: runs of ASCII letters, lower-cased, single digits, and runs of marks; words with bytes of WHOLE are not cut."""
+    words = Words(data, off, hashed=False)
+    odd = np.zeros(len(words), bool)
+    at = np.flatnonzero(WHOLE[data])
+    if len(at):
+        odd[np.searchsorted(words.starts, at, side="right") - 1] = True
+    kind = KINDS[data]
+    uncut = np.zeros(len(data) + 1, np.int8)
+    uncut[words.starts[odd]] += 1
+    uncut[words.ends[odd]] -= 1
+    uncut = np.cumsum(uncut, dtype=np.int8)[:-1].astype(bool)
+    begins = np.zeros(len(data) + 1, bool)
+    begins[:-1][1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0) & ~uncut[1:]
+    begins[words.starts] = True
+    ends = begins.copy()
+    ends[words.starts] = False  # where a part follows another
+    ends[words.ends] = True
+    folded = np.where(uncut, data, LOWER[data])
+    parts = Words.at(folded, off, np.flatnonzero(begins), np.flatnonzero(ends))
+    return parts, ~uncut[parts.starts] if len(parts) else np.zeros(0, bool)
+
+
 class WordTokens:
-    """Tokens of the words of slices, by a tokenizer that treats words between white space alone."""
+    """Tokens of the words of slices, by a tokenizer that treats words between white space alone and cuts them as ``word_parts`` does."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,29 +94,41 @@ class WordTokens:
         self.known, self.flat = {}, np.empty(1 << 16, np.uint32)
         self.begin, self.size, self.used = [], [], 0
 
-    def _learn(self, words: list[bytes]):
-        for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.known[w] = len(self.begin)
-            self.begin.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray):
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.known.update(zip(words, range(len(self.begin), len(self.begin) + len(words)), strict=True))
+        self.begin += (self.used + np.cumsum(sizes) - sizes).tolist()
+        self.size += sizes.tolist()
+        self.used += len(ids)
+
+    def _learn(self, words: list[bytes], parts: bool):
+        """Parts are encoded as one text, in which each is a word of the tokenizer; others one by one."""
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            if parts:
+                e = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
+                sizes = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
+                if len(sizes) == len(some):
+                    self._add(some, np.array(e.ids, np.uint32), sizes)
+                    continue
+            each = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)]
+            self._add(some, np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64))
 
     def __call__(self, data: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the rows, each closed by end, and where rows begin."""
         if len(self.known) > REMEMBERED or self.used > POOL:
             self.forget()
-        words = Words(data, off)
+        words, part = word_parts(data, off)
         order, new = words.kinds(by_row=False)
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
-        spelled = [words.bytes_of(w) for w in order[new].tolist()]
-        missing = [w for w in spelled if w not in self.known]
-        for at in range(0, len(missing), 1024):
-            self._learn(missing[at : at + 1024])
+        heads = order[new]
+        spelled = [words.bytes_of(w) for w in heads.tolist()]
+        unknown = [(w, p) for w, p in zip(spelled, part[heads].tolist(), strict=True) if w not in self.known]
+        for which in (True, False):
+            self._learn([w for w, p in unknown if p == which], which)
         of = np.array([self.known[w] for w in spelled], np.int64)
         begin, size = np.array(self.begin, np.int64)[of][kind], np.array(self.size, np.int64)[of][kind]
         ahead = np.concatenate(([0], np.cumsum(size)))
@@ -105,6 +152,12 @@ class TextTokens:
         return np.concatenate([np.zeros(0, np.uint32), *rows]), np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64)))
 
 
+@cache
+def tokens_of(path: str, by_words: bool) -> WordTokens | TextTokens:
+    """One for all tasks of a Python worker, so that words are learned once."""
+    return (WordTokens if by_words else TextTokens)(path)
+
+
 def cut(path: str, capacity: int, end: int, by_words: bool):
     """Pieces of documents; ``place`` is a piece's number among those of its length in its task."""
 
@@ -114,9 +167,9 @@ def cut(path: str, capacity: int, end: int, by_words: bool):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens, task = (WordTokens if by_words else TextTokens)(path), TaskContext.get().partitionId()
+        tokens, task = tokens_of(path, by_words), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for rows, data, off in slices(batches):
+        for rows, data, off in slices(batches, size=SLICE):
             ids, first = tokens(data, off, end)
             size = np.diff(first)
             n = -(-size // capacity)

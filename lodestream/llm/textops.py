@@ -73,15 +73,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)), off
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, their bytes, their offsets from 0) of about SLICE_BYTES each."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their bytes, their offsets from 0) of about ``size`` bytes each (SLICE_BYTES, if not given)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, off = text_buffers(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(off, off[at] + SLICE_BYTES, side="right")) - 1
+            to = int(np.searchsorted(off, off[at] + (size or SLICE_BYTES), side="right")) - 1
             to = min(max(to, at + 1), batch.num_rows, at + 4096)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
@@ -118,6 +118,17 @@ class Words:
         self.ends, self.first, self.counts = self.starts + 1, np.array([0, len(names)]), np.array([len(names)])
         return self
 
+    @classmethod
+    def at(cls, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Words:
+        """The words of a slice that lie at starts and ends."""
+        self = cls.__new__(cls)
+        self.starts, self.ends, self._data = starts, ends, data
+        self.row = np.searchsorted(offsets, starts, side="right") - 1
+        self.first = np.searchsorted(self.row, np.arange(len(offsets)), side="left")
+        self.counts = np.diff(self.first)
+        self.hash = self._hash(_LETTERS)
+        return self
+
     def _hash(self, letters: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
         """Names of the words by a table of letters, in pieces of PIECE bytes: a long text needs no more memory for it than a short one."""
         out = np.empty(len(self), U64)
