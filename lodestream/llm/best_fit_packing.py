@@ -91,16 +91,18 @@ class WordTokens:
         self.forget()
 
     def forget(self):
-        self.known, self.flat = {}, np.empty(1 << 16, np.uint32)
-        self.begin, self.size, self.used = [], [], 0
+        self.known, self.flat, self.used = {}, np.empty(1 << 16, np.uint32), 0
+        self.begin, self.size = np.empty((2, 1 << 16), np.int64)
 
     def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray):
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.known.update(zip(words, range(len(self.begin), len(self.begin) + len(words)), strict=True))
-        self.begin += (self.used + np.cumsum(sizes) - sizes).tolist()
-        self.size += sizes.tolist()
+        n = len(self.known)
+        while n + len(words) > len(self.begin):
+            self.begin, self.size = np.concatenate((self.begin, np.empty_like(self.begin))), np.concatenate((self.size, np.empty_like(self.size)))
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.begin[n : n + len(words)], self.size[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(ids)
 
     def _learn(self, words: list[bytes], parts: bool):
@@ -125,12 +127,14 @@ class WordTokens:
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
         heads = order[new]
-        spelled = [words.bytes_of(w) for w in heads.tolist()]
-        unknown = [(w, p) for w, p in zip(spelled, part[heads].tolist(), strict=True) if w not in self.known]
+        raw, get = words.raw(), self.known.get
+        spelled = [raw[a:b] for a, b in zip(words.starts[heads].tolist(), words.ends[heads].tolist(), strict=True)]
+        of = np.array([get(w, -1) for w in spelled], np.int64)
+        lacking = np.flatnonzero(of < 0)
         for which in (True, False):
-            self._learn([w for w, p in unknown if p == which], which)
-        of = np.array([self.known[w] for w in spelled], np.int64)
-        begin, size = np.array(self.begin, np.int64)[of][kind], np.array(self.size, np.int64)[of][kind]
+            self._learn([spelled[k] for k in lacking[part[heads[lacking]] == which].tolist()], which)
+        of[lacking] = [get(spelled[k]) for k in lacking.tolist()]
+        begin, size = self.begin[of][kind], self.size[of][kind]
         ahead = np.concatenate(([0], np.cumsum(size)))
         first = ahead[words.first] + np.arange(len(off))  # a row's end comes before the next row
         out = np.full(first[-1], end, np.uint32)

@@ -203,6 +203,10 @@ class Words:
                 new[begin + 1 : end] = [self.bytes_of(x) != self.bytes_of(y) for x, y in zip(run, run[1:], strict=False)]
         return order, new
 
+    def raw(self) -> bytes:
+        """The bytes that starts and ends count in."""
+        return self._data.tobytes()
+
     def bytes_of(self, word: int) -> bytes:
         return self._data[self.starts[word] : self.ends[word]].tobytes()
 
