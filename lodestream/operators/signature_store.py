@@ -35,6 +35,8 @@ from .vectors import BANDS, PERMUTATIONS, minhashed
 # Fixed values
 SHINGLE, SHORT, THRESHOLD = 3, 6, 0.85
 LEADERS, BLOCK = 3, 256
+#: What the signature of a text without words consists of; no other has it.
+NO_WORDS = -1
 _SCHEMAS = {
     "documents": "doc string, fingerprint string, canonical string, kind string, similarity double, at timestamp, place long, epoch long",
     "kept": "node string, doc string, signature array<long>, at timestamp, epoch long",
@@ -59,10 +61,14 @@ class SignatureStore:
 
 def shingles(text: Column) -> Column:
     """Hashes of runs of three words; of texts under six words the single words too."""
-    w = T.words(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", ""))
-    runs = F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))).otherwise(F.array().cast("array<long>"))
-    single = F.when(F.size(w) < SHORT, F.transform(w, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<long>"))
-    return F.array_distinct(F.concat(runs, single))
+
+    def hashes(w: Column) -> Column:
+        runs = F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))).otherwise(F.array().cast("array<long>"))
+        single = F.when(F.size(w) < SHORT, F.transform(w, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<long>"))
+        return F.array_distinct(F.concat(runs, single))
+
+    # a variable of a lambda, so that the words are cut once and not once for every run
+    return F.transform(F.array(T.words(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", ""))), hashes)[0]
 
 
 def bands_of(signature: str = "signature") -> Column:
@@ -145,17 +151,18 @@ def add_batch(spark: SparkSession, store: SignatureStore, docs: DataFrame, epoch
     Documents come in the order of at (a time), then id.  fingerprint: an expression over docs, the text's SHA-256 if not given.
     """
     print_of = F.sha2(F.coalesce(text, F.lit("")), 256) if fingerprint is None else fingerprint
-    base = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(at).cast("timestamp").alias("at"), print_of.alias("fingerprint"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("place"))
-    base = table(base)
+    key = F.struct(F.col(id_col).cast("string").alias("doc"), F.col(at).cast("timestamp").alias("at"), print_of.alias("fingerprint"), F.monotonically_increasing_id().alias("place"))
+    # the only reading of the texts: from here on a document is its fingerprint and its signature
+    read = minhashed(docs.select(key.alias("key"), shingles(F.coalesce(text, F.lit(""))).alias("h")), "key")
+    base = table(read.select("key.*", F.when(F.col("signature")[0] != NO_WORDS, F.col("signature")).alias("signature")))
     # a text whose order is that of time, id (shorter ones first) and place
     order = F.format_string("%d%020d%d%06d%s %020d", F.col("at").isNull().cast("int"), F.coalesce(F.unix_micros("at"), F.lit(0)) + F.lit(1 << 62), F.col("doc").isNull().cast("int"), F.coalesce(F.length("doc"), F.lit(0)), F.coalesce("doc", F.lit("")), F.col("place"))
     young = (lambda df: df) if since is None else (lambda df: df.filter(F.col("at") >= F.lit(since)))
     known = young(store.read(spark, "documents", epoch)).filter("kind = 'kept'").groupBy("fingerprint").agg(F.min_by("canonical", F.struct("at", "doc")).alias("canonical"))
     own = base.groupBy("fingerprint").agg(F.min(order).alias("first"))
     judged = base.withColumn("order", order).join(own, "fingerprint").join(known, "fingerprint", "left")
-    news = table(judged.filter("canonical is null and order = first").select(F.concat_ws("/", F.lit(epoch), F.col("place")).alias("node"), "doc", "at", "fingerprint", "text", "order", "place"))
-    hashed = news.select("node", shingles(F.coalesce("text", F.lit(""))).alias("h")).filter("size(h) > 0")
-    signed = table(minhashed(hashed, "node").join(news.select("node", "doc", F.col("order").alias("rank")), "node"))
+    news = table(judged.filter("canonical is null and order = first").select(F.concat_ws("/", F.lit(epoch), F.col("place")).alias("node"), "doc", "at", "fingerprint", "signature", "order", "place"))
+    signed = news.filter("signature is not null").select("node", "doc", F.col("order").alias("rank"), "signature")
     nodes = table(signed.groupBy("signature").agg(F.min(F.struct("rank", "node", "doc")).alias("s")).select("s.node", "s.doc", "s.rank", "signature"))
     bands = table(nodes.select("node", F.explode(bands_of()).alias("band")))
     stored, stored_bands = young(store.read(spark, "kept", epoch)), young(store.read(spark, "bands", epoch))
