@@ -62,13 +62,14 @@ class SignatureStore:
 def shingles(text: Column) -> Column:
     """Hashes of runs of three words; of texts under six words the single words too."""
 
-    def hashes(w: Column) -> Column:
-        runs = F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))).otherwise(F.array().cast("array<long>"))
-        single = F.when(F.size(w) < SHORT, F.transform(w, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<long>"))
+    def hashes(h: Column) -> Column:
+        runs = F.when(F.size(h) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[h[i + k] for k in range(SHINGLE)]))).otherwise(F.array().cast("array<long>"))
+        single = F.when(F.size(h) < SHORT, h).otherwise(F.array().cast("array<long>"))
         return F.array_distinct(F.concat(runs, single))
 
-    # a variable of a lambda, so that the words are cut once and not once for every run
-    return F.transform(F.array(T.words(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", ""))), hashes)[0]
+    words = T.words(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", ""))
+    # a variable of a lambda, so that the words are cut and hashed once and not once for every run
+    return F.transform(F.array(F.transform(words, lambda x: F.xxhash64(x))), hashes)[0]
 
 
 def bands_of(signature: str = "signature") -> Column:
