@@ -76,7 +76,7 @@ _TOLD = [
     "'Lead times for the ' || p_name || ' aside, ' || p_name || ' supply shortage goes on'",
     "A || ' held its annual board meeting in ' || p_type",
 ]
-_TEXT = "CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(_TOLD)) + " END"
+_TOLD_TEXT = "CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(_TOLD)) + " END"
 _NAMED = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
 
 
@@ -95,13 +95,13 @@ def _events_sql() -> str:
     for k, (kind, actor, action, thing, time, amount, begin, end) in enumerate(rows):
         sure = f"0.7 + CASE WHEN {actor} IS NULL THEN 0 ELSE 0.1 END + 0.1 + CASE WHEN {amount} IS NULL THEN 0 ELSE 0.1 END"
         parts.append(f"SELECT p_partkey AS doc_id, '{kind}' AS event_type, {actor} AS actor, {action} AS action, {thing} AS object, {time} AS time_ref, {amount} AS quantity, {own} AS tickers, round({sure}, 4)::DOUBLE AS confidence, ({begin})::BIGINT AS span_start, ({end})::BIGINT AS span_end FROM t WHERE p_partkey % 7 = {k}")
-    text = _TEXT.replace("A ||", "a ||")
+    text = _TOLD_TEXT.replace("A ||", "a ||")
     return f"WITH n AS (SELECT *, {_NAMED} AS a FROM part), t AS (SELECT *, {text} AS x FROM n) " + " UNION ALL ".join(parts)
 
 
 @query(_events_sql())
 def pattern_events(spark, d):
-    part = table(spark, d, "part").withColumn("A", F.initcap("p_name")).withColumn("text", F.expr(_TEXT)).withColumn("own", F.array(F.upper(F.split("p_name", " ")[1]), F.lit("ABSENT")))
+    part = table(spark, d, "part").withColumn("A", F.initcap("p_name")).withColumn("text", F.expr(_TOLD_TEXT)).withColumn("own", F.array(F.upper(F.split("p_name", " ")[1]), F.lit("ABSENT")))
     out = E.pattern_events(part.select(F.col("p_partkey").alias("doc_id"), "text", "own"), {"NVDA"}, {}, tickers="own", year=F.lit(2026))
     return out.withColumns({"tickers": F.array_join("tickers", ","), "confidence": F.round("confidence", 4)})
 
