@@ -328,6 +328,48 @@ def test_lm_counts(spark, odd, monkeypatch, heavy):
         assert r["score"] < 0 and math.isfinite(r["score"])
 
 
+def test_lm_learns_from_training_rows(spark):
+    """Every score by brute force: an expectation step over the distinct training words, then counts and lattice mixed; held-out rows come close to the base."""
+    rng = random.Random(9)
+    stems, ends = ["ontion", "there", "weisung", "él", "ñande", "ing"], ["er", "ly", "s,", "ed."]
+    texts = [" ".join(rng.choice(stems) + "".join(rng.choice(ends) for _ in range(rng.randrange(3))) for _ in range(rng.randrange(1, 60))) for _ in range(40)] + ["", None, "q" * 60 + " x"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    train = docs.filter("doc_id % 4 > 0")
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark, docs, train, ["doc_id"]).collect()}
+    spelled, logp = lm_scoring.pieces(lm_scoring.VOCABULARY)
+    ids = {x: i for i, x in enumerate(spelled)}
+
+    def cuts(word, p, k=0):
+        """(probability, pieces) of every segmentation, but for single bytes inside, whose share is next to nothing."""
+        if k == len(word):
+            yield 1.0, ()
+        for e in range(k + 1, len(word) + 1):
+            if (i := ids.get(word[k:e])) is not None and (p[i] > 1e-9 or not k):
+                for x, some in cuts(word, p, e):
+                    yield p[i] * x, (i, *some)
+
+    tokens = {i: lower(x or "").split() for i, x in enumerate(texts)}
+    c = collections.Counter(t for i, ts in tokens.items() if i % 4 for t in ts)
+    n_docs = sum(i % 4 > 0 for i in tokens)
+    n = sum(c.values()) + n_docs
+    unseen = (sum(k == 1 for k in c.values()) + 1) / (n + 1)
+    p, expected = np.exp(logp[:-1]), np.zeros(len(spelled))
+    for w in c:
+        if len(w) <= lm_scoring.LONG_WORD:
+            found = list(cuts(b" " + w, p))
+            for x, some in found:
+                for i in some:
+                    expected[i] += x / sum(y for y, _ in found)
+    q = (expected + lm_scoring.LEAST) / (expected + lm_scoring.LEAST).sum() * (1 - math.exp(logp[-1]))
+    lattice = lm_scoring.Lattice(spelled, np.append(np.log(q), logp[-1]))
+    one = lambda w: math.log10((1 - unseen) * c[w] / n + unseen * math.exp(lattice._one(b" " + w)))
+    end = math.log10((1 - unseen) * n_docs / n + unseen * math.exp(logp[-1]))
+    for i, ts in tokens.items():
+        assert math.isclose(got[i]["score"], sum(map(one, ts)) + end, rel_tol=1e-5)
+    held = [r for i, r in got.items() if i % 4 == 0]
+    assert sum(r["score"] for r in held) > 1.25 * sum(r["base_score"] for r in held)
+
+
 def test_optimal_bounds():
     rng = random.Random(4)
     for _ in range(40):
