@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from . import thesis_words as N
@@ -127,12 +131,29 @@ def fact_evidence(event_type: Column, delta: Column) -> Column:
     return F.when(event_type.isin("margin_compression", "restatement"), "contradictory").when(delta > 0, "corroborating").when(delta < 0, "contradictory").otherwise("neutral")
 
 
+TELLING = {"authority": N.AUTHORITY, "evidence": N.EVIDENCE, "hype": N.HYPE, "risk": N.RISK, "action": N.ACTION, "technical": N.TECHNICAL}
+#: As [\p{L}\p{N}_]+: word characters are letters, numbers and the low line.
+WORDS = re.compile(r"\w+")
+
+
+def telling_words(text: Column) -> Column:
+    """struct(words, and how many of each list of telling words a text has): counted once a text, where an expression for each word is evaluated anew by every score that has it."""
+
+    @F.pandas_udf("struct<words int, " + ", ".join(f"{k} int" for k in TELLING) + ">")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            low = [(x or "").lower() for x in texts]
+            counts = {"words": [len(WORDS.findall(x)) for x in low]} | {k: [[w in x for w in v].count(True) for x in low] for k, v in TELLING.items()}
+            yield pd.DataFrame(counts, dtype="int32")
+
+    return run(text)
+
+
 def thesis(text: Column, shortest: int = 50) -> Column:
-    """struct(overall, authority, evidence, reasoning, risk, action, technical, flags) by the density of telling words; a text under ``shortest`` characters has no score."""
-    low = F.lower(text)
-    words = F.greatest(F.lit(1), F.regexp_count(low, F.lit(r"[\p{L}\p{N}_]+"))).cast("double")
-    density = lambda names: sum((low.contains(k).cast("int") for k in names), F.lit(0)) / words
-    d = {k: density(v) for k, v in (("authority", N.AUTHORITY), ("evidence", N.EVIDENCE), ("hype", N.HYPE), ("risk", N.RISK), ("action", N.ACTION), ("technical", N.TECHNICAL))}
+    """struct(overall, authority, evidence, reasoning, risk, action, technical, flags) by the density of telling words; a text under ``shortest`` characters, or none, has no score."""
+    told = telling_words(text)
+    words = F.greatest(F.lit(1), told["words"]).cast("double")
+    d = {k: told[k] / words for k in TELLING}
     ten = lambda c, scale=140.0: F.round(F.least(F.lit(10.0), c * scale), 2)
     parts = {k: ten(d[k]) for k in ("authority", "evidence", "risk", "action", "technical")} | {"reasoning": ten(d["evidence"] + d["risk"], 70.0)}
     mean = sum(parts.values(), F.lit(0.0)) / 6
@@ -140,7 +161,7 @@ def thesis(text: Column, shortest: int = 50) -> Column:
     flags = F.array_compact(F.array(F.when(d["hype"] > 0.01, "hype_language"), F.when(d["evidence"] < 0.005, "no_evidence")))
     full = F.struct(overall.alias("overall"), *[c.alias(k) for k, c in parts.items()], flags.alias("flags"))
     none = F.struct(F.lit(0.0).alias("overall"), *[F.lit(0.0).alias(k) for k in parts], F.array(F.lit("too_short")).alias("flags"))
-    return F.when(F.length(text) < shortest, none).otherwise(full)
+    return F.when(F.coalesce(F.length(text), F.lit(0)) < shortest, none).otherwise(full)
 
 
 def thesis_text(description: Column, keywords: Column, tickers: Column, entities: Column, stage: Column, documents: Column) -> Column:
