@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from lodestream.operators import changes as C, monitoring as M, rollups as R
@@ -77,3 +79,15 @@ def test_holdings_set_bad_filings_apart(spark):
     good, bad = O.holdings(filings)
     assert [(r["filer"], r["cusip"], r["shares"], float(r["value"])) for r in good.collect()] == [("f", "AB1", None, 10.0)]
     assert sorted(r["filer"] for r in bad.collect()) == ["g", "h", "i"]
+
+
+def test_event_theme_links_are_not_shuffled(spark):
+    """Pairs come once, though they share several tickers and rows are repeated, and no exchange lies above the join."""
+    rng = random.Random(6)
+    some = lambda n: [(i % 30, rng.choices("abcdefg", k=rng.randrange(4)) + [None] * rng.randrange(2)) for i in range(n)]
+    e, t = some(50) + [(99, None)], some(40)
+    out = R.linked_events(spark.createDataFrame(e, "event_id long, tickers array<string>"), spark.createDataFrame(t, "theme_id long, tickers array<string>"))
+    want = {(a, b) for a, x in e for b, y in t if {*(x or ())} & {*y} - {None}}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
