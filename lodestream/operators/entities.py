@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import event_grammar as E, posts as P, text as T
 
@@ -16,6 +18,8 @@ FUZZY, EXACT_NAME, SHORTEST = 85, 0.95, 4
 SEMANTIC_BASE, SEMANTIC_LEAST = 0.6, 0.5
 EVENT_BASE, EVENT_LEAST, EVENT_MOST, EVENT_CONTEXT = 0.7, 0.5, 50, 200
 TRIGRAM_LEAST, ONE_CANDIDATE, MORE_CANDIDATES = 0.4, 0.7, 0.6
+#: Mentions and names of a block.
+BLOCK = 20_000
 
 
 def normalized(entities: DataFrame, companies: DataFrame) -> DataFrame:
@@ -98,25 +102,58 @@ def company_mentions(names: dict[str, tuple[str, str]], threshold: int = FUZZY):
 def fuzzy_resolved(mentions: DataFrame, names: DataFrame, least: float = TRIGRAM_LEAST) -> DataFrame:
     """(mention, concept, confidence, similarity): the best concept by trigram similarity for each distinct mention that has one.
 
-    mentions: mention; names: name, concept.  Two texts as similar as least share one of
-    the first n - ceil(least * n) + 1 trigrams of each, ordered by rarity among the names, so
-    only those meet; frequent trigrams rarely are.  A single candidate is surer than several.
+    mentions: mention; names: name, concept.  Names of one pattern share most of their trigrams,
+    so nearly every mention is similar enough to nearly every name and no prefix of rare trigrams
+    tells them apart.  Distinct mentions and names are dealt into blocks, every block of mentions
+    meets every block of names, and a task counts shared trigrams of a mention and all names of a block along
+    lists of a trigram's names: exact, and no pair is ever a row.  A block gives a mention's best concept and
+    two of its concepts at most.  A single candidate is surer than several.
     """
-    m = mentions.select("mention").distinct().withColumn("t", T.trigrams(F.trim("mention")))
-    n = names.select("name", "concept").distinct().withColumn("t", T.trigrams(F.trim("name")))
-    rarity = n.select(F.explode("t").alias("g")).groupBy("g").agg(F.count("*").alias("f"))
-
-    def prefix(rows, keys):
-        long = rows.select(*keys, F.size("t").alias("_n"), F.explode("t").alias("g")).join(rarity, "g", "left")
-        at = F.row_number().over(W.partitionBy(*keys).orderBy(F.coalesce("f", F.lit(0)), "g"))
-        return long.withColumn("_at", at).filter(F.col("_at") <= F.col("_n") - F.ceil(F.lit(least) * F.col("_n")) + 1).select(*keys, "g")
-
-    met = prefix(m, ["mention"]).join(prefix(n, ["name", "concept"]), "g").select("mention", "name", "concept").distinct()
-    scored = met.withColumn("similarity", T.trigram_similarity(F.trim("mention"), F.trim("name"))).filter(F.col("similarity") >= least).groupBy("mention", "concept").agg(F.max("similarity").alias("similarity"))
-    best = scored.groupBy("mention").agg(F.max_by(F.struct("concept", "similarity"), F.struct("similarity", -F.xxhash64("concept"))).alias("_b"), F.count("*").alias("_n"))
+    kind = names.schema["concept"].dataType
+    m = mentions.select("mention").distinct().withColumn("t", T.trigrams(F.trim("mention"))).filter(F.col("mention").isNotNull())
+    n = names.select("name", "concept").distinct().withColumn("t", T.trigrams(F.trim("name"))).filter(F.col("name").isNotNull())
+    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(BLOCK))).cast("int")
+    parts = m.agg(blocks.alias("mb")).crossJoin(n.agg(blocks.alias("nb")))
+    of = lambda key, count: F.pmod(F.xxhash64(*key), F.col(count)).cast("int")
+    left = m.crossJoin(F.broadcast(parts)).select("mention", "t", of(["mention"], "mb").alias("_m"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("_n"))
+    right = n.crossJoin(F.broadcast(parts)).select("name", "concept", F.xxhash64("concept").alias("h"), "t", of(["name", "concept"], "nb").alias("_n"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("_m"))
+    met = left.groupBy("_m", "_n").cogroup(right.groupBy("_m", "_n"))
+    found = met.applyInArrow(lambda x, y: _nearest(x, y, least), f"mention string, similarity double, h long, concept {kind.simpleString()}")
+    # two concepts of each block, of which the best is one, tell the best of all and whether there are several
+    best = found.groupBy("mention").agg(F.max_by(F.struct("concept", "similarity"), F.struct("similarity", -F.col("h"))).alias("_b"), F.countDistinct(F.struct("concept")).alias("_n"))
     return best.select("mention", "_b.concept", F.when(F.col("_n") == 1, ONE_CANDIDATE).otherwise(MORE_CANDIDATES).alias("confidence"), "_b.similarity")
 
 
+def _nearest(mentions: pa.Table, names: pa.Table, least: float) -> pa.Table:
+    """The best concept of a block for each mention and, if there is one, another that is similar enough: of equal ones that of the least hash."""
+    lists = [x.column("t").combine_chunks() for x in (mentions, names)]
+    sizes = [np.asarray(pc.list_value_length(x)).astype(np.int64) for x in lists]
+    flat = pa.concat_arrays([pc.list_flatten(x) for x in lists]).dictionary_encode()
+    code, n_m = np.asarray(flat.indices), int(sizes[0].sum())
+    of_name, rows = code[n_m:], np.repeat(np.arange(names.num_rows), sizes[1])
+    order = np.argsort(of_name, kind="stable")
+    rows, cut = rows[order], np.searchsorted(of_name[order], np.arange(len(flat.dictionary) + 1))
+    h, start = np.asarray(names.column("h").combine_chunks()), np.concatenate(([0], np.cumsum(sizes[0])))
+    _, concept = np.unique(h, return_inverse=True)
+    out: list[tuple[int, float, int]] = []
+    for i in range(mentions.num_rows):
+        mine = code[start[i] : start[i + 1]]
+        both = np.bincount(np.concatenate([rows[cut[c] : cut[c + 1]] for c in mine]), minlength=names.num_rows) if len(mine) else np.zeros(names.num_rows, np.int64)
+        s = both / np.maximum(sizes[0][i] + sizes[1] - both, 1)
+        ok = np.flatnonzero(s >= least)
+        if not len(ok):
+            continue
+        top = ok[s[ok] == s[ok].max()]
+        one = top[np.argmin(h[top])]
+        out.append((i, s[one], one))
+        other = ok[concept[ok] != concept[one]]
+        if len(other):
+            out.append((i, s[other[0]], other[0]))
+    at = pa.array([i for i, _, _ in out], pa.int64())
+    to = pa.array([k for _, _, k in out], pa.int64())
+    return pa.table({"mention": mentions.column("mention").take(at), "similarity": pa.array([x for _, x, _ in out], pa.float64()), "h": names.column("h").take(to), "concept": names.column("concept").take(to)})
+
+
 EVENT = [("id", None), ("_year", pa.int32()), ("event_type", pa.string()), ("actor", pa.string()), ("action", pa.string()), ("object", pa.string()), ("time_ref", pa.string()), ("quantity", pa.string()), ("tickers", pa.list_(pa.string())), ("confidence", pa.float64()), ("span_start", pa.int64()), ("span_end", pa.int64())]
 
 
