@@ -21,6 +21,8 @@ PERMUTATIONS, BANDS = 128, 32
 SIMILAR, BLOCK = 0.8, 256
 #: Centroids and queries that are broadcast at once; more are taken in blocks.
 MOST_CENTROIDS, MOST_QUERIES = 20_000, 1_000
+#: Rows that meet a block of queries at once.
+PIECE = 2_048
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -47,6 +49,26 @@ def _blocks(rows: DataFrame, key: str, vector: str, most: int):
             yield [k for k, _ in part], unit(np.array([v for _, v in part], float))
 
 
+def _nearest(batches, names: list, q: np.ndarray, limit: int, threshold: float, vector: str, id_col: str) -> list[list[tuple]]:
+    """(-similarity, id) of the best rows of each query, in order: ``limit`` for each are held, and those of PIECE rows and one query besides."""
+    held: list[list[tuple]] = [[] for _ in names]
+    least = np.full(len(names), float(threshold))
+    for batch in batches:
+        ids, whole = batch.column(id_col).to_pylist(), matrix(batch.column(vector))
+        if not ids or whole.shape[1] != q.shape[1]:
+            continue
+        for start in range(0, len(ids), PIECE):
+            c = np.round(q @ unit(whole[start : start + PIECE]).T, 9)
+            for i in np.flatnonzero((c >= least[:, None]).any(axis=1)):
+                at = np.flatnonzero(c[i] >= least[i])
+                if len(at) > limit + 1:  # the query itself may be one; equal ones are told apart by id below
+                    at = at[c[i, at] >= np.partition(c[i, at], len(at) - limit - 1)[len(at) - limit - 1]]
+                held[i] = heapq.nsmallest(limit, held[i] + [(-c[i, j], k) for j in at if (k := ids[start + j]) != names[i]])
+                if len(held[i]) == limit:
+                    least[i] = max(least[i], -held[i][-1][0])
+    return held
+
+
 def search(rows: DataFrame, queries: DataFrame, limit: int, threshold: float, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """(query, id, similarity, rank): the ``limit`` rows most similar to each query (query, vector), at least threshold, itself left out.
 
@@ -60,20 +82,7 @@ def search(rows: DataFrame, queries: DataFrame, limit: int, threshold: float, ve
 
         def best(batches, sent=sent):
             names, q = sent.value
-            held = [[] for _ in names]
-            for batch in batches:
-                ids, v = batch.column(id_col).to_pylist(), matrix(batch.column(vector))
-                if not ids or v.shape[1] != q.shape[1]:
-                    continue
-                c = np.round(q @ unit(v).T, 9)
-                for i, j in zip(*np.nonzero(c >= threshold), strict=True):
-                    if ids[j] != names[i]:
-                        held[i].append((-c[i, j], ids[j]))
-                for i, h in enumerate(held):
-                    if len(h) > 4 * limit:
-                        held[i] = heapq.nsmallest(limit, h)
-            for i, h in enumerate(held):
-                h = heapq.nsmallest(limit, h)
+            for i, h in enumerate(_nearest(batches, names, q, limit, threshold, vector, id_col)):
                 if h:
                     yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(h)), pa.array([k for _, k in h]), pa.array([-s for s, _ in h], pa.float64())], names=["query", id_col, "similarity"])
 
