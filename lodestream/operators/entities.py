@@ -48,27 +48,48 @@ def without_overlaps(entities: DataFrame, by: str = "doc_id") -> DataFrame:
 
     From left to right, longer first: a later one replaces an earlier only if it is longer and
     not less sure by more than 0.2, or surer by more than 0.3.  Then the first of each
-    normal form and type stays.  One document's entities are one group.
+    normal form and type stays.  One document's entities are one group; a task takes its documents
+    one after another from sorted rows, without a frame for each.
     """
-    columns = entities.columns
+    names = entities.columns
+    at = {c: names.index(c) for c in (by, "start", "end", "confidence", "normalized", "type")}
+    start, end, sure, form, kind = (at[c] for c in ("start", "end", "confidence", "normalized", "type"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(_l=frame["end"] - frame["start"]).sort_values(["start", "_l"], ascending=[True, False], kind="stable")
-        kept: list[tuple] = []
-        for e in frame.itertuples():
-            over = [k for k in kept if e.start < k.end and k.start < e.end]
+    value = lambda x: float("nan") if x is None else x
+
+    def chosen(group: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []  # begin, end, confidence, row; what is null overlaps nothing
+        for row in sorted(group, key=lambda r: (r[start] is None, r[start] or 0, r[end] is None, -(r[end] or 0))):
+            e = (value(row[start]), value(row[end]), value(row[sure]), row)
+            over = [i for i, k in enumerate(kept) if e[0] < k[1] and k[0] < e[1]]
             if not over:
                 kept.append(e)
-                continue
-            for k in over:
-                if e.end - e.start > k.end - k.start and e.confidence >= k.confidence - 0.2 or e.confidence > k.confidence + 0.3:
-                    kept.remove(k)
+            for i in over:
+                k = kept[i]
+                if e[1] - e[0] > k[1] - k[0] and e[2] >= k[2] - 0.2 or e[2] > k[2] + 0.3:
+                    del kept[i]
                     kept.append(e)
                     break
-        out = frame.loc[[k.Index for k in kept]]
-        return out.drop_duplicates(["normalized", "type"])[columns]
+        first: dict[tuple, tuple] = {}
+        for *_, row in kept:
+            first.setdefault((row[form], row[kind]), row)
+        return list(first.values())
 
-    return entities.groupBy(by).applyInPandas(run, entities.schema)
+    def run(batches):
+        group: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[at[by]] != group[0][at[by]]:
+                    out += chosen(group)
+                    group = []
+                group.append(row)
+            schema = batch.schema
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        if group:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in chosen(group)], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return entities.repartition(by).sortWithinPartitions(by, "start").mapInArrow(run, entities.schema)
 
 
 def company_mentions(names: dict[str, tuple[str, str]], threshold: int = FUZZY):
