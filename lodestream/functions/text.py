@@ -74,14 +74,23 @@ def urls(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(https?://[^ \t\r\n<>\"]+)"), 1))
 
 
+def _shapes(texts: pd.Series) -> pd.DataFrame:
+    """Shares and numbers of words, which are held for one text at a time."""
+
+    def shape(words: list[str]) -> tuple[float, int]:
+        return (max(Counter(words).values()) / len(words) if words else 0.0), len(words)
+
+    found = [shape((x or "").lower().split()) for x in texts]
+    return pd.DataFrame({"share": [s for s, _ in found], "n": pd.array([n for _, n in found], "int32")})
+
+
 def word_shape(text: Column) -> Column:
     """struct(share of the most frequent word, 0 without words; number of words): counted in one pass of a batch, where the JVM would sort and fold arrays."""
 
     @F.pandas_udf("struct<share double, n int>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            cut = [(x or "").lower().split() for x in texts]
-            yield pd.DataFrame({"share": [max(Counter(w).values()) / len(w) if w else 0.0 for w in cut], "n": pd.array([len(w) for w in cut], "int32")})
+            yield _shapes(texts)
 
     return run(text)
 
