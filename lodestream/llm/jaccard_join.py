@@ -6,7 +6,9 @@ tokens) under every total order of all tokens.  Two orders are used, which break
 ties by different hashes.
 
 1. One pass sums a sketch of document frequencies over all documents (2^20
-   counters, a fixed size), and set sizes.
+   counters, a fixed size), and takes the size and two sums of each set.  Equal sets
+   are linked by these 128 bits and their size; only the first of them takes part in
+   what follows, so copies neither spread tokens nor make others' tokens repeated.
 2. Tokens that no other document has come first in every order: they are found by
    exact exchanges, first for a fixed share of all tokens (by hash), then, among the
    documents that this leaves, for the others.  A document whose prefix holds nothing
@@ -16,7 +18,7 @@ ties by different hashes.
    document; a task first merges what it has.  Components of these links are
    candidate classes under one order; linked documents lie together under both, so
    the classes are intersected.
-4. Equal sets are represented by one.  Classes of up to ``BLOCK`` sets are verified as a
+4. Classes of up to ``BLOCK`` sets are verified as a
    whole by one sparse product; larger ones first against one block, and then what
    is not yet in the class's largest component against all blocks, so that the
    work grows with what is still undecided, and no task gets more than two blocks.
@@ -66,23 +68,32 @@ def shingle_sets(data, off, k: int):
     return row, value, np.bincount(row, minlength=rows)
 
 
-MEASURED = "part int, sketch binary, uids binary, sizes binary"
+def sums(value, n):
+    """Two sums of each row's set, which tell equal sets; what an empty set has means nothing."""
+    first = np.cumsum(n) - n
+    return [np.add.reduceat(np.append(mix(v), U64(0)), first).view(np.int64) for v in (value, value ^ U64(ORDERS[0]))]
+
+
+MEASURED = "part int, sketch binary, uids binary, sizes binary, s1 binary, s2 binary"
+TAKEN = ("uids", "sizes", "s1", "s2")
 
 
 def measure(batches, k: int):
-    """Document frequencies by sketch counter, and set sizes."""
-    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
-    uids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    schema = pa.schema([("part", pa.int32()), ("sketch", pa.binary()), ("uids", pa.binary()), ("sizes", pa.binary())])
+    """Document frequencies by sketch counter, and size and sums of each set."""
+    sketch, taken = np.zeros(1 << SKETCH_BITS, np.int32), []
+    schema = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("sketch", *TAKEN))])
+
+    def told():
+        return {c: np.concatenate(x).tobytes() for c, x in zip(TAKEN, zip(*taken, strict=True), strict=True)}
+
     for rows, data, off in slices(batches):
         _, value, n = shingle_sets(data, off, k)
         sketch += np.bincount((value >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
-        uids.append(rows.column("uid").to_numpy())
-        sizes.append(n.astype(np.int32))
-        if len(uids) > 64:
-            yield pa.RecordBatch.from_pylist([{"uids": np.concatenate(uids).tobytes(), "sizes": np.concatenate(sizes).tobytes()}], schema=schema)
-            uids, sizes = [uids[0]], [sizes[0]]
-    out = [{"uids": np.concatenate(uids).tobytes(), "sizes": np.concatenate(sizes).tobytes()}]
+        taken.append((rows.column("uid").to_numpy(), n.astype(np.int32), *sums(value, n)))
+        if len(taken) > 64:
+            yield pa.RecordBatch.from_pylist([told()], schema=schema)
+            taken = []
+    out = [told()] if taken else []
     width = len(sketch) // PARTS
     sketch = np.minimum(sketch, 65535).astype(np.uint16)
     out += [{"part": p, "sketch": sketch[p * width : (p + 1) * width].tobytes()} for p in range(PARTS)]
@@ -196,21 +207,9 @@ def other_tokens(batches, n_buckets: int, k: int, percent: int):
     yield X.packed_batch(pack.rows())
 
 
-PREFIXED = f"{X.PACKED}, uid long, s1 long, s2 long, size long"
-
-
 def prefixed(batches, classes, n_buckets: int, k: int, percent: int):
-    """Packed (prefix token, 2 * document + order, size) for both orders, and size and two sums of the set, of documents whose prefix has a token of another."""
+    """Packed (prefix token, 2 * document + order, size) for both orders, of documents whose prefix has a token of another."""
     pack = Chains(n_buckets, percent)
-    names = [x.split()[0] for x in PREFIXED.split(", ")]
-
-    def batch(packed, *kept):
-        part = X.packed_batch(packed)
-        n, m = part.num_rows, len(kept[0]) if kept else 0
-        joined = [pa.concat_arrays([part.column(c), pa.nulls(m, part.column(c).type)]) for c in range(6)]
-        joined += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (kept or [[]] * 4)]
-        return pa.RecordBatch.from_arrays(joined, names=names)
-
     for rows, data, off in slices(batches):
         row, value, n = shingle_sets(data, off, k)
         uid = rows.column("uid").to_numpy()
@@ -219,8 +218,6 @@ def prefixed(batches, classes, n_buckets: int, k: int, percent: int):
         head = _foremost(value, percent)
         alone = np.where(head, ~told, ~more)
         open_ = np.bincount(row[alone], minlength=len(n)) < length
-        some, cut = np.flatnonzero(open_), np.concatenate(([0], np.cumsum(n)))
-        both = [np.add.reduceat(np.append(mix(v), U64(0)), cut[:-1])[some].view(np.int64) for v in (value, value ^ U64(ORDERS[0]))]
         take = open_[row]
         row, value, alone, head = row[take], value[take], alone[take], head[take]
         m = np.where(open_, n, 0)
@@ -234,8 +231,9 @@ def prefixed(batches, classes, n_buckets: int, k: int, percent: int):
             chosen = order[np.arange(len(at)) - first[at] < length[at]]
             chosen = chosen[~alone[chosen]]
             pack.add(mix(hashed[chosen] + U64(o)), uid[row[chosen]] * 2 + o, n[row[chosen]])
-        yield batch(pack.rows() if pack.size >= X.FLUSH else [], uid[some], *both, n[some])
-    yield batch(pack.rows())
+        if pack.size >= X.FLUSH:
+            yield X.packed_batch(pack.rows())
+    yield X.packed_batch(pack.rows())
 
 
 def linked(batches, n_buckets: int, percent: int):
@@ -360,31 +358,36 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
     measured = table(base.mapInArrow(lambda it: measure(it, k), MEASURED))
     classes = spark.sparkContext.broadcast(rarity_classes(measured))
 
-    known = table(X.told(X.meet(base.mapInArrow(lambda it: foremost_tokens(it, n, k, percent), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n))
-    left = table(base.join(known, "uid", "left").mapInArrow(lambda it: survivors(it, k, percent), LEFT))
+    def unpacked(batches):
+        for b in batches:
+            for row in zip(*[b.column(c).to_pylist() for c in TAKEN], strict=True):
+                u, size, s1, s2 = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.int32, np.int64, np.int64), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(size.astype(np.int64)), pa.array(s1), pa.array(s2)], names=["uid", "n_shingles", "s1", "s2"])
+
+    sets = measured.filter("uids is not null").select(*TAKEN).mapInArrow(unpacked, "uid long, n_shingles long, s1 long, s2 long")
+    same = table(_to_least(sets.filter("n_shingles > 0"), ["s1", "s2", "n_shingles"]))
+    single = base.join(same.select(F.col("a").alias("uid")), "uid", "left_anti")
+
+    known = table(X.told(X.meet(single.mapInArrow(lambda it: foremost_tokens(it, n, k, percent), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n))
+    left = table(single.join(known, "uid", "left").mapInArrow(lambda it: survivors(it, k, percent), LEFT))
     discard(known)
     more = table(X.told(X.meet(left.mapInArrow(lambda it: other_tokens(it, n, k, percent), X.PACKED), n).mapInArrow(lambda it: X.Repeats.answer(it, n), X.PACKED), n))
-    found = table(left.join(more, "uid", "left").mapInArrow(lambda it: prefixed(it, classes, n, k, percent), PREFIXED))
+    found = table(left.join(more, "uid", "left").mapInArrow(lambda it: prefixed(it, classes, n, k, percent), X.PACKED))
     discard(more)
-    packed = X.meet(found.filter("bucket is not null").select("bucket", "told", "n", "keys", "owners", "extra"), n)
-    by_order = components(X.meet(packed.mapInArrow(lambda it: linked(it, n, percent), X.PACKED), n).mapInArrow(distinct_links, "a long, b long"))
+    by_order = components(X.meet(X.meet(found, n).mapInArrow(lambda it: linked(it, n, percent), X.PACKED), n).mapInArrow(distinct_links, "a long, b long"))
     members = by_order.union(by_order.select(F.col("b").alias("a"), "b").distinct())
     one = members.filter("a % 2 = 0").select(F.shiftright("a", 1).alias("uid"), F.col("b").alias("c0"))
     two = members.filter("a % 2 = 1").select(F.shiftright("a", 1).alias("uid"), F.col("b").alias("c1"))
     classed = one.join(two, "uid").select("uid", F.xxhash64("c0", "c1").alias("class"))
-    cand = _in_several(classed, "class")
-
-    keyed = table(found.filter("uid is not null").select("uid", "s1", "s2", F.col("size").alias("n")).join(cand, "uid"))
+    cand = table(_in_several(classed, "class"))
     discard(found, by_order)
-    equal = keyed.groupBy("class", "s1", "s2", "n").agg(F.min("uid").alias("rep"))
-    same = _to_least(keyed, ["class", "s1", "s2", "n"])
-    blocks = equal.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"), F.count("*").alias("m")).filter("m > 1")
-    reps = equal.join(blocks, "class").select("class", F.col("rep").alias("uid"), "nb").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
+    blocks = cand.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
+    reps = cand.join(blocks, "class").select("class", "uid", "nb").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
     reps = table(left.select("uid", "text").join(reps, "uid"))
-    discard(left)
+    discard(left, cand)
     against = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("block"))
     first = verify(reps.select(F.col("class").alias("g1"), F.lit(0).alias("g2"), F.explode(against).alias("g3"), "uid", "text"), n, k, percent)
-    links = table(first.union(same))
+    links = table(first)
 
     if reps.filter("nb > 1").limit(1).count():
         large = reps.filter("nb > 1")
@@ -399,17 +402,11 @@ def similar_components(spark: SparkSession, docs: DataFrame, keep: list[str], id
         new = undecided.join(rest.select("uid"), "uid", "left_semi").select(F.col("class").alias("g1"), F.pmod(F.xxhash64("uid", F.lit(1)), F.col("rb")).cast("int").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("g3"), "uid", "text")
         before, links = links, table(so_far.union(verify(old.union(new), n, k, percent)))  # what is connected already is a star by now
         discard(before, so_far, rest)
-    discard(reps, keyed)
-    final = components(links)
-    discard(links)
-
-    def unpacked(batches):
-        for b in batches:
-            for u, s in zip(b.column("uids").to_pylist(), b.column("sizes").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(u, np.int64)), pa.array(np.frombuffer(s, np.int32).astype(np.int64))], names=["uid", "n_shingles"])
+    discard(reps)
+    final = components(links.union(same))
+    discard(links, same)
 
-    sizes = measured.filter("uids is not null").select("uids", "sizes").mapInArrow(unpacked, "uid long, n_shingles long")
-    out = whole.select("uid", *[F.col(f"kept_columns.`{c}`") for c in keep]).join(sizes, "uid").join(final.select(F.col("a").alias("uid"), F.col("b").alias("component_uid")), "uid", "left")
+    out = whole.select("uid", *[F.col(f"kept_columns.`{c}`") for c in keep]).join(sets.select("uid", "n_shingles"), "uid").join(final.select(F.col("a").alias("uid"), F.col("b").alias("component_uid")), "uid", "left")
     return out.withColumn("component_uid", F.coalesce("component_uid", "uid"))
 
 

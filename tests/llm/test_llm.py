@@ -576,3 +576,21 @@ def test_ties_of_languages_and_shards(spark):
     assert out.select("lang_pred", "score", "rejected").distinct().count() == 1
     shards = collections.Counter(r["shard"] for r in resharding.reshard(docs, F.lit(0), 4, 1).collect())
     assert sorted(shards.values()) == [10] * 4
+
+
+def test_copies_do_not_reach_the_exchanges(spark, monkeypatch):
+    """Texts that only their copies are like are linked by their sums: none of them is kept, exchanged or compared."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    rows = [(3 * i + k, texts[i].upper() if k else texts[i]) for i in range(40) for k in range(3)]
+    kept, write = {}, jaccard_join.table
+
+    def watched(df):
+        kept[",".join(df.columns)] = out = write(df)
+        if "text" in df.columns:
+            assert not out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "table", watched)
+    found = jaccard_join.with_least_id(jaccard_join.similar_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"])).select("doc_id", "n_shingles", "component_id").collect()
+    assert "uid,text,known" in kept
+    assert sorted(map(tuple, found)) == [(3 * i + k, 58, 3 * i) for i in range(40) for k in range(3)]
