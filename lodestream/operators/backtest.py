@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..sources.scratch import parts, table
+
 TRADING_DAYS = 252.0
 
 
@@ -40,14 +42,26 @@ def max_drawdown(daily: DataFrame, key: list[str], value: str = "r") -> DataFram
 def calibration(rows: DataFrame, score: str, outcome: str, n_buckets: int, order: list[str], key: list[str]) -> DataFrame:
     """Equal-count buckets by score within key, boundaries rounded half to even: mean score and outcome of each.
 
-    A key with fewer than n_buckets rows has none.
+    A key with fewer than n_buckets rows has none.  A key's rows are dealt into cells by ranges of the order: most cells lie within
+    one bucket and are summed as they are, and of those that an edge cuts only the rows are numbered, cell by cell, so no task
+    holds a key.  Rows equal in the whole order lie in one cell.
     """
-    by = W.partitionBy(*key)
-    n = F.count("*").over(by)
-    i = F.row_number().over(by.orderBy(score, *order)) - 1
-    edge = lambda b: F.rint(F.lit(float(b)) * n / n_buckets)
-    bucket = sum((F.when(i >= edge(b), 1).otherwise(0) for b in range(1, n_buckets)), F.lit(0))
-    return rows.withColumns({"bucket": bucket, "_all": n}).filter(F.col("_all") >= n_buckets).groupBy(*key, "bucket").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(outcome).alias("mean_outcome"))
+    # written, as both readings must see the same ranges
+    placed = table(rows.select(*key, score, outcome, *order).repartitionByRange(parts(rows), *key, score, *order).withColumn("_cell", F.spark_partition_id()))
+    cells = placed.groupBy(*key, "_cell").agg(F.count("*").alias("_n"))
+    by = W.partitionBy(*key)  # as many rows as cells
+    sized = cells.select("*", F.sum("_n").over(by).alias("_all"), (F.sum("_n").over(by.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before")).filter(F.col("_all") >= n_buckets)
+    edge = lambda b: F.rint(F.lit(float(b)) * F.col("_all") / n_buckets)
+    bucket = lambda i: sum((F.when(i >= edge(b), 1).otherwise(0) for b in range(1, n_buckets)), F.lit(0))
+    sized = sized.select("*", bucket(F.col("_before")).alias("_low"), bucket(F.col("_before") + F.col("_n") - 1).alias("_high"))
+    same = F.lit(True)
+    for k in key:
+        same &= F.col(f"_{k}").eqNullSafe(F.col(k))
+    known = placed.join(F.broadcast(sized.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_cell").alias("_of"), "_all", "_before", "_low", "_high")), (F.col("_cell") == F.col("_of")) & same)
+    whole = known.filter("_low = _high").withColumn("bucket", F.col("_low"))
+    i = F.col("_before") + F.row_number().over(W.partitionBy(*key, "_cell").orderBy(score, *order)) - 1
+    cut = known.filter("_low < _high").withColumn("bucket", bucket(i))
+    return whole.unionByName(cut).groupBy(*key, "bucket").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(outcome).alias("mean_outcome"))
 
 
 def trading_days(spark, first: str, last: str) -> DataFrame:
