@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S, text as X
 from ..operators import backtest as B, catalysts as K, claims as C, parity as P, rollups as R, themes as T
+from ..sources.scratch import parts
 from .bind import SIGNALS, signals, table
 from .claim_queries import AT, CLAIMS, KEY, claims
 from .market_queries import BARS, bars
@@ -235,7 +236,9 @@ def run_maintenance(spark, d):
 SELECT doc_id, arg_max(run_id, sim * 1000 - n) AS run_id FROM r WHERE n <= 5 AND status <> 'closed' AND NOT (status = 'cooling' AND seen < TIMESTAMP '1995-01-01') AND sim >= 0.5 GROUP BY 1""")
 def run_selection(spark, d):
     status = F.when(F.col("l_returnflag") == "R", "closed").when(F.col("l_returnflag") == "N", "active").otherwise("cooling")
-    c = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("run_id")).agg(F.max("l_shipdate").alias("last_document_at"), F.max(status).alias("status"), (F.max("l_quantity") / 50.0).alias("similarity"))
+    lines = table(spark, d, "lineitem")
+    # dealt by document once: the grouping, the window and the choice need no other exchange, and a task's share doesn't grow
+    c = lines.repartition(parts(lines), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("run_id")).agg(F.max("l_shipdate").alias("last_document_at"), F.max(status).alias("status"), (F.max("l_quantity") / 50.0).alias("similarity"))
     return P.selected_runs(c, 0.5, F.lit("1995-01-02 00:00:00").cast("timestamp_ntz"))
 
 

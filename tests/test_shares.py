@@ -37,6 +37,11 @@ def test_calibration_numbers_only_cells_that_an_edge_cuts(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_run_selection_is_dealt_once(spark):
+    plan = plan_of(registry.QUERIES["run_selection"](spark, SF))
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
 def test_parts_grow_with_the_files(spark, monkeypatch):
     monkeypatch.setattr(scratch, "PART_BYTES", 4096)
     assert scratch.parts(spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").filter("l_orderkey > 5")) >= 25
