@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scoring as S
+from ..sources.scratch import parts
+
+#: Characters of a bundle that are packed at once.
+PIECE = 1 << 20
 
 TRANSITIONS = [("draft", "validated"), ("validated", "published"), ("published", "retracted"), ("validated", "quarantined"), ("quarantined", "validated")]
 
@@ -45,24 +50,47 @@ def bundle_lines(objects: DataFrame, order: str) -> DataFrame:
 def bundle_checksum(lines: DataFrame, order: str) -> DataFrame:
     """(lane, checksum, lines): 'sha256:' and the SHA-256 of a lane's lines joined by line ends, as a consumer computes it from the file.
 
-    A lane's lines come sorted and are hashed as they come, so the task that hashes
-    a lane holds one batch of them.  (The digest of one text can't be computed in parts.)
+    Lines are sorted in ranges of (lane, order), each of which packs them into compressed pieces of about PIECE bytes.
+    The task that hashes a lane sorts pieces by their place, a small part of the text, and holds
+    one piece at a time.  (The digest of one text can't be computed in parts.)
     """
 
+    def pack(batches):
+        lane, held, size, n = None, [], 0, 0
+
+        def done():
+            nonlocal held, size, n
+            row = {"lane": lane, "at": n, "n": len(held), "piece": zlib.compress("\n".join(held).encode(), 1)}
+            held, size, n = [], 0, n + 1
+            return pa.RecordBatch.from_pylist([row], schema=pieces)
+
+        for b in batches:
+            for key, line in zip(b.column("lane").to_pylist(), b.column("line").to_pylist(), strict=True):
+                if held and (key != lane or size > PIECE):
+                    yield done()
+                lane, size = key, size + len(line)
+                held.append(line)
+        if held:
+            yield done()
+
     def run(batches):
         lane, digest, n = None, None, 0
         for b in batches:
-            for key, line in zip(b.column("lane").to_pylist(), b.column("line").to_pylist(), strict=True):
-                if digest is None or key != lane:
+            for key, count, piece in zip(*(b.column(c) for c in ("lane", "n", "piece")), strict=True):
+                if digest is None or key.as_py() != lane:
                     if digest is not None:
-                        yield pa.RecordBatch.from_pylist([{"lane": lane, "checksum": f"sha256:{digest.hexdigest()}", "lines": n}])
-                    lane, digest, n = key, hashlib.sha256(), 0
-                digest.update((b"\n" if n else b"") + line.encode())
-                n += 1
+                        yield pa.RecordBatch.from_pylist([{"lane": lane, "checksum": f"sha256:{digest.hexdigest()}", "lines": n}], schema=sums)
+                    lane, digest, n = key.as_py(), hashlib.sha256(), 0
+                digest.update((b"\n" if n else b"") + zlib.decompress(piece.as_py()))
+                n += count.as_py()
         if digest is not None:
-            yield pa.RecordBatch.from_pylist([{"lane": lane, "checksum": f"sha256:{digest.hexdigest()}", "lines": n}])
+            yield pa.RecordBatch.from_pylist([{"lane": lane, "checksum": f"sha256:{digest.hexdigest()}", "lines": n}], schema=sums)
 
-    return lines.repartition("lane").sortWithinPartitions("lane", order).select("lane", "line").mapInArrow(run, "lane string, checksum string, lines long")
+    pieces = pa.schema([("lane", pa.string()), ("at", pa.int64()), ("n", pa.int64()), ("piece", pa.binary())])
+    sums = pa.schema([("lane", pa.string()), ("checksum", pa.string()), ("lines", pa.int64())])
+    ranges = lines.select("lane", order, "line").repartitionByRange(parts(lines), "lane", order).sortWithinPartitions("lane", order)
+    packed = ranges.select("lane", "line").mapInArrow(pack, "lane string, at long, n long, piece binary").withColumn("range", F.spark_partition_id())
+    return packed.repartition("lane").sortWithinPartitions("lane", "range", "at").select("lane", "n", "piece").mapInArrow(run, "lane string, checksum string, lines long")
 
 
 def parsed_bundle(lines: DataFrame, schema: str) -> DataFrame:

@@ -37,6 +37,15 @@ def test_calibration_numbers_only_cells_that_an_edge_cuts(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_bundles_are_hashed_from_pieces_of_sorted_ranges(spark, monkeypatch):
+    monkeypatch.setattr(publish, "PIECE", 100)
+    rows = [(lane, i, f'{{"object_id":{i},"x":"é{i % 7}"}}') for lane in ("a", "b") for i in random.Random(1).sample(range(400), 400)]
+    df = publish.bundle_checksum(spark.createDataFrame(rows, "lane string, object_id int, line string").repartition(5), "object_id")
+    assert "rangepartitioning(lane" in plan_of(df)
+    want = [(lane, "sha256:" + hashlib.sha256("\n".join(x for _, _, x in sorted(r for r in rows if r[0] == lane)).encode()).hexdigest(), 400) for lane in ("a", "b")]
+    assert sorted(map(tuple, df.collect())) == want
+
+
 def test_run_selection_is_dealt_once(spark):
     plan = plan_of(registry.QUERIES["run_selection"](spark, SF))
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
