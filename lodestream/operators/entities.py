@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import event_grammar as E, posts as P, text as T
+from ..sources.scratch import parts
 
 # Fixed values
 FUZZY, EXACT_NAME, SHORTEST = 85, 0.95, 4
@@ -185,7 +186,7 @@ def pattern_events(docs: DataFrame, universe: set[str], names: dict[str, str], t
     gives ``most`` events at most (the feature's own limit).  Tickers are those found close by and, of the
     document's own (column tickers), those that the event's text has.  Confidence: 0.7, and 0.1 for each of
     actor, ticker and quantity.  A time without a year belongs to ``year``.  Texts without any
-    trigger are left out before Python sees them; a null text has no events.
+    trigger are left out before Python sees them, the others are dealt to all tasks by id; a null text has no events.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.filter(F.col(text).rlike(E.any_trigger(rules))).select(F.col(id_col), F.col(text).alias("_text"), (F.col(tickers) if tickers else F.array().cast("array<string>")).alias("_own"), (F.lit(None) if year is None else year).cast("int").alias("_year"))
@@ -213,5 +214,6 @@ def pattern_events(docs: DataFrame, universe: set[str], names: dict[str, str], t
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(EVENT)
             yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(id_col).type if n == "id" else t) for c, (n, t) in zip(columns, EVENT, strict=True)], names=[id_col if n == "id" else n for n, _ in EVENT])
 
-    found = base.mapInArrow(run, schema)
+    # small files hold much work: it is dealt out whatever their number
+    found = base.repartition(parts(docs), id_col).mapInArrow(run, schema)
     return found.withColumn("time_ref", T.period_of(F.col("time_ref"), F.col("_year"))).drop("_year")

@@ -55,3 +55,15 @@ def test_parts_grow_with_the_files(spark, monkeypatch):
     monkeypatch.setattr(scratch, "PART_BYTES", 4096)
     assert scratch.parts(spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").filter("l_orderkey > 5")) >= 25
     assert scratch.parts(spark.range(3)) == 4
+
+
+def test_events_are_dealt_out_and_rules_without_their_words_left_out(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Acme Corp raised prices by 5% in Q1 2026.")], "doc_id long, text string").coalesce(1)
+    assert "REPARTITION_BY_NUM" in plan_of(entities.pattern_events(docs, set(), {}))
+    tried, triggers = [], E.triggers
+    monkeypatch.setattr(E, "triggers", lambda rule: tried.append(rule) or triggers(rule))
+    assert [e.kind for e in E.events("Acme Corp raised prices by 5%. Nothing else.")] == ["price_change"]
+    assert tried and all({"raised"} & E.heads(r) for r in tried)
+    plain = [e for r in E.RULES for e in E.events("Aſh ſlips; Lead times have ſtretched, and Acme RAMPS UP output", (r,))]
+    monkeypatch.setattr(E, "heads", lambda rule: frozenset(["lead", "acme", "nothing"]))
+    assert plain == [e for r in E.RULES for e in E.events("Aſh ſlips; Lead times have ſtretched, and Acme RAMPS UP output", (r,))]
