@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import payloads as P
+from ..sources.scratch import parts
 from .bind import table
 from .registry import query
 
@@ -98,6 +99,7 @@ def read_bulk_patents(spark, d):
 SELECT 'acc' || CAST(o_orderkey AS VARCHAR) AS accession, CASE k WHEN 0 THEN 'form4_non_derivative_transaction' ELSE 'form4_derivative_transaction' END AS event_type, CASE WHEN o_orderkey % 2 = 0 THEN 'c' || CAST(o_custkey AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS issuer_cik, CASE WHEN o_orderkey % 5 > 0 THEN 'own' END AS filer_cik, CASE k WHEN 0 THEN 'P' ELSE 'S' END AS code, '2024-01-02' AS transaction_date, (1000 + o_orderkey)::DOUBLE AS shares, CASE k WHEN 0 THEN NULL ELSE 10.5 END::DOUBLE AS price, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 > 0 THEN 'resolved' ELSE 'unresolved' END AS mapping_status FROM t""")
 def read_insider_transactions(spark, d):
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    o = o.repartition(parts(o), "o_orderkey")  # small files give much XML to parse
     deal = lambda code, price: F.concat(F.lit(f"<securityTitle><value>Common</value></securityTitle><transactionDate><value>2024-01-02</value></transactionDate><transactionCoding><transactionCode>{code}</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>"), F.format_number(1000 + k, 0), F.lit(f"</value></transactionShares><transactionPricePerShare><value>{price}</value></transactionPricePerShare></transactionAmounts>"))
     xml = F.concat(
         F.lit("<ownershipDocument><issuer>"), F.when(k % 2 == 0, F.concat(F.lit("<issuerCik>c"), F.col("o_custkey").cast("string"), F.lit("</issuerCik>"))).otherwise("<issuerName>n</issuerName>"), F.lit("</issuer><reportingOwner><reportingOwnerId>"), F.when(k % 5 > 0, "<rptOwnerCik>own</rptOwnerCik>").otherwise("<rptOwnerName>x</rptOwnerName>"), F.lit("</reportingOwnerId></reportingOwner>"),

@@ -106,8 +106,9 @@ def insider_transactions(filings: DataFrame, xml: str = "content") -> tuple[Data
     kind = "array<" + FORM4.split("nonDerivativeTransaction:array<", 1)[1].split(">>, derivativeTable", 1)[0] + ">"
     lists = [F.coalesce(F.col(c), F.expr(f"cast(array() as {kind})")) for c in ("_x.nonDerivativeTable.nonDerivativeTransaction", "_x.derivativeTable.derivativeTransaction")]
     none = (F.size(lists[0]) == 0) & (F.size(lists[1]) == 0)
-    parts = [rows.filter(~none).select("*", F.posexplode(t).alias("n", "t"), F.lit(k).alias("table")) for k, t in zip(("non_derivative", "derivative"), lists, strict=True)]
-    t = parts[0].unionByName(parts[1])
+    of = lambda x, name: F.transform(x, lambda t, n: F.struct(n.alias("n"), t.alias("t"), F.lit(name).alias("table")))
+    # one reading of both tables; outer, as Spark would derive a filter from the other form and parse every filing once more for it
+    t = rows.select("*", F.explode_outer(F.concat(of(lists[0], "non_derivative"), of(lists[1], "derivative"))).alias("_t")).select("*", "_t.*").filter("`table` is not null")
     text = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     cik, symbol, owner = text("_x.issuer.issuerCik"), text("_x.issuer.issuerTradingSymbol"), text("_x.reportingOwner.reportingOwnerId.rptOwnerCik")
     return t.select(

@@ -67,3 +67,8 @@ def test_events_are_dealt_out_and_rules_without_their_words_left_out(spark, monk
     plain = [e for r in E.RULES for e in E.events("Aſh ſlips; Lead times have ſtretched, and Acme RAMPS UP output", (r,))]
     monkeypatch.setattr(E, "heads", lambda rule: frozenset(["lead", "acme", "nothing"]))
     assert plain == [e for r in E.RULES for e in E.events("Aſh ſlips; Lead times have ſtretched, and Acme RAMPS UP output", (r,))]
+
+
+def test_filings_are_parsed_once(spark):
+    plan = plan_of(registry.QUERIES["read_insider_transactions"](spark, SF).withColumn("one", F.lit(1)))
+    assert plan.count("from_xml") + plan.count("xmltostructs") == 1, plan[:3000]
