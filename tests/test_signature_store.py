@@ -108,3 +108,19 @@ def test_old_documents_are_looked_up_no_more(spark, tmp_path):
     assert S.expire(spark, store, BEGIN + dt.timedelta(days=5)) == [0] and store.read(spark, "kept", 9).select("epoch").distinct().count() == 1
     assert S.expire(spark, S.SignatureStore(f"file://{tmp_path}/none"), BEGIN) == []
     assert S.add_batch(spark, store, frame.limit(0), 2, "at").count() == 0
+
+
+def test_similar_signatures_share_a_part_and_others_hardly_meet(spark):
+    """Parts are as many as leave one equal at the threshold; what shares a band of four places only doesn't meet."""
+    assert (S.parts_of(0.85), S.parts_of(0.8), S.parts_of(0.5), S.parts_of(1.0), S.parts_of(1.1)) == (20, 26, BANDS, 1, 1)
+    rng = np.random.default_rng(4)
+    base = np.arange(PERMUTATIONS)
+    rows = [(0, base.tolist())]
+    for k in range(1, 40):  # as unlike as the threshold allows: a place in each of nineteen parts, as it happens
+        x = base.copy()
+        x[rng.choice(PERMUTATIONS, 19, replace=False)] = -k
+        rows.append((k, x.tolist()))
+    for k in range(40, 60):  # one band of the base, else nothing
+        rows.append((k, [v if 4 <= i < 8 else -k * 1000 - i for i, v in enumerate(base.tolist())]))
+    parts = {r["n"]: set(r["p"]) for r in spark.createDataFrame(rows, "n long, signature array<long>").select("n", S.bands_of(parts=S.parts_of(S.THRESHOLD)).alias("p")).collect()}
+    assert all(parts[0] & parts[k] for k in range(1, 40)) and not any(parts[0] & parts[k] for k in range(40, 60))
