@@ -7,7 +7,10 @@ such pair at once, and the result is that of the sequential order.
 
 New themes are the density clusters of documents outside all themes, unless a cluster's mean is as similar to a
 standing theme as ``NEW``; standing themes are left as they are.  Keywords are words and pairs of words by
-summed, length-normalised TF-IDF in the cluster.
+summed, length-normalised TF-IDF in the cluster.  All of them are counted by 64-bit hashes, and spelled and counted
+anew only where a hash is among the most frequent of its cluster, all that tie with the last of these included.  Two
+terms below these that share a hash and together come among them, which would cost the last one its place, are not to be
+expected in 64 bits.
 
 Null ids and vectors don't cluster; null texts have no keywords, and a cluster without any is named by the
 word unknown.  Repeated ids count each.  Empty inputs give no rows.
@@ -15,6 +18,11 @@ word unknown.  Repeated ids count each.  Empty inputs give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import vectors as V
@@ -25,6 +33,10 @@ from .vectors import assigned, centroids
 
 # Fixed values
 NEW, TOP_WORDS, FEATURES, LEAST = 0.30, 10, 1000, 10
+#: Hashes that tasks are sent to tell frequent terms by; of more, every term is spelled.
+MOST_SENT = 200_000
+#: Words of a slice.
+TOKENS = 1_000_000
 
 
 def greedy_merges(pairs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -80,25 +92,76 @@ def merged_themes(themes: DataFrame, words: DataFrame, merges: DataFrame, key: s
     return centre.join(sums, "survivor").join(listed, "survivor", "left").withColumnRenamed("survivor", key)
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(rows, the row, first word and code of each term, how many of the terms are words) of slices of rows with hashed words h and a hashed key; pairs come after the words."""
+    a, b, c = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
+    for batch in batches:
+        lists = batch.column("h")
+        off, start = lists.offsets.to_numpy().astype(np.int64), 0
+        keys = batch.column("hashed_key").to_numpy().view(np.uint64)
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(off, off[start] + TOKENS, side="right")) - 1)
+            h = lists.values.slice(off[start], off[end] - off[start]).to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(end - start), np.diff(off[start : end + 1]))
+            pair = np.flatnonzero(row[1:] == row[:-1])
+            mixed = h[pair] * a + h[pair + 1] * b
+            at = np.concatenate([np.arange(len(h)), pair])
+            code = np.concatenate([h, mixed ^ (mixed >> np.uint64(29))]) ^ keys[start:end][row[at]]
+            code *= c
+            yield batch.slice(start, end - start), row[at], at, code ^ (code >> np.uint64(32)), len(h)
+            start = end
+
+
 def tfidf_keywords(docs: DataFrame, key: str, id_col: str, text: str = "text", top: int = TOP_WORDS, features: int = FEATURES, stop: frozenset[str] = STOP) -> DataFrame:
     """key, word, score, rank: the ``top`` words and pairs of words of each group by the sum of its documents' normalised TF-IDF."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
     kept = F.filter(found, lambda w: ~w.isin(*sorted(stop))) if stop else found
-    rows = docs.filter(F.col(key).isNotNull()).select(key, F.monotonically_increasing_id().alias("_doc"), kept.alias("w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
-    terms = F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))
-    long = rows.select(key, "_doc", F.explode(terms).alias("word"))
-    totals = long.groupBy(key, "word").agg(F.count("*").alias("total"))
-    at = F.row_number().over(W.partitionBy(key).orderBy(F.desc("total"), "word"))
-    able = table(totals.withColumn("_at", at).filter(F.col("_at") <= features).select(key, "word"))
-    # of the others nothing is written: the second reading keeps the features' terms only
-    tf = table(long.join(able, [key, "word"]).groupBy(key, "_doc", "word").agg(F.count("*").alias("tf")))
-    n = rows.groupBy(key).agg(F.count("*").alias("n"))
-    idf = tf.groupBy(key, "word").agg(F.count("*").alias("df")).join(n, key).select(key, "word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = tf.join(idf, [key, "word"]).select(key, "_doc", "word", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighed.groupBy(key, "_doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    score = weighed.join(norms, [key, "_doc"]).groupBy(key, "word").agg(F.round(F.sum(F.col("w") / F.col("norm")), 9).alias("score"))
-    return score.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "word"))).filter(F.col("rank") <= top)
+    kind = docs.schema[key].dataType.simpleString()
+    given = docs.filter(F.col(key).isNotNull())
+    # a variable of a lambda, so that the words are cut once for themselves and their hashes
+    both = F.transform(F.array(F.coalesce(kept, F.array().cast("array<string>"))), lambda w: F.struct(w.alias("w"), F.transform(w, lambda x: F.xxhash64(x)).alias("h")))[0]
+    rows = given.select(F.col(key).alias("key"), F.xxhash64(key).alias("hashed_key"), both.alias("both"))
+
+    def counted(batches):
+        for part, row, _, code, _ in _coded(batches):
+            order = np.argsort(code)
+            code = code[order]
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else order
+            yield pa.RecordBatch.from_arrays([part.column("hashed_key").take(pa.array(row[order[first]])), pa.array(code[first].view(np.int64)), pa.array(np.diff(np.append(first, len(code))))], names=["hashed_key", "code", "n"])
+
+    totals = rows.select("hashed_key", "both.h").mapInArrow(counted, "hashed_key long, code long, n long").groupBy("hashed_key", "code").agg(F.sum("n").alias("total"))
+    frequent = table(totals.withColumn("_at", F.rank().over(W.partitionBy("hashed_key").orderBy(F.desc("total")))).filter(F.col("_at") <= features).select("code"))
+    few = frequent.limit(MOST_SENT + 1).count() <= MOST_SENT
+    sent = docs.sparkSession.sparkContext.broadcast(np.unique(np.array([r[0] for r in frequent.collect()], np.int64).view(np.uint64)) if few else None)  # MOST_SENT numbers
+
+    def spelled(batches):
+        able = sent.value
+        for part, row, at, code, singles in _coded(batches):
+            if able is None:
+                taken = np.arange(len(at))
+            elif len(able):
+                taken = np.flatnonzero(able[np.minimum(np.searchsorted(able, code), len(able) - 1)] == code)
+            else:
+                taken = np.zeros(0, np.int64)
+            words, one = part.column("w").flatten(), at[taken[taken < singles]]
+            two = at[taken[taken >= singles]]
+            terms = pa.concat_arrays([words.take(pa.array(one)), pc.binary_join_element_wise(words.take(pa.array(two)), words.take(pa.array(two + 1)), " ")]).dictionary_encode()
+            size = max(1, len(terms.dictionary))
+            kinds, tf = np.unique(row[taken] * size + terms.indices.to_numpy(), return_counts=True)
+            of = pa.array(kinds // size)
+            yield pa.RecordBatch.from_arrays([part.column("key").take(of), part.column("doc").take(of), terms.dictionary.take(pa.array(kinds % size)), pa.array(tf.astype(np.int64))], names=["key", "doc", "word", "tf"])
+
+    # a document's terms come from one slice, so nothing is counted across rows
+    tf = table(rows.select("key", "hashed_key", F.monotonically_increasing_id().alias("doc"), "both.w", "both.h").mapInArrow(spelled, f"key {kind}, doc long, word string, tf long"))
+    n = given.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    terms = tf.groupBy("key", "word").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    able = terms.withColumn("_at", F.row_number().over(W.partitionBy("key").orderBy(F.desc("total"), "word"))).filter(F.col("_at") <= features)
+    idf = table(able.join(n, "key").select("key", "word", F.monotonically_increasing_id().alias("term"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    weighed = tf.join(idf, ["key", "word"]).select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc")))  # features of one document
+    score = weighed.withColumn("norm", norm).groupBy("term").agg(F.round(F.sum(F.col("w") / F.col("norm")), 9).alias("score")).join(idf, "term").select("key", "word", "score")
+    ranked = score.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "word"))).filter(F.col("rank") <= top)
+    return ranked.withColumnRenamed("key", key)
 
 
 def theme_name(words: Column) -> Column:

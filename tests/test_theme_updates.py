@@ -70,6 +70,22 @@ def test_tfidf_against_brute_force(spark):
     assert got == {c: tfidf_by_brute_force(texts[c::2], 6) for c in (0, 1)}
 
 
+def test_terms_are_counted_in_slices_and_spelled_without_a_list_too(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["Chip", "fab", "the", "wafer", "naïve", "価格"]) for _ in range(rng.randrange(0, 30))) for _ in range(20)] + [None, ""]
+    docs = spark.createDataFrame([(k, k % 2, t) for k, t in enumerate(texts)], "doc_id long, c int, text string").coalesce(1)
+    monkeypatch.setattr(theme_updates, "TOKENS", 7)
+    for most in (0, 200):
+        monkeypatch.setattr(theme_updates, "MOST_SENT", most)
+        got = collections.defaultdict(list)
+        for r in theme_updates.tfidf_keywords(docs, "c", "doc_id", top=8).orderBy("rank").collect():
+            got[r["c"]].append(r["word"])
+        assert got == {c: tfidf_by_brute_force(texts[c::2], 8) for c in (0, 1)}
+    # of two features the more frequent count, ties by the word
+    least = theme_updates.tfidf_keywords(spark.createDataFrame([(1, 1, "bb zz bb aa"), (2, 1, "zz")], "doc_id long, c int, text string"), "c", "doc_id", features=2)
+    assert {r["word"] for r in least.collect()} == {"bb", "zz"} and theme_updates.tfidf_keywords(docs.limit(0), "c", "doc_id").count() == 0
+
+
 def test_second_batch_leaves_standing_themes_alone(spark):
     rng = np.random.default_rng(12)
     centre = np.linalg.qr(rng.normal(size=(12, 12)))[0]
