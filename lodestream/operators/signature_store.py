@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import text as T
 from ..sources.scratch import discard, table
-from .vectors import BANDS, PERMUTATIONS, minhashed
+from .vectors import PERMUTATIONS, bands_of, minhashed, parts_of
 
 # Fixed values
 SHINGLE, SHORT, THRESHOLD = 3, 6, 0.85
@@ -76,18 +76,6 @@ def shingles(text: Column) -> Column:
     return F.transform(F.array(F.transform(words, lambda x: F.xxhash64(x))), hashes)[0]
 
 
-def parts_of(threshold: float) -> int:
-    """How many parts of a signature leave one equal where two are as similar as threshold; no more than there are bands."""
-    differing = [k for k in range(PERMUTATIONS) if (PERMUTATIONS - k) / PERMUTATIONS >= threshold]
-    return min(BANDS, len(differing) + (not differing))
-
-
-def bands_of(signature: str = "signature", parts: int = BANDS) -> Column:
-    """Hashes of so many parts of a signature."""
-    edge = [b * PERMUTATIONS // parts for b in range(parts + 1)]
-    return F.array(*[F.xxhash64(F.lit(b), F.slice(signature, edge[b] + 1, edge[b + 1] - edge[b])) for b in range(parts)])
-
-
 def alike(a: str, b: str) -> Column:
     """Share of equal places of two signatures."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(PERMUTATIONS))

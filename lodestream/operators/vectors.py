@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T, vectors as V
+from ..functions.word_hashes import run_hashes
 from ..sources.scratch import table
 from .graph import components
 
@@ -23,6 +24,8 @@ SIMILAR, BLOCK = 0.8, 256
 MOST_CENTROIDS, MOST_QUERIES = 20_000, 1_000
 #: Rows that meet a block of queries at once.
 PIECE = 2_048
+#: Bytes of text whose runs of words are hashed at once, and hashes that are permuted at once (they stay in the cache).
+TEXT_BYTES, HASHES = 1 << 20, 8_192
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -210,38 +213,79 @@ def chunks(docs: DataFrame, size: int, overlap: int, text: str = "text", id_col:
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, permutations: int = PERMUTATIONS, seed: int = 7) -> DataFrame:
     """id and MinHash signature over word shingles (all words where there are fewer); no words give no row."""
-    shingle = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (words - 1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
-    hashed = docs.select(id_col, T.words(F.col(text)).alias("w")).filter("size(w) > 0").select(id_col, F.array_distinct(shingle).alias("h"))
-    return minhashed(hashed, id_col, permutations, seed)
+    a, b = _permutations(permutations, seed)
+
+    def sign(batches):
+        for batch in batches:
+            texts = batch.column("t").cast(pa.large_string())
+            off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            start = 0
+            while start < len(texts):
+                end = max(start + 1, int(np.searchsorted(off, off[start] + TEXT_BYTES, side="right")) - 1)
+                values, bounds = run_hashes(texts.slice(start, end - start), words)
+                has = np.flatnonzero(np.diff(bounds))
+                yield _signed(batch.column(id_col).slice(start, end - start).take(pa.array(has)), id_col, _least(values, np.append(bounds[has], bounds[-1]), a, b))
+                start = end
+
+    rows = docs.filter(F.col(text).isNotNull()).select(id_col, F.lower(text).alias("t"))
+    return rows.mapInArrow(sign, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, signature array<long>")
+
+
+def _permutations(permutations: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(1, 1 << 62, permutations, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, permutations, dtype=np.uint64)
+
+
+def _least(values: np.ndarray, off: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A row for each set values[off[r] : off[r + 1]]: its least number in every permutation, -1 throughout for an empty set."""
+    out = np.full((len(off) - 1, len(a)), -1, np.int64)
+    full = np.flatnonzero(np.diff(off))
+    start, at = off[full], 0
+    while at < len(full):
+        to = max(at + 1, int(np.searchsorted(start, start[at] + HASHES)))
+        v = values[start[at] : off[full[to - 1] + 1]]
+        x, least = np.empty_like(v), np.empty((len(a), to - at), np.uint64)
+        for k in range(len(a)):  # one permutation of many sets at once
+            np.multiply(v, a[k], out=x)
+            x += b[k]
+            np.minimum.reduceat(x, start[at:to] - start[at], out=least[k])
+        out[full[at:to]] = (least.T >> np.uint64(1)).view(np.int64)
+        at = to
+    return out
+
+
+def _signed(ids: pa.Array, id_col: str, rows: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+    return pa.RecordBatch.from_arrays([ids, lists], names=[id_col, "signature"])
 
 
 def minhashed(hashed: DataFrame, id_col: str, permutations: int = PERMUTATIONS, seed: int = 7) -> DataFrame:
     """id and MinHash signature of sets of hashes (id, h)."""
-    rng = np.random.default_rng(seed)
-    a, b = rng.integers(1, 1 << 62, permutations, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, permutations, dtype=np.uint64)
+    a, b = _permutations(permutations, seed)
 
     def sign(batches):
         for batch in batches:
             column = batch.column("h")
-            values, off = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
-            off = off - off[0]
-            out = np.empty((batch.num_rows, permutations), np.int64)
-            for r in range(batch.num_rows):  # all permutations of one document at once, in pieces of its shingles
-                least = np.full(permutations, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(off[r], off[r + 1], 512):  # half a megabyte, which stays in the cache
-                    v = values[at : min(at + 512, off[r + 1])]
-                    x = v[:, None] * a
-                    x += b
-                    least = np.minimum(least, x.min(axis=0) >> np.uint64(1))
-                out[r] = least.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(list(out), pa.list_(pa.int64()))], names=[id_col, "signature"])
+            off = column.offsets.to_numpy().astype(np.int64)
+            yield _signed(batch.column(id_col), id_col, _least(column.flatten().to_numpy().view(np.uint64), off - off[0], a, b))
 
     return hashed.mapInArrow(sign, f"{id_col} {hashed.schema[id_col].dataType.simpleString()}, signature array<long>")
 
 
-def _linked(signed: list[tuple], threshold: float):
-    """Links (a, b) that span the components of signatures (id, signature) as similar as threshold."""
-    ids, m = [i for i, _ in signed], np.array([s for _, s in signed])
+def parts_of(threshold: float, bands: int = BANDS) -> int:
+    """How many parts of a signature leave one equal where two are as similar as threshold; no more than there are bands."""
+    differing = [k for k in range(PERMUTATIONS) if (PERMUTATIONS - k) / PERMUTATIONS >= threshold]
+    return min(bands, len(differing) + (not differing))
+
+
+def bands_of(signature: str = "signature", parts: int = BANDS) -> Column:
+    """Hashes of so many parts of a signature."""
+    edge = [b * PERMUTATIONS // parts for b in range(parts + 1)]
+    return F.array(*[F.xxhash64(F.lit(b), F.slice(signature, edge[b] + 1, edge[b + 1] - edge[b])) for b in range(parts)])
+
+
+def _linked(ids: list, m: np.ndarray, threshold: float) -> list[tuple]:
+    """Links (a, b) that span the components of ids with signatures m as similar as threshold."""
     left, out = np.ones(len(ids), bool), []
     for i in range(len(ids)):
         if left[i]:
@@ -257,14 +301,35 @@ def _linked(signed: list[tuple], threshold: float):
     return out
 
 
+def _groups(batches):
+    """Record batches of a group (g1, g2, g3) each, of batches in which the rows of a group follow one another."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        of = np.stack([rows.column(g).to_numpy() for g in ("g1", "g2", "g3")])
+        ends = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1
+        for at, to in zip(np.append(0, ends[:-1]), ends, strict=True) if len(ends) else ():
+            yield rows.slice(at, to - at)
+        held = rows.slice(ends[-1] if len(ends) else 0)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) among the rows (g1, g2, g3, node, signature) of each group (g1, g2, g3), which is of bounded size."""
+    """Links (a, b) among the rows (g1, g2, g3, node, signature) of each group (g1, g2, g3), which is of bounded size: a task takes its groups one after another."""
+
+    def run(batches):
+        for group in _groups(batches):
+            found = _linked(group.column("node").to_pylist(), matrix_of(group.column("signature")), threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return rows.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3").mapInArrow(run, "a long, b long")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = _linked(list(zip(frame["node"].tolist(), frame["signature"].tolist(), strict=True)), threshold)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("g1", "g2", "g3").applyInPandas(run, "a long, b long")
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Signatures, all of one length, as rows."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
 
 def minhash_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, threshold: float = SIMILAR, bands: int = BANDS) -> DataFrame:
@@ -272,16 +337,17 @@ def minhash_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Two documents are linked where they share a band and their estimated similarity is
     threshold or more; classes are what links connect.  Equal signatures are one node.
+    Bands are as few as leave one equal at the threshold (``parts_of``), and of bands
+    that hold the same nodes, told by their number, ends and two sums, one is verified.
     A band's nodes are verified in blocks of ``BLOCK``: all against the first block and their
     own, and then those that aren't in the band's largest component yet against all
     blocks.  No link is lost, and the work grows with what is undecided.
     """
     signed = table(signatures(docs, id_col, text, words).withColumn("hash", F.xxhash64("signature")))
     nodes = table(signed.groupBy("hash", "signature").agg(F.min(id_col).alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    rows = PERMUTATIONS // bands
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, rows)))
-    buckets = nodes.select("node", F.explode(band).alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    buckets = table(nodes.select("node", F.explode(bands_of(parts=parts_of(threshold, bands))).alias("bucket")))
+    held = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), *held).filter("n > 1").groupBy("n", "lo", "hi", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("nb"))
     members = table(buckets.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("nb")).cast("int")))
     signature = nodes.select("node", "signature")
     against = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("block"))
