@@ -39,6 +39,8 @@ from .vectors import matrix, unit
 NEIGHBOURS, SAMPLES, LEAST, LEVELS, PROBES = 15, 5, 10, 40, 8
 #: Vectors of a cell, and those that are compared with as many others at once.
 PER_CELL, BLOCK = 256, 1024
+#: Edges that a task holds at once (their five numbers are 20 MB): no more are left to one task, of more each task has a part.
+EDGES = 1 << 19
 WIDEST = 2.0
 #: More than the levels there may be; a component's code is its root times so many, plus its level's place.
 CODES = 1 << 10
@@ -93,19 +95,114 @@ def reachability(near: DataFrame, samples: int) -> DataFrame:
     return pairs.join(core.select(F.col("node").alias("a"), F.col("core").alias("ca")), "a").join(core.select(F.col("node").alias("b"), F.col("core").alias("cb")), "b").select("a", "b", F.greatest("d", "ca", "cb").alias("w"))
 
 
+def lightest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which edges (x, y), given from the lightest on, the least spanning forest has."""
+    names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    keep, live, every = np.zeros(len(x), bool), np.arange(len(x)), np.arange(len(names))
+    own = every
+    while True:
+        u, v = own[x[live]], own[y[live]]
+        live, u, v = live[u != v], u[u != v], v[u != v]
+        if not len(live):
+            return keep
+        best = np.full(len(names), len(x))
+        np.minimum.at(best, u, live)
+        np.minimum.at(best, v, live)
+        who = np.flatnonzero(best < len(x))
+        e = best[who]
+        keep[e] = True
+        to = every.copy()
+        to[who] = own[x[e]] + own[y[e]] - who
+        to = np.where((to[to] == every) & (every < to), every, to)  # two that take the same edge
+        own = _tops(to)[own]
+
+
+def _tops(to: np.ndarray) -> np.ndarray:
+    while (up := to[to]).tobytes() != to.tobytes():
+        to = up
+    return to
+
+
+def joined(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """node, root, at: whenever the least node that edges of that place or a lower one connect with a node becomes another."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    own, out = np.arange(len(names)), []
+    for place in np.unique(at):
+        x, y, before = a[at == place], b[at == place], own
+        while len(x):
+            u, v = own[x], own[y]
+            x, y, u, v = x[u != v], y[u != v], u[u != v], v[u != v]
+            to = np.arange(len(names))
+            np.minimum.at(to, np.maximum(u, v), np.minimum(u, v))
+            own = _tops(to)[own]
+        moved = np.flatnonzero(own != before)
+        out.append((names[moved], names[own[moved]], np.full(len(moved), place)))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*out, strict=True)) if out else (names, names, names)
+
+
+def _blocks(batches, most: int):
+    """Batches in tables of ``most`` rows."""
+    held, rows = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, most - rows)
+            held.append(part)
+            rows, batch = rows + part.num_rows, batch.slice(part.num_rows)
+            if rows == most:
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges (x, y, a, b, w) without those that aren't in the least spanning forest of the block of EDGES they are in, so in none of the whole."""
+    most = EDGES
+
+    def run(batches):
+        for t in _blocks(batches, most):
+            t = t.take(np.lexsort([t.column(c).to_numpy() for c in ("b", "a", "w")]))
+            yield from t.filter(pa.array(lightest(t.column("x").to_numpy(), t.column("y").to_numpy()))).to_batches()
+
+    return edges.mapInArrow(run, edges.schema)
+
+
+def joins_at(edges: DataFrame) -> DataFrame:
+    """``joined`` of EDGES edges (a, b, at) at most, by one task."""
+
+    def run(batches):
+        t = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if t is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(joined(*(t.column(c).to_numpy() for c in ("a", "b", "at"))), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["node", "root", "at"])
+
+    return edges.select("a", "b", "at").coalesce(1).mapInArrow(run, "node long, root long, at int")
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """``components`` of edges (a, b) that are a table: by one task if they are EDGES at most."""
+    if edges.count() > EDGES:
+        return components(edges)
+    return table(joins_at(edges.withColumn("at", F.lit(0))).select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The edges (a, b, w) of the least spanning forest; equal weights count by a and b."""
-    now = table(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("e")).filter("x <> y"))
-    out = edges.limit(0).select("a", "b", "w")
-    while now.limit(1).count():
-        both = now.union(now.select("y", "x", "e"))
-        least = table(both.groupBy("x").agg(F.min(F.struct("e", "y")).alias("s")).select("x", "s.y", "s.e"))
-        out = out.union(least.select("e.a", "e.b", "e.w").distinct())
-        part = components(least.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        moved = relabelled(now, part, "x", "y").filter("x <> y")
-        last, now = now, table(moved.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("e").alias("e")))
-        discard(last)
-    return table(out)
+    now = table(edges.filter("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), "a", "b", "w"))
+    out = []
+    while (left := now.count()) > EDGES:
+        ends = [now.select(F.col(x).alias("x"), F.struct("w", "a", "b", F.col(y).alias("y")).alias("e")) for x, y in ("xy", "yx")]
+        least = table(ends[0].union(ends[1]).groupBy("x").agg(F.min("e").alias("e")).select("x", "e.*"))
+        out.append(least.select("a", "b", "w").distinct())
+        part = linked(least.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        moved = relabelled(now, part, "x", "y").filter("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(F.struct("w", "a", "b")).alias("e"))
+        last, now = now, table(thinned(moved.select("x", "y", "e.a", "e.b", "e.w").repartition(-(-left // EDGES))))
+        discard(last, part)
+    found = thinned(now.coalesce(1)).select("a", "b", "w")
+    for part in out:
+        found = found.union(part)
+    return table(found)
 
 
 def relabelled(edges: DataFrame, part: DataFrame, *ends: str) -> DataFrame:
@@ -115,6 +212,24 @@ def relabelled(edges: DataFrame, part: DataFrame, *ends: str) -> DataFrame:
     return edges
 
 
+def root_changes(nodes: DataFrame, edges: DataFrame, counts: list[int]) -> DataFrame:
+    """node, root, at: the least node of each node's component, whenever it becomes another: itself from -1 on, others from the place at which they meet.
+
+    edges: a, b, at of a forest, counts[at] of each place.  Places are taken one after another, contracted, until no more than EDGES are left.
+    """
+    out = nodes.select("node", F.col("node").alias("root"), F.lit(-1).alias("at"))
+    own, now, left = nodes.select("node", F.col("node").alias("root")), edges, sum(counts)
+    for place, n in enumerate(counts):
+        if left <= EDGES:
+            break
+        if n:
+            part = linked(table(now.filter(F.col("at") == place).select("a", "b")))
+            out = out.union(own.join(part.select(F.col("a").alias("root"), F.col("b").alias("to")), "root").select("node", "to", F.lit(place)))
+            own, now, left = table(relabelled(own, part, "root").select("node", "root")), table(relabelled(now.filter(F.col("at") > place), part, "a", "b").select("a", "b", "at")), left - n
+    rest = table(joins_at(now)).select(F.col("node").alias("root"), F.col("root").alias("to"), "at")
+    return out.union(own.join(rest, "root").select("node", "to", "at"))
+
+
 def density(level: Column, levels: int) -> Column:
     return 1 / (F.greatest(level.cast("double"), F.lit(0.5)) * (WIDEST / levels))
 
@@ -124,19 +239,24 @@ def condensed(nodes: DataFrame, forest: DataFrame, least: int, levels: int) -> t
 
     at and born are places in the list of levels.  A cluster is named by its first component: root * CODES + place.
     """
-    edges = table(forest.select("a", "b", F.ceil(F.round(F.col("w") / (WIDEST / levels), 9)).cast("int").alias("level")))
-    found = sorted({0} | {r[0] for r in edges.select("level").distinct().collect()})  # levels + 1 at most
-    place = F.array_position(F.array(*[F.lit(x) for x in found]), F.col("level")) - 1
+    level = F.ceil(F.round(F.col("w") / (WIDEST / levels), 9)).cast("int")
+    edges = table(forest.select("a", "b", level.alias("level")))
+    counts = {0: 0} | dict(map(tuple, edges.groupBy("level").count().collect()))  # levels + 1 at most
+    found = sorted(counts)
+    at = (F.array_position(F.array(*[F.lit(x) for x in found]), F.col("level")) - 1).cast("int")
     code = lambda v, at: F.col(v) * CODES + F.col(at)
-    from_on = edges.select("a", "b", F.explode(F.sequence(place, F.lit(len(found) - 1))).alias("at"))
-    part = components(from_on.select(code("a", "at").alias("a"), code("b", "at").alias("b")))  # of every level at once
-    split = lambda c: [F.floor(F.col(c) / CODES).cast("long"), F.pmod(F.col(c), F.lit(CODES)).cast("int")]
-    met = part.union(part.select("b", "b").distinct())
-    met = met.select(split("a")[0].alias("node"), split("a")[1].alias("at"), split("b")[0].alias("root"))
-    alone = nodes.filter(F.col("n") >= least).select("node", F.explode(F.array(*[F.lit(k) for k in range(len(found))])).alias("at")).join(met, ["node", "at"], "left_anti").withColumn("root", F.col("node"))
-    placed = table(met.unionByName(alone))
-    sizes = placed.join(nodes.select("node", "n"), "node").groupBy("at", "root").agg(F.sum("n").alias("size")).filter(F.col("size") >= least)
-    up = placed.filter("at > 0").select(F.col("node").alias("root"), (F.col("at") - 1).alias("at"), F.col("root").alias("above"))
+    changes = table(root_changes(nodes, edges.select("a", "b", at.alias("at")), [counts[x] for x in found]).join(nodes.select("node", "n"), "node"))
+    until = F.lead("at", 1, len(found)).over(W.partitionBy("node").orderBy("at")) - 1
+    spans = table(changes.withColumn("until", until))  # a root is its own from -1 on, until it lies in another
+    ends = spans.filter("node = root").select("root", F.col("until").alias("end"))
+    gains = spans.groupBy("root", "at").agg(F.sum("n").alias("n"))
+    by_root = W.partitionBy("root").orderBy("at")
+    grown = gains.select("root", "at", F.sum("n").over(by_root).alias("size"), F.lead("at").over(by_root).alias("next")).filter(F.col("size") >= least)
+    stretches = grown.join(ends, "root").select("root", "size", F.greatest("at", F.lit(0)).alias("from"), F.coalesce(F.col("next") - 1, "end").alias("to")).filter(F.col("from") <= F.col("to"))
+    sizes = table(stretches.select("root", "size", F.explode(F.sequence("from", "to")).alias("at")))
+    above = spans.filter("until >= 0").join(sizes.select(F.col("root").alias("node")).distinct(), "node")
+    above = above.select("node", "root", F.explode(F.sequence(F.greatest("at", F.lit(0)), "until")).alias("at"))
+    up = above.filter("at > 0").select(F.col("node").alias("root"), (F.col("at") - 1).alias("at"), F.col("root").alias("above"))
     big = table(sizes.join(up, ["root", "at"], "left"))
     kids = big.filter("above is not null").groupBy(F.col("above").alias("root"), (F.col("at") + 1).alias("at")).agg(F.count("*").alias("kids"), F.max("root").alias("kid"))
     big = table(big.join(kids, ["root", "at"], "left").withColumn("code", code("root", "at")))
@@ -145,8 +265,9 @@ def condensed(nodes: DataFrame, forest: DataFrame, least: int, levels: int) -> t
     for _ in range(len(found).bit_length()):  # what goes on is named like what it began with
         last, names = names, table(names.join(names.select(F.col("code").alias("cluster"), F.col("cluster").alias("_to")), "cluster").select("code", F.col("_to").alias("cluster")))
         discard(last)
-    first = placed.join(big.select("at", "root", "code"), ["at", "root"]).groupBy("node").agg(F.min(F.struct("at", "code")).alias("s")).select("node", "s.at", "s.code")
-    joins = first.join(names, "code").join(nodes.select("node", "n"), "node").select("node", "n", "at", "cluster")
+    large = sizes.groupBy("root").agg(F.min("at").alias("from"))  # a root only grows
+    first = spans.join(large, "root").withColumn("at", F.greatest("at", "from")).filter("at <= until").groupBy("node", "n").agg(F.min(F.struct("at", "root")).alias("s"))
+    joins = first.select("node", "n", "s.at", code("s.root", "s.at").alias("code")).join(names, "code").select("node", "n", "at", "cluster")
     parents = big.filter("kids > 1").select(F.col("code").alias("up"))
     splits = big.withColumn("up", F.col("above") * CODES + F.col("at") + 1).join(parents, "up").join(names, "code").join(names.select(F.col("code").alias("up"), F.col("cluster").alias("parent")), "up")
     return found, table(joins), table(splits.select("cluster", "parent", (F.col("at") + 1).alias("born"), "size"))

@@ -203,3 +203,48 @@ def test_recall_on_the_table(spark):
     exact = {(r["query"], r["vec_id"]) for r in vector_index.search(spark, index, queries, 10, -1.0).collect()}
     near = {(r["query"], r["vec_id"]) for r in vector_index.search(spark, index, queries, 10, -1.0, probes=6).collect()}
     assert len(near & exact) >= 0.9 * len(exact)
+
+
+def jobs_of(spark, run):
+    """What run returns, and how many Spark jobs it started."""
+    name = f"jobs-{id(run)}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_forest_takes_few_jobs(spark):
+    """Rounds of joins took some ninety jobs for these edges, most of which found next to nothing left."""
+    edges = [(i, j, float((i * 31 + j * 17) % 101)) for i in range(400) for j in range(i + 1, min(400, i + 4))]
+    rows, jobs = jobs_of(spark, lambda: density.spanning_forest(spark.createDataFrame(edges, "a long, b long, w double")).count())
+    assert rows == 399 and jobs <= 12
+
+
+@pytest.mark.parametrize("most", [200])
+def test_graphs_of_more_edges_than_a_task_holds(spark, monkeypatch, most):
+    v = blobs(np.random.default_rng(11), 260, 5, spread=0.05)
+    monkeypatch.setattr(density, "EDGES", most)
+    got = groups(density.density_clusters(frame(spark, v), k=8, samples=3, least=6, levels=24, probes=99, cells=3))
+    assert got == clusters_by_brute_force(v, 8, 3, 6, 24)
+
+
+def test_roots_of_blocks_against_components():
+    rng = np.random.default_rng(12)
+    for n, m in ((1, 0), (2, 1), (40, 30), (60, 200), (300, 310)):
+        x, y = rng.integers(0, n, m) * 7 - 50, rng.integers(0, n, m) * 7 - 50
+        at, own = rng.integers(0, 6, m), {}
+        got = sorted(zip(*(c.tolist() for c in density.joined(x, y, at)), strict=True), key=lambda r: r[2])
+        keep, top = density.lightest(x, y), {k: k for k in {*x.tolist(), *y.tolist()}}
+        for i in range(m):  # the edges in their order: Kruskal
+            assert keep[i] == (top[x[i]] != top[y[i]])
+            old, new = max(top[x[i]], top[y[i]]), min(top[x[i]], top[y[i]])
+            top = {k: new if t == old else t for k, t in top.items()}
+        for place in range(6):
+            whole = {k: k for k in top}
+            for i in np.flatnonzero(at <= place):
+                old, new = max(whole[x[i]], whole[y[i]]), min(whole[x[i]], whole[y[i]])
+                whole = {k: new if t == old else t for k, t in whole.items()}
+            own |= {node: root for node, root, p in got if p == place}
+            assert whole == {k: own.get(k, k) for k in whole}
