@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sources.scratch import discard, table
 from .graph import components
-from .vector_index import celled, fit, usable
+from .vector_index import celled, first, fit, usable
 from .vectors import matrix, unit
 
 #: Usual values: neighbours in the graph, those of a core distance, vectors of a cluster.
@@ -74,7 +74,7 @@ def neighbours(nodes: DataFrame, k: int, probes: int, cells: int | None = None)
         if len(who) and len(here):
             d = np.round(np.sqrt(np.maximum(0.0, 2 - 2 * (v[who] @ v[here].T))), 9)
             d[node[who][:, None] == node[here]] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            near = first(d, k)
             row = np.repeat(np.arange(len(who)), near.shape[1])
             found = np.isfinite(d[row, near.ravel()])
             row, col = row[found], near.ravel()[found]

@@ -55,6 +55,17 @@ def fit(rows: DataFrame, id_col: str, vector: str, cells: int | None = None, per
     return c
 
 
+def first(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least of each row, in order; of equal ones the first column is less."""
+    if k >= d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")
+    near = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+    near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, axis=1), axis=1, kind="stable"), axis=1)
+    tied = (d <= np.take_along_axis(d, near[:, -1:], axis=1)).sum(axis=1) > k
+    near[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+    return near
+
+
 def celled(rows: DataFrame, centroids: np.ndarray, id_col: str, vector: str, probes: int = 1) -> DataFrame:
     """id, vector, cell (the nearest), angle to its centroid and, for more probes, cells: the nearest ones in order."""
     sent = rows.sparkSession.sparkContext.broadcast(centroids)
@@ -68,7 +79,7 @@ def celled(rows: DataFrame, centroids: np.ndarray, id_col: str, vector: str, pro
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 s = unit(matrix(part.column(vector))) @ c.T
-                near = np.argsort(-s, axis=1, kind="stable")[:, :k].astype(np.int32) if many else s.argmax(axis=1)[:, None].astype(np.int32)
+                near = first(-s, k).astype(np.int32) if many else s.argmax(axis=1)[:, None].astype(np.int32)
                 angle = np.arccos(np.clip(s[np.arange(len(s)), near[:, 0]], -1, 1))
                 columns = [part.column(id_col), part.column(vector).cast(pa.list_(pa.float32())), pa.array(near[:, 0]), pa.array(angle)]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(list(near), pa.list_(pa.int32()))] if many else [])], names=[id_col, vector, "cell", "angle", *(["cells"] if many else [])])

@@ -248,3 +248,10 @@ def test_roots_of_blocks_against_components():
                 whole = {k: new if t == old else t for k, t in whole.items()}
             own |= {node: root for node, root, p in got if p == place}
             assert whole == {k: own.get(k, k) for k in whole}
+
+
+def test_first_columns_as_a_whole_sort_has_them():
+    rng = np.random.default_rng(13)
+    for d in (rng.normal(size=(40, 30)), rng.integers(0, 4, (40, 30)).astype(float), np.where(rng.random((40, 30)) < 0.7, np.inf, rng.random((40, 30))), np.zeros((0, 5))):
+        for k in (1, 4, 29, 40):
+            assert (vector_index.first(d, k) == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
