@@ -8,7 +8,8 @@ cells a query, which is faster and approximate.
 
 Vectors are compared by cosine.  Rows whose vector is null, empty, all zeros, or has null or
 non-finite components are not indexed and queries of that kind find nothing; vectors of other dimensions than the first
-centroid's are errors of the caller.  Repeated ids are rows of their own.  An empty table gives an index
+centroid's are errors of the caller.  Repeated ids are rows of their own; without an id a row isn't found and a query finds nothing,
+as nobody can tell whether it is the other.  An empty table gives an index
 without cells.
 """
 
@@ -188,7 +189,7 @@ def _best(sent, index: VectorIndex, limit: int, threshold: float, types: list[pa
                 at, who = np.flatnonzero(cell == c), readers[int(c)]
                 s = np.round(q[who] @ v[at].T, 9)
                 for i, j in zip(*np.nonzero(s >= threshold), strict=True):
-                    if ids[at[j]] != names[who[i]]:
+                    if ids[at[j]] is not None and names[who[i]] is not None and ids[at[j]] != names[who[i]]:
                         held[who[i]].append((-s[i, j], ids[at[j]]))
             for i, h in enumerate(held):
                 if len(h) > 4 * limit:

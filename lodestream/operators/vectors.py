@@ -62,11 +62,18 @@ def _nearest(batches, names: list, q: np.ndarray, limit: int, threshold: float,
             continue
         for start in range(0, len(ids), PIECE):
             c = np.round(q @ unit(whole[start : start + PIECE]).T, 9)
+            spots: dict = {}
+            for j, k in enumerate(ids[start : start + PIECE]):
+                spots.setdefault(k, []).append(j)
+            c[:, spots.get(None, [])] = -np.inf  # without an id a row may be the query
+            for i, n in enumerate(names):
+                if n in spots:
+                    c[i, spots[n]] = -np.inf
             for i in np.flatnonzero((c >= least[:, None]).any(axis=1)):
                 at = np.flatnonzero(c[i] >= least[i])
-                if len(at) > limit + 1:  # the query itself may be one; equal ones are told apart by id below
-                    at = at[c[i, at] >= np.partition(c[i, at], len(at) - limit - 1)[len(at) - limit - 1]]
-                held[i] = heapq.nsmallest(limit, held[i] + [(-c[i, j], k) for j in at if (k := ids[start + j]) != names[i]])
+                if len(at) > limit:  # equal ones are told apart by id below
+                    at = at[c[i, at] >= np.partition(c[i, at], len(at) - limit)[len(at) - limit]]
+                held[i] = heapq.nsmallest(limit, held[i] + [(-c[i, j], ids[start + j]) for j in at])
                 if len(held[i]) == limit:
                     least[i] = max(least[i], -held[i][-1][0])
     return held
@@ -80,7 +87,7 @@ def search(rows: DataFrame, queries: DataFrame, limit: int, threshold: float, ve
     decimals, ties by id.
     """
     out = None
-    for names, q in _blocks(queries, "query", vector, MOST_QUERIES):
+    for names, q in _blocks(queries.filter("query is not null"), "query", vector, MOST_QUERIES):
         sent = rows.sparkSession.sparkContext.broadcast((names, q))
 
         def best(batches, sent=sent):

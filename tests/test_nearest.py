@@ -37,3 +37,11 @@ def test_nearest_holds_a_bounded_number():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6  # not all 2.4 million pairs
+
+
+def test_rows_without_id_or_of_the_query_leave_room_for_others():
+    """As in SQL, where e.id <> q.id is unknown for a null: they tie with others and may be many."""
+    x = np.tile([[1.0, 0.0], [1.0, 0.0], [1.0, 0.1]], (10, 1))
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(30)]
+    got = V._nearest(_batches(ids, x, 16), [7, 8], np.array([[1.0, 0.0]] * 2), 3, 0.5, "embedding", "vec_id")
+    assert [k for _, k in got[0]] == [2, 5, 8] and [k for _, k in got[1]] == [7, 7, 7]
