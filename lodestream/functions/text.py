@@ -146,10 +146,15 @@ def html_text(html: Column, drop: tuple[str, ...] = ("script", "style", "nav", "
     return normalized(t)
 
 
+def padded(text: Column) -> Column:
+    """The lower-cased text between two blanks before and one behind."""
+    return F.concat(F.lit("  "), F.lower(text), F.lit(" "))
+
+
 def trigrams(text: Column) -> Column:
-    """Distinct trigrams of the lower-cased text, padded by two blanks before and one behind."""
-    padded = F.concat(F.lit("  "), F.lower(text), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+    """Distinct trigrams of the padded text."""
+    x = padded(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3))))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
