@@ -91,3 +91,28 @@ def test_event_theme_links_are_not_shuffled(spark):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_event_theme_links_of_lists_and_shares(spark, monkeypatch):
+    """Small lists and shares, null keys and null tickers give the pairs of brute force, each once."""
+    monkeypatch.setattr(R, "LIST", 3)
+    monkeypatch.setattr(R, "SHARE_PAIRS", 10)
+    rng = random.Random(7)
+    some = lambda n, m: [(rng.choice([*range(m), None]), rng.choice([None, ["a"], ["b", "a", "b"], ["c", None], rng.choices("abcdefg", k=2)])) for _ in range(n)]
+    e, t = some(120, 90), some(60, 40)
+    out = R.linked_events(spark.createDataFrame(e, "event_id long, tickers array<string>"), spark.createDataFrame(t, "theme_id string, tickers array<string>"))
+    names = lambda rows: {k: {x for j, y in rows if j == k for x in y or () if x} for k, _ in rows}
+    want = [(a, None if b is None else str(b)) for a, x in names(e).items() for b, y in names(t).items() if x & y]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and len(want) > 500
+
+
+def test_event_theme_links_take_little_space(spark, tmp_path):
+    """Pairs come in runs, so a file of them has a small part of the bytes that numbers of events and themes need."""
+    rng = random.Random(8)
+    e = [(i, ["all", f"t{rng.randrange(5)}", f"t{rng.randrange(5)}"]) for i in range(3000)]
+    t = [(i, [f"t{i % 5}", f"t{i % 7}"]) for i in range(400)]
+    out = R.linked_events(spark.createDataFrame(e, "event_id long, tickers array<string>"), spark.createDataFrame(t, "theme_id long, tickers array<string>"))
+    out.coalesce(1).write.parquet(f"{tmp_path}/links")
+    pairs = spark.read.parquet(f"{tmp_path}/links").count()
+    size = sum(f.stat().st_size for f in tmp_path.glob("links/*.parquet"))
+    assert pairs > 300_000 and size < pairs * 0.5
